@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, mixing, toxicity
 
 
 def queries() -> dict:
-    return {"op5_minhash_dedup": minhash.query}
+    return {
+        "op2_mix_sources": mixing.query,
+        "op5_minhash_dedup": minhash.query,
+        "op7_toxicity": toxicity.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_dedup": minhash.SQL}
+    return {"op2_mix_sources": mixing.SQL, "op5_minhash_dedup": minhash.SQL}
