@@ -28,7 +28,8 @@ def _confirm(percent: int) -> Callable:
                 both = int((left[at] == own).sum()) if len(left) else 0
                 if both and 100 * both >= percent * (len(own) + len(left) - both):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([a_ids.take(keep), b_ids.take(keep)], ["a", "b"])
+            kept = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([a_ids.take(kept), b_ids.take(kept)], ["a", "b"])
 
     return run
 
