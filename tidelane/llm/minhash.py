@@ -90,6 +90,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def first_of_groups(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest doc_id; all columns stay.
+
+    Rows without words and rows without doc_id all stay; of repeated rows of one doc_id in a group one stays.
+    """
+    found = near_duplicates(docs, scratch, **options)
+    gone = scratch.table(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct())
+    rest = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    again = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("__id"))
+    again = scratch.table(again)
+    if again.isEmpty():
+        return rest
+    once = rest.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(once)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of the whole documents table, on two-word shingles."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "op5"), size=2)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, toxicity
+from . import bpe, minhash, mixing, paragraphs, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.query,
+        "op3_bpe": bpe.query,
         "op5_minhash_dedup": minhash.query,
         "op7_toxicity": toxicity.query,
+        "op9_passage_dedup": paragraphs.query,
     }
 
 
