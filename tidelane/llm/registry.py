@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, paragraphs, toxicity
+from . import bpe, embed_dedup, minhash, mixing, paragraphs, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": embed_dedup.query,
         "op2_mix_sources": mixing.query,
         "op3_bpe": bpe.query,
         "op5_minhash_dedup": minhash.query,
+        "op6_url_reputation": urls.query,
         "op7_toxicity": toxicity.query,
         "op9_passage_dedup": paragraphs.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.SQL, "op5_minhash_dedup": minhash.SQL}
+    return {
+        "op1_embedding_dedup": embed_dedup.SQL,
+        "op2_mix_sources": mixing.SQL,
+        "op5_minhash_dedup": minhash.SQL,
+        "op6_url_reputation": urls.SQL,
+    }
