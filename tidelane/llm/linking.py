@@ -41,35 +41,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
 
+PIVOTS = 8
+
+
 def link_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
     """(id, component) of the ids that have a confirmed link; and the tables to drop after use.
 
-    keyed is (id, n, key), n the size of the id's set. In each group of a key all members are compared with
-    the smallest id, its hub, and confirmed on whole sets. Components of these links then tell which members
-    still differ from their hub; each of those is compared with every member of the hub's groups that is in
-    another component yet. So a candidate pair is either connected already or compared itself: no link
-    between candidates is lost, and a group of copies costs one comparison a member. sets_of(ids) returns
-    (id, items) for the ids asked for: sorted 64-bit hashes as bytes.
+    keyed is (id, n, key), n the size of the id's set. The smallest id of a key is its hub, and all ids of the
+    hub's keys are its group. Candidates are confirmed on whole sets in three rounds, with components after
+    each: every id against its least hub; ids that are still apart from a hub against PIVOTS members of its
+    group, drawn by hash; and what is apart even then against every member of the group that is in another
+    component. So a candidate pair is connected already or compared itself, no link between candidates is
+    lost, and a group of copies costs a few comparisons a member. sets_of(ids) returns (id, items) for the
+    ids asked for: sorted 64-bit hashes as bytes.
     """
     hubs = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("other")).where("hub.id <> other").select("key", F.col("hub.id").alias("b"), F.col("hub.n").alias("bn"))
-    alike = lambda p: p.where(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
     first = scratch.table(keyed.join(hubs, "key").where("id <> b").select(F.col("id").alias("a"), F.col("n").alias("an"), "b", "bn").distinct())
     ids = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
     sets = scratch.table(sets_of(ids))
-    links = scratch.table(confirmed(alike(first).select("a", "b"), sets, percent))
-    comp = connected_components(links, scratch)
-    # what is left of the groups, by hub: an id without a component is its own
-    of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
-    members = first.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "an", "b", F.coalesce("a_in", "a").alias("a_in"), F.coalesce("b_in", "b").alias("b_in"))
-    members = scratch.table(members)
-    apart = members.where("a_in <> b_in").select("b", F.col("a").alias("x"), F.col("an").alias("xn"), F.col("a_in").alias("x_in"))
-    rest = apart.join(members.drop("bn"), "b").where("x_in <> a_in and (x < a or a_in = b_in)")
-    rest = rest.select(F.greatest("x", "a").alias("a"), F.least("x", "a").alias("b"), F.col("xn").alias("an"), F.col("an").alias("bn"))
-    more = scratch.table(confirmed(alike(rest).select("a", "b").distinct(), sets, percent))
-    scratch.drop(sets, members, first)
-    if more.isEmpty():
-        return comp, [comp]
-    again = comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-    out = connected_components(again, scratch)
-    scratch.drop(comp, links, more)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The confirmed ones of pairs (a, an, b, bn)."""
+        alike = pairs.where(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
+        return scratch.table(confirmed(alike.select("a", "b").distinct(), sets, percent))
+
+    def members(comp: DataFrame) -> DataFrame:
+        """The groups with each id's component; an id without one is its own."""
+        of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
+        x = first.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return scratch.table(x.select("a", "an", "b", "bn", F.coalesce("a_in", "a").alias("a_in"), F.coalesce("b_in", "b").alias("b_in")))
+
+    def apart(x: DataFrame) -> DataFrame:
+        return x.where("a_in <> b_in").select("b", F.col("a").alias("x"), F.col("an").alias("xn"), F.col("a_in").alias("x_in"))
+
+    def pair(x: DataFrame) -> DataFrame:
+        return x.select(F.greatest("x", "a").alias("a"), F.least("x", "a").alias("b"), F.col("xn").alias("an"), F.col("an").alias("bn"))
+
+    def merged(comp: DataFrame, found: DataFrame) -> DataFrame:
+        if found.isEmpty():
+            return comp
+        return connected_components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found), scratch)
+
+    least = first.groupBy("a", "an").agg(F.min(F.struct("b", "bn")).alias("hub")).select("a", "an", "hub.b", "hub.bn")
+    comp = connected_components(links(least), scratch)
+    now = members(comp)
+    drawn = [F.min(F.struct(F.xxhash64("a", F.lit(k)).alias("h"), "a", "an", "a_in")).alias(f"p{k}") for k in range(PIVOTS)]
+    hub = F.first(F.struct(F.lit(0).cast("long").alias("h"), F.col("b").alias("a"), F.col("bn").alias("an"), F.col("b_in").alias("a_in")))
+    pivots = now.groupBy("b").agg(*drawn, hub.alias("hub")).select("b", F.array_distinct(F.array("hub", *(f"p{k}" for k in range(PIVOTS)))).alias("p"))
+    tried = apart(now).join(pivots, "b").select("x", "xn", "x_in", F.explode(F.expr("filter(p, q -> q.a_in <> x_in)")).alias("q")).select("x", "xn", "q.a", "q.an")
+    comp = merged(comp, links(pair(tried)))
+    then = members(comp)
+    rest = apart(then).join(then.drop("bn"), "b").where("x_in <> a_in and (x < a or a_in = b_in)")
+    out = merged(comp, links(pair(rest)))
+    scratch.drop(sets, now, then, first)
     return out, [out]
