@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, minhash, mixing, paragraphs, toxicity, urls
+from . import bpe, embed_dedup, minhash, mixing, paragraphs, quality, toxicity, urls
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_url_reputation": urls.query,
         "op7_toxicity": toxicity.query,
         "op9_passage_dedup": paragraphs.query,
+        "op10_quality_divergence": quality.query,
     }
 
 
