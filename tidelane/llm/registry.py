@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, minhash, mixing, paragraphs, quality, toxicity, urls
+from . import bpe, embed_dedup, minhash, mixing, paragraphs, quality, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_embedding_dedup": embed_dedup.query,
         "op2_mix_sources": mixing.query,
         "op3_bpe": bpe.query,
+        "op4_warc_derivatives": warc.query,
         "op5_minhash_dedup": minhash.query,
         "op6_url_reputation": urls.query,
         "op7_toxicity": toxicity.query,
