@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embed_dedup, minhash, mixing, paragraphs, quality, toxicity, urls, warc
+from . import bpe, embed_dedup, maxent_lm, minhash, mixing, paragraphs, quality, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_minhash_dedup": minhash.query,
         "op6_url_reputation": urls.query,
         "op7_toxicity": toxicity.query,
+        "op8_maxent_scores": maxent_lm.query,
         "op9_passage_dedup": paragraphs.query,
         "op10_quality_divergence": quality.query,
     }
