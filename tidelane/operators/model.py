@@ -51,10 +51,10 @@ def values_of(enum: type[IntEnum], name: Column) -> Column:
     return out
 
 
-def build(id: Column, source: Column, priority: Column, ts_ns: Column, topic: Column, body: Column, metadata: Column) -> list[Column]:
+def build(id: Column, source: Column, priority: Column, arrival_us: Column, topic: Column, body: Column, metadata: Column) -> list[Column]:
     """The columns of a new event: lengths and checksum are those of topic and body; the topic's has 16 bits."""
     return [
-        id.cast("long").alias("id"), source.cast("int").alias("source_type"), priority.cast("int").alias("priority"), ts_ns.cast("long").alias("ts_ns"), F.floor(ts_ns / 1000).cast("long").alias("arrival_us"), topic.alias("topic"),
+        id.cast("long").alias("id"), source.cast("int").alias("source_type"), priority.cast("int").alias("priority"), (arrival_us * 1000).cast("long").alias("ts_ns"), arrival_us.cast("long").alias("arrival_us"), topic.alias("topic"),
         (F.octet_length(topic).cast("long") % 65536).cast("int").alias("topic_len"), body.alias("body"), F.length(body).cast("long").alias("body_len"), F.crc32(body).alias("crc32"), metadata.alias("metadata"), F.lit(0).cast("long").alias("dequeue_time_ns"),
     ]
 
@@ -84,5 +84,5 @@ def from_events_table(table: DataFrame) -> DataFrame:
     topic = topic_of(F.col("event_type"), F.col("user_id"))
     body = F.when(id % 13 == 0, F.unhex(F.lit(""))).when(F.startswith(topic, F.lit("payment")), le_bytes(amount, 4)).otherwise(F.concat(be_bytes(reading, 1), F.unhex(F.lit("000000"))))
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
-    event = build(id, F.lit(0), id % 5, us * 1000, topic, body, F.create_map(F.lit("client_address"), F.concat(F.lit("user-"), F.col("user_id").cast("string"))))
+    event = build(id, F.lit(0), id % 5, us, topic, body, F.create_map(F.lit("client_address"), F.concat(F.lit("user-"), F.col("user_id").cast("string"))))
     return t.select(*event, (id % 9).alias("elapsed_ms"), (id * id + 1).alias("latency_ns"), (id % 50).alias("dedup_id"))
