@@ -164,7 +164,16 @@ def _dedup(ok, ttl: int) -> Callable[[DataFrame], DataFrame]:
     return lambda df: anchored.dedup(df, "dedup_id", "arrival_us", "id", ok, ttl).select("key", "id", "status")
 
 
+#: Queries without SQL: DuckDB has no crc32, and the clean-ups of the lazy mode follow the whole stream's order.
+WITHOUT_SQL = ["crc32_body", "dedup_lazy_cleanup"]
+
+
 def queries() -> dict[str, Query]:
+    """Each query builds its columns when it is called, for these need a session."""
+    return {name: lambda spark, sf_dir, name=name: _built()[name](spark, sf_dir) for name in [*SQL, *WITHOUT_SQL]}
+
+
+def _built() -> dict[str, Query]:
     good = F.lit(True)
     not_eleventh = F.col("id") % 11 != 0
     return {
