@@ -15,6 +15,7 @@ from .scratch import Scratch
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000  # labelled rows that the classifier is fitted on, about
 VOCABULARY = 8192
+LIFT = 4.0  # how much commoner a feature is in toxic texts, for only such features to count in a text of any length
 PREFIXES = (4, 5, 6)
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…¡¿"
 
@@ -111,7 +112,7 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int
     return post, rates, groups
 
 
-def _logistic(rows: list[np.ndarray], p: np.ndarray, weight: np.ndarray, size: int, rounds: int = 200, ridge: float = 2e-4) -> np.ndarray:
+def _logistic(rows: list[np.ndarray], p: np.ndarray, weight: np.ndarray, size: int, rounds: int = 300, ridge: float = 3e-5) -> np.ndarray:
     """Weights of a logistic regression on soft labels, the intercept last; Adam over all rows."""
     at = np.concatenate([*rows, np.zeros(0, int)]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -130,8 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[dict[int,
     """Weights by feature hash, and the intercept, from rows of labels (doc_id, toxic) that docs hold.
 
     About MAX_TOXIC and MAX_CLEAN labelled documents are used at most, drawn by a hash of doc_id, with
-    weights that restore their shares. The lexicons of the voters come from these rows; so do the words of the
-    classifier, whose targets are the label model's posteriors. Repeated labels of a document count as toxic
+    weights that restore their shares. The lexicons of the voters come from these rows, and the label itself is
+    one more vote; so do the words of the classifier, whose targets are the label model's posteriors. Repeated labels of a document count as toxic
     if one does. Without labels of both kinds there are no weights, and the score is the share of toxic.
     """
     labels = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -142,27 +143,30 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[dict[int,
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share[1] * 1e6).otherwise(share[0] * 1e6)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.table(texts.join(F.broadcast(labels.where(drawn)), "doc_id").select("text", "toxic"))
-    counts = rows.mapInArrow(_count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3")
+    support = max(2, min(5, int(n[1] * share[1] / 200)))
+    counts = rows.mapInArrow(_count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") >= support)
     scale = share[1] / share[0]
     odds = F.log((F.col("t") + 0.1) / (F.col("c") * scale + 0.1 + 0.002 * n[1] * share[1]))
-    best = counts.withColumn("z", odds * F.sqrt("t")).orderBy(F.desc("z"), "feature").limit(VOCABULARY).collect()
+    ratio = (F.col("t") / (n[1] * share[1])) / ((F.col("c") + 0.5) / (n[0] * share[0]))
+    best = counts.where(ratio >= LIFT).withColumn("z", odds * F.sqrt("t")).orderBy(F.desc("z"), "feature").limit(VOCABULARY).collect()
     index = {r.feature: i for i, r in enumerate(best)}
     got = rows.mapInArrow(_encode(index), "toxic int, features array<int>, shape array<int>").toPandas()
     scratch.drop(rows)
     if not len(got):
         return {}, float(np.log(n[1] / n[0]))
     t, c = np.array([r.t for r in best], float), np.array([r.c for r in best], float) * scale
-    strong = np.flatnonzero((t >= 4) & (t > 4 * (c + 0.25)))
+    strong = np.flatnonzero(t > 4 * (c + 0.25))
     lexicon = np.full(len(best) + 1, -1)
     lexicon[strong] = strong % 8  # eight disjoint lexicons
     x = [np.asarray(r, dtype=np.int64) for r in got.features]
-    votes = np.zeros((len(x), 12), dtype=np.int64)
+    votes = np.zeros((len(x), 13), dtype=np.int64)
     for i, r in enumerate(x):
         hits = np.bincount(lexicon[r][lexicon[r] >= 0], minlength=8)
         votes[i, :8] = np.minimum(hits, 2)
         votes[i, 8] = 2 if hits.sum() >= 8 else int(hits.sum() >= 3)
         votes[i, 9] = int((t[r] > t.max(initial=0) / 4).sum() >= 2) if len(r) else 0
-        votes[i, 10:] = got["shape"].iloc[i]
+        votes[i, 10:12] = got["shape"].iloc[i]
+    votes[:, 12] = got.toxic  # the annotator is a voter among others
     weight = np.where(got.toxic.to_numpy() == 1, 1 / share[1], 1 / share[0])
     post, _, _ = label_model(votes, weight, n[1] / (n[0] + n[1]))
     w = _logistic(x, post, weight, len(best))
