@@ -12,13 +12,22 @@ from tidelane.functions.binary import be_uint, le_uint
 from .model import AlertLevel
 
 
+FIRST_BYTE, AMOUNT = "body_first_byte", "body_amount"
+
+
+def with_body_numbers(events: DataFrame) -> DataFrame:
+    """events with the two numbers that handlers read from bodies, each decoded once."""
+    return events.withColumns({FIRST_BYTE: be_uint(F.col("body"), 1, 1), AMOUNT: le_uint(F.col("body"), 1, 4)})
+
+
 def none(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
 @dataclass(frozen=True)
 class Handler:
-    """What is done with the events of a topic. Subclass it, and give columns over the event's columns.
+    """What is done with the events of a topic. Subclass it, and give columns over the event's columns and the
+    numbers of with_body_numbers.
 
     validate and rules give a reason to drop the event, or null; level gives an alert's level, or null, and
     message what the alert or the success says.
@@ -50,7 +59,7 @@ class Reading(Handler):
     limit: int | None = None
 
     def _reading(self) -> Column:
-        return be_uint(F.col("body"), 1, 1)
+        return F.col(FIRST_BYTE)
 
     def validate(self) -> Column:
         return F.when(F.length("body") == 0, f"empty body for {self.kind} sensor")
@@ -82,11 +91,11 @@ class Payment(Handler):
         return F.when(F.length("body") < 4, "payment body too short")
 
     def rules(self) -> Column:
-        amount = le_uint(F.col("body"), 1, 4)
+        amount = F.col(AMOUNT)
         return F.when(amount == 0, "payment amount is zero").when(amount > self.limit, "payment amount exceeds limit")
 
     def message(self) -> Column:
-        return F.concat(F.lit("payment_ok amount="), le_uint(F.col("body"), 1, 4).cast("string"))
+        return F.concat(F.lit("payment_ok amount="), F.col(AMOUNT).cast("string"))
 
 
 @dataclass(frozen=True)
@@ -134,7 +143,8 @@ def handle(events: DataFrame, registry: Registry) -> DataFrame:
 
     The first failure is the reason: validation before rules. What fails is not handled further.
     """
-    x = events.withColumns({"handler": registry.choose(lambda h: F.lit(h.name)), "reason": registry.choose(lambda h: F.coalesce(h.validate(), h.rules()))})
+    x = with_body_numbers(events).withColumns({"handler": registry.choose(lambda h: F.lit(h.name)), "reason": registry.choose(lambda h: F.coalesce(h.validate(), h.rules()))})
     passed = F.col("reason").isNull()
     x = x.withColumns({"alert_level": F.when(passed, registry.choose(lambda h: h.level())), "message": F.when(passed, registry.choose(lambda h: h.message()))})
-    return x.withColumn("outcome", F.when(~passed, "DROP").when(F.col("alert_level").isNotNull(), "ALERT").otherwise("SUCCESS"))
+    outcome = F.when(~passed, "DROP").when(F.col("alert_level").isNotNull(), "ALERT").otherwise("SUCCESS")
+    return x.withColumn("outcome", outcome).drop(FIRST_BYTE, AMOUNT)

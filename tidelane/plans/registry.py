@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelane.functions import histogram
 from tidelane.operators import anchored, dead_letters, lanes, metrics, model, routing, subscribe
-from tidelane.operators.handlers import default_registry
+from tidelane.operators.handlers import default_registry, with_body_numbers
 from tidelane.sources import event_log, frames
 from tidelane.sources import topics as topic_files
 from tidelane.streaming import pipeline, stateful
@@ -62,7 +62,7 @@ def _done(df: DataFrame) -> DataFrame:
 
 def _reasons(rules: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        registry, events = default_registry(), _routed(spark, sf_dir)
+        registry, events = default_registry(), with_body_numbers(_routed(spark, sf_dir))
         x = events.withColumns({"handler": registry.choose(lambda h: F.lit(h.name)), "invalid": registry.choose(lambda h: h.validate()), "against": registry.choose(lambda h: h.rules())})
         reason = F.when(F.col("invalid").isNull(), F.col("against")) if rules else F.col("invalid")
         return x.withColumn("reason", reason).where("reason is not null").groupBy("handler", "reason").agg(F.count(F.lit(1)).alias("events"))
