@@ -17,7 +17,7 @@ from .scratch import Scratch
 
 SIZE = 5
 PERCENT = 80
-BANDS = 10
+BANDS = 8
 ROWS = 3
 MIN_WORDS = 20
 LONG, CUT = 24, 12
@@ -163,19 +163,32 @@ def repeated_pieces(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, b
     """(doc_id, fp, keeper): the pieces of docs that an earlier document, keeper, has too.
 
     Pieces with the same set of five-word shingles are one class. A set so small that no other set can reach
-    `percent` with it needs no band; larger ones get `bands` keys of `rows` minhashes (at 0.8, 99.9 % of pairs
-    share one), and classes that share one are confirmed on their whole sets. keeper is the smallest doc_id
+    `percent` with it needs no band; larger ones get `bands` keys of `rows` minhashes (at 0.8, 99.7 % of pairs
+    share one), and classes that share one are confirmed on their whole sets. Keys are counted alone first, so
+    that only the few that repeat are shuffled with their sets. keeper is the smallest doc_id
     of the class's component; its own pieces, and what repeats in one document only, have no row.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     pieces = scratch.table(texts.mapInArrow(_pieces(bands, rows, percent, seed), "doc_id long, fp long, n int, bands array<long>"))
-    keyed = pieces.where("size(bands) > 0").select(F.col("fp").alias("id"), F.col("n").cast("long").alias("n"), F.explode("bands").alias("key"))
+    long = pieces.where("size(bands) > 0")
+    twice = scratch.table(long.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
+    shipped = docs.sparkSession.sparkContext.broadcast(prefilter.bitmap(twice))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column("bands").flatten().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(b.num_rows), b.column("bands").value_lengths().to_numpy(zero_copy_only=False))
+            may = prefilter.among(shipped.value, keys)
+            at = pa.array(of[may])
+            yield pa.RecordBatch.from_arrays([b.column("fp").take(at), b.column("n").take(at).cast(pa.int64()), pa.array(keys[may])], ["id", "n", "key"])
+
+    keyed = long.select("fp", "n", "bands").mapInArrow(shared, "id long, n long, key long").distinct()
 
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = scratch.table(ids)
         may = pieces.where("size(bands) > 0").select(F.col("fp").alias("id"), "doc_id").join(ids, "id")
         want = scratch.table(may.groupBy("id").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("id").alias("want")))
-        held = prefilter.split(texts, "doc_id", prefilter.bitmap(want.select("doc_id")), True).join(want, "doc_id")
+        held = prefilter.split(texts, "doc_id", prefilter.bitmap_of(want.select("doc_id")), True).join(want, "doc_id")
         return held.select("text", "want").mapInArrow(_items(), "id long, items binary").dropDuplicates(["id"])
 
     linked, _ = link_components(keyed, sets_of, percent, scratch)
@@ -255,7 +268,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORD
     found = repeated_pieces(docs, scratch, **options)
     lists = scratch.table(found.groupBy("doc_id").agg(F.collect_list("fp").alias("fps"), F.collect_list("keeper").alias("keepers")).withColumnRenamed("doc_id", "__id"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.col("doc_id").cast("long").alias("__id"))
-    bits = prefilter.bitmap(lists.select("__id"))
+    bits = prefilter.bitmap_of(lists.select("__id"))
     hit = prefilter.split(rows, "__id", bits, True).join(lists, "__id", "left").drop("__id")
     none = F.lit(None).cast("array<long>")
     miss = prefilter.split(rows, "__id", bits, False).select("row", "text", none.alias("fps"), none.alias("keepers"))

@@ -1,4 +1,4 @@
-"""A filter of fixed size that drops most rows that a later exact join would not match."""
+"""A filter of bounded size that drops most rows that a later exact join would not match."""
 
 from __future__ import annotations
 
@@ -6,40 +6,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 23
+LEAST, MOST = 23, 27  # bits are a power of two: one to sixteen megabytes
+_PART = 32768  # bits that one value of bitmap_construct_agg holds
 
 
-def _place(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BITS))
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A byte array with a bit set for each value of a one-column table of well-mixed longs.
 
-
-def bitmap(keys: DataFrame) -> bytes:
-    """One megabyte whatever the input: a bit for the hash of each key of a one-column table."""
-    at = keys.select(_place(F.col(keys.columns[0])).alias("p"))
-    parts = at.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    out = np.zeros(BITS // 8 + 4096, dtype=np.uint8)
+    It takes sixteen bits a row between the bounds, so it stays small whatever the input; a fuller one only
+    lets more rows pass to the join that follows.
+    """
+    power = min(MOST, max(LEAST, (16 * max(hashes.count(), 1) - 1).bit_length()))
+    place = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << power) - 1)) + 1  # bitmap functions number bits from 1
+    parts = hashes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    out = np.zeros((1 << power) // 8, dtype=np.uint8)
     for r in parts:
-        part = np.frombuffer(bytes(r.bits), dtype=np.uint8)
-        at0 = (r.b - 1) * len(part)
-        out[at0 : at0 + len(part)] = part
-    return out.tobytes()
+        out[(r.b - 1) * _PART // 8 : r.b * _PART // 8] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    return out
+
+
+def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in the bitmap; for the others it is sure that they aren't."""
+    p = hashes & np.int64(len(bits) * 8 - 1)
+    return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
 
-def split(rows: DataFrame, key: str, bits: bytes, hit: bool) -> DataFrame:
-    """The rows whose key may be among the bitmap's (hit), or those whose key surely isn't."""
-    shift = 1  # bitmap_bucket_number counts from 1 for positions 1 to 32768, from 0 for 0
+def split(rows: DataFrame, key: str, bits: np.ndarray, hit: bool) -> DataFrame:
+    """The rows whose key may be among the bitmap's hashes (hit), or those whose key surely isn't."""
+    shipped = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.frombuffer(bits, dtype=np.uint8)
         for b in batches:
-            p = b.column("__place").to_numpy(zero_copy_only=False)
-            number, bit = np.where(p > 0, shift + (p - 1) // 32768, 0), (p - 1) % 32768
-            at = np.where(p > 0, (number - 1) * 4096 + bit // 8, 0)
-            found = np.where(p > 0, (have[at] >> (bit % 8).astype(np.uint8)) & 1 == 1, True)
-            mask = pa.array(found if hit else ~found)
-            yield b.filter(mask).select([n for n in b.schema.names if n != "__place"])
-
-    return rows.withColumn("__place", _place(F.col(key))).mapInArrow(run, rows.schema)
+            found = among(shipped.value, b.column("__hash").to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array(found if hit else ~found)).select([n for n in b.schema.names if n != "__hash"])
+
+    return rows.withColumn("__hash", F.xxhash64(key)).mapInArrow(run, rows.schema)
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """The bitmap that split() takes, of a one-column table."""
+    return bitmap(keys.select(F.xxhash64(keys.columns[0]).alias("h")))
