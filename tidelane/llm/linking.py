@@ -42,6 +42,48 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 PIVOTS = 8
+BLOCK = 64
+
+
+def _compare_blocks(percent: int) -> Callable:
+    """Links between two blocks of sets that are in different components, by counting common items of all pairs."""
+
+    def load(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, inside = (np.array([x[k].as_py() for x in block], dtype=np.int64) for k in ("id", "inside"))
+        sets = [np.frombuffer(x["items"].as_buffer(), dtype=np.uint64) for x in block]
+        n = np.array([len(x) for x in sets], dtype=np.int64)
+        return ids, inside, n, np.concatenate(sets), np.repeat(np.arange(len(ids)), n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for xs, ys in zip(b.column("xs"), b.column("ys"), strict=True):
+                (xi, xin, xn, xt, xo), (yi, yin, yn, yt, yo) = load(xs), load(ys)
+                order = np.argsort(xt, kind="stable")
+                xt, xo = xt[order], xo[order]
+                low, high = np.searchsorted(xt, yt, "left"), np.searchsorted(xt, yt, "right")
+                c = high - low
+                at = np.repeat(low - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())
+                both = np.bincount(xo[at] * len(yi) + np.repeat(yo, c), minlength=len(xi) * len(yi)).reshape(len(xi), len(yi))
+                hit = (100 * both >= percent * (xn[:, None] + yn[None, :] - both)) & (both > 0) & (xin[:, None] != yin[None, :])
+                i, j = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(xi[i], yi[j])), pa.array(np.minimum(xi[i], yi[j]))], ["a", "b"])
+
+    return run
+
+
+def blockwise(xs: DataFrame, ys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of xs and ys (group, id, inside) that share a group and differ in inside.
+
+    Each side's members of a group are dealt by hash into blocks of about BLOCK sets; a row holds two blocks, so
+    all of a group is compared exactly by few rows, none of which grows with the group.
+    """
+
+    def blocks(m: DataFrame, name: str) -> DataFrame:
+        count = m.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        x = m.join(count, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sets, "id")
+        return x.groupBy("group", "block").agg(F.collect_list(F.struct("id", "inside", "items")).alias(name)).drop("block")
+
+    return blocks(xs, "xs").join(blocks(ys, "ys"), "group").select("xs", "ys").mapInArrow(_compare_blocks(percent), "a long, b long").distinct()
 
 
 def link_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
@@ -49,9 +91,8 @@ def link_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
 
     keyed is (id, n, key), n the size of the id's set. The smallest id of a key is its hub, and all ids of the
     hub's keys are its group. Candidates are confirmed on whole sets in three rounds, with components after
-    each: every id against its least hub; ids that are still apart from a hub against PIVOTS members of its
-    group, drawn by hash; and what is apart even then against every member of the group that is in another
-    component. So a candidate pair is connected already or compared itself, no link between candidates is
+    each: every id against its least hub; ids that are still apart from a hub against it and PIVOTS members of
+    its group, drawn by hash; and what is apart even then against all of the group, block by block. So a candidate pair is connected already or compared itself, no link between candidates is
     lost, and a group of copies costs a few comparisons a member. sets_of(ids) returns (id, items) for the
     ids asked for: sorted 64-bit hashes as bytes.
     """
@@ -91,7 +132,8 @@ def link_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     tried = apart(now).join(pivots, "b").select("x", "xn", "x_in", F.explode(F.expr("filter(p, q -> q.a_in <> x_in)")).alias("q")).select("x", "xn", "q.a", "q.an")
     comp = merged(comp, links(pair(tried)))
     then = members(comp)
-    rest = apart(then).join(then.drop("bn"), "b").where("x_in <> a_in and (x < a or a_in = b_in)")
-    out = merged(comp, links(pair(rest)))
+    xs = scratch.table(then.where("a_in <> b_in").select(F.col("b").alias("group"), F.col("a").alias("id"), F.col("a_in").alias("inside")))
+    ys = then.select(F.col("b").alias("group"), F.col("a").alias("id"), F.col("a_in").alias("inside")).join(xs.select("group").distinct(), "group", "left_semi")
+    out = merged(comp, scratch.table(blockwise(xs, ys, sets, percent)))
     scratch.drop(sets, now, then, first)
     return out, [out]
