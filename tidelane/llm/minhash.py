@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import prefilter
 from . import shingles as sh
 from .linking import link_components
 from .scratch import Scratch
@@ -78,7 +79,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
     keyed = left.select("id", "n", "l", F.explode(F.filter("h", lambda x: x["pos"] >= halves)).alias("r")).select("id", "n", F.xxhash64("l.pos", "l.val", "r.pos", "r.val").alias("key"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        texts = slim.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+        ids = scratch.table(ids)
+        texts = prefilter.split(slim.withColumnRenamed("doc_id", "id"), "id", prefilter.bitmap_of(ids), True).join(ids, "id", "left_semi")
         found = texts.mapInArrow(_sets(size), "id long, fp1 long, fp2 long, items binary")
         reps = classes.select(F.col("rep").alias("id"), "fp1", "fp2")
         return found.join(reps, ["id", "fp1", "fp2"], "left_semi").dropDuplicates(["id"]).select("id", "items")
@@ -93,17 +95,18 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
 def first_of_groups(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """docs with one row of each group of near duplicates, that of the smallest doc_id; all columns stay.
 
-    Rows without words and rows without doc_id all stay; of repeated rows of one doc_id in a group one stays.
+    Rows without words and rows without doc_id all stay; of repeated rows of one doc_id one stays, and none if
+    one of them is a duplicate of another document.
     """
-    found = near_duplicates(docs, scratch, **options)
-    gone = scratch.table(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct())
-    rest = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    again = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("__id"))
-    again = scratch.table(again)
-    if again.isEmpty():
-        return rest
-    once = rest.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(once)
+    found = scratch.table(near_duplicates(docs, scratch, **options).where("doc_id is not null and n_shingles > 0"))
+    gone = found.where("not kept").select(F.col("doc_id").alias("g_id")).distinct()
+    again = scratch.table(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("g_id")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("d_id"))
+    rest = rows.join(scratch.table(gone), F.col("d_id") == F.col("g_id"), "left_anti")
+    if not again.isEmpty():
+        once = rest.join(again, F.col("d_id") == F.col("g_id"), "left_semi").dropDuplicates(["d_id"])
+        rest = rest.join(again, F.col("d_id") == F.col("g_id"), "left_anti").unionByName(once)
+    return rest.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
