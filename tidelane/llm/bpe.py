@@ -16,8 +16,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .frequent import commonest
+from .scratch import Scratch
+
 FREQUENT = 30_000
-CACHE = 250_000
+CACHE = 200_000
+NONE = np.iinfo(np.int32).max
 #: Unicode's White_Space; str.split() also splits at U+001C to U+001F, which aren't in it.
 SPACE = "\t-\r \x85\xa0  -     　"
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -59,6 +63,40 @@ class Vocabulary:
             self.merges.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
 
 
+class PairTable:
+    """Ranks of merges by pair of ids, for arrays of pairs at once: open addressing with few probes."""
+
+    def __init__(self, merges: dict[int, tuple[int, int]], bits: int = 18):
+        self.bits, self.probes = max(bits, (4 * len(merges)).bit_length()), 0
+        self.key, self.rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
+        self.new = np.zeros(max((r for r, _ in merges.values()), default=0) + 1, np.int32)
+        keys, ranks = np.fromiter(merges, np.int64, len(merges)), np.array([r for r, _ in merges.values()], np.int32)
+        self.new[ranks] = [i for _, i in merges.values()]
+        while len(keys):
+            at = self._slot(keys, self.probes)
+            free = np.flatnonzero(self.key[at] == -1)
+            _, first = np.unique(at[free], return_index=True)
+            took = free[first]
+            self.key[at[took]], self.rank[at[took]] = keys[took], ranks[took]
+            rest = np.ones(len(keys), bool)
+            rest[took] = False
+            keys, ranks, self.probes = keys[rest], ranks[rest], self.probes + 1
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        h = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (h.view(np.int64) + probe) & ((1 << self.bits) - 1)
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) << 32 | b
+        out = np.full(len(keys), NONE, np.int32)
+        for probe in range(self.probes):
+            at = self._slot(keys, probe)
+            hit = self.key[at] == keys
+            out[hit] = self.rank[at[hit]]
+        out[(a < 0) | (b < 0)] = NONE
+        return out
+
+
 class Merger:
     """Exact encoding of one white-space-free word or piece of text.
 
@@ -69,7 +107,7 @@ class Merger:
     def __init__(self, v: Vocabulary):
         from tokenizers import Regex, normalizers, pre_tokenizers
 
-        self.v, self.known = v, {}
+        self.v, self.table = v, PairTable(v.merges)
         self.split = regex.compile(v.pattern.replace("\\s", SPACE))
         self.marks = regex.compile("|".join(f"({regex.escape(s)})" for s in v.special)) if v.special else None
         self.space = regex.compile(f"[{SPACE}]+")
@@ -77,29 +115,75 @@ class Merger:
         self.cut = pre_tokenizers.Split(Regex(v.pattern), "removed", invert=True)
 
     def pieces(self, raw: str) -> list[str]:
-        if raw.isascii():
-            return self.split.findall(raw.lower())
-        return [p for p, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(raw))]
+        try:
+            raw.encode("latin-1")
+        except UnicodeEncodeError:
+            return [p for p, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(raw))]
+        return self.split.findall(raw.lower())
 
     def word(self, raw: str) -> tuple[int, ...]:
         """Ids of a stretch of text without white space and special tokens."""
-        out: list[int] = []
-        for piece in self.pieces(raw):
-            ids = self.known.get(piece)
-            if ids is None:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                ids = self.merge(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) < 64:
-                    self.known[piece] = ids
-            out += ids
-        return tuple(out)
+        return tuple(chain.from_iterable(self.merge(p.encode("utf-8", "surrogatepass")) for p in self.pieces(raw)))
+
+    def words(self, raws: list[str]) -> list[tuple[int, ...]]:
+        """word() of each, with all merges done together."""
+        parts = [[p.encode("utf-8", "surrogatepass") for p in self.pieces(r)] for r in raws]
+        number: dict[bytes, int] = {}
+        for ps in parts:
+            for p in ps:
+                number.setdefault(p, len(number))
+        merged = self.merge_many(list(number))
+        return [tuple(merged[number[ps[0]]]) if len(ps) == 1 else tuple(chain.from_iterable(merged[number[p]] for p in ps)) for ps in parts]
 
     def merge(self, piece: bytes) -> list[int]:
         ids = [self.v.first[b] for b in piece[:-1]] + [self.v.last[piece[-1]]]
         ids = [i for i in ids if i >= 0]
         return self._short(ids) if len(ids) < 100 else self._long(ids)
 
+    def merge_many(self, pieces: list[bytes], most: int = 40, block: int = 4096) -> list[list[int]]:
+        """merge() of each: pieces of like length stand in a matrix, and each step merges one pair in every row."""
+        out: list[list[int]] = [[]] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        known = min(self.v.first) >= 0 and min(self.v.last) >= 0
+        first, last = np.array(self.v.first, np.int32), np.array(self.v.last, np.int32)
+        while order and (not known or len(pieces[order[-1]]) > most):
+            i = order.pop()
+            out[i] = self.merge(pieces[i])
+        for at in range(0, len(order), block):
+            own = np.array(order[at : at + block])
+            size = np.array([len(pieces[i]) for i in own])
+            width = int(size[-1])
+            s = np.full((len(own), width + 1), -1, np.int32)
+            data = np.frombuffer(b"".join(pieces[i] for i in own), np.uint8)
+            s[:, :width][np.arange(width) < size[:, None]] = first[data]
+            s[np.arange(len(own)), size - 1] = last[data[np.cumsum(size) - 1]]
+            rank = self.table.get(s[:, :-1].ravel(), s[:, 1:].ravel()).reshape(len(own), width)
+            column = np.arange(width)
+            while len(own):
+                m = rank.argmin(axis=1)
+                row = np.arange(len(own))
+                best = rank[row, m]
+                done = best == NONE
+                if done.any():
+                    ids, n = s[done], (s[done] >= 0).sum(axis=1)
+                    for i, x, k in zip(own[done].tolist(), ids.tolist(), n.tolist(), strict=True):
+                        out[i] = x[:k]
+                    live = ~done
+                    own, s, rank, m, best = own[live], s[live], rank[live], m[live], best[live]
+                    row = np.arange(len(own))
+                    if not len(own):
+                        break
+                after = column > m[:, None]
+                s[:, :-1] = np.where(after, s[:, 1:], s[:, :-1])
+                s[:, -1] = -1
+                s[row, m] = self.table.new[best]
+                rank[:, :-1] = np.where(after[:, :-1], rank[:, 1:], rank[:, :-1])
+                rank[:, -1] = NONE
+                rank[row, m] = self.table.get(s[row, m], s[row, m + 1])
+                has = np.flatnonzero(m > 0)
+                rank[has, m[has] - 1] = self.table.get(s[has, m[has] - 1], s[has, m[has]])
+        return out
+
     def _short(self, ids: list[int]) -> list[int]:
         merges, none = self.v.merges, (1 << 60, -1)
         best = [merges.get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
@@ -193,27 +277,44 @@ class Lexicon:
             f.write(block)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        n = memoryview(self.map).cast("I")
-        states, arcs, words = n[0], n[1], n[2]
+        n = np.frombuffer(self.map, dtype=np.uint32)
+        states, arcs, words = (int(x) for x in n[:3])
         cut, at = [], 3
         for size in (states + 1, states, arcs, arcs, arcs, words + 1):
             cut.append(n[at : at + size])
             at += size
-        self.first, self.final, self.byte, self.target, self.number, self.start = cut
-        self.ids, self.root = n[at:], states - 1
-
-    def get(self, word: bytes) -> tuple[int, ...] | None:
-        s, k, byte, first = self.root, 0, self.byte, self.first
-        for b in word:
-            for a in range(first[s], first[s + 1]):
-                if byte[a] >= b:
-                    break
-            else:
-                return None
-            if byte[a] != b:
-                return None
-            k, s = k + self.number[a], self.target[a]
-        return tuple(self.ids[self.start[k] : self.start[k + 1]]) if self.final[s] else None
+        first, final, byte, self.target, self.number, self.start = cut
+        self.final, self.ids, self.root, self.longest = final == 1, n[at:], states - 1, 63
+        self.arcs = np.repeat(np.arange(states, dtype=np.int64), np.diff(first.astype(np.int64))) << 8 | byte
+
+    def get(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
+        """The ids of each word that the lexicon has; all words take a step at a time."""
+        out: list[tuple[int, ...] | None] = [None] * len(words)
+        own = np.array([i for i, w in enumerate(words) if 0 < len(w) <= self.longest], dtype=np.int64)
+        if not len(own):
+            return out
+        size = np.array([len(words[i]) for i in own])
+        data, start = np.frombuffer(b"".join(words[i] for i in own), np.uint8), np.append(0, np.cumsum(size)[:-1])
+        state, number = np.full(len(own), self.root, np.int64), np.zeros(len(own), np.int64)
+        for k in range(self.longest):
+            ended = size == k
+            if ended.any():
+                for i, n in zip(own[ended & self.final[state]].tolist(), number[ended & self.final[state]].tolist(), strict=True):
+                    out[i] = tuple(self.ids[self.start[n] : self.start[n + 1]].tolist())
+            go = np.flatnonzero(~ended)
+            if not len(go):
+                return out
+            arc = state[go] << 8 | data[start[go] + k]
+            at = np.searchsorted(self.arcs, arc)
+            at[at == len(self.arcs)] = 0
+            hit = self.arcs[at] == arc
+            go, at = go[hit], at[hit]
+            number, state = number[go] + self.number[at], self.target[at].astype(np.int64)
+            own, size, start = own[go], size[go], start[go]
+        ended = (size == self.longest) & self.final[state]
+        for i, n in zip(own[ended].tolist(), number[ended].tolist(), strict=True):
+            out[i] = tuple(self.ids[self.start[n] : self.start[n + 1]].tolist())
+        return out
 
 
 class Encoder:
@@ -222,31 +323,38 @@ class Encoder:
     def __init__(self, v: Vocabulary, lexicon: bytes | None):
         self.merger, self.lexicon, self.cache = Merger(v), Lexicon(lexicon) if lexicon else None, {}
 
-    def _word(self, raw: str) -> tuple[int, ...]:
-        ids = self.lexicon and self.lexicon.get(raw.encode("utf-8", "surrogatepass"))
-        if ids is None:
-            ids = self.merger.word(raw)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if len(raw) < 64:
-            self.cache[raw] = ids
-        return ids
-
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        odd = any(c in text for c in _CONTROLS)
-        get, word = self.cache.get, self._word
-        for w in self.merger.space.split(text) if odd else text.split():
-            ids = get(w)
-            yield word(w) if ids is None else ids
-
-    def encode(self, text: str | None) -> list[int]:
-        special = self.merger.v.special
-        if not text:
-            return []
-        if not any(s in text for s in special):
-            return list(chain.from_iterable(self._plain(text)))
-        parts = (p for p in self.merger.marks.split(text) if p)
-        return list(chain.from_iterable([special[p]] if p in special else chain.from_iterable(self._plain(p)) for p in parts))
+    def _split(self, text: str) -> list[str]:
+        if any(c in text for c in _CONTROLS):
+            return [w for w in self.merger.space.split(text) if w]
+        return text.split()
+
+    def _learn(self, counts: Counter) -> list[str]:
+        """Puts the words of counts into the cache; returns those that aren't worth keeping there."""
+        words = list(counts)
+        held = self.lexicon.get([w.encode("utf-8", "surrogatepass") for w in words]) if self.lexicon else [None] * len(words)
+        self.cache.update((w, ids) for w, ids in zip(words, held, strict=True) if ids is not None)
+        rest = [w for w, ids in zip(words, held, strict=True) if ids is None]
+        self.cache.update(zip(rest, self.merger.words(rest), strict=True))
+        return [w for w in rest if counts[w] == 1 or len(w) >= 64]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        special, marks = self.merger.v.special, self.merger.marks
+        split = []  # of each text, its words, and special tokens as their ids
+        for t in texts:
+            if t and any(s in t for s in special):
+                parts = ([special[p]] if p in special else self._split(p) for p in marks.split(t) if p)
+                split.append(list(chain.from_iterable(parts)))
+            else:
+                split.append(self._split(t) if t else [])
+        cache = self.cache
+        if len(cache) > CACHE:
+            cache.clear()
+        cache.update((i, (i,)) for i in special.values())
+        passing = self._learn(Counter(w for w in chain.from_iterable(split) if w not in cache))
+        out = [list(chain.from_iterable(map(cache.__getitem__, words))) for words in split]
+        for w in passing:
+            del cache[w]
+        return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -258,7 +366,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column("text"):
                 seen.update((t.as_py() or "").split())
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 yield whole()
                 seen.clear()
         yield whole()
@@ -266,20 +374,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, v: Vocabulary, frequent: int = FREQUENT) -> bytes | None:
-    """The lexicon of the `frequent` commonest words; words with special tokens or controls aren't taken."""
+def build_lexicon(docs: DataFrame, v: Vocabulary, scratch: Scratch, frequent: int = FREQUENT) -> bytes | None:
+    """The lexicon of the commonest words, `frequent` at most; words with special tokens aren't taken."""
     merger = Merger(v)
-    top = word_counts(docs).where((F.col("n") > 1) & (F.length("word") < 64)).orderBy(F.desc("n"), "word").limit(frequent).collect()
-    entries = {r.word: merger.word(r.word) for r in top if not any(s in r.word for s in v.special)}
+    counts = scratch.table(word_counts(docs).where((F.col("n") > 1) & (F.length("word") < 16)))
+    top = commonest(counts, "n", frequent).orderBy("word").collect()
+    scratch.drop(counts)
+    words = [r.word for r in top if not any(s in r.word for s in v.special)]
+    entries = dict(zip(words, merger.words(words), strict=True))
     return compile_lexicon(entries) if entries else None
 
 
 def encode_documents(docs: DataFrame, v: Vocabulary, lexicon: bytes | None, chunk: int = 256) -> DataFrame:
     """docs with ids: the token ids of each whole text, equal to the tokenizer library's without added tokens.
 
-    Null and empty texts have no ids. The strings of special tokens in a text become these tokens, as there.
+    Null and empty texts have no ids; a column that is named ids already is replaced. The strings of special tokens in a text become these tokens, as there.
     """
-    names, sc = docs.columns, docs.sparkSession.sparkContext
+    names, sc = [c for c in docs.columns if c != "ids"], docs.sparkSession.sparkContext
     shipped = sc.broadcast((v, lexicon))  # of a size that the vocabulary and `frequent` bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +398,7 @@ def encode_documents(docs: DataFrame, v: Vocabulary, lexicon: bytes | None, chun
         for b in batches:
             for at in range(0, b.num_rows, chunk):
                 part = b.slice(at, chunk)
-                found = [np.array(encoder.encode(t.as_py()), dtype=np.int32) for t in part.column("__text")]
+                found = [np.array(x, dtype=np.int32) for x in encoder.encode(part.column("__text").to_pylist())]
                 ends = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)
                 flat = np.concatenate(found) if found else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "ids"])
@@ -299,7 +410,7 @@ def encode_documents(docs: DataFrame, v: Vocabulary, lexicon: bytes | None, chun
 
 def decode_documents(encoded: DataFrame, v: Vocabulary, chunk: int = 256) -> DataFrame:
     """encoded (with ids) with decoded: the tokens of ids, special ones too, joined by a space; no ids: empty."""
-    names = encoded.columns
+    names = [c for c in encoded.columns if c != "decoded"]
     shipped = encoded.sparkSession.sparkContext.broadcast(v.tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +428,8 @@ def decode_documents(encoded: DataFrame, v: Vocabulary, chunk: int = 256) -> Dat
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of docs, for the tokenizer file at path."""
-    v = Vocabulary(path)
-    coded = decode_documents(encode_documents(docs.select("doc_id", "text"), v, build_lexicon(docs, v)).select("doc_id", "ids"), v)
+    v, scratch = Vocabulary(path), Scratch(docs.sparkSession, "op3")
+    coded = decode_documents(encode_documents(docs.select("doc_id", "text"), v, build_lexicon(docs, v, scratch)).select("doc_id", "ids"), v)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
