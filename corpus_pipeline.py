@@ -35,7 +35,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     v = bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
-    coded = bpe.decode_documents(bpe.encode_documents(docs, v, bpe.build_lexicon(docs, v, Scratch(spark, "bpe"))), v)
+    coded = bpe.decode_documents(bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), v, bpe.build_lexicon(docs, v, Scratch(spark, "bpe"))).drop("text"), v)
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

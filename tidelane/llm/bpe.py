@@ -20,7 +20,7 @@ from .frequent import commonest
 from .scratch import Scratch
 
 FREQUENT = 30_000
-CACHE = 200_000
+CACHE = 100_000
 NONE = np.iinfo(np.int32).max
 #: Unicode's White_Space; str.split() also splits at U+001C to U+001F, which aren't in it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -385,7 +385,7 @@ def build_lexicon(docs: DataFrame, v: Vocabulary, scratch: Scratch, frequent: in
     return compile_lexicon(entries) if entries else None
 
 
-def encode_documents(docs: DataFrame, v: Vocabulary, lexicon: bytes | None, chunk: int = 256) -> DataFrame:
+def encode_documents(docs: DataFrame, v: Vocabulary, lexicon: bytes | None, chunk: int = 64) -> DataFrame:
     """docs with ids: the token ids of each whole text, equal to the tokenizer library's without added tokens.
 
     Null and empty texts have no ids; a column that is named ids already is replaced. The strings of special tokens in a text become these tokens, as there.
@@ -401,14 +401,14 @@ def encode_documents(docs: DataFrame, v: Vocabulary, lexicon: bytes | None, chun
                 found = [np.array(x, dtype=np.int32) for x in encoder.encode(part.column("__text").to_pylist())]
                 ends = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)
                 flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("__text"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "__text", "ids"])
 
-    row = docs.select(F.struct(*names).alias("row"), F.col("text").alias("__text"))
-    out = row.mapInArrow(run, row.select("row", F.lit(None).cast("array<int>").alias("ids")).schema)
-    return out.select(*(F.col("row")[n].alias(n) for n in names), "ids")
+    row = docs.select(F.struct(*(n for n in names if n != "text"), F.lit(0).alias("__none")).alias("row"), F.col("text").alias("__text"))
+    out = row.mapInArrow(run, row.select("row", "__text", F.lit(None).cast("array<int>").alias("ids")).schema)
+    return out.select(*(F.col("__text").alias(n) if n == "text" else F.col("row")[n].alias(n) for n in names), "ids")
 
 
-def decode_documents(encoded: DataFrame, v: Vocabulary, chunk: int = 256) -> DataFrame:
+def decode_documents(encoded: DataFrame, v: Vocabulary, chunk: int = 64) -> DataFrame:
     """encoded (with ids) with decoded: the tokens of ids, special ones too, joined by a space; no ids: empty."""
     names = [c for c in encoded.columns if c != "decoded"]
     shipped = encoded.sparkSession.sparkContext.broadcast(v.tokens)
@@ -419,11 +419,11 @@ def decode_documents(encoded: DataFrame, v: Vocabulary, chunk: int = 256) -> Dat
             for at in range(0, b.num_rows, chunk):
                 part = b.slice(at, chunk)
                 text = [" ".join(map(of, ids.values.to_numpy())) if ids.is_valid else "" for ids in part.column("__ids")]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(text, pa.string())], ["row", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("__ids"), pa.array(text, pa.string())], ["row", "__ids", "decoded"])
 
-    row = encoded.select(F.struct(*names).alias("row"), F.col("ids").alias("__ids"))
-    out = row.mapInArrow(run, row.select("row", F.lit("").alias("decoded")).schema)
-    return out.select(*(F.col("row")[n].alias(n) for n in names), "decoded")
+    row = encoded.select(F.struct(*(n for n in names if n != "ids"), F.lit(0).alias("__none")).alias("row"), F.col("ids").alias("__ids"))
+    out = row.mapInArrow(run, row.select("row", "__ids", F.lit("").alias("decoded")).schema)
+    return out.select(*(F.col("__ids").alias(n) if n == "ids" else F.col("row")[n].alias(n) for n in names), "decoded")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
