@@ -152,3 +152,20 @@ def test_passages_on_odd_rows(spark, scratch, odd, empty):
     assert got.columns == odd.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, odd.collect()))
     assert paragraphs.strip_repeats(empty, scratch).count() == 0
+
+
+def stripped(spark, scratch, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.row.doc_id: r for r in paragraphs.without_repeats(rows, scratch).collect()}
+
+
+def test_unpunctuated_passages_inside_a_line_go_whole(spark, scratch):
+    texts, own = [], []
+    for k in range(12):
+        p = [f"p{k}x{i}" for i in range((51, 20, 60)[k % 3])]
+        for d in range(2):
+            a, b = ([f"o{k}x{d}x{side}x{i}" for i in range(40)] for side in range(2))
+            texts.append(" ".join(a + p + b)), own.append(" ".join(a + b))
+    out = stripped(spark, scratch, *texts)
+    for d in range(24):
+        assert out[d].stripped == (own[d] if d % 2 else texts[d])

@@ -1,8 +1,9 @@
-"""Passages that repeat across documents: MinHash banding of paragraph pieces, exact Jaccard, components."""
+"""Passages that repeat across documents: equal windows of words; MinHash banding of sentences and lines, exact Jaccard, components."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,60 +21,89 @@ PERCENT = 80
 BANDS = 8
 ROWS = 3
 MIN_WORDS = 20
-LONG, CUT = 24, 12
 _ENDS = frozenset(b".!?")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BLANK = re.compile(rb"[\x20\x09\x0B-\x0D]*")
 
 
-def cut_up(text: str | None, known: sh.WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, and the number of the piece that each is in.
+def cut_up(text: str | None, known: sh.WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, and where sentences and lines that have words end.
 
-    A piece is a line's words up to one that ends in a full stop, exclamation or question mark, or to its end.
-    One of over LONG words also ends after each word whose hash is a multiple of CUT, so that long pieces
-    which share a passage are cut alike there.
+    A sentence is a line's words up to one that ends in a full stop, exclamation or question mark, or to its end.
     """
     h: list[int] = []
     ends: list[int] = []
+    lines: list[int] = []
     for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n") if text else ():
         words = line.split()
         if words:
-            at = len(h)
+            at = len(h) + 1
             h += [known[w] for w in words]
             ends += [at + i for i, w in enumerate(words) if w[-1] in _ENDS]
-            if not ends or ends[-1] != len(h) - 1:
-                ends.append(len(h) - 1)
-    hashes, new = np.array(h, dtype=np.uint64), np.zeros(len(h), dtype=np.int64)
-    if h:
-        at = np.asarray(ends, dtype=np.int64)
-        new[at[:-1] + 1] = 1
-        size = np.diff(np.append(-1, at))
-        cut = np.flatnonzero(np.repeat(size > LONG, size) & (hashes % sh.U(CUT) == 0)) + 1
-        new[cut[cut < len(h)]] = 1
-    return hashes, np.cumsum(new)
-
-
-def piece_sets(h: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles sorted by piece, where each piece's begin, and which pieces have one."""
-    n = len(h) - SIZE + 1
+            if not ends or ends[-1] != len(h):
+                ends.append(len(h))
+            lines.append(len(h))
+    return np.array(h, dtype=np.uint64), np.array(ends, dtype=np.int64), np.array(lines, dtype=np.int64)
+
+
+def units(ends: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the units that are compared as sets begin and end: the sentences of SIZE words or more."""
+    b, e = np.append(0, ends[:-1])[: len(ends)], ends
+    enough = e - b >= SIZE
+    return b[enough], e[enough]
+
+
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each k words in a row, from hashes of 1, 2, 4 ... words."""
+    n = len(h) - k + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
+    out, done, part, size = None, 0, sh.mix(h + sh.U(k)), 1
+    while size <= k:
+        if k & size:
+            here = part[done : done + n]
+            out = here if out is None else sh.mix(out * sh.U(0x9E3779B97F4A7C15) + here)
+            done += size
+        if 2 * size <= k:
+            part = sh.mix(part[:-size] * sh.U(0x9E3779B97F4A7C15) + part[size:])
+        size *= 2
+    return out
+
+
+def anchors(h: np.ndarray, min_words: int) -> np.ndarray:
+    """For each window of min_words words, the least hash of the runs of half as many words inside it.
+
+    Equal windows have the same one, and windows that overlap mostly do, so a text has few.
+    """
+    g, want = grams(h, max(1, min_words // 2)), min_words - max(1, min_words // 2) + 1
+    size = 1
+    while size < want and len(g):
+        step = min(size, want - size)
+        g, size = np.minimum(g[:-step], g[step:]), size + step
+    return g
+
+
+def unit_sets(h: np.ndarray, b: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles sorted by unit, and where each unit's begin; all units have SIZE words."""
+    if not len(b):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    n = len(h) - SIZE + 1
     x = np.full(n, sh.U(SIZE))
     for i in range(SIZE):
         x = sh.mix(x + h[i : i + n]) + sh.U(0x9E3779B97F4A7C15)
-    inside = piece[:n] == piece[SIZE - 1 :]
-    x, p = x[inside], piece[:n][inside]
+    c = e - b - SIZE + 1
+    p = np.repeat(np.arange(len(b)), c)
+    x = x[np.arange(len(p)) + np.repeat(b - np.append(0, np.cumsum(c)[:-1]), c)]
     order = np.lexsort((x, p))
     x, p = x[order], p[order]
     new = np.ones(len(x), dtype=bool)
     new[1:] = (x[1:] != x[:-1]) | (p[1:] != p[:-1])
     x, p = x[new], p[new]
-    starts = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.zeros(0, np.int64)
-    return x, starts, p[starts]
+    return x, np.flatnonzero(np.append(True, p[1:] != p[:-1]))
 
 
 def prints_of(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each piece's set."""
+    """A 64-bit digest of each unit's set."""
     if not len(starts):
         return np.zeros(0, np.int64)
     size = np.diff(np.append(starts, len(x))).astype(np.uint64)
@@ -88,21 +118,36 @@ def _least_inexact(percent: int) -> int:
     return n
 
 
-def _pieces(bands: int, rows: int, percent: int, seed: int):
+def _cut_batches(batches: Iterator[pa.RecordBatch], known: sh.WordHashes):
+    """The texts of some 200000 words at a time: ids, hashes, and where sentences, lines and documents end."""
+    for b in batches:
+        ids, cut, docs, total = [], [], [], 0
+        for k, (d, t) in enumerate(zip(b.column("doc_id"), b.column("text"), strict=True)):
+            h, ends, lines = cut_up(t.as_py(), known)
+            ids.append(d.as_py()), cut.append((h, ends + total, lines + total))
+            total += len(h)
+            docs.append(total)
+            if total > 200_000 or k == b.num_rows - 1:
+                yield np.array(ids, dtype=np.int64), *(np.concatenate(x) for x in zip(*cut, strict=True)), np.array(docs, dtype=np.int64)
+                ids, cut, docs, total = [], [], [], 0
+
+
+def _inside(docs: np.ndarray, n: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n windows lie in one document, and in which each begins."""
+    at = np.arange(n)
+    doc = np.searchsorted(docs, at, "right")
+    return at + min_words <= docs[doc], doc
+
+
+def _pieces(bands: int, rows: int, percent: int, seed: int, min_words: int):
     long_from = _least_inexact(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, c = sh.WordHashes(), sh.constants(seed, bands * rows)
         spread = np.arange(1, rows + 1, dtype=np.uint64) * sh.U(0x9E3779B97F4A7C15) | sh.U(1)
-
-        def flush(ids: list[int], hs: list[np.ndarray], ps: list[np.ndarray]) -> pa.RecordBatch:
-            at, shifted, doc_of = 0, [], []
-            for d, p in zip(ids, ps, strict=True):
-                shifted.append(p + at)
-                k = int(p[-1]) + 1 if len(p) else 0
-                doc_of += [d] * k
-                at += k
-            x, starts, which = piece_sets(np.concatenate(hs), np.concatenate(shifted))
+        for ids, h, sentences, lines, docs in _cut_batches(batches, known):
+            b, e = units(sentences, lines)
+            x, starts = unit_sets(h, b, e)
             n = np.diff(np.append(starts, len(x)))
             fp = prints_of(x, starts)
             keys: np.ndarray = np.zeros((0, bands), np.int64)
@@ -118,23 +163,33 @@ def _pieces(bands: int, rows: int, percent: int, seed: int):
                     y *= np.uint32(0x2C1B3C6D)
                     mins[:, j] = np.minimum.reduceat(y, begin)
                 keys = sh.mix((mins.reshape(-1, bands, rows) * spread).sum(axis=2) + np.arange(bands, dtype=np.uint64)).view(np.int64)
-            has = np.zeros(len(n) + 1, dtype=np.int32)
-            has[1:] = np.cumsum(n >= long_from) * bands
-            lists = pa.ListArray.from_arrays(pa.array(has, pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            docs = np.asarray(doc_of, dtype=np.int64)[which] if len(which) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(fp), pa.array(n.astype(np.int32)), lists], ["doc_id", "fp", "n", "bands"])
+            a = anchors(h, min_words)
+            whole, of = _inside(docs, len(a), min_words)
+            a, of = a[whole].view(np.int64), of[whole]
+            new = np.ones(len(a), dtype=bool)
+            new[1:] = (a[1:] != a[:-1]) | (of[1:] != of[:-1])
+            a, of = a[new], of[new]
+            has, first = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)]), np.zeros(len(n) + 1, dtype=np.int64)
+            first[1:] = np.cumsum(n >= long_from) * bands
+            offsets = np.append(first, len(keys) * bands + np.append(has, len(a))[1:])
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.append(keys.ravel(), a)))
+            held = np.concatenate([ids[np.searchsorted(docs, e)], ids[of[has]]])
+            sizes = np.concatenate([n, np.full(len(has), -1)]).astype(np.int32)
+            fp = np.append(fp, np.zeros(len(has), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(fp), pa.array(sizes), lists], ["doc_id", "fp", "n", "bands"])
 
-        for b in batches:
-            ids, hs, ps, total = [], [], [], 0
-            for d, t in zip(b.column("doc_id"), b.column("text"), strict=True):
-                h, p = cut_up(t.as_py(), known)
-                ids.append(d.as_py()), hs.append(h), ps.append(p)
-                total += len(h)
-                if total > 200_000:
-                    yield flush(ids, hs, ps)
-                    ids, hs, ps, total = [], [], [], 0
-            if ids:
-                yield flush(ids, hs, ps)
+    return run
+
+
+def _windows(shipped, min_words: int):
+    """The windows of min_words words whose anchor may be in other documents, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, h, _, _, docs in _cut_batches(batches, sh.WordHashes()):
+            a = anchors(h, min_words)
+            whole, of = _inside(docs, len(a), min_words)
+            at = np.flatnonzero(whole & prefilter.among(shipped.value, a.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of[at]]), pa.array(grams(h, min_words)[at].view(np.int64))], ["doc_id", "fp"])
 
     return run
 
@@ -148,7 +203,8 @@ def _items():
             ids, items = [], []
             for t, want in zip(b.column("text"), b.column("want"), strict=True):
                 wanted = set(want.as_py())
-                x, starts, _ = piece_sets(*cut_up(t.as_py(), known))
+                h, sentences, lines = cut_up(t.as_py(), known)
+                x, starts = unit_sets(h, *units(sentences, lines))
                 ends = np.append(starts[1:], len(x))
                 for f, i, j in zip(prints_of(x, starts).tolist(), starts, ends, strict=True):
                     if f in wanted:
@@ -159,17 +215,33 @@ def _items():
     return run
 
 
-def repeated_pieces(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, seed: int = 9) -> DataFrame:
-    """(doc_id, fp, keeper): the pieces of docs that an earlier document, keeper, has too.
+def repeated_windows(texts: DataFrame, anchored: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
+    """(doc_id, fp, keeper): each window of min_words words of texts that an earlier document, keeper, holds too.
+
+    anchored is (doc_id, bands), the distinct anchors of each text. Windows are hashed only where their anchor
+    is in two documents or more, which those of all equal windows are; none is left out by that.
+    """
+    one = anchored.select("doc_id", F.explode("bands").alias("key"))
+    twice = scratch.table(one.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"))
+    shipped = texts.sparkSession.sparkContext.broadcast(prefilter.bitmap(twice))
+    held = scratch.table(texts.mapInArrow(_windows(shipped, min_words), "doc_id long, fp long"))
+    found = held.groupBy("fp").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most")).where("keeper < most").drop("most")
+    return held.join(found, "fp").where("doc_id <> keeper").select("doc_id", "fp", "keeper")
+
 
-    Pieces with the same set of five-word shingles are one class. A set so small that no other set can reach
-    `percent` with it needs no band; larger ones get `bands` keys of `rows` minhashes (at 0.8, 99.7 % of pairs
+def repeated_pieces(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, seed: int = 9, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, fp, keeper): the units and windows of docs that an earlier document, keeper, has too.
+
+    Windows of min_words words must be equal (see repeated_windows).
+    Units with the same set of five-word shingles are one class. A set so
+    small that no other set can reach `percent` with it needs no band; larger ones get `bands` keys of `rows` minhashes (at 0.8, 99.7 % of pairs
     share one), and classes that share one are confirmed on their whole sets. Keys are counted alone first, so
     that only the few that repeat are shuffled with their sets. keeper is the smallest doc_id
     of the class's component; its own pieces, and what repeats in one document only, have no row.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    pieces = scratch.table(texts.mapInArrow(_pieces(bands, rows, percent, seed), "doc_id long, fp long, n int, bands array<long>"))
+    made = scratch.table(texts.mapInArrow(_pieces(bands, rows, percent, seed, min_words), "doc_id long, fp long, n int, bands array<long>"))
+    pieces = made.where("n > 0")
     long = pieces.where("size(bands) > 0")
     twice = scratch.table(long.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
     shipped = docs.sparkSession.sparkContext.broadcast(prefilter.bitmap(twice))
@@ -197,38 +269,61 @@ def repeated_pieces(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, b
     of = scratch.table(of.select("fp", F.coalesce("component", "fp").alias("component"), "least", "most"))
     keeper = of.groupBy("component").agg(F.min("least").alias("keeper"), F.max("most").alias("most")).where("keeper < most").drop("most")
     found = of.join(keeper, "component").select("fp", "keeper")
-    out = scratch.table(pieces.select("doc_id", "fp").join(found, "fp").where("doc_id <> keeper").distinct())
-    scratch.drop(pieces)
+    alike = pieces.select("doc_id", "fp").join(found, "fp").where("doc_id <> keeper").distinct()
+    equal = repeated_windows(texts, made.where("n < 0").select("doc_id", "bands"), scratch, min_words)
+    out = scratch.table(alike.select("doc_id", "fp", "keeper").unionByName(equal))
+    scratch.drop(made)
     return out
 
 
+def _joined(marks: list[tuple[int, int, set[int]]]) -> list[tuple[int, int, set[int]]]:
+    """Marks (begin, end, keepers) that overlap or touch, as one each."""
+    runs: list[tuple[int, int, set[int]]] = []
+    for i, j, k in sorted(marks, key=lambda m: m[:2]):
+        if runs and i <= runs[-1][1]:
+            runs[-1][2].update(k)
+            runs[-1] = (runs[-1][0], max(j, runs[-1][1]), runs[-1][2])
+        else:
+            runs.append((i, j, set(k)))
+    return runs
+
+
+def _at_lines(run: tuple[int, int, set[int]], lines: np.ndarray, min_words: int) -> tuple[int, int, set[int]]:
+    """run without under SIZE words at its ends that are only part of a further line, if min_words words are left."""
+    i, j, k = run
+    at = int(np.searchsorted(lines, j))
+    begin = int(lines[at - 1]) if at else 0
+    if lines[at] != j and j - begin < SIZE and begin - i >= min_words:
+        j = begin
+    at = int(np.searchsorted(lines, i, "right"))
+    end = int(lines[at])
+    if i and lines[at - 1] != i and end - i < SIZE and j - end >= min_words:
+        i = end
+    return i, j, k
+
+
 def strip(text: str, repeated: dict[int, int], min_words: int, known: sh.WordHashes) -> tuple[str, int, list[int], int]:
     """text without its repeated runs of min_words words or more; its words, the keepers, and words removed.
 
-    A run is made of pieces in `repeated`, and of pieces too short for a shingle between two of them.
+    A run is made of the words of units and windows in `repeated`; no other word goes. Where
+    a sentence inside a line sticks out of equal windows by under SIZE words, these stay, for the keeper's text
+    differs there; so does the part of a further line that equal windows reach into by under SIZE words.
     """
-    h, piece = cut_up(text, known)
-    x, starts, which = piece_sets(h, piece)
-    total = int(piece[-1]) + 1 if len(piece) else 0
-    keeper: list[int | None] = [None] * total
-    short = [True] * total
-    for f, p in zip(prints_of(x, starts).tolist(), which.tolist(), strict=True):
-        short[p] = False
-        keeper[p] = repeated.get(f)
-    first = np.searchsorted(piece, np.arange(total + 1))
-    runs, at = [], 0
-    while at < total:
-        if keeper[at] is None:
-            at += 1
-            continue
-        end = nxt = at + 1
-        while nxt < total and (keeper[nxt] is not None or short[nxt]):
-            nxt += 1
-            if keeper[nxt - 1] is not None:
-                end = nxt
-        if first[end] - first[at] >= min_words:
-            runs.append((int(first[at]), int(first[end]), sorted({k for k in keeper[at:end] if k is not None})))
-        at = end
+    h, sentences, lines = cut_up(text, known)
+    b, e = units(sentences, lines)
+    w = grams(h, min_words).view(np.int64).tolist()
+    equal = [_at_lines(r, lines, min_words) for r in _joined([(i, i + min_words, {repeated[f]}) for i, f in enumerate(w) if f in repeated])]
+    marks = list(equal)
+    breaks = {0, *lines.tolist()}
+    for f, i, j in zip(prints_of(*unit_sets(h, b, e)).tolist(), b.tolist(), e.tolist(), strict=True):
+        if f in repeated:
+            k, m = bisect_left(equal, i, key=lambda r: r[0]), bisect_right(equal, j, key=lambda r: r[1]) - 1
+            if i not in breaks and k < len(equal) and equal[k][0] < min(i + SIZE, j):
+                i = equal[k][0]
+            if j not in breaks and m >= 0 and equal[m][1] > max(j - SIZE, i):
+                j = equal[m][1]
+            marks.append((i, j, {repeated[f]}))
+    runs = [r for r in _joined(marks) if r[1] - r[0] >= min_words]
     if not runs:
         return text, len(h), [], 0
     raw = text.encode("utf-8", "surrogatepass")
@@ -265,7 +360,7 @@ def without_repeats(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORD
     holds too (kept_in lists these); the first holder keeps them. Null texts stay null, and rows with a null
     doc_id stay as they are and keep nothing for others. Repeated rows of one doc_id don't count as repeats.
     """
-    found = repeated_pieces(docs, scratch, **options)
+    found = repeated_pieces(docs, scratch, min_words=min_words, **options)
     lists = scratch.table(found.groupBy("doc_id").agg(F.collect_list("fp").alias("fps"), F.collect_list("keeper").alias("keepers")).withColumnRenamed("doc_id", "__id"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.col("doc_id").cast("long").alias("__id"))
     bits = prefilter.bitmap_of(lists.select("__id"))
