@@ -169,3 +169,13 @@ def test_unpunctuated_passages_inside_a_line_go_whole(spark, scratch):
     out = stripped(spark, scratch, *texts)
     for d in range(24):
         assert out[d].stripped == (own[d] if d % 2 else texts[d])
+
+
+def test_passages_of_short_lines_go_whole(spark, scratch):
+    lines = "\n".join(" ".join(f"s{i}x{j}" for j in range(1 + i % 4)) for i in range(22))
+    shout = " ".join(f"WORD{i}!!" for i in range(55))
+    near = lambda x: " ".join([*(f"n{i}" for i in range(30)), x, *(f"n{i}" for i in range(30, 60))]) + ". Yes!"
+    one, two = ("\n".join([f"first own {d}", lines, f"then own {d}", shout, f"more own {d}", near("changed" if d else ""), f"last own {d}"]) for d in range(2))
+    out = stripped(spark, scratch, one, two)
+    assert out[0].stripped == one
+    assert out[1].stripped.split() == "first own 1 then own 1 more own 1 last own 1".split()

@@ -53,6 +53,19 @@ def units(ends: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return b[enough], e[enough]
 
 
+def shorts(h: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where sentences of under SIZE words begin and end, and digests of each with the SIZE words before it."""
+    b, e = np.append(0, ends[:-1])[: len(ends)], ends
+    few = e - b < SIZE
+    b, e = b[few], e[few]
+    least = np.maximum(b - SIZE, np.append(0, docs)[np.searchsorted(docs, e)])
+    x = sh.mix((e - b).astype(np.uint64) + sh.U(0xD6E8FEB86659FD93))
+    for k in range(1, 2 * SIZE):
+        at = e - k
+        x = np.where(at >= least, sh.mix(x + h[np.maximum(at, 0)]) + sh.U(0x9E3779B97F4A7C15), x)
+    return b, e, x.view(np.int64)
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each k words in a row, from hashes of 1, 2, 4 ... words."""
     n = len(h) - k + 1
@@ -147,6 +160,7 @@ def _pieces(bands: int, rows: int, percent: int, seed: int, min_words: int):
         spread = np.arange(1, rows + 1, dtype=np.uint64) * sh.U(0x9E3779B97F4A7C15) | sh.U(1)
         for ids, h, sentences, lines, docs in _cut_batches(batches, known):
             b, e = units(sentences, lines)
+            _, end, alone = shorts(h, sentences, docs)
             x, starts = unit_sets(h, b, e)
             n = np.diff(np.append(starts, len(x)))
             fp = prints_of(x, starts)
@@ -171,11 +185,12 @@ def _pieces(bands: int, rows: int, percent: int, seed: int, min_words: int):
             a, of = a[new], of[new]
             has, first = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)]), np.zeros(len(n) + 1, dtype=np.int64)
             first[1:] = np.cumsum(n >= long_from) * bands
+            first = np.append(first, np.full(len(alone), first[-1]))  # short sentences have no bands
             offsets = np.append(first, len(keys) * bands + np.append(has, len(a))[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.append(keys.ravel(), a)))
-            held = np.concatenate([ids[np.searchsorted(docs, e)], ids[of[has]]])
-            sizes = np.concatenate([n, np.full(len(has), -1)]).astype(np.int32)
-            fp = np.append(fp, np.zeros(len(has), np.int64))
+            held = np.concatenate([ids[np.searchsorted(docs, e)], ids[np.searchsorted(docs, end)], ids[of[has]]])
+            sizes = np.concatenate([n, np.ones(len(alone)), np.full(len(has), -1)]).astype(np.int32)
+            fp = np.concatenate([fp, alone, np.zeros(len(has), np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(fp), pa.array(sizes), lists], ["doc_id", "fp", "n", "bands"])
 
     return run
@@ -232,8 +247,8 @@ def repeated_windows(texts: DataFrame, anchored: DataFrame, scratch: Scratch, mi
 def repeated_pieces(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, seed: int = 9, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, fp, keeper): the units and windows of docs that an earlier document, keeper, has too.
 
-    Windows of min_words words must be equal (see repeated_windows).
-    Units with the same set of five-word shingles are one class. A set so
+    Windows of min_words words must be equal (see repeated_windows). A sentence too short for a set must be
+    equal, and so the SIZE words before it. Units with the same set of five-word shingles are one class. A set so
     small that no other set can reach `percent` with it needs no band; larger ones get `bands` keys of `rows` minhashes (at 0.8, 99.7 % of pairs
     share one), and classes that share one are confirmed on their whole sets. Keys are counted alone first, so
     that only the few that repeat are shuffled with their sets. keeper is the smallest doc_id
@@ -305,7 +320,7 @@ def _at_lines(run: tuple[int, int, set[int]], lines: np.ndarray, min_words: int)
 def strip(text: str, repeated: dict[int, int], min_words: int, known: sh.WordHashes) -> tuple[str, int, list[int], int]:
     """text without its repeated runs of min_words words or more; its words, the keepers, and words removed.
 
-    A run is made of the words of units and windows in `repeated`; no other word goes. Where
+    A run is made of the words of units, windows and short sentences in `repeated`; no other word goes. Where
     a sentence inside a line sticks out of equal windows by under SIZE words, these stay, for the keeper's text
     differs there; so does the part of a further line that equal windows reach into by under SIZE words.
     """
@@ -323,6 +338,7 @@ def strip(text: str, repeated: dict[int, int], min_words: int, known: sh.WordHas
             if j not in breaks and m >= 0 and equal[m][1] > max(j - SIZE, i):
                 j = equal[m][1]
             marks.append((i, j, {repeated[f]}))
+    marks += [(i, j, {repeated[f]}) for i, j, f in zip(*(x.tolist() for x in shorts(h, sentences, lines[-1:])), strict=True) if f in repeated]
     runs = [r for r in _joined(marks) if r[1] - r[0] >= min_words]
     if not runs:
         return text, len(h), [], 0
