@@ -179,3 +179,11 @@ def test_passages_of_short_lines_go_whole(spark, scratch):
     out = stripped(spark, scratch, one, two)
     assert out[0].stripped == one
     assert out[1].stripped.split() == "first own 1 then own 1 more own 1 last own 1".split()
+
+
+def test_unique_short_lines_between_shared_sentences_stay(spark, scratch):
+    ends = [" ".join(f"e{k}x{i}" for i in range(14)) + "." for k in range(2)]
+    body = ["\n".join(f"d{d}l{i}a d{d}l{i}b d{d}l{i}c d{d}l{i}d" for i in range(200)) for d in range(2)]
+    texts = [f"{ends[0]}\n{body[d]}\n{ends[1]}" for d in range(2)]
+    out = stripped(spark, scratch, *texts)
+    assert [out[d].stripped for d in range(2)] == texts and out[1].removed == 0
