@@ -187,3 +187,17 @@ def test_unique_short_lines_between_shared_sentences_stay(spark, scratch):
     texts = [f"{ends[0]}\n{body[d]}\n{ends[1]}" for d in range(2)]
     out = stripped(spark, scratch, *texts)
     assert [out[d].stripped for d in range(2)] == texts and out[1].removed == 0
+
+
+def test_whole_paragraphs_with_a_changed_word_go_whole(spark, scratch):
+    rng, texts = random.Random(4), []
+    for k in range(20):
+        a = [f"c{k}x{i}" for i in range(51 + 9 * (k % 2))]
+        at = rng.randrange(22, 29)
+        for d in range(2):
+            b = a[:at] + ["changed"] * d + a[at + d :]
+            b[9] += "."  # sentences of the paragraph are units, too
+            texts.append(f"own{k}x{d}\n" + " ".join(b) + f"\nend{k}x{d}")
+    out = stripped(spark, scratch, *texts)
+    for d in range(1, 40, 2):
+        assert out[d].stripped.split() == [f"own{d // 2}x1", f"end{d // 2}x1"]

@@ -47,8 +47,15 @@ def cut_up(text: str | None, known: sh.WordHashes) -> tuple[np.ndarray, np.ndarr
 
 
 def units(ends: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the units that are compared as sets begin and end: the sentences of SIZE words or more."""
-    b, e = np.append(0, ends[:-1])[: len(ends)], ends
+    """Where the units that are compared as sets begin and end, from where sentences and lines end.
+
+    These are the sentences, and the lines of several sentences, of SIZE words or more.
+    """
+    if not len(ends):
+        return ends, ends
+    several = np.diff(np.append(-1, np.searchsorted(ends, lines))) > 1
+    b = np.concatenate([np.append(0, ends[:-1]), np.append(0, lines[:-1])[several]])
+    e = np.concatenate([ends, lines[several]])
     enough = e - b >= SIZE
     return b[enough], e[enough]
 
