@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -139,7 +140,7 @@ def _least_inexact(percent: int) -> int:
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch], known: sh.WordHashes):
-    """The texts of some 200000 words at a time: ids, hashes, and where sentences, lines and documents end."""
+    """The texts of some 50000 words at a time: ids, hashes, and where sentences, lines and documents end."""
     for b in batches:
         ids, cut, docs, total = [], [], [], 0
         for k, (d, t) in enumerate(zip(b.column("doc_id"), b.column("text"), strict=True)):
@@ -147,7 +148,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], known: sh.WordHashes):
             ids.append(d.as_py()), cut.append((h, ends + total, lines + total))
             total += len(h)
             docs.append(total)
-            if total > 200_000 or k == b.num_rows - 1:
+            if total > 50_000 or k == b.num_rows - 1:
                 yield np.array(ids, dtype=np.int64), *(np.concatenate(x) for x in zip(*cut, strict=True)), np.array(docs, dtype=np.int64)
                 ids, cut, docs, total = [], [], [], 0
 
@@ -258,7 +259,8 @@ def repeated_pieces(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, b
     equal, and so the SIZE words before it. Units with the same set of five-word shingles are one class. A set so
     small that no other set can reach `percent` with it needs no band; larger ones get `bands` keys of `rows` minhashes (at 0.8, 99.7 % of pairs
     share one), and classes that share one are confirmed on their whole sets. Keys are counted alone first, so
-    that only the few that repeat are shuffled with their sets. keeper is the smallest doc_id
+    that only the few that repeat are shuffled, and then split by size: each unit is in two sizes of its key, one
+    of which it shares with all units whose size doesn't rule out `percent`. keeper is the smallest doc_id
     of the class's component; its own pieces, and what repeats in one document only, have no row.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -276,14 +278,19 @@ def repeated_pieces(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, b
             at = pa.array(of[may])
             yield pa.RecordBatch.from_arrays([b.column("fp").take(at), b.column("n").take(at).cast(pa.int64()), pa.array(keys[may])], ["id", "n", "key"])
 
+    sized = F.floor(F.log("n") / math.log(max(100 / percent, 1.001) * (1 + 1e-9)))
+    near = F.explode(F.array(sized, sized + 1)).alias("size")
     keyed = long.select("fp", "n", "bands").mapInArrow(shared, "id long, n long, key long").distinct()
+    keyed = keyed.select("id", "n", "key", near).select("id", "n", F.xxhash64("key", "size").alias("key"))
+    repeated_ids = not texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
 
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = scratch.table(ids)
         may = pieces.where("size(bands) > 0").select(F.col("fp").alias("id"), "doc_id").join(ids, "id")
         want = scratch.table(may.groupBy("id").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("id").alias("want")))
         held = prefilter.split(texts, "doc_id", prefilter.bitmap_of(want.select("doc_id")), True).join(want, "doc_id")
-        return held.select("text", "want").mapInArrow(_items(), "id long, items binary").dropDuplicates(["id"])
+        found = held.select("text", "want").mapInArrow(_items(), "id long, items binary")
+        return found.dropDuplicates(["id"]) if repeated_ids else found  # a text gives each set once
 
     linked, _ = link_components(keyed, sets_of, percent, scratch)
     classes = pieces.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
