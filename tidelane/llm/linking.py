@@ -46,27 +46,33 @@ BLOCK = 64
 
 
 def _compare_blocks(percent: int) -> Callable:
-    """Links between two blocks of sets that are in different components, by counting common items of all pairs."""
+    """Links between two blocks of sets that are in different components, by counting common items, a set at a time."""
 
-    def load(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def load(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids, inside = (np.array([x[k].as_py() for x in block], dtype=np.int64) for k in ("id", "inside"))
         sets = [np.frombuffer(x["items"].as_buffer(), dtype=np.uint64) for x in block]
-        n = np.array([len(x) for x in sets], dtype=np.int64)
-        return ids, inside, n, np.concatenate(sets), np.repeat(np.arange(len(ids)), n)
+        return ids, inside, np.array([len(x) for x in sets], dtype=np.int64), sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for xs, ys in zip(b.column("xs"), b.column("ys"), strict=True):
-                (xi, xin, xn, xt, xo), (yi, yin, yn, yt, yo) = load(xs), load(ys)
+                (xi, xin, xn, xsets), (yi, yin, yn, ysets) = load(xs), load(ys)
+                xt, xo = np.concatenate(xsets), np.repeat(np.arange(len(xi)), xn)
                 order = np.argsort(xt, kind="stable")
                 xt, xo = xt[order], xo[order]
-                low, high = np.searchsorted(xt, yt, "left"), np.searchsorted(xt, yt, "right")
-                c = high - low
-                at = np.repeat(low - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())
-                both = np.bincount(xo[at] * len(yi) + np.repeat(yo, c), minlength=len(xi) * len(yi)).reshape(len(xi), len(yi))
-                hit = (100 * both >= percent * (xn[:, None] + yn[None, :] - both)) & (both > 0) & (xin[:, None] != yin[None, :])
-                i, j = np.nonzero(hit)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(xi[i], yi[j])), pa.array(np.minimum(xi[i], yi[j]))], ["a", "b"])
+                one, two = [], []
+                for j, y in enumerate(ysets):
+                    may = (xin != yin[j]) & (100 * np.minimum(xn, yn[j]) >= percent * np.maximum(xn, yn[j]))
+                    if not may.any():
+                        continue
+                    low, high = np.searchsorted(xt, y, "left"), np.searchsorted(xt, y, "right")
+                    c = high - low
+                    at = np.repeat(low - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())
+                    both = np.bincount(xo[at], minlength=len(xi))
+                    hit = np.flatnonzero(may & (both > 0) & (100 * both >= percent * (xn + yn[j] - both)))
+                    one.append(np.maximum(xi[hit], yi[j])), two.append(np.minimum(xi[hit], yi[j]))
+                none = np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *one])), pa.array(np.concatenate([none, *two]))], ["a", "b"])
 
     return run
 
@@ -86,20 +92,29 @@ def blockwise(xs: DataFrame, ys: DataFrame, sets: DataFrame, percent: int) -> Da
     return blocks(xs, "xs").join(blocks(ys, "ys"), "group").select("xs", "ys").mapInArrow(_compare_blocks(percent), "a long, b long").distinct()
 
 
-def link_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    """(id, component) of the ids that have a confirmed link; and the tables to drop after use.
+def groups_of(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, an, b, bn): the smallest id of each key, b, with each other id of the key, a, and their sets' sizes.
 
-    keyed is (id, n, key), n the size of the id's set. The smallest id of a key is its hub, and all ids of the
-    hub's keys are its group. Candidates are confirmed on whole sets in three rounds, with components after
-    each: every id against its least hub; ids that are still apart from a hub against it and PIVOTS members of
-    its group, drawn by hash; and what is apart even then against all of the group, block by block. So a candidate pair is connected already or compared itself, no link between candidates is
-    lost, and a group of copies costs a few comparisons a member. sets_of(ids) returns (id, items) for the
-    ids asked for: sorted 64-bit hashes as bytes.
+    keyed is (id, n, key). What has a row with the same b is a group; a key of one id alone gives no row.
     """
     hubs = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("other")).where("hub.id <> other").select("key", F.col("hub.id").alias("b"), F.col("hub.n").alias("bn"))
-    first = scratch.table(keyed.join(hubs, "key").where("id <> b").select(F.col("id").alias("a"), F.col("n").alias("an"), "b", "bn").distinct())
-    ids = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
-    sets = scratch.table(sets_of(ids))
+    return scratch.table(keyed.join(hubs, "key").where("id <> b").select(F.col("id").alias("a"), F.col("n").alias("an"), "b", "bn").distinct())
+
+
+def members_of(groups: DataFrame) -> DataFrame:
+    """(id): the ids of groups, once each."""
+    return groups.select(F.col("a").alias("id")).unionByName(groups.select(F.col("b").alias("id"))).distinct()
+
+
+def link_components(first: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, component) of the ids that have a confirmed link, from groups_of() and the members' sets (id, items).
+
+    Candidates are confirmed on whole sets, sorted 64-bit hashes as bytes, in three rounds, with components after
+    each: every id against its least hub; ids that are still apart from a hub against it and PIVOTS members of
+    its group, drawn by hash; and what is apart even then against all of the group, block by block. So a
+    candidate pair is connected already or compared itself, no link between candidates is lost, and a group of
+    copies costs a few comparisons a member.
+    """
 
     def links(pairs: DataFrame) -> DataFrame:
         """The confirmed ones of pairs (a, an, b, bn)."""
@@ -119,6 +134,7 @@ def link_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         return x.select(F.greatest("x", "a").alias("a"), F.least("x", "a").alias("b"), F.col("xn").alias("an"), F.col("an").alias("bn"))
 
     def merged(comp: DataFrame, found: DataFrame) -> DataFrame:
+        """comp, a table, with what the links found add."""
         if found.isEmpty():
             return comp
         return connected_components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found), scratch)
@@ -133,7 +149,9 @@ def link_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     comp = merged(comp, links(pair(tried)))
     then = members(comp)
     xs = scratch.table(then.where("a_in <> b_in").select(F.col("b").alias("group"), F.col("a").alias("id"), F.col("a_in").alias("inside")))
+    if xs.isEmpty():
+        return comp
     ys = then.select(F.col("b").alias("group"), F.col("a").alias("id"), F.col("a_in").alias("inside")).join(xs.select("group").distinct(), "group", "left_semi")
     out = merged(comp, scratch.table(blockwise(xs, ys, sets, percent)))
-    scratch.drop(sets, now, then, first)
-    return out, [out]
+    scratch.drop(now, then, xs)
+    return out

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import prefilter
 from . import shingles as sh
-from .linking import link_components
+from .components import connected_components
+from .linking import groups_of, link_components, members_of
 from .scratch import Scratch
 
 HALVES = 16
@@ -20,93 +21,121 @@ ROWS = 4
 
 def _features(size: int, halves: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, c = sh.WordHashes(), sh.constants(seed, 2 * halves * rows)
-        spread = np.arange(1, rows + 1, dtype=np.uint64) * sh.U(0x9E3779B97F4A7C15) | sh.U(1)
+        c = sh.constants(seed, 2 * halves * rows)
         for b in batches:
-            texts = b.column("text")
-            n, one, two, keys = [], [], [], []
-            for i in range(b.num_rows):
-                s = sh.shingles(sh.hashes(sh.words(texts[i].as_py()), known), size)
-                n.append(len(s))
-                if not len(s):
-                    one.append(None), two.append(None), keys.append(None)
-                    continue
-                x, y = sh.fingerprint(s)
-                m = sh.minhashes(s, c).reshape(2 * halves, rows).astype(np.uint64)
-                one.append(x), two.append(y), keys.append(sh.mix((m * spread).sum(axis=1)).view(np.int64))
-            arrays = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "fp1", "fp2", "halves"])
+            for at, to, words in sh.chunks(b):
+                x, n = sh.shingles(words.hashes(), words.docs, size)
+                has = n > 0
+                one, two = (pa.array(d, mask=~has) for d in sh.digests(x, n))
+                keys = sh.keys(x, n[has], c, rows) if has.any() else np.zeros((0, 2 * halves), np.int64)
+                ends = np.append(0, np.cumsum(has) * 2 * halves).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, to - at), pa.array(n.astype(np.int64)), one, two, lists], ["doc_id", "n_shingles", "fp1", "fp2", "halves"])
 
     return run
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sh.WordHashes()
         for b in batches:
-            texts = b.column("text")
-            for at in range(0, b.num_rows, 256):
-                rows = range(at, min(at + 256, b.num_rows))
-                found = [sh.shingles(sh.hashes(sh.words(texts[i].as_py()), known), size) for i in rows]
-                prints = [sh.fingerprint(s) for s in found]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(found)), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "fp1", "fp2", "items"])
+            for at, to, words in sh.chunks(b):
+                x, n = sh.shingles(words.hashes(), words.docs, size)
+                one, two = sh.digests(x, n)
+                items = [np.sort(s).tobytes() for s in np.split(x, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([b.column("rep").slice(at, to - at), pa.array(one), pa.array(two), pa.array(items, pa.binary())], ["rep", "fp1", "fp2", "items"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, halves: int = HALVES, rows: int = ROWS, seed: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+def linked_classes(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, halves: int = HALVES, rows: int = ROWS, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, fp1, fp2, ...) of each row of docs (doc_id, text); and the classes of equal sets with links.
 
-    A set holds the distinct size-word shingles of the whole text, words lower-cased in A-Z; with fewer
-    words, the whole sequence. Documents with equal sets are one class. Two collections of `halves` keys of
-    `rows` minhashes each are computed; a table of the banding is a pair of keys, one of each collection, so
-    2 * halves * rows minhashes serve halves**2 tables of 2 * rows minhashes. A key that only one class has
-    can't be part of a shared table and isn't paired. Candidates are confirmed on whole sets and joined to
-    components (see linking).
-
-    A pair of similarity s is a candidate with probability (1 - (1 - s**rows)**halves)**2: 0.9996 at 0.8 and
-    over 0.999999 at 0.9. Null, empty and blank texts have no set: n_shingles 0, linked with nothing, kept.
-    Repeated rows share a component and are all kept if they have its smallest doc_id; a row whose doc_id is
-    null can represent no class, and is kept only if its set is empty or no other row has a linked set.
+    The second table is (c1, c2, component, least): a class's digests, its component, and the smallest doc_id there.
+    Two collections of `halves` keys of `rows` minhashes each are computed; a table of the banding is a pair of
+    keys, one of each collection, so 2 * halves * rows minhashes serve halves**2 tables of 2 * rows minhashes. A
+    key that only one class has can't be part of a shared table and isn't paired. Candidates are confirmed on
+    whole sets and joined to components (see linking). A pair of similarity s is a candidate with probability
+    (1 - (1 - s**rows)**halves)**2: 0.9996 at 0.8 and over 0.999999 at 0.9.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = scratch.table(slim.mapInArrow(_features(size, halves, rows, seed), "doc_id long, n_shingles long, fp1 long, fp2 long, halves array<long>"))
     classes = scratch.table(feats.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")))
-    half = classes.select("rep", "n", F.posexplode("halves").alias("pos", "val"))
-    shared = half.groupBy("pos", "val").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("pos", "val")
-    own = half.join(shared, ["pos", "val"]).groupBy("rep", "n").agg(F.collect_list(F.struct("pos", "val")).alias("h"))
-    left = own.select(F.col("rep").alias("id"), "n", F.explode(F.filter("h", lambda x: x["pos"] < halves)).alias("l"), "h")
-    keyed = left.select("id", "n", "l", F.explode(F.filter("h", lambda x: x["pos"] >= halves)).alias("r")).select("id", "n", F.xxhash64("l.pos", "l.val", "r.pos", "r.val").alias("key"))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        ids = scratch.table(ids)
-        texts = prefilter.split(slim.withColumnRenamed("doc_id", "id"), "id", prefilter.bitmap_of(ids), True).join(ids, "id", "left_semi")
-        found = texts.mapInArrow(_sets(size), "id long, fp1 long, fp2 long, items binary")
-        reps = classes.select(F.col("rep").alias("id"), "fp1", "fp2")
-        return found.join(reps, ["id", "fp1", "fp2"], "left_semi").dropDuplicates(["id"]).select("id", "items")
-
-    linked, _ = link_components(keyed, sets_of, percent, scratch)
-    of_class = classes.join(linked, classes.rep == linked.id, "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
-    out = feats.select("doc_id", "n_shingles", "fp1", "fp2").join(of_class, ["fp1", "fp2"], "left")
+    half = classes.select(F.col("fp1").alias("id"), "n", F.posexplode("halves").alias("pos", "val"))
+    shared = half.groupBy("val").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("val")
+    own = half.join(shared, "val").groupBy("id", "n").agg(F.collect_list(F.struct("pos", "val")).alias("h"))
+    left = own.select("id", "n", F.explode(F.filter("h", lambda x: x["pos"] < halves)).alias("l"), "h")
+    keyed = left.select("id", "n", "l", F.explode(F.filter("h", lambda x: x["pos"] >= halves)).alias("r")).select("id", "n", F.xxhash64("l.val", "r.val").alias("key"))
+
+    groups = groups_of(keyed, scratch)
+    wanted = scratch.table(classes.join(members_of(groups), F.col("fp1") == F.col("id"), "left_semi").select(F.col("rep").alias("w_rep"), F.col("fp1").alias("w1"), F.col("fp2").alias("w2")))
+    texts = prefilter.restricted(slim.withColumnRenamed("doc_id", "rep"), "rep", scratch.table(wanted.select("w_rep").distinct()))
+    found = texts.mapInArrow(_sets(size), "rep long, fp1 long, fp2 long, items binary")
+    same = (F.col("rep") == F.col("w_rep")) & (F.col("fp1") == F.col("w1")) & (F.col("fp2") == F.col("w2"))
+    sets = scratch.table(found.join(wanted, same, "left_semi").dropDuplicates(["fp1"]).select(F.col("fp1").alias("id"), "items"))
+    linked = link_components(groups, sets, percent, scratch)
+    near = scratch.table(classes.join(linked, F.col("fp1") == F.col("id"), "left").select(F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), "rep", F.coalesce("component", "fp1").alias("component")))
+    least = near.groupBy("component").agg(F.min("rep").alias("least"))
+    scratch.drop(classes, groups, wanted, sets)
+    return feats.drop("halves"), scratch.table(near.drop("rep").join(least, "component"))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+
+    A set holds the distinct size-word shingles of the whole text, words lower-cased in A-Z; with fewer
+    words, the whole sequence. Rows with equal sets are one class, whatever their doc_id; classes are linked as
+    linked_classes() tells. Null, empty and blank texts have no set: n_shingles 0, linked with nothing, kept.
+    Rows of one doc_id are one document: they share the smallest component that one of their texts is in, which
+    ties these components together, and all are kept if they have its doc_id. A row whose doc_id is null
+    represents no class, and is kept only if its set is empty or no other row has its class. An empty table
+    gives an empty result; columns besides doc_id and text are not looked at.
+    """
+    feats, of = linked_classes(docs, scratch, size, percent, **options)
+    out = feats.join(of, (F.col("fp1") == F.col("c1")) & (F.col("fp2") == F.col("c2")), "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    own = out.where("n_shingles > 0 and doc_id is not null")
+    ties = scratch.table(own.groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b").select(F.col("doc_id").alias("t_id"), "a"))
+    if not ties.isEmpty():
+        joined = connected_components(own.join(ties, F.col("doc_id") == F.col("t_id")).select("a", F.col("component_id").alias("b")), scratch)
+        out = out.join(joined, F.col("component_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "component_id"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def first_of_groups(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """docs with one row of each group of near duplicates, that of the smallest doc_id; all columns stay.
+def _marked(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, to, words in sh.chunks(b):
+                x, n = sh.shingles(words.hashes(), words.docs, size)
+                one, two = sh.digests(x, n)
+                part = b.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(n), pa.array(one), pa.array(two)], ["row", "text", "n", "f1", "f2"])
+
+    return run
+
+
+def first_of_groups(docs: DataFrame, scratch: Scratch, size: int = 5, **options) -> DataFrame:
+    """docs with one row of each group of near duplicates, one of the smallest doc_id; all columns stay.
 
-    Rows without words and rows without doc_id all stay; of repeated rows of one doc_id one stays, and none if
-    one of them is a duplicate of another document.
+    Groups are linked_classes()' components. Rows without words and rows without doc_id all stay. Of a doc_id
+    with several rows, each is judged by its own text: equal and near ones leave one, others stay. An empty
+    table gives an empty result.
     """
-    found = scratch.table(near_duplicates(docs, scratch, **options).where("doc_id is not null and n_shingles > 0"))
-    gone = found.where("not kept").select(F.col("doc_id").alias("g_id")).distinct()
-    again = scratch.table(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("g_id")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("d_id"))
-    rest = rows.join(scratch.table(gone), F.col("d_id") == F.col("g_id"), "left_anti")
-    if not again.isEmpty():
-        once = rest.join(again, F.col("d_id") == F.col("g_id"), "left_semi").dropDuplicates(["d_id"])
-        rest = rest.join(again, F.col("d_id") == F.col("g_id"), "left_anti").unionByName(once)
-    return rest.select("row.*")
+    feats, of = linked_classes(docs, scratch, size=size, **options)
+    found = scratch.table(feats.where("doc_id is not null and n_shingles > 0").join(of, (F.col("fp1") == F.col("c1")) & (F.col("fp2") == F.col("c2"))).select("doc_id", (F.col("doc_id") == F.col("least")).alias("first")))
+    by_id = scratch.table(found.groupBy("doc_id").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("c")).where("not first or c > 1"))
+    gone, again = (scratch.table(by_id.where(x).select(F.col("doc_id").alias("g_id"))) for x in ("not first", "first"))
+    names = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*names, F.lit(0).alias("__none")).alias("row"), "text", F.col("doc_id").cast("long").alias("d_id"))
+    rest = prefilter.restricted(rows, "d_id", gone, "left_anti")
+    whole = lambda x: x.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    if again.isEmpty():
+        return whole(rest)
+    marked = prefilter.restricted(rest, "d_id", again).select("row", "text")
+    schema = marked.select("row", "text", *(F.lit(0).cast("long").alias(c) for c in ("n", "f1", "f2"))).schema
+    marked = scratch.table(marked.mapInArrow(_marked(size), schema))
+    one = marked.where("n > 0").join(of, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))).where(F.col("row")["doc_id"].cast("long") == F.col("least")).dropDuplicates(["component"])
+    others = prefilter.restricted(rest, "d_id", again, "left_anti")
+    return whole(others).unionByName(whole(marked.where("n = 0"))).unionByName(whole(one))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

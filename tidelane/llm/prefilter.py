@@ -1,16 +1,14 @@
-"""A filter of bounded size that drops most rows that a later exact join would not match."""
+"""A filter of bounded size that drops most rows that a later exact join would not match, and a join by ids."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST, MOST = 23, 27  # bits are a power of two: one to sixteen megabytes
+LEAST, MOST = 20, 27  # bits are a power of two: an eighth of a megabyte to sixteen
 _PART = 32768  # bits that one value of bitmap_construct_agg holds
+FEW = 200_000
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -34,18 +32,10 @@ def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
 
-def split(rows: DataFrame, key: str, bits: np.ndarray, hit: bool) -> DataFrame:
-    """The rows whose key may be among the bitmap's hashes (hit), or those whose key surely isn't."""
-    shipped = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = among(shipped.value, b.column("__hash").to_numpy(zero_copy_only=False))
-            yield b.filter(pa.array(found if hit else ~found)).select([n for n in b.schema.names if n != "__hash"])
-
-    return rows.withColumn("__hash", F.xxhash64(key)).mapInArrow(run, rows.schema)
+def restricted(rows: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose key is in the one-column table ids, which is written already; with left_anti, all others.
 
-
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """The bitmap that split() takes, of a one-column table."""
-    return bitmap(keys.select(F.xxhash64(keys.columns[0]).alias("h")))
+    FEW ids or fewer are broadcast, eight bytes each, so that whole texts needn't be shuffled; more are joined.
+    """
+    few = ids.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(ids) if few else ids, rows[key] == ids[ids.columns[0]], how)

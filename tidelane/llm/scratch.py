@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -11,14 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 _left: list[tuple[SparkSession, str]] = []
 
 
+ARROW_BYTES = 4 << 20  # of a batch that goes to a Python worker, at most
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a new one is set."""
+    """The folder of spark.checkpoint.dir; where that is unset, and all runs in this process, a new one is set.
+
+    On a cluster a folder of this machine would be of no use to the others, so there the setting must be given.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelane-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="tidelane-"))
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends no batch of over ARROW_BYTES to Python; a smaller limit of its own stays.
+
+    Rows hold whole texts, and a worker's memory is a few times its batch.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(name, f"{ARROW_BYTES + 1}b").lower())
+    if not found or int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[found[2]] > ARROW_BYTES:
+        spark.conf.set(name, f"{ARROW_BYTES}b")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -40,6 +61,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
         _left.append((spark, self.root))
+        small_batches(spark)
 
     def table(self, df: DataFrame) -> DataFrame:
         """df, written once and read again."""
