@@ -4,67 +4,18 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from tidelane.llm import bpe, maxent_lm, mixing, quality, toxicity, urls, warc
+from tidelane.llm import maxent_lm, mixing, quality, toxicity, urls, warc
 from tidelane.llm.frequent import commonest
 
 from ..conftest import DATA, oracle_rows, rows_of
 from .conftest import ODD, SCHEMA
 
-PATH = public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@pytest.fixture(scope="module")
-def vocabulary():
-    return bpe.Vocabulary(PATH)
-
-
-def mixed_texts():
-    rng = random.Random(0)
-    words = "The the don't we'll 'S İstanbul ΣΑΣ ß naïve é 123 a1b2 !!! <|endoftext|> x<|startoftext|>y 日本語 🙂👍🏽 \x1c a\x1cb \x85 \xa0 ½ ٣ ǅ aaaaaaaaaa '' 't're".split(" ")
-    out = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(200)]
-    out += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(1, 0x250), rng.randrange(0x370, 0x530), rng.randrange(0x900, 0xD7FF)])) for _ in range(40)) for _ in range(400)]
-    return [*out, *("".join(rng.choice("abcdeth") for _ in range(n)) for n in (39, 40, 41, 99, 100, 101, 3000)), "", None]
-
-
-def test_encoding_equals_the_library(vocabulary):
-    theirs, texts = Tokenizer.from_file(PATH), mixed_texts()
-    merger = bpe.Merger(vocabulary)
-    common = ["The", "the", "123", "!!!", "naïve", "thee"]
-    for lexicon in (None, bpe.compile_lexicon(dict(zip(common, merger.words(common), strict=True)))):
-        got = bpe.Encoder(vocabulary, lexicon).encode(texts)
-        for t, ids in zip(texts, got, strict=True):
-            assert ids == theirs.encode(t or "", add_special_tokens=False).ids, ascii(t)
-
-
-def test_lexicon_shares_suffixes_and_finds_exactly_its_words():
-    words = {w: (i, i + 1) for i, w in enumerate(["nation", "station", "stations", "ration", "a", "é"])}
-    block = bpe.compile_lexicon(words)
-    held = bpe.Lexicon(block)
-    asked = [*words, "stat", "nations", "", "b", "ratio"]
-    assert held.get([w.encode() for w in asked]) == [words.get(w) for w in asked]
-    assert int(np.frombuffer(block, np.uint32)[0]) < sum(len(w) for w in words) - 8
-
-
-def test_digests_of_documents(spark, odd, empty):
-    import hashlib
-
-    theirs = Tokenizer.from_file(PATH)
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").unionByName(spark.createDataFrame(ODD, SCHEMA))
-    texts = Counter((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
-    want = Counter()
-    for (d, t), n in texts.items():
-        ids = theirs.encode(t or "", add_special_tokens=False).ids
-        want[d, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), theirs.decode(ids, skip_special_tokens=False)))] += n
-    assert Counter(map(tuple, bpe.digests(docs, PATH).collect())) == want
-    assert bpe.digests(empty, PATH).count() == 0 and bpe.digests(odd, PATH).count() == len(ODD)
-
-
 def test_commonest_keeps_to_its_bound(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate([100, 50, 50, 7, 7, 7, 1, 1])], "w long, c long")
     assert [commonest(df, "c", k).count() for k in (0, 1, 2, 3, 5, 6, 8)] == [0, 1, 1, 3, 3, 6, 8]

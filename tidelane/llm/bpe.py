@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import mmap
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -16,15 +18,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingles as sh
 from .frequent import commonest
 from .scratch import Scratch
 
 FREQUENT = 30_000
-CACHE = 100_000
 NONE = np.iinfo(np.int32).max
-#: Unicode's White_Space; str.split() also splits at U+001C to U+001F, which aren't in it.
-SPACE = "\t-\r \x85\xa0  -     　"
-_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def byte_alphabet() -> list[str]:
@@ -68,7 +67,7 @@ class PairTable:
 
     def __init__(self, merges: dict[int, tuple[int, int]], bits: int = 18):
         self.bits, self.probes = max(bits, (4 * len(merges)).bit_length()), 0
-        self.key, self.rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
+        self.key, self.rank = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)  # -1: free
         self.new = np.zeros(max((r for r, _ in merges.values()), default=0) + 1, np.int32)
         keys, ranks = np.fromiter(merges, np.int64, len(merges)), np.array([r for r, _ in merges.values()], np.int32)
         self.new[ranks] = [i for _, i in merges.values()]
@@ -88,52 +87,36 @@ class PairTable:
 
     def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a.astype(np.int64) << 32 | b
-        out = np.full(len(keys), NONE, np.int32)
-        for probe in range(self.probes):
-            at = self._slot(keys, probe)
-            hit = self.key[at] == keys
-            out[hit] = self.rank[at[hit]]
-        out[(a < 0) | (b < 0)] = NONE
+        out, open_, probe = np.full(len(keys), NONE, np.int32), np.flatnonzero((a >= 0) & (b >= 0)), 0
+        while len(open_):
+            at = self._slot(keys[open_], probe)
+            there = self.key[at]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.rank[at[hit]]
+            open_, probe = open_[~hit & (there != -1)], probe + 1
         return out
 
 
 class Merger:
-    """Exact encoding of one white-space-free word or piece of text.
+    """Exact encoding of pieces of text, and the split of white-space-free stretches into pieces by the library's parts.
 
-    Letters beyond ASCII are normalised and told apart by the tokenizer library's own parts, for its tables
-    of Unicode are of another version than Python's; merging is done here.
+    Letters are normalised and told apart by the tokenizer library's own parts, for its tables of Unicode are of
+    another version than Python's; merging is done here.
     """
 
     def __init__(self, v: Vocabulary):
         from tokenizers import Regex, normalizers, pre_tokenizers
 
         self.v, self.table = v, PairTable(v.merges)
-        self.split = regex.compile(v.pattern.replace("\\s", SPACE))
-        self.marks = regex.compile("|".join(f"({regex.escape(s)})" for s in v.special)) if v.special else None
-        self.space = regex.compile(f"[{SPACE}]+")
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.cut = pre_tokenizers.Split(Regex(v.pattern), "removed", invert=True)
 
     def pieces(self, raw: str) -> list[str]:
-        try:
-            raw.encode("latin-1")
-        except UnicodeEncodeError:
-            return [p for p, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(raw))]
-        return self.split.findall(raw.lower())
-
-    def word(self, raw: str) -> tuple[int, ...]:
-        """Ids of a stretch of text without white space and special tokens."""
-        return tuple(chain.from_iterable(self.merge(p.encode("utf-8", "surrogatepass")) for p in self.pieces(raw)))
-
-    def words(self, raws: list[str]) -> list[tuple[int, ...]]:
-        """word() of each, with all merges done together."""
-        parts = [[p.encode("utf-8", "surrogatepass") for p in self.pieces(r)] for r in raws]
-        number: dict[bytes, int] = {}
-        for ps in parts:
-            for p in ps:
-                number.setdefault(p, len(number))
-        merged = self.merge_many(list(number))
-        return [tuple(merged[number[ps[0]]]) if len(ps) == 1 else tuple(chain.from_iterable(merged[number[p]] for p in ps)) for ps in parts]
+        return [p for p, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(raw))]
+
+    def word(self, raw: str) -> list[int]:
+        """Ids of a stretch of text without special tokens."""
+        return list(chain.from_iterable(self.merge(p.encode()) for p in self.pieces(raw)))
 
     def merge(self, piece: bytes) -> list[int]:
         ids = [self.v.first[b] for b in piece[:-1]] + [self.v.last[piece[-1]]]
@@ -223,7 +206,64 @@ class Merger:
         return [x for x in ids if x >= 0]
 
 
-def compile_lexicon(entries: dict[str, tuple[int, ...]]) -> bytes:
+SPACE, LETTER, NUMBER, OTHER, STRANGE = range(5)
+#: Code points up to here can be told apart by a table, but for those that may change or join with their neighbours.
+LIMIT = 0x2100
+_LONE = [(0, 0x300), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C1)]
+
+
+class Splitter:
+    """Cuts texts into pieces by arrays: letters, single numbers, other signs, and contractions.
+
+    What a code point is, and what it becomes in lower case, is asked of the library once. A stretch between white
+    space that holds any other code point is one strange piece, to be split by the library itself.
+    """
+
+    def __init__(self, merger: Merger):
+        self.kind, self.low = np.full(LIMIT + 1, STRANGE, np.uint8), np.arange(LIMIT + 1, dtype=np.uint32)
+        for c in chain.from_iterable(range(*r) for r in _LONE):
+            n = merger.normal.normalize_str(chr(c))
+            if len(n) == 1 and ord(n) < LIMIT:
+                twice = merger.cut.pre_tokenize_str(n + n)
+                letter = len(merger.cut.pre_tokenize_str("a" + n)) == 1
+                self.kind[c], self.low[c] = SPACE if not twice else NUMBER if len(twice) == 2 else LETTER if letter else OTHER, ord(n)
+
+    def split(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray, list[tuple[int, str]], np.ndarray]:
+        """The pieces of text: UTF-8 of the normalised text, where pieces begin and end in it, the strange ones by number, and where each begins in text."""
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        small = np.minimum(points, LIMIT)
+        kind, low = self.kind[small], self.low[small]
+        n, strange_at = len(points), np.flatnonzero(kind == STRANGE)
+        if len(strange_at):
+            blank = np.concatenate([[-1], np.flatnonzero(kind == SPACE), [n]])
+            k = np.unique(np.searchsorted(blank, strange_at))
+            for i, j in zip(blank[k - 1] + 1, blank[k], strict=True):
+                kind[i:j] = STRANGE
+        before = np.append(np.uint8(SPACE), kind[:-1])
+        begins = (kind != SPACE) & ((kind != before) | (kind == NUMBER))
+        mark = np.flatnonzero((low == 39) & (kind == OTHER) & (before != OTHER))
+        if len(mark):
+            ahead = np.append(low, np.zeros(2, np.uint32))
+            one, two = ahead[mark + 1], ahead[mark + 2]
+            short = np.isin(one, [ord(c) for c in "stmd"])
+            long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+            for at, size in ((mark[short], 2), (mark[long], 3)):
+                begins[at + 1] = False
+                rest = at + size
+                rest = rest[rest < n]
+                begins[rest] |= kind[rest] == LETTER
+        ends = kind != SPACE
+        ends[:-1] &= begins[1:] | (kind[1:] == SPACE)
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        if not n or int(low.max()) < 128 and not len(strange_at):
+            return low.astype(np.uint8).tobytes(), starts, ends, [], starts
+        strange = [(int(i), text[starts[i] : ends[i]]) for i in np.flatnonzero(kind[starts] == STRANGE)] if len(strange_at) else []
+        low[strange_at] = ord("?")
+        wide = np.concatenate([[0], np.cumsum(1 + (low >= 0x80) + (low >= 0x800))])
+        return low.tobytes().decode("utf-32-le").encode(), wide[starts], wide[ends], strange, starts
+
+
+def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     """A minimal acyclic automaton over the words' bytes, with each word's ids, as one block of 32-bit numbers.
 
     Words enter in sorted order; a state whose word ends and arcs equal another's is replaced by it, so
@@ -231,7 +271,7 @@ def compile_lexicon(entries: dict[str, tuple[int, ...]]) -> bytes:
     sums to its number, and the number finds its ids. Layout: counts of states, arcs and words; first arc by
     state; whether a word ends, by state; byte, target and number by arc; first id by word; the ids.
     """
-    words = sorted(((w.encode("utf-8", "surrogatepass"), ids) for w, ids in entries.items()), key=lambda x: x[0])
+    words = sorted(entries.items())
     states: list[tuple[bool, tuple]] = []
     register: dict[tuple[bool, tuple], int] = {}
     path: list[list] = [[False, []]]  # of each open state: whether a word ends, and its arcs (byte, state)
@@ -270,167 +310,282 @@ def compile_lexicon(entries: dict[str, tuple[int, ...]]) -> bytes:
 
 
 class Lexicon:
-    """Lookups in a compiled lexicon through a memory map."""
+    """Lookups in a compiled lexicon through a memory map, in which each state has a row of targets by byte."""
 
     def __init__(self, block: bytes):
-        with tempfile.TemporaryFile() as f:
-            f.write(block)
-            f.flush()
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        n = np.frombuffer(self.map, dtype=np.uint32)
+        n = np.frombuffer(block, dtype=np.uint32)
         states, arcs, words = (int(x) for x in n[:3])
         cut, at = [], 3
         for size in (states + 1, states, arcs, arcs, arcs, words + 1):
-            cut.append(n[at : at + size])
+            cut.append(n[at : at + size].astype(np.int32))
             at += size
-        first, final, byte, self.target, self.number, self.start = cut
-        self.final, self.ids, self.root, self.longest = final == 1, n[at:], states - 1, 63
-        self.arcs = np.repeat(np.arange(states, dtype=np.int64), np.diff(first.astype(np.int64))) << 8 | byte
-
-    def get(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
-        """The ids of each word that the lexicon has; all words take a step at a time."""
-        out: list[tuple[int, ...] | None] = [None] * len(words)
-        own = np.array([i for i, w in enumerate(words) if 0 < len(w) <= self.longest], dtype=np.int64)
-        if not len(own):
-            return out
-        size = np.array([len(words[i]) for i in own])
-        data, start = np.frombuffer(b"".join(words[i] for i in own), np.uint8), np.append(0, np.cumsum(size)[:-1])
-        state, number = np.full(len(own), self.root, np.int64), np.zeros(len(own), np.int64)
-        for k in range(self.longest):
-            ended = size == k
+        first, final, byte, target, number, self.start = cut
+        self.final, self.ids, self.root = final == 1, n[at:].astype(np.int32), states - 1
+        used = np.unique(byte)
+        self.column = np.zeros(256, np.int32)  # bytes that no word has share column 0, whose targets are -1
+        self.column[used] = np.arange(1, len(used) + 1)
+        self.width = len(used) + 1
+        rows = np.full((2, states, self.width), -1, np.int32)
+        at = np.repeat(np.arange(states), np.diff(first)), self.column[byte]
+        rows[0][at], rows[1][at] = target, number
+        with tempfile.TemporaryFile() as f:  # of this worker alone, gone with it
+            f.write(rows.tobytes())
+            f.flush()
+            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        self.target, self.number = np.frombuffer(self.map, dtype=np.int32).reshape(2, -1)
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of each word, a stretch of data; -1 if the lexicon hasn't got it. All words take a step at a time."""
+        out, own = np.full(len(starts), -1, np.int32), np.arange(len(starts))
+        column = self.column[data]
+        state, number, k = np.full(len(own), self.root, np.int32), np.zeros(len(own), np.int32), 0
+        while len(own):
+            ended = sizes == k
             if ended.any():
-                for i, n in zip(own[ended & self.final[state]].tolist(), number[ended & self.final[state]].tolist(), strict=True):
-                    out[i] = tuple(self.ids[self.start[n] : self.start[n + 1]].tolist())
-            go = np.flatnonzero(~ended)
-            if not len(go):
-                return out
-            arc = state[go] << 8 | data[start[go] + k]
-            at = np.searchsorted(self.arcs, arc)
-            at[at == len(self.arcs)] = 0
-            hit = self.arcs[at] == arc
-            go, at = go[hit], at[hit]
-            number, state = number[go] + self.number[at], self.target[at].astype(np.int64)
-            own, size, start = own[go], size[go], start[go]
-        ended = (size == self.longest) & self.final[state]
-        for i, n in zip(own[ended].tolist(), number[ended].tolist(), strict=True):
-            out[i] = tuple(self.ids[self.start[n] : self.start[n + 1]].tolist())
+                done = ended & self.final[state]
+                out[own[done]] = number[done]
+                own, state, number, starts, sizes = (x[~ended] for x in (own, state, number, starts, sizes))
+            at = state * np.int32(self.width) + column[starts + k]
+            state = self.target[at]
+            number = number + self.number[at]
+            live = state >= 0
+            if not live.all():
+                own, state, number, starts, sizes = (x[live] for x in (own, state, number, starts, sizes))
+            k += 1
         return out
 
 
+def _ragged(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of pool that begin at starts, one after another."""
+    ends = np.cumsum(sizes)
+    return pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
 class Encoder:
-    """Ids of whole texts: a bounded cache of words, the lexicon behind it, exact merges behind that."""
+    """Ids of whole texts: pieces by arrays, the lexicon's ids for those it has, exact merges for all others."""
 
     def __init__(self, v: Vocabulary, lexicon: bytes | None):
-        self.merger, self.lexicon, self.cache = Merger(v), Lexicon(lexicon) if lexicon else None, {}
-
-    def _split(self, text: str) -> list[str]:
-        if any(c in text for c in _CONTROLS):
-            return [w for w in self.merger.space.split(text) if w]
-        return text.split()
-
-    def _learn(self, counts: Counter) -> list[str]:
-        """Puts the words of counts into the cache; returns those that aren't worth keeping there."""
-        words = list(counts)
-        held = self.lexicon.get([w.encode("utf-8", "surrogatepass") for w in words]) if self.lexicon else [None] * len(words)
-        self.cache.update((w, ids) for w, ids in zip(words, held, strict=True) if ids is not None)
-        rest = [w for w, ids in zip(words, held, strict=True) if ids is None]
-        self.cache.update(zip(rest, self.merger.words(rest), strict=True))
-        return [w for w in rest if counts[w] == 1 or len(w) >= 64]
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        special, marks = self.merger.v.special, self.merger.marks
-        split = []  # of each text, its words, and special tokens as their ids
-        for t in texts:
-            if t and any(s in t for s in special):
-                parts = ([special[p]] if p in special else self._split(p) for p in marks.split(t) if p)
-                split.append(list(chain.from_iterable(parts)))
-            else:
-                split.append(self._split(t) if t else [])
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        cache.update((i, (i,)) for i in special.values())
-        passing = self._learn(Counter(w for w in chain.from_iterable(split) if w not in cache))
-        out = [list(chain.from_iterable(map(cache.__getitem__, words))) for words in split]
-        for w in passing:
-            del cache[w]
-        return out
-
+        self.merger, self.lexicon = Merger(v), Lexicon(lexicon) if lexicon else None
+        self.splitter = Splitter(self.merger)
+        self.marks = regex.compile("|".join(f"({regex.escape(s)})" for s in v.special)) if v.special else None
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts of docs; each task counts first."""
+    def _parts(self, text: str | None, most: int = 1 << 18) -> list[str]:
+        """text between its special tokens, and these; long parts are cut at spaces, for no piece goes beyond one."""
+        special = self.merger.v.special
+        parts = [p for p in self.marks.split(text) if p] if text and any(s in text for s in special) else [text] if text else []
+        out = []
+        for p in parts:
+            while len(p) > most and (at := p.rfind(" ", 0, most) if " " in p[:most] else p.find(" ", most)) >= 0:
+                out.append(p[:at])
+                p = p[at + 1 :]
+            out.append(p)
+        return [p for p in out if p]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, one after another, and how many each has."""
+        special, parts, of = self.merger.v.special, [], []
+        for k, t in enumerate(texts):
+            own = self._parts(t)
+            parts += own
+            of += [k] * len(own)
+        flat, n = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        at = 0
+        while at < len(parts):
+            to, size = at, 0
+            while to < len(parts) and (to == at or size + len(parts[to]) < 1 << 18):
+                size += len(parts[to])
+                to += 1
+            ids, counts = self._encode(["" if p in special else p for p in parts[at:to]], {i: special[p] for i, p in enumerate(parts[at:to]) if p in special})
+            flat.append(ids)
+            np.add.at(n, of[at:to], counts)
+            at = to
+        return np.concatenate(flat), n
+
+    def _encode(self, parts: list[str], special: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts, and how many each has; special gives the one id of some."""
+        raw, starts, ends, strange, place = self.splitter.split("\n".join(parts))
+        data, sizes = np.frombuffer(raw, np.uint8), ends - starts
+        number = self.lexicon.numbers(data, starts, sizes) if self.lexicon else np.full(len(starts), -1, np.int32)
+        if strange:
+            number[[i for i, _ in strange]] = -1
+        other = {i: self.merger.word(w) for i, w in strange}
+        unseen = [i for i in np.flatnonzero(number < 0).tolist() if i not in other] if other else np.flatnonzero(number < 0).tolist()
+        known: dict[bytes, int] = {}
+        which = [known.setdefault(raw[i:j], len(known)) for i, j in zip(starts[unseen].tolist(), ends[unseen].tolist(), strict=True)]
+        merged = [*self.merger.merge_many(list(known)), *other.values()]
+        held, first = (self.lexicon.ids, self.lexicon.start) if self.lexicon else (np.zeros(0, np.int32), np.zeros(1, np.int32))
+        length = np.array([len(m) for m in merged], dtype=np.int64)
+        pool = np.concatenate([held, np.fromiter(chain.from_iterable(merged), np.int32, int(length.sum()))])
+        begin, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        hit = np.flatnonzero(number >= 0)
+        begin[hit] = first[number[hit]]
+        count[hit] = first[number[hit] + 1] - begin[hit]
+        new = np.append(0, np.cumsum(length))[:-1] + len(held)
+        at = np.array([*unseen, *other], dtype=np.int64)
+        of = np.array([*which, *range(len(known), len(merged))], dtype=np.int64)
+        begin[at], count[at] = new[of] if len(of) else 0, length[of] if len(of) else 0
+        ids = _ragged(pool, begin, count)
+        cut = np.cumsum([len(p) + 1 for p in parts])  # the parts' ends, with what joins them
+        piece = np.searchsorted(place, cut)
+        total = np.append(0, np.cumsum(count))[piece]
+        n = np.diff(np.append(0, total))
+        if special:
+            ids = np.insert(ids, [int(total[i]) for i in special], list(special.values()))
+            n[list(special)] = 1
+        return ids, n
+
+
+class Writer:
+    """Digits and tokens of ids, as bytes, by arrays."""
+
+    def __init__(self, tokens: list[str]):
+        self.pools = []
+        for words in ([b" %d" % i for i in range(len(tokens))], [b" " + t.encode() for t in tokens]):
+            size = np.array([len(w) for w in words], dtype=np.int64)
+            self.pools.append((np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size))
+
+    def _write(self, pool: tuple, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
+        data, start, size = pool
+        ends = np.append(0, np.cumsum(size[ids]))[np.append(0, np.cumsum(n))]
+        out = _ragged(data, start[ids], size[ids]).tobytes()
+        return [out[i + 1 : j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def digits(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """For each text, of n ids, these in decimal, joined by a space."""
+        return self._write(self.pools[0], ids, n)
+
+    def decoded(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """For each text its tokens, special ones too, joined by a space, in UTF-8."""
+        return self._write(self.pools[1], ids, n)
+
+
+_made: dict[str, tuple] = {}
+
+
+def _tools(shipped) -> tuple[Encoder, Writer]:
+    """The encoder and writer of a worker process, made once for all its tasks; another lexicon takes the place of the last."""
+    v, lexicon, name = shipped.value
+    if name not in _made:
+        _made.clear()
+        _made[name] = Encoder(v, lexicon), Writer(v.tokens)
+    return _made[name]
+
+
+def _shipped(sc, v: Vocabulary, lexicon: bytes | None):
+    """A broadcast of a size that the vocabulary and the lexicon's number of entries bound."""
+    return sc.broadcast((v, lexicon, uuid.uuid4().hex))
+
+
+def piece_counts(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """(piece, n) over all texts of docs, but for strange pieces; each task counts first."""
+    shipped = _shipped(docs.sparkSession.sparkContext, v, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, _ = _tools(shipped)
         seen: Counter = Counter()
-        whole = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        whole = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+        held = 0
         for b in batches:
             for t in b.column("text"):
-                seen.update((t.as_py() or "").split())
-            if len(seen) > 200_000:
+                for part in encoder._parts(t.as_py()):
+                    raw, starts, ends, strange, _ = encoder.splitter.split(part)
+                    begin, end = starts.tolist(), ends.tolist()
+                    for i, _ in strange:
+                        begin[i] = end[i]
+                    seen.update(map(raw.__getitem__, map(slice, begin, end)))
+            if len(seen) > 100_000:
                 yield whole()
                 seen.clear()
         yield whole()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, v: Vocabulary, scratch: Scratch, frequent: int = FREQUENT) -> bytes | None:
-    """The lexicon of the commonest words, `frequent` at most; words with special tokens aren't taken."""
-    merger = Merger(v)
-    counts = scratch.table(word_counts(docs).where((F.col("n") > 1) & (F.length("word") < 16)))
-    top = commonest(counts, "n", frequent).orderBy("word").collect()
+    """The lexicon of the commonest pieces, `frequent` at most; None where no piece comes twice."""
+    counts = scratch.table(piece_counts(docs, v).where((F.col("n") > 1) & F.length("piece").between(1, 40)))
+    top = commonest(counts, "n", frequent).orderBy("piece").collect()
     scratch.drop(counts)
-    words = [r.word for r in top if not any(s in r.word for s in v.special)]
-    entries = dict(zip(words, merger.words(words), strict=True))
-    return compile_lexicon(entries) if entries else None
+    words = [bytes(r.piece) for r in top]
+    return compile_lexicon(dict(zip(words, Merger(v).merge_many(words), strict=True))) if words else None
+
+
+def _chunks(b: pa.RecordBatch, column: str, most: int = sh.CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of b with about `most` bytes of text; a longer text makes one of its own."""
+    _, cut = sh.texts_of(b.column(column))
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(cut, cut[at] + most, "right")) - 1)
+        yield b.slice(at, to - at)
+        at = to
+
+
+def _hex(texts: list[bytes]) -> pa.Array:
+    return pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
 
 
-def encode_documents(docs: DataFrame, v: Vocabulary, lexicon: bytes | None, chunk: int = 64) -> DataFrame:
+def encode_documents(docs: DataFrame, v: Vocabulary, lexicon: bytes | None, digests: bool = False) -> DataFrame:
     """docs with ids: the token ids of each whole text, equal to the tokenizer library's without added tokens.
 
-    Null and empty texts have no ids; a column that is named ids already is replaced. The strings of special tokens in a text become these tokens, as there.
+    Null and empty texts have no ids; columns that are named as the new ones already are replaced. The strings of
+    special tokens in a text become these tokens, as there. With digests, n_tokens, ids_sha256 and decoded_sha256
+    come, too: of the ids in decimal joined by a space, and of the text that decoding them gives. Repeated rows
+    are encoded each; an empty table gives an empty result.
     """
-    names, sc = [c for c in docs.columns if c != "ids"], docs.sparkSession.sparkContext
-    shipped = sc.broadcast((v, lexicon))  # of a size that the vocabulary and `frequent` bound
+    made = ["ids", *(["n_tokens", "ids_sha256", "decoded_sha256"] if digests else [])]
+    names, shipped = [c for c in docs.columns if c not in made], _shipped(docs.sparkSession.sparkContext, v, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shipped.value)
+        encoder, writer = _tools(shipped)
         for b in batches:
-            for at in range(0, b.num_rows, chunk):
-                part = b.slice(at, chunk)
-                found = [np.array(x, dtype=np.int32) for x in encoder.encode(part.column("__text").to_pylist())]
-                ends = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)
-                flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("__text"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["row", "__text", "ids"])
+            for part in _chunks(b, "__text"):
+                ids, n = encoder.encode(part.column("__text").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids))
+                more = [pa.array(n), _hex(writer.digits(ids, n)), _hex(writer.decoded(ids, n))] if digests else []
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("__text"), lists, *more], ["row", "__text", *made])
 
     row = docs.select(F.struct(*(n for n in names if n != "text"), F.lit(0).alias("__none")).alias("row"), F.col("text").alias("__text"))
-    out = row.mapInArrow(run, row.select("row", "__text", F.lit(None).cast("array<int>").alias("ids")).schema)
-    return out.select(*(F.col("__text").alias(n) if n == "text" else F.col("row")[n].alias(n) for n in names), "ids")
+    more = [F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")] if digests else []
+    out = row.mapInArrow(run, row.select("row", "__text", F.lit(None).cast("array<int>").alias("ids"), *more).schema)
+    return out.select(*(F.col("__text").alias(n) if n == "text" else F.col("row")[n].alias(n) for n in names), *made)
 
 
-def decode_documents(encoded: DataFrame, v: Vocabulary, chunk: int = 64) -> DataFrame:
-    """encoded (with ids) with decoded: the tokens of ids, special ones too, joined by a space; no ids: empty."""
+def decode_documents(encoded: DataFrame, v: Vocabulary) -> DataFrame:
+    """encoded (with ids) with decoded: the tokens of ids, special ones too, joined by a space; no or null ids: empty."""
     names = [c for c in encoded.columns if c != "decoded"]
     shipped = encoded.sparkSession.sparkContext.broadcast(v.tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shipped.value.__getitem__
+        writer = Writer(shipped.value)
         for b in batches:
-            for at in range(0, b.num_rows, chunk):
-                part = b.slice(at, chunk)
-                text = [" ".join(map(of, ids.values.to_numpy())) if ids.is_valid else "" for ids in part.column("__ids")]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("__ids"), pa.array(text, pa.string())], ["row", "__ids", "decoded"])
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                ids = part.column("__ids")
+                text = writer.decoded(ids.flatten().to_numpy(), ids.value_lengths().fill_null(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column("row"), ids, pa.array([t.decode() for t in text], pa.string())], ["row", "__ids", "decoded"])
 
     row = encoded.select(F.struct(*(n for n in names if n != "ids"), F.lit(0).alias("__none")).alias("row"), F.col("ids").alias("__ids"))
     out = row.mapInArrow(run, row.select("row", "__ids", F.lit("").alias("decoded")).schema)
     return out.select(*(F.col("__ids").alias(n) if n == "ids" else F.col("row")[n].alias(n) for n in names), "decoded")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of docs, for the tokenizer file at path."""
-    v, scratch = Vocabulary(path), Scratch(docs.sparkSession, "op3")
-    coded = decode_documents(encode_documents(docs.select("doc_id", "text"), v, build_lexicon(docs, v, scratch)).select("doc_id", "ids"), v)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def text_digests(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of docs, for the tokenizer file at path.
+
+    The ids stay in the worker that encodes and decodes them. Null and empty texts have no token; repeated rows
+    count each; an empty table gives an empty result; columns besides doc_id and text are not looked at.
+    """
+    v = Vocabulary(path)
+    shipped = _shipped(docs.sparkSession.sparkContext, v, build_lexicon(docs, v, Scratch(docs.sparkSession, "op3")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, writer = _tools(shipped)
+        for b in batches:
+            for part in _chunks(b, "text"):
+                ids, n = encoder.encode(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), _hex(writer.digits(ids, n)), _hex(writer.decoded(ids, n))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -439,4 +594,4 @@ def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFram
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    return text_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
