@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelane.llm import bpe, minhash, mixing, paragraphs, toxicity
 from tidelane.llm.scratch import Scratch
@@ -31,12 +30,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with token ids, and digests of these and of what they decode to."""
+    """The documents with their text's token ids in its place, their number, and digests of ids and of what they decode to."""
     import public_tokenizers
 
     v = bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
-    coded = bpe.decode_documents(bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), v, bpe.build_lexicon(docs, v, Scratch(spark, "bpe"))).drop("text"), v)
-    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.encode_documents(docs, v, bpe.build_lexicon(docs, v, Scratch(spark, "bpe")), digests=True).drop("text")
 
 
 STAGES = [
