@@ -109,23 +109,64 @@ def test_toxicity_on_held_out_labels(spark, scratch):
     assert sum(r.predicted == r.toxic for r in test) >= 0.95 * len(test) and all(0 <= r.score <= 1 for r in got)
 
 
-def test_label_model_discounts_copies_of_a_voter():
+def test_label_model_discounts_copies_of_a_voter_and_beats_the_majority():
     rng = np.random.default_rng(2)
     y = rng.random(4000) < 0.3
     good = np.stack([np.where(rng.random(4000) < 0.9, y, ~y) for _ in range(4)], axis=1)
     bad = np.where(rng.random(4000) < 0.65, y, ~y)
-    votes = np.concatenate([good, bad[:, None], bad[:, None], bad[:, None]], axis=1).astype(int)
+    votes = np.concatenate([good, *[bad[:, None]] * 3], axis=1).astype(int)
     post, rates, groups = toxicity.label_model(votes, np.ones(4000), 0.3)
-    assert ((post > 0.5) == y).mean() > 0.93 and any(sorted(g) == [4, 5, 6] for g in groups) and rates[0, 0] > 0.85
+    right, most = ((post > 0.5) == y).mean(), ((votes.sum(axis=1) >= 4) == y).mean()
+    assert right > 0.93 and right > most + 0.02 and any(sorted(g) == [4, 5, 6] for g in groups) and rates[0, 0] > 0.85
+
+
+def test_label_model_tells_from_votes_alone_and_weighs_patterns():
+    rng = np.random.default_rng(3)
+    y = rng.random(3000) < 0.2
+    votes = np.stack([np.where(y, rng.random(3000) < a, rng.random(3000) < b) for a, b in ((0.9, 0.02), (0.6, 0.01), (0.7, 0.3), (0.1, 0.1))], axis=1).astype(int)
+    codes, inverse, n = np.unique(votes @ [8, 4, 2, 1], return_inverse=True, return_counts=True)
+    post, rates, _ = toxicity.label_model(codes[:, None] >> np.array([3, 2, 1, 0]) & 1, n.astype(float), 0.2)
+    assert ((post[inverse] > 0.5) == y).mean() > 0.95 and np.abs(rates[:, 3] - 0.1).max() < 0.05
+
+
+def test_bare_words():
+    raw = "\u00ab\u00c9t\u00e9\u00bb, \u201cIdiot!\u201d it\u2019s a--b #x\u00d7y".encode()
+    w = toxicity.bare_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert [w.data[i:j].tobytes().decode() for i, j in zip(w.starts, w.ends)] == ["\u00e9t\u00e9", "idiot", "it", "s", "a", "b", "x\u00d7y"]
+    other = "\u00e9t\u00e9 IDIOT".encode()
+    x = toxicity.bare_words(np.frombuffer(other, np.uint8), np.array([0, len(other)]))
+    assert x.hashes().tolist() == w.hashes()[:2].tolist() and x.beginnings(4).tolist() == w.beginnings(4)[:2].tolist() and w.beginnings(4)[2] == 0
+
+
+def test_toxicity_learns_planted_words_of_any_text_length(spark, scratch):
+    rng = random.Random(5)
+    plain, bad = [f"word{i}" for i in range(300)], ["zorkish", "zorkable", "blargful"]
+    docs, labels = [], []
+    for d in range(600):
+        w = [rng.choice(plain) for _ in range(rng.choice((5, 50, 500)))]
+        toxic = d % 5 == 0
+        for _ in range(toxic * max(1, len(w) // 50)):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        docs.append((d, " ".join(w)))
+        labels.append((d, int(toxic)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(frame.where("doc_id < 400"), spark.createDataFrame(labels[:300], "doc_id long, toxic int"), scratch)
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(frame, model).collect()}
+    assert sum(got[d] == bool(t) for d, t in labels[400:]) >= 195
+    again = toxicity.score(frame.withColumn("doc_id", frame.doc_id + 5000).repartition(3), model).collect()
+    assert {r.doc_id - 5000: r.score >= 0.5 for r in again} == got
 
 
 def test_toxicity_on_odd_rows(spark, scratch, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels, scratch)
     assert toxicity.score(odd, model).count() == len(ODD)
-    assert toxicity.reject_toxic(odd, ({}, -5.0)).columns == odd.columns and toxicity.reject_toxic(odd, ({}, -5.0)).count() == len(ODD)
+    clean = (np.zeros_like(model[0]), -5.0, model[2])
+    kept = toxicity.reject_toxic(odd, clean)
+    assert kept.columns == odd.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, odd.collect()))
     assert toxicity.score(empty, toxicity.fit(empty, labels, scratch)).count() == 0
-    assert toxicity.fit(odd, labels.limit(0), scratch) == ({}, -30.0)
+    assert toxicity.reject_toxic(empty, model).count() == 0
+    assert toxicity.fit(odd, labels.limit(0), scratch)[1] == -30.0
 
 
 def base_counts(docs):

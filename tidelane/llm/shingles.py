@@ -34,12 +34,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of the texts in data, which begin at the first of offsets, end at the others.
 
+    inside tells the bytes of words, where other words are meant.
     starts and ends are the words' bytes in data; docs tells, for each text, how many words it and those before it have.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None):
         self.data, cut = data, offsets - offsets[0]
-        word = ~_SEPARATOR[data]
+        word = ~_SEPARATOR[data] if inside is None else inside
         first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]
@@ -54,18 +55,33 @@ class Words:
 
     def hashes(self, block: int = 1 << 20) -> np.ndarray:
         """A 64-bit hash of each word, A-Z lower-cased: a sum of its bytes' values times those of their places."""
+        return self._hashes(self.ends, block)
+
+    def beginnings(self, size: int) -> np.ndarray:
+        """A hash of the first `size` bytes of each word that is longer; 0 for others."""
+        longer = np.flatnonzero(self.ends - self.starts > size)
+        out = np.zeros(len(self), dtype=np.uint64)
+        if len(longer):
+            x = np.zeros(len(longer), dtype=np.uint64)
+            for k in range(size):
+                x += _LETTER[self.data[self.starts[longer] + k]] * _PLACE[k]
+            out[longer] = mix(x + U(size)) | U(1)
+        return out
+
+    def _hashes(self, ends: np.ndarray, block: int) -> np.ndarray:
         out = np.empty(len(self), dtype=np.uint64)
         at, n = 0, len(self)
         while at < n:  # blocks keep what is made for each byte small, whatever a text's length
             to = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + block, "left")))
-            begin, end = int(self.starts[at]), int(self.ends[to - 1])
-            own = self.starts[at:to] - begin
+            begin, end = int(self.starts[at]), int(ends[to - 1])
+            edges = np.empty(2 * (to - at), dtype=np.int64)
+            edges[::2], edges[1::2] = self.starts[at:to] - begin, ends[at:to] - begin
             place = np.arange(end - begin, dtype=np.int32)
-            place -= np.repeat(own.astype(np.int32), np.diff(np.append(own, end - begin)))
+            place -= np.repeat(edges[::2].astype(np.int32), np.diff(np.append(edges[::2], end - begin)))
             place &= _PLACES
             x = _LETTER[self.data[begin:end]]
             x *= _PLACE[place]
-            out[at:to] = np.add.reduceat(x, own)
+            out[at:to] = np.add.reduceat(np.append(x, U(0)), edges)[::2]
             at = to
         return mix(out + (self.ends - self.starts).astype(np.uint64) * _STEP)
 
