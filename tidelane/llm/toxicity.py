@@ -237,9 +237,9 @@ def _encode(shipped):
                 code = _codes(votes)
                 hit = draw < shares[np.minimum(np.searchsorted(codes, code), len(codes) - 1)]
                 x, of, v = _values(words, features, votes, hit)
-                offsets = pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=len(hit))[hit])).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (x.astype(np.int32), v.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(code[hit]), *lists], ["key", "code", "x", "v"])
+                cut = np.cumsum(np.bincount(of, minlength=len(hit))[hit])[:-1]
+                parts = [pa.array([p.tobytes() for p in np.split(c, cut)][: int(hit.sum())], pa.binary()) for c in (x.astype(np.int32), v.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(code[hit]), *parts], ["key", "code", "x", "v"])
 
     return run
 
@@ -255,7 +255,7 @@ def _logistic(rows: list[np.ndarray], values: list[np.ndarray], p: np.ndarray, w
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            x, v, of = np.concatenate([rows[i] for i in own]), np.concatenate([values[i] for i in own]), np.repeat(np.arange(len(own)), [len(rows[i]) for i in own])
+            x, v, of = np.concatenate([rows[i] for i in own]), np.concatenate([values[i] for i in own]).astype(float), np.repeat(np.arange(len(own)), [len(rows[i]) for i in own])
             z = np.bincount(of, w[x] * v, len(own)) + bias
             err = weight[own] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - p[own]) / len(own)
             g = np.bincount(x, err[of] * v, size)
@@ -326,14 +326,14 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     post, _, _ = label_model(_votes_from(codes), weight, n[1] / (n[0] + n[1]))
     many = [weight[post >= 0.5].sum(), weight[post < 0.5].sum()]
     drawn = np.where(post >= 0.5, min(1.0, MAX_TOXIC / max(many[0], 1)), min(1.0, MAX_CLEAN / max(many[1], 1)))
-    rows = texts.select("text", "fold", "draw", "key").where(F.col("draw") <= float(drawn.max())).mapInArrow(_encode(sc.broadcast((lexicons, codes, drawn))), "key long, code long, x array<int>, v array<float>")
-    got = rows.toPandas()
-    got["size"] = got.x.map(len)
-    got = got.sort_values(["key", "code", "size"], kind="stable")
-    if not len(got):
+    rows = texts.select("text", "fold", "draw", "key").where(F.col("draw") <= float(drawn.max())).mapInArrow(_encode(sc.broadcast((lexicons, codes, drawn))), "key long, code long, x binary, v binary")
+    rows = scratch.table(rows)
+    got = sorted(((r.key, r.code, np.frombuffer(r.x, np.int32), np.frombuffer(r.v, np.float32)) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
+    scratch.drop(rows)
+    if not got:
         return _nothing(float(np.log(n[1] / n[0])))
-    at = np.searchsorted(codes, got.code.to_numpy())
-    return *_logistic([np.asarray(r, dtype=np.int64) for r in got.x], [np.asarray(r, dtype=float) for r in got.v], post[at], 1 / drawn[at]), lexicons
+    at = np.searchsorted(codes, [r[1] for r in got])
+    return *_logistic([r[2] for r in got], [r[3] for r in got], post[at], 1 / drawn[at]), lexicons
 
 
 def _score_batch(b: pa.RecordBatch, weights: np.ndarray, bias: float, lexicons: Lexicons) -> np.ndarray:
