@@ -14,7 +14,7 @@ from . import prefilter
 from . import shingles as sh
 from .scratch import Scratch
 
-MAX_TOXIC, MAX_CLEAN = 3000, 6000  # texts that the classifier is fitted on, about
+MAX_TOXIC, MAX_CLEAN = 2000, 4000  # texts that the classifier is fitted on, about
 BUCKETS = 1 << 18  # of the classifier's hashed features
 FOLDS = 4
 LEXICON = 2000  # entries of a mined lexicon, at most
@@ -244,23 +244,26 @@ def _encode(shipped):
     return run
 
 
-def _logistic(rows: list[np.ndarray], values: list[np.ndarray], p: np.ndarray, weight: np.ndarray, rounds: int = 12, rate: float = 0.3, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights of a logistic regression on soft labels, and the intercept; AdaGrad over blocks of rows in a fixed shuffle."""
-    size = BUCKETS + VOTES
+def _logistic(x: np.ndarray, v: np.ndarray, ends: np.ndarray, p: np.ndarray, weight: np.ndarray, rounds: int = 12, rate: float = 0.3, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights of a logistic regression on soft labels p, and the intercept; AdaGrad over blocks of rows in a fixed shuffle.
+
+    x and v are all rows' features and values, one row after another; ends tells where each ends.
+    """
+    size, begins = BUCKETS + VOTES, np.append(0, ends[:-1])
     w, pace = np.zeros(size), np.full(size, 1e-8)
     bias, bias_pace = float(np.log((weight @ p + 0.5) / (weight @ (1 - p) + 0.5))), 1e-8
     rng = np.random.Generator(np.random.PCG64(7))
-    weight, batch = weight / weight.mean(), min(200, max(8, len(rows) // 40))
+    weight, batch = weight / weight.mean(), min(200, max(8, len(ends) // 40))
     for _ in range(rounds):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(ends))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            x, v, of = np.concatenate([rows[i] for i in own]), np.concatenate([values[i] for i in own]).astype(float), np.repeat(np.arange(len(own)), [len(rows[i]) for i in own])
-            z = np.bincount(of, w[x] * v, len(own)) + bias
+            place = np.concatenate([np.arange(begins[i], ends[i]) for i in own])
+            f, value, of = x[place], v[place].astype(float), np.repeat(np.arange(len(own)), (ends - begins)[own])
+            z = np.bincount(of, w[f] * value, len(own)) + bias
             err = weight[own] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - p[own]) / len(own)
-            g = np.bincount(x, err[of] * v, size)
-            on = np.flatnonzero(g)
-            step = g[on] + ridge * w[on]
+            on, index = np.unique(f, return_inverse=True)
+            step = np.bincount(index, err[of] * value, len(on)) + ridge * w[on]
             pace[on] += step * step
             w[on] -= rate * step / np.sqrt(pace[on])
             bias_pace += err.sum() ** 2
@@ -328,12 +331,18 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     drawn = np.where(post >= 0.5, min(1.0, MAX_TOXIC / max(many[0], 1)), min(1.0, MAX_CLEAN / max(many[1], 1)))
     rows = texts.select("text", "fold", "draw", "key").where(F.col("draw") <= float(drawn.max())).mapInArrow(_encode(sc.broadcast((lexicons, codes, drawn))), "key long, code long, x binary, v binary")
     rows = scratch.table(rows)
-    got = sorted(((r.key, r.code, np.frombuffer(r.x, np.int32), np.frombuffer(r.v, np.float32)) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
+    names, x, v = [], [], []  # of the rows as they come; few bytes a feature, for the driver holds them all
+    for r in rows.toLocalIterator():
+        names.append((r.key, r.code, len(r.x)))
+        x.append(np.frombuffer(bytes(r.x), np.int32)), v.append(np.frombuffer(bytes(r.v), np.float32))
     scratch.drop(rows)
-    if not got:
+    if not names:
         return _nothing(float(np.log(n[1] / n[0])))
-    at = np.searchsorted(codes, [r[1] for r in got])
-    return *_logistic([r[2] for r in got], [r[3] for r in got], post[at], 1 / drawn[at]), lexicons
+    order = sorted(range(len(names)), key=names.__getitem__)
+    at, ends = np.searchsorted(codes, [names[i][1] for i in order]), np.cumsum([len(x[i]) for i in order])
+    x = np.concatenate([x[i] for i in order])
+    v = np.concatenate([v[i] for i in order])
+    return *_logistic(x, v, ends, post[at], 1 / drawn[at]), lexicons
 
 
 def _score_batch(b: pa.RecordBatch, weights: np.ndarray, bias: float, lexicons: Lexicons) -> np.ndarray:
