@@ -1,8 +1,11 @@
+from dataclasses import dataclass
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelane.operators import anchored, dead_letters, handlers, lanes, metrics, routing
+from tidelane.operators import anchored, chains, dead_letters, handlers, lanes, metrics, routing
+from tidelane.operators.alerts import Alerts, log_alerts
 from tidelane.operators.subscribe import Subscriptions, fan_out
 
 
@@ -87,10 +90,97 @@ def test_health_is_strict(spark):
     assert rates == [3, 2, 0, 0]
 
 
-def test_service_level_is_in_whole_milliseconds(spark):
-    df = spark.createDataFrame([("REALTIME", "SUCCESS", 5), ("REALTIME", "SUCCESS", 6)], "lane string, outcome string, elapsed_ms long")
-    got = [(r.breach, r.stored, r.processed, r.dropped) for r in lanes.realtime(df).orderBy("elapsed_ms").collect()]
-    assert got == [(False, True, 1, 0), (True, False, 1, 1)]
+def fates_of(spark, rows, registry=None, **options):
+    """Fates by position of rows (id, lane's priority, topic, body, arrival_us, elapsed_ms)."""
+    events = spark.createDataFrame([(k, i, p, t, bytes(b), at, ms) for k, (i, p, t, b, at, ms) in enumerate(rows)], "k int, id long, effective_priority int, topic string, body binary, arrival_us long, elapsed_ms long")
+    handled = lanes.processed(events.withColumn("lane", routing.lane(F.col("effective_priority"))), registry or handlers.default_registry())
+    return {r.k: (r.status, r.letter, r.processed, r.dropped, r.stored, r.attempts) for r in lanes.fates(handled, **options).collect()}
+
+
+REFUSED = "empty audit log body"
+
+
+def test_realtime_fates(spark):
+    got = fates_of(spark, [(1, 4, "a", b"x", 0, 5), (2, 4, "a", b"x", 0, 6), (3, 3, "audit", b"", 0, 9), (4, 3, "sensor/pressure", [201], 0, 0)])
+    assert got == {0: ("processed", None, 1, 0, True, 1), 1: ("late", "sla_breach", 1, 1, False, 1), 2: ("dropped", REFUSED, 0, 1, False, 0), 3: ("processed", None, 1, 0, True, 1)}
+
+
+def test_batch_lane_refusals_count_as_dropped(spark):
+    rows = [(1, 0, "audit", b"", 0, 0), (2, 0, "audit", b"x", 0, 0)]
+    assert fates_of(spark, rows) == {0: ("dropped", REFUSED, 0, 1, False, 0), 1: ("processed", None, 1, 0, True, 1)}
+    assert fates_of(spark, rows, dropping=True) == {k: ("dropped", "backpressure_drop", 0, 1, False, 0) for k in (0, 1)}
+
+
+def test_transactional_fates(spark):
+    hour = 3_600_000_000
+    rows = [(7, 2, "audit", b"", 0, 0), (7, 2, "audit", b"x", 1, 0), (7, 1, "audit", b"", 2, 0), (7, 2, "audit", b"x", 1 + hour, 0), (7, 2, "audit", b"x", 2 + hour, 0), (8, 2, "a", b"", 5, 0), (8, 2, "a", b"", 5, 0)]
+    got = fates_of(spark, rows)
+    gone, done = ("duplicate", None, 0, 0, False, 0), ("processed", None, 1, 0, True, 1)
+    assert [got[k] for k in range(5)] == [("dropped", REFUSED, 0, 1, False, 0), done, gone, gone, done]
+    assert sorted([got[5], got[6]]) == sorted([gone, done], key=repr) or {got[5], got[6]} == {gone, done}
+    assert fates_of(spark, rows[:1], paused=True) == {0: ("dropped", "processor_paused", 0, 1, False, 0)}
+    carried = spark.createDataFrame([(7, 0, 1, 0)], "key long, time long, id long, number long")
+    assert fates_of(spark, rows[1:2], carried=carried) == {0: gone}
+
+
+@dataclass(frozen=True)
+class Refuses(handlers.Handler):
+    outcome: str = "FAIL"
+
+    def failure(self):
+        return F.lit(self.outcome)
+
+    def message(self):
+        return F.lit("no")
+
+
+@pytest.mark.parametrize("outcome", ["FAIL", "DROP"])
+def test_handlers_that_fail(spark, outcome):
+    registry = handlers.Registry().register("a", Refuses("A", outcome))
+    got = fates_of(spark, [(1, 4, "a", b"x", 0, 9), (2, 2, "a", b"x", 0, 0), (3, 0, "a", b"x", 0, 0)], registry)
+    assert got == {0: ("dropped", "no", 0, 1, False, 1), 1: ("dropped", "max_retries_exceeded", 0, 1, False, 3), 2: ("failed_at_flush", "no", 1, 0, False, 1)}
+
+
+def test_metrics_of_fates(spark):
+    events = spark.createDataFrame([("B", "dropped", 0, 1, 5), ("B", "processed", 1, 0, 3), ("R", "late", 1, 1, 9)], "processor string, status string, processed int, dropped int, arrival_us long")
+    got = {r.component: tuple(r)[1:] for r in metrics.by_component(events).collect()}
+    assert got == {"B": (1, 1, 0, 3), "R": (1, 1, 0, None)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_over_ranges_equal_a_walk(spark, seed, monkeypatch):
+    monkeypatch.setattr(chains, "CELLS", 2)
+    rng = np.random.default_rng(seed)
+    rows = [(int(k), int(t), i, bool(ok)) for i, (k, t, ok) in enumerate(zip(rng.integers(0, 4, 400), rng.integers(0, 3000, 400), rng.random(400) < 0.7, strict=True))]
+    want, windows = {}, {}
+    for k in range(4):
+        last, anchor, number = None, None, 0
+        for _, t, i, ok in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3]):
+            if last is not None and t - last <= 40:
+                want[i] = "duplicate"
+            else:
+                want[i] = "processed" if ok else "failed"
+                last = t if ok else last
+            anchor = t if anchor is None else anchor
+            windows[i] = number
+            if t - anchor >= 100:
+                anchor, number = t, number + 1
+        windows |= {(k, "last"): number}
+    df = spark.createDataFrame(rows, "k long, t long, id long, ok boolean")
+    assert {r.id: r.status for r in anchored.dedup(df, "k", "t", "id", F.col("ok"), 40).collect()} == want
+    got = anchored.anchored_windows(df, "k", "t", "id", 100).collect()
+    assert {r.id: r.window for r in got} == {i: w for i, w in windows.items() if not isinstance(i, tuple)}
+    assert all(r.flushed == (r.window < windows[r.k, "last"]) for r in got)
+    half = df.where("t < 1500"), df.where("t >= 1500")
+    points = anchored.last_points(half[0].select(F.col("k").alias("key"), F.col("t").alias("time"), "id", F.lit(True).alias("ok")), 100)
+    second = anchored.anchored_windows(half[1], "k", "t", "id", 100, points).collect()
+    assert {r.id: r.window for r in second} == {r.id: windows[r.id] for r in second}
+
+
+def test_chains_of_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(None, 1, 1), (1, None, 2), (1, 5, 3)], "k long, t long, id long")
+    assert {r.id: r.status for r in anchored.dedup(df, "k", "t", "id", F.lit(True), 9).collect()} == {1: "processed", 2: "processed", 3: "processed"}
+    assert anchored.anchored_windows(df.limit(0), "k", "t", "id", 9).count() == 0
 
 
 def test_subscribers_leave_and_fail(spark):
@@ -103,3 +193,17 @@ def test_subscribers_leave_and_fail(spark):
     subs.notify(events)
     assert seen == [1, 1] and len(subs.active) == 2 and len(subs.errors) == 2
     assert fan_out(events, {"all": "", "b": "b"}).count() == 3
+
+
+def test_alert_handlers_fail_alone_and_drops_are_told(spark, caplog):
+    raised = spark.createDataFrame([(3, "hot", "s", 1, 5)], "level int, message string, source string, event_id long, timestamp_ns long")
+    seen = []
+    alerts = Alerts(broken=lambda df: 1 / 0).add("rows", lambda df: seen.append(df.count())).add("log", log_alerts)
+    alerts.raise_all(raised)
+    assert seen == [1] and [n for n, _ in alerts.errors] == ["broken"] and "[EMERGENCY] s - hot" in caplog.text
+    subs = Subscriptions()
+    subs.subscribe_dropped(lambda df: seen.append(df.count()))
+    subs.subscribe_dropped(lambda df: 1)
+    subs.notify_dropped(raised)
+    subs.notify_dropped(raised)
+    assert seen == [1, 1, 1] and len(subs.dropped) == 1

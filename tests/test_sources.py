@@ -65,9 +65,9 @@ def test_encode_and_split(spark):
     df = spark.createDataFrame([(1, "té", b"\x00\x01"), (4, "x", b"")], "p int, t string, b binary")
     coded = [bytes(r.f) for r in df.select(frames.encode(F.col("p"), F.col("t"), F.col("b")).alias("f")).collect()]
     stream = b"\x00" * 40 + coded[0] + b"\x00" * 4 + coded[1] + coded[0][:5]
-    bodies, tail, closed = frames.split_stream(stream)
+    bodies, tail, closed, _ = frames.split_stream(stream)
     assert bodies == [c[4:] for c in coded] and tail == coded[0][:5] and not closed
-    assert frames.split_stream(b"\x00" * 44 + coded[0]) == ([], b"", True)
+    assert frames.split_stream(b"\x00" * 44 + coded[0]) [:3] == ([], b"", True)
     assert frames.split_stream((frames.MAX_FRAME + 1).to_bytes(4, "big"))[2]
     got = frames.decode_body(frames.split_captures(spark.createDataFrame([("a", stream), ("b", None)], "path string, content binary")), "body").orderBy("seq").collect()
     assert [(r.path, r.priority, r.topic, bytes(r.payload)) for r in got] == [("a", 1, "té", b"\x00\x01"), ("a", 4, "x", b"")]

@@ -41,13 +41,19 @@ def histogram_bounds(hist: DataFrame) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, value: str, percents: list[int], by: str) -> DataFrame:
-    """(by, p, value): within each group the value at place floor(n * p / 100), from 0, in rising order.
+    """(by, p, value): within each group the value at place floor(n * p / 100), from 0, in rising order; values are longs from 0.
 
-    A value's count stands for its repeats, so what is ordered in a group is its distinct values.
+    A first pass counts values by their highest eleven bits; only those that share these with a wanted place are
+    then ordered, so no task meets a whole group.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by).orderBy(value)
-    n = F.sum("c").over(Window.partitionBy(by))
-    run = counted.withColumns({"cum": F.sum("c").over(w), "n": n}).withColumn("p", F.explode(F.array(*(F.lit(p) for p in percents))))
-    place = F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1)
-    return run.where((F.col("cum") > place) & (F.col("cum") - F.col("c") <= place)).select(by, "p", F.col(value).alias("value"))
+    x = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("long").alias("value"))
+    x = x.withColumn("step", msb(F.col("value")) * 2048 + F.call_function("shiftright", F.col("value"), F.greatest(msb(F.col("value")) - 10, F.lit(0)).cast("int")))
+    counts = x.groupBy(by, "step").agg(F.count(F.lit(1)).alias("c"))
+    run = counts.withColumns({"cum": F.sum("c").over(Window.partitionBy(by).orderBy("step")), "n": F.sum("c").over(Window.partitionBy(by))})
+    places = run.withColumn("p", F.explode(F.array(*(F.lit(p) for p in percents)))).withColumn("place", F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1))
+    wanted = places.where((F.col("cum") > F.col("place")) & (F.col("cum") - F.col("c") <= F.col("place"))).select(F.col(by).alias("w_by"), F.col("step").alias("w_step"), "p", (F.col("place") - F.col("cum") + F.col("c")).alias("inner"))
+    steps = wanted.select("w_by", "w_step").distinct()  # as many as there are groups and percents, at most
+    inside = x.join(F.broadcast(steps), F.col(by).eqNullSafe(F.col("w_by")) & (F.col("step") == F.col("w_step"))).groupBy(by, "step", "value").agg(F.count(F.lit(1)).alias("c"))
+    inside = inside.withColumn("cum", F.sum("c").over(Window.partitionBy(by, "step").orderBy("value")))
+    found = inside.join(F.broadcast(wanted), F.col(by).eqNullSafe(F.col("w_by")) & (F.col("step") == F.col("w_step")))
+    return found.where((F.col("cum") > F.col("inner")) & (F.col("cum") - F.col("c") <= F.col("inner"))).select(by, "p", "value")

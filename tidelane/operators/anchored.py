@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chains import chains, with_chain
+
 
 def anchored_numbers(t: np.ndarray, width: int, anchor: int | None = None, number: int = 0) -> tuple[np.ndarray, int | None, int]:
     """The window of each sorted time, and the anchor and number of the window that stays open.
@@ -26,20 +28,26 @@ def anchored_numbers(t: np.ndarray, width: int, anchor: int | None = None, numbe
     return out, anchor, number
 
 
-def anchored_windows(events: DataFrame, key: str, time: str, id: str, width: int) -> DataFrame:
-    """(key, id, time, window, flushed): windows of each key; the last one stays open until a later event or stop.
+def anchored_windows(events: DataFrame, key: str, time: str, id: str, width: int, carried: DataFrame | None = None) -> DataFrame:
+    """events with window and flushed: windows of each key; the last one stays open until a later event or stop.
 
-    Only the three columns it needs go to Python, a key's rows in one group, ordered by time and id.
+    The first event of a key anchors a window; the first one that is width or more after the anchor closes it,
+    belongs to it, and anchors the next. Events count in order of time and id. carried (key, time, id, number)
+    are anchors of windows that are open from before; what comes late, with a time before that, joins these. Events
+    without key or time have no window.
     """
-    slim = events.select(F.col(key).alias("key"), F.col(id).alias("id"), F.col(time).alias("time"))
+    x = with_chain(events, key, time, id, F.lit(True), width, carried)
+    number = F.coalesce(F.col("__before.number"), F.col("__at.number"), F.col("__first.number"))
+    return x.withColumns({"window": number, "flushed": number < F.col("__ending")}).drop("__before", "__at", "__ending", "__first")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["time", "id"], kind="stable")
-        number, _, last = anchored_numbers(rows["time"].to_numpy(), width)
-        return rows.assign(window=number, flushed=number < last)
 
-    kind = dict(slim.dtypes)
-    return slim.groupBy("key").applyInPandas(fold, f"key {kind['key']}, id long, time long, window long, flushed boolean")
+def last_points(rows: DataFrame, gap: int, carried: DataFrame | None = None) -> DataFrame:
+    """(key, time, id, number): the last point of each key's chain, of rows (key, time, id, ok) and what is carried."""
+    found = chains(rows, gap, carried).where("ending >= 0").groupBy("key").agg(F.max(F.struct("ending", "last_time", "last_id")).alias("p"))
+    found = found.select("key", F.col("p.last_time").alias("time"), F.col("p.last_id").alias("id"), F.col("p.ending").alias("number"))
+    if carried is not None:
+        found = found.unionByName(carried.select("key", "time", "id", "number")).groupBy("key").agg(F.max_by(F.struct("time", "id", "number"), "number").alias("p")).select("key", "p.*")
+    return found
 
 
 def tumbling_windows(events: DataFrame, key: str, time: str, width: int) -> DataFrame:
@@ -61,24 +69,34 @@ def dedup_status(t: np.ndarray, ok: np.ndarray, ttl: int, last: int | None = Non
     return out, last
 
 
-def dedup(events: DataFrame, key: str, time: str, id: str, ok: Column, ttl: int | None) -> DataFrame:
-    """(key, id, time, status). Only a processed event is remembered, so one that failed may be sent again.
+def dedup(events: DataFrame, key: str, time: str, id: str, ok: Column, ttl: int | None, carried: DataFrame | None = None) -> DataFrame:
+    """events with status: processed, duplicate or failed. Only a processed event is remembered, so one that failed may be sent again.
 
-    ttl None remembers for ever; then the first good one of a key is all that matters, and no state is folded.
+    A duplicate is within ttl of the key's last processed event; ttl None remembers for ever. Events count in order
+    of time and id, and rows that agree in key, time and id are one event that came more than once: the first is
+    processed. carried (key, time, id, number) are events processed before these; one that comes late, with a time
+    before that, is a duplicate. An event without key or time is never one.
     """
-    slim = events.select(F.col(key).cast("long").alias("key"), F.col(id).alias("id"), F.col(time).alias("time"), ok.alias("ok"))
+    good = F.coalesce(ok, F.lit(False))
+    copy = F.row_number().over(Window.partitionBy(key, time, id).orderBy(F.lit(0)))
     if ttl is None:
-        first = slim.where("ok").groupBy("key").agg(F.min(F.struct("time", "id")).alias("first"))
-        at = F.struct("time", "id")
-        status = F.when(at == F.col("first"), "processed").when(at > F.col("first"), "duplicate").otherwise("failed")
-        return slim.join(first, "key", "left").select("key", "id", "time", status.alias("status"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["time", "id"], kind="stable")
-        status, _ = dedup_status(rows["time"].to_numpy(), rows["ok"].to_numpy(), ttl)
-        return rows.assign(status=status)[["key", "id", "time", "status"]]
-
-    return slim.groupBy("key").applyInPandas(fold, "key long, id long, time long, status string")
+        point = lambda t, i, n: F.struct(F.col(t).cast("long").alias("time"), F.col(i).cast("long").alias("id"), F.lit(n).cast("long").alias("number"))
+        first = events.select(F.col(key).alias("__key"), F.when(good, point(time, id, 0)).alias("__at"))
+        if carried is not None:
+            first = first.unionByName(carried.select(F.col("key").alias("__key"), point("time", "id", -1).alias("__at")))
+        first = first.groupBy("__key").agg(F.min("__at").alias("__at"))
+        x = events.join(first, F.col(key) == F.col("__key"), "left").drop("__key")
+        within, late = F.lit(True), F.lit(False)
+    else:
+        before = None if carried is None else carried.withColumn("number", F.lit(-1).cast("long"))
+        x = with_chain(events, key, time, id, good, ttl + 1, before).drop("__before", "__ending")
+        late = good & F.col("__first").isNotNull() & F.col("__at").isNull()
+        within = F.col(time) - F.col("__at.time") <= ttl
+    x = x.withColumn("__copy", copy)
+    same = (F.col("__at.time") == F.col(time)) & (F.col("__at.id") == F.col(id))
+    before = F.col("__at").isNotNull() & (F.struct(F.col("__at.time"), F.col("__at.id")) < F.struct(F.col(time).cast("long").alias("time"), F.col(id).cast("long").alias("id")))
+    status = F.when(same & good & (F.col("__at.number") >= 0) & (F.col("__copy") == 1), "processed").when((same | before) & within | late, "duplicate").when(good, "processed").otherwise("failed")
+    return x.withColumn("status", status).drop("__at", "__copy", "__first")
 
 
 def lazy_dedup(events: DataFrame, key: str, time: str, id: str, ok: Column, ttl: int, every: int) -> DataFrame:

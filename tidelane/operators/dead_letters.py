@@ -5,21 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .model import REALTIME
-
 RING = 1000
 
 
-def dead_letters(handled: DataFrame, max_ms: int = 5) -> DataFrame:
-    """(id, topic, lane, processor, reason, drop_seq): drop_seq orders drops by arrival, then id.
-
-    Failures of validation and rules, and in the realtime lane events over their service level. In the
-    transactional lane a handler that doesn't succeed has been tried to the end.
-    """
-    failed = handled.where(F.col("outcome") == "DROP").select("id", "topic", "lane", "processor", "reason", "arrival_us")
-    late = handled.where((F.col("lane") == REALTIME) & (F.col("outcome") != "DROP") & (F.col("elapsed_ms") > max_ms)).select("id", "topic", "lane", "processor", F.lit("sla_breach").alias("reason"), "arrival_us")
-    x = failed.unionByName(late)
-    return x.select("id", "topic", "lane", "processor", "reason", F.col("arrival_us").alias("drop_seq"))
+def dead_letters(told: DataFrame) -> DataFrame:
+    """(id, topic, lane, processor, reason, drop_seq) of lanes.fates(): drop_seq orders drops by arrival, then id."""
+    return told.where(F.col("letter").isNotNull()).select("id", "topic", "lane", "processor", F.col("letter").alias("reason"), F.col("arrival_us").alias("drop_seq"))
 
 
 def newest(letters: DataFrame, most: int = RING) -> DataFrame:

@@ -13,6 +13,8 @@ from .model import AlertLevel
 
 
 FIRST_BYTE, AMOUNT = "body_first_byte", "body_amount"
+# The handlers' names.
+DEFAULT_NAME, TEMPERATURE_NAME, PRESSURE_NAME, PAYMENT_NAME, AUDIT_NAME = "DefaultEventHandler", "SensorTemperatureHandler", "SensorPressureHandler", "PaymentEventHandler", "AuditEventHandler"
 
 
 def with_body_numbers(events: DataFrame) -> DataFrame:
@@ -29,11 +31,12 @@ class Handler:
     """What is done with the events of a topic. Subclass it, and give columns over the event's columns and the
     numbers of with_body_numbers.
 
-    validate and rules give a reason to drop the event, or null; level gives an alert's level, or null, and
-    message what the alert or the success says.
+    validate and rules give a reason to drop the event, or null. What passes is handled: failure gives FAIL or DROP
+    where that doesn't succeed, else null; level an alert's level, or null; message what the failure, the alert
+    or the success says.
     """
 
-    name: str = "DefaultEventHandler"
+    name: str = DEFAULT_NAME
 
     def validate(self) -> Column:
         return F.when(F.col("topic") == "", "empty topic")
@@ -41,6 +44,9 @@ class Handler:
     def rules(self) -> Column:
         return none("string")
 
+    def failure(self) -> Column:
+        return none("string")
+
     def level(self) -> Column:
         return none("int")
 
@@ -84,7 +90,7 @@ class Reading(Handler):
 class Payment(Handler):
     """A payment whose first four bytes are its amount, little-endian."""
 
-    name: str = "PaymentEventHandler"
+    name: str = PAYMENT_NAME
     limit: int = 1_000_000
 
     def validate(self) -> Column:
@@ -100,15 +106,15 @@ class Payment(Handler):
 
 @dataclass(frozen=True)
 class Audit(Handler):
-    name: str = "AuditEventHandler"
+    name: str = AUDIT_NAME
 
     def validate(self) -> Column:
         return F.when(F.length("body") == 0, "empty audit log body")
 
 
 # Prefixes, bounds and wording of the default handlers.
-TEMPERATURE = Reading("SensorTemperatureHandler", "temperature", ((100, AlertLevel.CRITICAL, "Temperature critical: "), (80, AlertLevel.WARNING, "Temperature warning: ")), "C", 150)
-PRESSURE = Reading("SensorPressureHandler", "pressure", ((200, AlertLevel.EMERGENCY, "Pressure emergency: "), (150, AlertLevel.WARNING, "Pressure high: ")), " bar")
+TEMPERATURE = Reading(TEMPERATURE_NAME, "temperature", ((100, AlertLevel.CRITICAL, "Temperature critical: "), (80, AlertLevel.WARNING, "Temperature warning: ")), "C", 150)
+PRESSURE = Reading(PRESSURE_NAME, "pressure", ((200, AlertLevel.EMERGENCY, "Pressure emergency: "), (150, AlertLevel.WARNING, "Pressure high: ")), " bar")
 
 
 @dataclass
@@ -125,12 +131,23 @@ class Registry:
     def clear(self) -> None:
         self.handlers.clear()
 
-    def choose(self, of) -> Column:
-        """The column that `of` gives for the handler of each event's topic, as one CASE without a join."""
-        out = of(self.default)
-        for prefix in sorted(self.handlers, key=lambda p: (len(p), p)):
+    def number(self) -> Column:
+        """The place in listed() of the handler of each event's topic, as one CASE without a join."""
+        out = F.lit(0)
+        for k, prefix in sorted(enumerate(self.handlers, 1), key=lambda x: (len(x[1]), x[1])):
             fits = F.startswith(F.col("topic"), F.lit(prefix)) if prefix else F.col("topic") == ""
-            out = F.when(fits, of(self.handlers[prefix])).otherwise(out)
+            out = F.when(fits, k).otherwise(out)
+        return out
+
+    def listed(self) -> list[Handler]:
+        return [self.default, *self.handlers.values()]
+
+    def choose(self, of, number: Column | None = None) -> Column:
+        """The column that `of` gives for the handler of each event's topic, or of the number given."""
+        number = self.number() if number is None else number
+        out = of(self.default)
+        for k, h in enumerate(self.listed()[1:], 1):
+            out = F.when(number == k, of(h)).otherwise(out)
         return out
 
 
@@ -139,12 +156,16 @@ def default_registry() -> Registry:
 
 
 def handle(events: DataFrame, registry: Registry) -> DataFrame:
-    """events with handler, reason, alert_level, message and outcome (DROP, ALERT or SUCCESS).
+    """events with handler, reason, alert_level, message and outcome (DROP, FAIL, ALERT or SUCCESS).
 
-    The first failure is the reason: validation before rules. What fails is not handled further.
+    The first failure is the reason: validation before rules; what fails there is dropped and not handled. An
+    outcome of DROP or FAIL without a reason is the handler's own. The handler is looked for once, and what it
+    says of an event is one value.
     """
-    x = with_body_numbers(events).withColumns({"handler": registry.choose(lambda h: F.lit(h.name)), "reason": registry.choose(lambda h: F.coalesce(h.validate(), h.rules()))})
-    passed = F.col("reason").isNull()
-    x = x.withColumns({"alert_level": F.when(passed, registry.choose(lambda h: h.level())), "message": F.when(passed, registry.choose(lambda h: h.message()))})
-    outcome = F.when(~passed, "DROP").when(F.col("alert_level").isNotNull(), "ALERT").otherwise("SUCCESS")
-    return x.withColumn("outcome", outcome).drop(FIRST_BYTE, AMOUNT)
+    said = lambda h: F.struct(F.lit(h.name).alias("handler"), F.coalesce(h.validate(), h.rules()).alias("reason"), h.failure().alias("failure"), h.level().alias("level"), h.message().alias("message"))
+    x = with_body_numbers(events).withColumn("__number", registry.number())
+    x = x.withColumn("__said", registry.choose(said, F.col("__number"))).drop("__number", FIRST_BYTE, AMOUNT)
+    passed = F.col("__said.reason").isNull()
+    level = F.when(passed & F.col("__said.failure").isNull(), F.col("__said.level"))
+    outcome = F.when(~passed, "DROP").when(F.col("__said.failure").isNotNull(), F.col("__said.failure")).when(F.col("__said.level").isNotNull(), "ALERT").otherwise("SUCCESS")
+    return x.withColumns({"handler": F.col("__said.handler"), "reason": F.col("__said.reason"), "alert_level": level, "message": F.when(passed, F.col("__said.message")), "outcome": outcome}).drop("__said")

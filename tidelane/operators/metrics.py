@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def by_component(handled: DataFrame, max_ms: int = 5) -> DataFrame:
-    """(component, processed, dropped, queue_depth, last_event_us) of the processors.
+def by_component(told: DataFrame, depth: int = 0) -> DataFrame:
+    """(component, processed, dropped, queue_depth, last_event_us) of the processors, from lanes.fates().
 
-    In the realtime lane an event over its service level counts as processed and as dropped. In the batch lane
-    an event counts as processed when it is buffered, and stays so if its handler then drops it.
+    last_event_us is the time of the last event that was processed in time; depth is what a caller knows to wait.
     """
-    bad, late = F.col("outcome") == "DROP", (F.col("lane") == "REALTIME") & (F.col("elapsed_ms") > max_ms) & (F.col("outcome") != "DROP")
-    done = F.when(F.col("lane") == "BATCH", F.lit(True)).otherwise(~bad)
-    gone = F.when(F.col("lane") == "BATCH", F.lit(False)).otherwise(bad | late)
-    return handled.groupBy(F.col("processor").alias("component")).agg(F.count_if(done).alias("processed"), F.count_if(gone).alias("dropped"), F.lit(0).cast("long").alias("queue_depth"), F.max("arrival_us").alias("last_event_us"))
+    last = F.max(F.when((F.col("processed") == 1) & (F.col("status") != "late"), F.col("arrival_us")))
+    return told.groupBy(F.col("processor").alias("component")).agg(F.sum("processed").cast("long").alias("processed"), F.sum("dropped").cast("long").alias("dropped"), F.lit(depth).cast("long").alias("queue_depth"), last.alias("last_event_us"))
 
 
 def bus_component(routed: DataFrame) -> DataFrame:
@@ -45,3 +42,32 @@ def totals(metrics: DataFrame) -> DataFrame:
 def readiness(metrics: DataFrame, alive: bool, pressure: int = 0) -> DataFrame:
     """(alive, ready, pressure); one row: ready while alive and some component has been heard from."""
     return metrics.agg(F.lit(alive).alias("alive"), (F.lit(alive) & (F.count(F.lit(1)) > 0)).alias("ready"), F.lit(pressure).alias("pressure"))
+
+
+def ingest_counters(decoded: DataFrame) -> DataFrame:
+    """(source, connections, events, errors, bytes) of decoded frames (source, connection, error, bytes)."""
+    good = F.col("error").isNull()
+    return decoded.groupBy("source").agg(F.countDistinct("connection").alias("connections"), F.count_if(good).alias("events"), F.count_if(~good).alias("errors"), F.sum("bytes").cast("long").alias("bytes"))
+
+
+def stage_latencies(events: DataFrame, ingest: str, dequeue: str, done: str) -> DataFrame:
+    """events with ingest_to_dequeue_ns, dequeue_to_done_ns and total_ns."""
+    a, b, c = F.col(ingest), F.col(dequeue), F.col(done)
+    return events.withColumns({"ingest_to_dequeue_ns": b - a, "dequeue_to_done_ns": c - b, "total_ns": c - a})
+
+
+def success_latencies(told: DataFrame, latency: str) -> DataFrame:
+    """The rows whose latency is recorded: transactional events that succeeded."""
+    return told.where((F.col("lane") == "TRANSACTIONAL") & (F.col("status") == "processed") & F.col(latency).isNotNull())
+
+
+def remembered(told: DataFrame, key: str, at_us: Column | int, ttl_us: int, buckets: int = 4096) -> DataFrame:
+    """(bucket, ids): how many keys deduplication remembers at at_us, by key modulo buckets."""
+    live = told.where((F.col("lane") == "TRANSACTIONAL") & (F.col("status") == "processed") & (F.col("arrival_us") <= at_us) & (F.col("arrival_us") + ttl_us >= at_us))
+    return live.groupBy(F.pmod(F.col(key), F.lit(buckets)).alias("bucket")).agg(F.countDistinct(key).alias("ids"))
+
+
+def waiting(told: DataFrame, at_us: Column | int) -> DataFrame:
+    """(lane, queue_depth): events that had arrived by at_us and weren't done yet, by elapsed_ms."""
+    done = F.col("arrival_us") + F.coalesce(F.col("elapsed_ms"), F.lit(0)) * 1000
+    return told.groupBy("lane").agg(F.count_if((F.col("arrival_us") <= at_us) & (done > at_us)).alias("queue_depth"))

@@ -11,10 +11,12 @@ from .model import BATCH, REALTIME, TRANSACTIONAL, Priority
 def with_table_priority(events: DataFrame, topics: DataFrame, bound: int = 100_000) -> DataFrame:
     """events with table_priority, null for topics that topics (topic, priority) doesn't list.
 
-    The table is broadcast if it has `bound` rows or fewer, which is looked up first.
+    The table is broadcast if it has `bound` rows or fewer, which is looked up once for each table.
     """
     t = topics.select("topic", F.col("priority").cast("int").alias("table_priority"))
-    return events.join(F.broadcast(t) if t.limit(bound + 1).count() <= bound else t, "topic", "left")
+    if not hasattr(topics, "_few"):
+        topics._few = topics.limit(bound + 1).count() <= bound
+    return events.join(F.broadcast(t) if topics._few else t, "topic", "left")
 
 
 def effective(client: Column, table: Column) -> Column:
@@ -32,7 +34,7 @@ def route(events: DataFrame, topics: DataFrame) -> DataFrame:
     return x.drop("table_priority").withColumn("lane", lane(F.col("effective_priority")))
 
 
-def pressure_latch(routed: DataFrame, high: int = 12_000, critical: int = 14_000, parts: int = 64) -> DataFrame:
+def pressure_latch(routed: DataFrame, high: int = 12_000, critical: int = 14_000, part_rows: int = 50_000) -> DataFrame:
     """routed with rank, pressure and lane_after, for a burst that nothing consumes.
 
     rank numbers the events of priority HIGH and CRITICAL by id. Pressure is taken before an event is put into
@@ -40,7 +42,8 @@ def pressure_latch(routed: DataFrame, high: int = 12_000, critical: int = 14_000
     The count is taken within ranges of id and offset by the ranges before, so no task sees all events.
     """
     urgent = (F.col("effective_priority") >= int(Priority.HIGH)).cast("long")
-    ends = routed.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    ends = routed.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    parts = min(100_000, max(64, ends.n // part_rows))
     width = max(1, ((ends.high or 0) - (ends.low or 0)) // parts + 1)
     x = routed.withColumns({"urgent": urgent, "part": F.floor((F.col("id") - F.lit(ends.low or 0)) / width)})
     sums = x.groupBy("part").agg(F.sum("urgent").alias("s"))

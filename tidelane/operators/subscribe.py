@@ -32,14 +32,34 @@ class Subscriptions:
 
     def __init__(self) -> None:
         self.active: list[tuple[str | None, Callable[[DataFrame], int | None]]] = []
+        self.dropped: list[Callable[[DataFrame], int | None]] = []
         self.errors: list[Exception] = []
         self.enabled = True
 
     def subscribe(self, prefix: str | None, callback: Callable[[DataFrame], int | None]) -> None:
         self.active.append((prefix, callback))
 
+    def subscribe_dropped(self, callback: Callable[[DataFrame], int | None]) -> None:
+        """callback gets the dead letters of each batch: (id, topic, lane, processor, reason, drop_seq)."""
+        self.dropped.append(callback)
+
     def clear(self) -> None:
         self.active.clear()
+        self.dropped.clear()
+
+    def notify_dropped(self, letters: DataFrame) -> None:
+        """Tells observers of drops; they leave and fail as others do."""
+        if not self.enabled:
+            return
+        kept = []
+        for callback in self.dropped:
+            try:
+                if callback(letters) in (0, None):
+                    kept.append(callback)
+            except Exception as e:  # noqa: BLE001  an observer must not stop the stream
+                self.errors.append(e)
+                kept.append(callback)
+        self.dropped = kept
 
     def notify(self, events: DataFrame) -> None:
         if not self.enabled:

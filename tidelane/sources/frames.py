@@ -68,32 +68,78 @@ def encode(priority: Column, topic: Column, payload: Column) -> Column:
     return F.concat(be_bytes(F.length(body), 4), body)
 
 
-def split_stream(data: bytes) -> tuple[list[bytes], bytes, bool]:
-    """Bodies of the frames in data, the unfinished tail, and whether the connection is given up.
+def split_stream(data: bytes, empty: int = 0) -> tuple[list[bytes], bytes, bool, int]:
+    """Bodies of the frames in data, the unfinished tail, whether the connection is given up, and its empty frames in a row.
 
-    Empty frames are skipped; one more than MAX_EMPTY in a row, or a frame of over MAX_FRAME, gives it up.
+    Empty frames are skipped; one more than MAX_EMPTY in a row, or a frame of over MAX_FRAME, gives it up. empty is
+    how many came just before data.
     """
-    out, at, empty = [], 0, 0
+    out, at = [], 0
     while at + 4 <= len(data):
         size = int.from_bytes(data[at : at + 4], "big")
         if size == 0:
             empty += 1
             at += 4
             if empty > MAX_EMPTY:
-                return out, b"", True
+                return out, b"", True, empty
             continue
         empty = 0
         if size > MAX_FRAME:
-            return out, b"", True
+            return out, b"", True, 0
         if at + 4 + size > len(data):
             break
         out.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return out, data[at:], False
+    return out, data[at:], False, empty
+
+
+_CONNECTIONS = "connection string, path string, modificationTime timestamp, seq long, body binary, tail binary, gave_up boolean"
+
+
+def split_connections(parts: DataFrame, tails: DataFrame | None = None) -> DataFrame:
+    """Frames of byte streams that come in parts (connection, path, modificationTime, content), in order of path.
+
+    A row for each frame, with its number within its part in seq and its body; and one for each connection with
+    tail, the unfinished rest after the last part, and gave_up, after which a connection's bytes are thrown away.
+    tails (connection, tail, gave_up) is what earlier parts have left. A part that continues a frame gives it. Of
+    a connection only one part is in memory at a time; a null content is empty.
+    """
+    x = parts.select("connection", "path", "modificationTime", "content", F.lit(False).alias("gave_up"), F.lit(1).alias("turn"))
+    if tails is not None:
+        x = x.unionByName(tails.select("connection", F.lit("").alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.col("tail").alias("content"), "gave_up", F.lit(0).alias("turn")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple[str, bytes, bool, int] | None = None  # connection, rest, given up, empty frames in a row
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.string(), pa.string(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
+            columns = list(zip(*found, strict=True)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["connection", "path", "modificationTime", "seq", "body", "tail", "gave_up"])
+
+        end = lambda: [(now[0], None, None, None, None, now[1], now[2])] if now else []
+        for b in batches:
+            for r in b.select(["connection", "path", "modificationTime", "content", "gave_up", "turn"]).to_pylist():
+                found = []
+                if now is None or now[0] != r["connection"]:
+                    found += end()
+                    now = (r["connection"], b"", False, 0)
+                if r["turn"] == 0:
+                    now = (now[0], r["content"] or b"", r["gave_up"], 0)
+                elif not now[2]:
+                    bodies, rest, gave_up, empty = split_stream(now[1] + (r["content"] or b""), now[3])
+                    now = (now[0], rest, gave_up, empty)
+                    found += [(r["connection"], r["path"], r["modificationTime"], k, body, None, None) for k, body in enumerate(bodies)]
+                yield rows(found)
+        yield rows(end())
+
+    return x.repartition("connection").sortWithinPartitions("connection", "turn", "path").mapInArrow(run, _CONNECTIONS)
 
 
 def split_captures(captures: DataFrame, column: str = "content", keep: tuple[str, ...] = ("path",)) -> DataFrame:
-    """(*keep, seq, body): a row for each frame of each captured stream, as of binaryFile. Works in streams, too."""
+    """(*keep, seq, body): a row for each frame of each captured stream, as of binaryFile. Works in streams, too.
+
+    Each capture is a stream of its own here; split_connections() puts together what goes over several.
+    """
     kinds = dict(captures.dtypes)
     slim = captures.select(*keep, F.col(column).alias("__data"))
 

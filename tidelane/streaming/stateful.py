@@ -30,20 +30,23 @@ def anchored_windows(events: DataFrame, key: str, time: str, id: str, width: int
     return slim.groupBy("key").applyInPandasWithState(fold, f"key {dict(slim.dtypes)['key']}, id long, time long, window long", "anchor long, number long", "append", GroupStateTimeout.NoTimeout)
 
 
-def dedup(events: DataFrame, key: str, time: str, id: str, ok: str, ttl: int) -> DataFrame:
-    """(key, id, time, status): as the batch form tells them. The state is the time of the key's last success."""
+def dedup(events: DataFrame, key: str, time: str, id: str, ok: str, ttl: int, delay: str = "1 day") -> DataFrame:
+    """(key, id, time, status): as the batch form tells them. The state is the time of the key's last success.
+
+    It goes when the stream is more than ttl and delay past that time, when it can make no duplicate any more. Rows
+    that come more than delay late aren't judged.
+    """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["time", "id"], kind="stable")
         status, last = dedup_status(rows["time"].to_numpy(), rows["ok"].to_numpy(), ttl, state.get[0] if state.exists else None)
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield rows.assign(status=status)[["key", "id", "time", "status"]]
 
-    slim = events.select(F.col(key).cast("long").alias("key"), F.col(id).alias("id"), F.col(time).alias("time"), F.expr(ok).alias("ok"))
-    return slim.groupBy("key").applyInPandasWithState(fold, "key long, id long, time long, status string", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def first_of_ids(events: DataFrame, id: str, time: str, delay: str = "1 hour") -> DataFrame:
-    """Events with repeats of an id within delay left out, by Spark's own operator."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([id])
+    slim = events.select(F.col(key).cast("long").alias("key"), F.col(id).alias("id"), F.col(time).alias("time"), F.expr(ok).alias("ok"), F.timestamp_micros(time).alias("at")).withWatermark("at", delay)
+    return slim.groupBy("key").applyInPandasWithState(fold, "key long, id long, time long, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
