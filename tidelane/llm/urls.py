@@ -13,10 +13,16 @@ from .scratch import Scratch
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: Public suffixes of two labels that the split of a host knows; all others are taken to have one.
 TWO_LABELS = ["ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk"]
-MIN_GOOD = 0.5
+WORSE = 2.0  # times the usual odds of a bad page, from which on a host is blocked
 Z = 1.645
 
 
+def suffixes_from(spark: SparkSession, path: str) -> list[str]:
+    """The suffixes of two labels in a text file of public suffixes, one a line; comments begin with //, rules with * or ! are left out."""
+    lines = spark.read.text(path).select(F.trim(F.regexp_extract("value", r"^[^/\s]*", 0)).alias("s"))
+    return sorted(r.s for r in lines.where(F.rlike("s", F.lit(r"^[^.*!]+\.[^.*!]+$"))).distinct().collect())
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: what follows the first ://, up to /, ? or #, with A-Z lower-cased. Path: from there to ? or #.
 
@@ -79,29 +85,67 @@ def reputations(outcomes: DataFrame, two_labels: list[str], scratch: Scratch) ->
 
 
 def upper_bound(a: Column, b: Column, z: float = Z) -> Column:
-    """Mean of the beta distribution and z of its standard deviations."""
-    n = a + b
-    return a / n + z * F.sqrt(a * b / (n * n * (n + 1)))
+    """The upper quantile of a beta distribution that z stands for, by its log-odds, which are nearly normal: below 1."""
+    return 1 / (1 + F.exp(-(F.log(a / b) + z * F.sqrt(1 / a + 1 / b))))
+
+
+def least_good(share: Column, worse: float = WORSE) -> Column:
+    """The share of good pages at which the odds of a bad one are `worse` times those at share."""
+    return share / (share + worse * (1 - share))
+
+
+def verdicts(hosts: DataFrame, two_labels: list[str], scratch: Scratch, worse: float = WORSE) -> DataFrame:
+    """(host, usual): block where a host's share of good pages is surely under least_good() of all pages, else allow.
+
+    hosts is (host, n, good): each host's labelled pages, and the good ones among them.
+    """
+    found = reputations(hosts, two_labels, scratch)
+    total = hosts.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("share"))
+    bound = least_good(F.lit(total.first().share), worse)
+    return found.select("host", F.when(upper_bound(F.col("a"), F.col("b")) < bound, "block").otherwise("allow").alias("usual"))
+
+
+def _marks(labels: DataFrame) -> DataFrame:
+    own = labels.where("page_id is not null and good is not null").groupBy(F.col("page_id").alias("m_id"))
+    return own.agg(F.max(F.col("good").cast("int")).alias("good"))
+
 
+def _outcomes(marked: DataFrame) -> DataFrame:
+    return marked.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
 
-def judge(pages: DataFrame, labels: DataFrame, scratch: Scratch, rules: list[tuple[str, str, str]] = RULES, two_labels: list[str] = TWO_LABELS, min_good: float = MIN_GOOD) -> DataFrame:
+
+def judge(pages: DataFrame, labels: DataFrame, scratch: Scratch, rules: list[tuple[str, str, str]] = RULES, two_labels: list[str] = TWO_LABELS, worse: float = WORSE) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages (page_id, url).
 
-    The longest fitting rule decides. Elsewhere a page is blocked if its host's share of good pages is surely
-    under min_good: if the posterior's upper bound is. labels (page_id, good) are the labelled outcomes; a
-    page labelled more than once is good if any label says so. Null urls and urls without :// share the
-    empty host, which is judged as any host. Repeated pages are judged alike.
+    The longest fitting rule decides. Elsewhere a page is blocked if its host's odds of a bad page are surely over
+    `worse` times those of all labelled pages: if the posterior's upper bound says so. labels (page_id, good) are
+    the labelled outcomes; a page labelled more than once is good if any label says so, and each row of a page
+    that comes more than once counts. Null urls and urls without :// share the empty host, which is judged as any
+    host. Repeated pages are judged alike, urls of any length are read whole, ties of rules can't be, for the
+    longest name wins and no two are equal. Without labels all is allowed outside the rules; an empty table
+    gives an empty result; columns besides page_id and url are not looked at.
     """
     host, path = host_and_path(F.col("url"))
     x = scratch.table(pages.select("page_id", host.alias("host"), path.alias("path")))
-    marks = labels.where("page_id is not null and good is not null").groupBy("page_id").agg(F.max(F.col("good").cast("int")).alias("good"))
-    marked = x.join(marks, "page_id", "left")
-    outcomes = marked.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    known = reputations(outcomes, two_labels, scratch).select("host", F.when(upper_bound(F.col("a"), F.col("b")) < min_good, "block").otherwise("allow").alias("usual"))
+    marked = x.join(_marks(labels), F.col("page_id") == F.col("m_id"), "left")
+    known = verdicts(_outcomes(marked), two_labels, scratch, worse)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return x.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "usual").alias("verdict"))
 
 
+def measured(pages: DataFrame, labels: DataFrame, scratch: Scratch, two_labels: list[str] = TWO_LABELS, worse: float = WORSE, folds: int = 5) -> DataFrame:
+    """(usual, pages, bad): what the reputations learned from the other folds say of each fold's labelled pages; no page's own label counts."""
+    host, _ = host_and_path(F.col("url"))
+    x = pages.select("page_id", host.alias("host")).join(_marks(labels), F.col("page_id") == F.col("m_id"))
+    x = scratch.table(x.select("host", "good", F.pmod(F.xxhash64("page_id"), F.lit(folds)).alias("fold")))
+    out = None
+    for k in range(folds):
+        known = verdicts(_outcomes(x.withColumn("good", F.when(F.col("fold") != k, F.col("good")))), two_labels, scratch, worse)
+        own = x.where(F.col("fold") == k).join(known, "host")
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("usual").agg(F.count(F.lit(1)).alias("pages"), F.sum(1 - F.col("good")).alias("bad"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages; the outcome of a page is the quality label of the document with its id."""
     pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
@@ -132,8 +176,9 @@ hosts AS (SELECT host, CAST(n AS DOUBLE) AS n, CAST(good AS DOUBLE) AS good, arr
 {_level("suffixes", "", "suffix", "(SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM hosts)")},
 {_level("domains", " JOIN suffixes USING (suffix)", "suffix, domain", "suffixes.m")},
 {_level("each", " JOIN domains USING (suffix, domain)", "suffix, domain, host", "domains.m")},
-usual AS (SELECT host, CASE WHEN a / (a + b) + {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < {MIN_GOOD} THEN 'block' ELSE 'allow' END AS verdict
-          FROM (SELECT host, good + s * above AS a, n - good + s * (1 - above) AS b FROM each)),
+share AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM hosts),
+usual AS (SELECT host, CASE WHEN 1 / (1 + exp(-(ln(a / b) + {Z} * sqrt(1 / a + 1 / b)))) < share.m / (share.m + {WORSE} * (1 - share.m)) THEN 'block' ELSE 'allow' END AS verdict
+          FROM (SELECT host, good + s * above AS a, n - good + s * (1 - above) AS b FROM each), share),
 rules(h, p, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
 best AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
          FROM x JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
