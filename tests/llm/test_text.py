@@ -62,11 +62,51 @@ def test_hosts_and_rules(spark, scratch):
         assert by[i][:4] == (i, host, path, rule) and by[i][4] == (verdict or "allow")
 
 
+def hosts_with(bad_share, seed=3):
+    """Labelled pages of 30 hosts, five of which are bad with the share given, the others with a tenth."""
+    rng = random.Random(seed)
+    pages, labels = [], []
+    for i in range(3000):
+        h = rng.randrange(30)
+        pages.append((i, f"http://h{h}.{'spam.biz' if h < 5 else 'site.info'}/p{i}"))
+        labels.append((i, int(rng.random() >= (bad_share if h < 5 else 0.1))))
+    return pages, labels
+
+
 def test_bad_hosts_are_blocked_and_unknown_ones_not(spark, scratch):
-    pages = [(i, f"http://{'bad.spam.biz' if i < 40 else 'good.site.info'}/p") for i in range(80)] + [(100, "http://new.place.info/"), (101, "http://other.spam.biz/")]
-    labels = [(i, int(i >= 40)) for i in range(80)]
-    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"), scratch).collect()}
-    assert got[0] == "block" and got[50] == got[100] == "allow"
+    pages, labels = hosts_with(0.7)
+    pages = [*pages, (9000, "http://new.place.info/"), (9001, "http://other.spam.biz/"), (9002, "http://x.com/en/")]
+    p, q = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int")
+    got = {r.page_id: r.verdict for r in urls.judge(p, q, scratch).collect()}
+    assert {got[i] for i, u in pages[:3000] if "spam" in u} == {"block"} and {got[i] for i, u in pages[:3000] if "site" in u} == {"allow"}
+    assert got[9000] == "allow" and got[9001] == "block" and got[9002] == "block"  # a new host has its domain's reputation
+    told = {r.usual: (r.pages, r.bad) for r in urls.measured(p, q, scratch).collect()}
+    bad = sum(1 - g for _, g in labels)
+    assert told["block"][1] / told["block"][0] > 0.6 and told["block"][1] / bad > 0.5 and told["allow"][1] / told["allow"][0] < 0.12
+
+
+def test_hosts_that_differ_by_chance_only_are_allowed(spark, scratch):
+    pages, labels = hosts_with(0.1)
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int"), scratch)
+    assert got.where("verdict = 'block'").count() == 0
+
+
+def test_urls_on_odd_pages(spark, scratch, tmp_path):
+    long = "http://" + "a" * 100_000 + ".com/en/" + "b" * 100_000
+    pages = spark.createDataFrame([(1, long), (1, long), (None, None), (2, "://"), (3, "x://?#")], "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "good", "n", "m_id", "suffix")})
+    labels = spark.createDataFrame([(1, 0), (1, 1), (None, 0), (2, None)], "page_id long, good int")
+    got = urls.judge(pages, labels, scratch).collect()
+    assert sorted((r.page_id or 0, len(r.host), r.rule, r.verdict) for r in got) == [(0, 0, None, "allow"), (1, 100_004, "com/en/", "block"), (1, 100_004, "com/en/", "block"), (2, 0, None, "allow"), (3, 0, None, "allow")]
+    assert urls.judge(pages.limit(0), labels, scratch).count() == 0 and urls.judge(pages, labels.limit(0), scratch).count() == 5
+    (tmp_path / "s.dat").write_text("// comment\ncom\nco.uk // both\n*.ck\n!www.ck\n\ngov.uk\n")
+    assert urls.suffixes_from(spark, str(tmp_path / "s.dat")) == ["co.uk", "gov.uk"]
+
+
+def test_upper_bound_is_a_beta_quantile(spark):
+    rng = np.random.default_rng(1)
+    for a, b in ((3.0, 2.0), (40.0, 5.0), (300.0, 1.5)):
+        got = spark.range(1).select(urls.upper_bound(F.lit(a), F.lit(b))).first()[0]
+        assert abs(got - np.quantile(rng.beta(a, b, 400_000), 0.95)) < 0.04 and got < 1
 
 
 def test_warc_round_trip_and_links(spark):
@@ -95,9 +135,73 @@ def test_warc_files_and_broken_records(spark):
 
 
 def test_warc_on_odd_pages(spark):
-    pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (3, "a\r\nb", "é" * 1000), (3, "a\r\nb", "é" * 1000)], "page_id long, url string, html string")
-    got = warc.derivatives(warc.responses_of(pages)).collect()
-    assert len(got) == 8 and all(r.source_digest_ok for r in got)
+    rows = [(1, None, None), (None, "u", ""), (3, "a\r\nb", "\u00e9" * 1000), (3, "a\r\nb", "\u00e9" * 1000), (3, "a\r\nb", "other")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("record", "warc_type", "error")})
+    responses = warc.responses_of(pages).withColumns({c: F.lit("clash") for c in ("warc_type", "error", "url")})
+    got = warc.derivatives(responses).collect()
+    assert len(got) == 10 and all(r.source_digest_ok for r in got)
+    of = Counter((r.page_id, r.refers_to) for r in got)
+    assert sorted(of.values()) == [2, 2, 2, 4] and len({r.record_id for r in got}) == 8  # only equal rows are the same record
+    assert warc.derivatives(warc.responses_of(pages.limit(0))).count() == 0
+    broken = spark.createDataFrame([(1, bytearray(b"junk")), (2, bytearray(warc.build_response(2, "u", "x", "d")[:-40])), (3, None), (4, bytearray(b""))], "page_id long, record binary")
+    assert sorted((r.page_id, r.warc_type, r.error[:9]) for r in warc.derivatives(broken, errors=True).collect()) == [(1, "error", "no record"), (2, "error", "record at")]
+
+
+def test_warc_equals_brute_force_on_the_pages(spark):
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.skip = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.out.append(" ")
+            if tag in ("script", "style", "noscript", "template", "svg", "head"):
+                self.skip.append(tag)
+
+        def handle_endtag(self, tag):
+            self.out.append(" ")
+            if tag in self.skip:
+                self.skip.remove(tag)
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out.append(data)
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = warc.derivatives(warc.responses_of(spark.read.parquet(f"{DATA}/pages.parquet"))).where("warc_type = 'conversion'").collect()
+    assert len(got) == len(pages)
+    same = 0
+    for r in got:
+        ((_, text),) = warc.read_records(bytes(r.record))
+        p = Words()
+        p.feed(pages[r.page_id].html or "")
+        p.close()
+        same += text.decode().replace("\n", " ").split() == "".join(p.out).split()
+    assert same >= 0.97 * len(got), same
+
+
+def test_warc_is_linear_in_records_members_and_open_tags():
+    import gzip
+    import time
+
+    one = warc.build_response(1, "u", "<p>x</p>", "d")
+    for data, n in ((one * 20_000, 20_000), (gzip.compress(one) * 20_000, 20_000)):
+        began = time.process_time()
+        assert sum(1 for _ in warc.read_records(data)) == n and time.process_time() - began < 5
+    for bad in ("<script>", "<!--", "<a ", "<title>", "<head>", "<"):
+        began = time.process_time()
+        warc.html_to_text(bad * 100_000), warc.title_and_links(bad * 100_000)
+        assert time.process_time() - began < 2, bad
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"1\r\na\r\n" * 200_000 + b"0\r\n\r\n"
+    assert len(warc.read_http(chunked)[2]) == 200_000
+
+
+def test_html_to_text_cases():
+    of = warc.html_to_text
+    assert of("a<!-- b --> c<script>x<b></script >d<BR>e") == "a c d\ne" and of("<style>a") == "a" and of("<!-- a") == "<!-- a" and of("a < b &amp; c") == "a < b & c"
+    assert of("<head><title>t</title></head><h1>x</h1>y<li>z") == "x\ny\nz" and of("") == ""
 
 
 def test_toxicity_on_held_out_labels(spark, scratch):
