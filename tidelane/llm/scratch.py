@@ -13,6 +13,7 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 ARROW_BYTES = 4 << 20  # of a batch that goes to a Python worker, at most
+PLAN_TEXT = 16 << 10  # letters of a plan's description, at most
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,15 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on the session sends no batch of over ARROW_BYTES to Python; a smaller limit of its own stays.
+def _lower(spark: SparkSession, name: str, most: int) -> None:
+    found = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(name, f"{most + 1}b").lower())
+    if not found or int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[found[2]] > most:
+        spark.conf.set(name, f"{most}b")
 
-    Rows hold whole texts, and a worker's memory is a few times its batch.
+
+def small_memory(spark: SparkSession) -> None:
+    """From now on the session sends no batch of over ARROW_BYTES to Python, and keeps no description of over PLAN_TEXT.
+
+    Rows hold whole texts, and a worker's memory is a few times its batch; the driver keeps the descriptions of many
+    plans, which are long here. Smaller limits of the session's own stay.
     """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    found = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(name, f"{ARROW_BYTES + 1}b").lower())
-    if not found or int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[found[2]] > ARROW_BYTES:
-        spark.conf.set(name, f"{ARROW_BYTES}b")
+    _lower(spark, "spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    _lower(spark, "spark.sql.maxPlanStringLength", PLAN_TEXT)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -61,7 +67,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
         _left.append((spark, self.root))
-        small_batches(spark)
+        small_memory(spark)
 
     def table(self, df: DataFrame) -> DataFrame:
         """df, written once and read again."""

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import prefilter
@@ -310,15 +309,16 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     by_fold = labelled.mapInArrow(_count, "feature long, kind int, fold int, toxic int, n long").groupBy("feature", "kind")
     counts = by_fold.agg(*(F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"{'ct'[y]}{k}") for k in range(FOLDS) for y in (0, 1)))
     counts = scratch.table(counts.where(" + ".join(f"t{k}" for k in range(FOLDS)) + " >= 3"))
-    mined = []
+    told = []
     for k in range(FOLDS + 1):
         t, c = (sum(F.col(f"{y}{j}") for j in range(FOLDS) if j != k) for y in "tc")
         ratio = (t / n[1]) / ((c + 0.5) / n[0])
-        z = F.log(ratio) * F.sqrt(t)
-        best = counts.select("feature", "kind", z.alias("z")).where((t > 0) & (ratio >= LIFT) & (z >= SURE))
-        held = [best.where(F.col("kind") == kind).orderBy(F.desc("z"), "feature").limit(LEXICON).select("feature", "kind") for kind in range(1 + len(PREFIXES))]
-        got = functools.reduce(DataFrame.unionByName, held).collect()
-        mined.append([np.sort(np.array([r.feature for r in got if r.kind == kind], dtype=np.int64).view(np.uint64)) for kind in range(1 + len(PREFIXES))])
+        told.append(F.when((t > 0) & (ratio >= LIFT), F.struct(F.lit(k).alias("fold"), (F.log(ratio) * F.sqrt(t)).alias("z"))))
+    best = counts.select("feature", "kind", F.explode(F.array_compact(F.array(*told))).alias("at")).select("feature", "kind", "at.fold", "at.z").where(F.col("z") >= SURE)
+    rank = F.row_number().over(Window.partitionBy("kind", "fold").orderBy(F.desc("z"), "feature"))
+    found = best.withColumn("rank", rank).where(F.col("rank") <= LEXICON).select("feature", "kind", "fold").collect()
+    of = lambda k, kind: np.sort(np.array([r.feature for r in found if (r.fold, r.kind) == (k, kind)], dtype=np.int64).view(np.uint64))
+    mined = [[of(k, kind) for kind in range(1 + len(PREFIXES))] for k in range(FOLDS + 1)]
     lexicons = mined, hand_lexicons()
 
     found = texts.select("text", "fold").mapInArrow(_patterns(sc.broadcast(lexicons)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
