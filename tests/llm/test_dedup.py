@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelane.llm import embed_dedup, linking, minhash, paragraphs
 from tidelane.llm import shingles as sh
@@ -133,6 +134,38 @@ def test_vectors_equal_brute_force(spark, scratch):
     assert embed_dedup.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), scratch).count() == 0
 
 
+def test_vectors_near_the_threshold_in_64_dimensions(spark, scratch):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(300):
+        x = rng.standard_normal(64)
+        x /= np.linalg.norm(x)
+        other = rng.standard_normal(64)
+        other -= other @ x * x
+        other /= np.linalg.norm(other)
+        c = rng.uniform(0.88, 0.92)
+        rows += [(4 * k, x.tolist()), (4 * k + 1, (7 * (c * x + np.sqrt(1 - c * c) * other)).tolist())]
+    copies = rng.standard_normal(64)
+    rows += [(5000 + i, (copies + 0.05 * rng.standard_normal(64)).tolist()) for i in range(400)]  # a group of near copies
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit("clash")).withColumn("fp1", F.lit("clash"))
+    got = {r.vec_id: tuple(r) for r in embed_dedup.near_duplicate_vectors(df, scratch).collect()}
+    ids, m = [i for i, _ in rows], np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    close = m @ m.T >= 0.9
+    of = reached(ids, [(ids[i], ids[j]) for i, j in zip(*np.nonzero(close), strict=True) if i < j])
+    n = close.sum(axis=1) - 1
+    wrong = [i for k, i in enumerate(ids) if got[i] != (i, int(n[k]), of[i], of[i] == i)]
+    assert not wrong and 200 < n[:600].sum() < 400 and n[600:].min() > 300, wrong[:5]
+
+
+def test_repeated_and_null_vector_ids(spark, scratch):
+    v, w = [1.0, 0.0, 0.5], [0.0, 1.0, 0.0]
+    rows = [(1, v), (1, w), (2, v), (3, w), (None, v), (4, [1.0, 0.0])]
+    got = embed_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scratch).collect()
+    assert sorted((r.vec_id or 0, r.n_links) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (4, 0)]
+    assert {r.vec_id: r.component_id for r in got if r.vec_id} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def passage(seed, n):
     rng = random.Random(seed)
     return " ".join(f"p{rng.randrange(10**6)}" + ("." if i % 9 == 8 else "") for i in range(n))
