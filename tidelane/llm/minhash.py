@@ -60,22 +60,28 @@ def linked_classes(docs: DataFrame, scratch: Scratch, size: int = 5, percent: in
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = scratch.table(slim.mapInArrow(_features(size, halves, rows, seed), "doc_id long, n_shingles long, fp1 long, fp2 long, halves array<long>"))
     classes = scratch.table(feats.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")))
-    half = classes.select(F.col("fp1").alias("id"), "n", F.posexplode("halves").alias("pos", "val"))
+    # A class goes by its smallest doc_id, for the first of a group is mostly what the others were made from; by its digest where it shares that id.
+    torn = scratch.table(feats.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("fp1").alias("a"), F.max("fp1").alias("b")).where("a <> b").select(F.col("doc_id").alias("t_id")))
+    if torn.isEmpty():
+        classes = classes.withColumn("id", F.col("rep"))
+    else:
+        classes = scratch.table(classes.join(torn, F.col("rep") == F.col("t_id"), "left").withColumn("id", F.when(F.col("t_id").isNull(), F.col("rep")).otherwise(F.col("fp1"))).drop("t_id"))
+    half = classes.select("id", "n", F.posexplode("halves").alias("pos", "val"))
     shared = half.groupBy("val").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("val")
     own = half.join(shared, "val").groupBy("id", "n").agg(F.collect_list(F.struct("pos", "val")).alias("h"))
     left = own.select("id", "n", F.explode(F.filter("h", lambda x: x["pos"] < halves)).alias("l"), "h")
     keyed = left.select("id", "n", "l", F.explode(F.filter("h", lambda x: x["pos"] >= halves)).alias("r")).select("id", "n", F.xxhash64("l.val", "r.val").alias("key"))
 
     groups = groups_of(keyed, scratch)
-    wanted = scratch.table(classes.join(members_of(groups), F.col("fp1") == F.col("id"), "left_semi").select(F.col("rep").alias("w_rep"), F.col("fp1").alias("w1"), F.col("fp2").alias("w2")))
+    wanted = scratch.table(classes.join(members_of(groups), "id", "left_semi").select("id", F.col("rep").alias("w_rep"), F.col("fp1").alias("w1"), F.col("fp2").alias("w2")))
     texts = prefilter.restricted(slim.withColumnRenamed("doc_id", "rep"), "rep", scratch.table(wanted.select("w_rep").distinct()))
     found = texts.mapInArrow(_sets(size), "rep long, fp1 long, fp2 long, items binary")
     same = (F.col("rep") == F.col("w_rep")) & (F.col("fp1") == F.col("w1")) & (F.col("fp2") == F.col("w2"))
-    sets = scratch.table(found.join(wanted, same, "left_semi").dropDuplicates(["fp1"]).select(F.col("fp1").alias("id"), "items"))
+    sets = scratch.table(found.join(wanted, same).select("id", "items").dropDuplicates(["id"]))
     linked = link_components(groups, sets, percent, scratch)
-    near = scratch.table(classes.join(linked, F.col("fp1") == F.col("id"), "left").select(F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), "rep", F.coalesce("component", "fp1").alias("component")))
+    near = scratch.table(classes.join(linked, "id", "left").select(F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), "rep", F.coalesce("component", "id").alias("component")))
     least = near.groupBy("component").agg(F.min("rep").alias("least"))
-    scratch.drop(classes, groups, wanted, sets)
+    scratch.drop(groups, wanted, sets)
     return feats.drop("halves"), scratch.table(near.drop("rep").join(least, "component"))
 
 
