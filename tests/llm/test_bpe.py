@@ -29,7 +29,9 @@ WORDS = (
 def mixed_texts():
     rng = random.Random(0)
     out = [" ".join(rng.choice(WORDS) for _ in range(20)) for _ in range(300)]
-    out += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(1, 0x350), rng.randrange(0x2000, 0x2150), rng.randrange(0x370, 0x530), rng.randrange(0x900, 0xD7FF)])) for _ in range(40)) for _ in range(600)]
+    out += ["".join(chr(rng.choice([
+        rng.randrange(32, 127), rng.randrange(1, 0x350), rng.randrange(0x2000, 0x2150), rng.randrange(0x370, 0x530), rng.randrange(0x900, 0xD7FF)
+    ])) for _ in range(40)) for _ in range(600)]
     out += ["".join(rng.choice("'stmdrevl! 1\n") for _ in range(60)) for _ in range(300)]
     out += ["".join(rng.choice("abcdeth") for _ in range(n)) for n in (39, 40, 41, 99, 100, 101, 3000)]
     return [*out, "", None, "one two " * 70_000, "\n", " <|endoftext|>", "<|endoftext|><|endoftext|>"]
@@ -77,7 +79,9 @@ def test_digests_of_documents(spark, odd, empty, vocabulary):
     want = Counter()
     for (d, t), n in texts.items():
         ids = theirs.encode(t or "", add_special_tokens=False).ids
-        want[d, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), theirs.decode(ids, skip_special_tokens=False)))] += n
+        want[
+            d, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), theirs.decode(ids, skip_special_tokens=False)))
+        ] += n
     assert Counter(map(tuple, bpe.text_digests(docs, PATH).collect())) == want
     assert bpe.text_digests(empty, PATH).count() == 0 and bpe.text_digests(odd, PATH).count() == len(ODD)
     coded = bpe.encode_documents(docs, vocabulary, None, digests=True)

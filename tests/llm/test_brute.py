@@ -107,7 +107,9 @@ def documents_with_passages(seed, n=70):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_passages_equal_brute_force(spark, scratch, seed):
     docs = documents_with_passages(seed)
-    got = {r.row.doc_id: WORD.findall(low(r.text)) for r in paragraphs.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"), scratch).collect()}
+    got = {r.row.doc_id: WORD.findall(low(r.text)) for r in paragraphs.without_repeats(
+        spark.createDataFrame(docs, "doc_id long, text string"), scratch
+    ).collect()}
     want = brute_passages(docs)
     wrong = [d for d, _ in docs if got[d] != want[d]]
     assert len(wrong) <= 0.02 * len(docs), [(d, len(got[d]), len(want[d])) for d in wrong]  # bands find 99.7 % of pairs at 0.8
@@ -123,7 +125,9 @@ def distance(p, q):
 
 
 def brute_quality(docs):
-    classes = lambda t: [len(regex.findall(r"\p{Lu}", t)), len(re.findall("[0-9]", t)), len(re.findall(r"[!-/:-@\[-`{-~]", t)), len(re.findall(r"[\x20\x09-\x0D]", t))]
+    classes = lambda t: [
+        len(regex.findall(r"\p{Lu}", t)), len(re.findall("[0-9]", t)), len(re.findall(r"[!-/:-@\[-`{-~]", t)), len(re.findall(r"[\x20\x09-\x0D]", t))
+    ]
     whole = lambda t: (c := classes(t)) + [len(t) - sum(c)]
     refs = {}
     for lang in {g for _, _, g in docs}:
@@ -138,7 +142,9 @@ def brute_quality(docs):
         far = distance(whole(t or ""), shape) > quality.MAX_CLASS_DISTANCE
         p = [own[w] for w in top]
         far |= len(words) >= quality.MIN_WORDS and distance([*p, len(words) - sum(p)], counts) > quality.MAX_WORD_DISTANCE
-        out.append((d, round(distance(whole(t or ""), shape), 6), round(distance([*p, len(words) - sum(p)], counts), 6), size >= quality.MIN_REFERENCE and far))
+        out.append((
+            d, round(distance(whole(t or ""), shape), 6), round(distance([*p, len(words) - sum(p)], counts), 6), size >= quality.MIN_REFERENCE and far
+        ))
     return out
 
 
@@ -167,8 +173,12 @@ def test_pipeline_stages_equal_brute_force(spark, duck, scratch):
     from tokenizers import Tokenizer
 
     stages = dict(corpus_pipeline.STAGES)
-    some = spark.read.parquet(f"{DATA}/documents.parquet").limit(120).select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
-    docs = scratch.table(some.where("doc_id > 100").unionByName(spark.createDataFrame(ODD, SCHEMA)).unionByName(spark.createDataFrame([(5000 + d, t, "en", "s", 1) for d, t in documents_with_passages(3, 40)], SCHEMA)))
+    some = spark.read.parquet(f"{DATA}/documents.parquet").limit(120).select(
+        "doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")
+    )
+    docs = scratch.table(some.where("doc_id > 100").unionByName(spark.createDataFrame(ODD, SCHEMA)).unionByName(spark.createDataFrame(
+        [(5000 + d, t, "en", "s", 1) for d, t in documents_with_passages(3, 40)], SCHEMA
+    )))
     clean = scratch.table(stages["toxicity"](spark, docs, DATA))
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} >= {r[0] for r in ODD}
 
@@ -190,11 +200,15 @@ def test_pipeline_stages_equal_brute_force(spark, duck, scratch):
     c.register("documents", left.toArrow())
     _, taken = oracle_rows(c, mixing.SQL)
     size = lambda t: len(WORD.findall(t or ""))
-    assert Counter(r.doc_id for r in mixed.collect() for _ in range(size(r.text))) == Counter({d: t for d, _, _, t, _ in ((r[0], r[1], r[2], r[3], r[4]) for r in taken) if t})
+    assert Counter(r.doc_id for r in mixed.collect() for _ in range(size(r.text))) == Counter({
+        d: t for d, _, _, t, _ in ((r[0], r[1], r[2], r[3], r[4]) for r in taken) if t
+    })
 
     coded = stages["bpe"](spark, mixed, DATA).collect()
     theirs = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    assert Counter((r.doc_id, tuple(r.ids)) for r in coded) == Counter((r.doc_id, tuple(theirs.encode(r.text or "", add_special_tokens=False).ids)) for r in mixed.collect())
+    assert Counter((r.doc_id, tuple(r.ids)) for r in coded) == Counter((
+        r.doc_id, tuple(theirs.encode(r.text or "", add_special_tokens=False).ids)
+    ) for r in mixed.collect())
 
 
 def test_pipeline_on_an_empty_table(spark, empty):

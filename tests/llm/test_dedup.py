@@ -33,7 +33,9 @@ def sets_of(text, size):
 
 def test_components_of_chains_stars_and_loops(spark, scratch):
     rng = random.Random(3)
-    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)] + [(
+        rng.randrange(300, 400), rng.randrange(300, 400)
+    ) for _ in range(60)]
     df = spark.createDataFrame([*edges, (None, 5)], "a long, b long")
     got = {r.id: r.component for r in connected_components(df, scratch).collect()}
     links = [(a, b) for a, b in edges if a != b]
@@ -121,8 +123,12 @@ def test_vectors_equal_brute_force(spark, scratch):
     base = rng.standard_normal((25, 16))
     x = [(int(i * 2 + 1), (base[i % 25] + rng.choice([0, 0.05, 0.25, 0.5]) * rng.standard_normal(16)).tolist()) for i in range(300)]
     x += [(900, x[0][1]), (901, [v * 3 for v in x[0][1]])]
-    odd = [(1001, None), (1002, [0.0] * 16), (1003, [float("nan")] * 16), (1004, [float("inf")] + [1.0] * 15), (1005, [None] + [1.0] * 15), (1006, [])]
-    got = {r.vec_id: tuple(r) for r in embed_dedup.near_duplicate_vectors(spark.createDataFrame([*x, *odd], "vec_id long, embedding array<double>"), scratch).collect()}
+    odd = [
+        (1001, None), (1002, [0.0] * 16), (1003, [float("nan")] * 16), (1004, [float("inf")] + [1.0] * 15), (1005, [None] + [1.0] * 15), (1006, [])
+    ]
+    got = {r.vec_id: tuple(r) for r in embed_dedup.near_duplicate_vectors(
+        spark.createDataFrame([*x, *odd], "vec_id long, embedding array<double>"), scratch
+    ).collect()}
     ids, m = [i for i, _ in x], np.array([v for _, v in x])
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     close = m @ m.T >= 0.9
@@ -232,7 +238,9 @@ def test_passages_of_short_lines_go_whole(spark, scratch):
     lines = "\n".join(" ".join(f"s{i}x{j}" for j in range(1 + i % 4)) for i in range(22))
     shout = " ".join(f"WORD{i}!!" for i in range(55))
     near = lambda x: " ".join([*(f"n{i}" for i in range(30)), x, *(f"n{i}" for i in range(30, 60))]) + ". Yes!"
-    one, two = ("\n".join([f"first own {d}", lines, f"then own {d}", shout, f"more own {d}", near("changed" if d else ""), f"last own {d}"]) for d in range(2))
+    one, two = ("\n".join([
+        f"first own {d}", lines, f"then own {d}", shout, f"more own {d}", near("changed" if d else ""), f"last own {d}"
+    ]) for d in range(2))
     out = stripped(spark, scratch, one, two)
     assert out[0].text == one
     assert out[1].text.split() == "first own 1 then own 1 more own 1 last own 1".split()

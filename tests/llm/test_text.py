@@ -51,8 +51,14 @@ def test_queries_equal_sql(spark, duck, name):
 
 def test_hosts_and_rules(spark, scratch):
     rows = [
-        (1, "http://A.Example.COM/en/7?x", "a.example.com", "/en/7", "example.com/en/7", "allow"), (2, "https://x.com/en/", "x.com", "/en/", "com/en/", "block"), (3, "ftp://net/de/8#y", "net", "/de/8", "net/de/", "allow"),
-        (4, "http://m.example.net/de/80", "m.example.net", "/de/80", "example.net/de/8", "block"), (5, "http://badexample.net/de/8", "badexample.net", "/de/8", "net/de/", "allow"), (6, None, "", "", None, None), (7, "no scheme", "", "", None, None),
+        (
+            1, "http://A.Example.COM/en/7?x", "a.example.com", "/en/7", "example.com/en/7", "allow"
+        ), (2, "https://x.com/en/", "x.com", "/en/", "com/en/", "block"), (3, "ftp://net/de/8#y", "net", "/de/8", "net/de/", "allow"),
+        (
+            4, "http://m.example.net/de/80", "m.example.net", "/de/80", "example.net/de/8", "block"
+        ), (
+            5, "http://badexample.net/de/8", "badexample.net", "/de/8", "net/de/", "allow"
+        ), (6, None, "", "", None, None), (7, "no scheme", "", "", None, None),
         (8, "http://h.org?q://z/", "h.org", "", None, None), (None, "x://y.org/es/a", "y.org", "/es/a", "org/es/", "block"),
     ]
     pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
@@ -93,10 +99,14 @@ def test_hosts_that_differ_by_chance_only_are_allowed(spark, scratch):
 
 def test_urls_on_odd_pages(spark, scratch, tmp_path):
     long = "http://" + "a" * 100_000 + ".com/en/" + "b" * 100_000
-    pages = spark.createDataFrame([(1, long), (1, long), (None, None), (2, "://"), (3, "x://?#")], "page_id long, url string").withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "good", "n", "m_id", "suffix")})
+    pages = spark.createDataFrame(
+        [(1, long), (1, long), (None, None), (2, "://"), (3, "x://?#")], "page_id long, url string"
+    ).withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "good", "n", "m_id", "suffix")})
     labels = spark.createDataFrame([(1, 0), (1, 1), (None, 0), (2, None)], "page_id long, good int")
     got = urls.judge(pages, labels, scratch).collect()
-    assert sorted((r.page_id or 0, len(r.host), r.rule, r.verdict) for r in got) == [(0, 0, None, "allow"), (1, 100_004, "com/en/", "block"), (1, 100_004, "com/en/", "block"), (2, 0, None, "allow"), (3, 0, None, "allow")]
+    assert sorted((r.page_id or 0, len(r.host), r.rule, r.verdict) for r in got) == [
+        (0, 0, None, "allow"), (1, 100_004, "com/en/", "block"), (1, 100_004, "com/en/", "block"), (2, 0, None, "allow"), (3, 0, None, "allow")
+    ]
     assert urls.judge(pages.limit(0), labels, scratch).count() == 0 and urls.judge(pages, labels.limit(0), scratch).count() == 5
     (tmp_path / "s.dat").write_text("// comment\ncom\nco.uk // both\n*.ck\n!www.ck\n\ngov.uk\n")
     assert urls.suffixes_from(spark, str(tmp_path / "s.dat")) == ["co.uk", "gov.uk"]
@@ -136,15 +146,22 @@ def test_warc_files_and_broken_records(spark):
 
 def test_warc_on_odd_pages(spark):
     rows = [(1, None, None), (None, "u", ""), (3, "a\r\nb", "\u00e9" * 1000), (3, "a\r\nb", "\u00e9" * 1000), (3, "a\r\nb", "other")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("record", "warc_type", "error")})
+    pages = spark.createDataFrame(
+        rows, "page_id long, url string, html string"
+    ).withColumns({c: F.lit("clash") for c in ("record", "warc_type", "error")})
     responses = warc.responses_of(pages).withColumns({c: F.lit("clash") for c in ("warc_type", "error", "url")})
     got = warc.derivatives(responses).collect()
     assert len(got) == 10 and all(r.source_digest_ok for r in got)
     of = Counter((r.page_id, r.refers_to) for r in got)
     assert sorted(of.values()) == [2, 2, 2, 4] and len({r.record_id for r in got}) == 8  # only equal rows are the same record
     assert warc.derivatives(warc.responses_of(pages.limit(0))).count() == 0
-    broken = spark.createDataFrame([(1, bytearray(b"junk")), (2, bytearray(warc.build_response(2, "u", "x", "d")[:-40])), (3, None), (4, bytearray(b""))], "page_id long, record binary")
-    assert sorted((r.page_id, r.warc_type, r.error[:9]) for r in warc.derivatives(broken, errors=True).collect()) == [(1, "error", "no record"), (2, "error", "record at")]
+    broken = spark.createDataFrame(
+        [(1, bytearray(b"junk")), (2, bytearray(warc.build_response(2, "u", "x", "d")[:-40])), (3, None), (4, bytearray(b""))],
+        "page_id long, record binary"
+    )
+    assert sorted((r.page_id, r.warc_type, r.error[:9]) for r in warc.derivatives(broken, errors=True).collect()) == [
+        (1, "error", "no record"), (2, "error", "record at")
+    ]
 
 
 def test_warc_equals_brute_force_on_the_pages(spark):
@@ -227,7 +244,9 @@ def test_label_model_discounts_copies_of_a_voter_and_beats_the_majority():
 def test_label_model_tells_from_votes_alone_and_weighs_patterns():
     rng = np.random.default_rng(3)
     y = rng.random(3000) < 0.2
-    votes = np.stack([np.where(y, rng.random(3000) < a, rng.random(3000) < b) for a, b in ((0.9, 0.02), (0.6, 0.01), (0.7, 0.3), (0.1, 0.1))], axis=1).astype(int)
+    votes = np.stack(
+        [np.where(y, rng.random(3000) < a, rng.random(3000) < b) for a, b in ((0.9, 0.02), (0.6, 0.01), (0.7, 0.3), (0.1, 0.1))], axis=1
+    ).astype(int)
     codes, inverse, n = np.unique(votes @ [8, 4, 2, 1], return_inverse=True, return_counts=True)
     post, rates, _ = toxicity.label_model(codes[:, None] >> np.array([3, 2, 1, 0]) & 1, n.astype(float), 0.2)
     assert ((post[inverse] > 0.5) == y).mean() > 0.95 and np.abs(rates[:, 3] - 0.1).max() < 0.05
@@ -289,7 +308,9 @@ def test_language_scores(spark, scratch):
     want = Counter()
     for d, t in docs:
         tokens = [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
-        want[d, len(tokens), sum(count[w] > 0 for w in tokens), n, round(sum(np.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), 4)] += 1
+        want[
+            d, len(tokens), sum(count[w] > 0 for w in tokens), n, round(sum(np.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), 4)
+        ] += 1
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
@@ -298,7 +319,9 @@ def test_language_scores(spark, scratch):
 
 def test_quality_counts(spark, scratch):
     rng = random.Random(4)
-    docs = [(i, "\n".join(" ".join(rng.choice("ab # c d <x> ef".split(" ")) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(30))), "en") for i in range(150)]
+    docs = [(
+        i, "\n".join(" ".join(rng.choice("ab # c d <x> ef".split(" ")) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(30))), "en"
+    ) for i in range(150)]
     docs += [(1000 + i, r[1], r[2]) for i, r in enumerate(ODD)]
     for r in quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), scratch).collect():
         t = next(d[1] for d in docs if d[0] == r.doc_id) or ""
@@ -307,7 +330,10 @@ def test_quality_counts(spark, scratch):
         for i in range(len(w) - 7):
             if found[tuple(w[i : i + 8])] > 1:
                 cover.update(range(i, i + 8))
-        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover), len(w) < 20 or 100 * len(cover) > 30 * len(w))
+        want = (
+            len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover),
+            len(w) < 20 or 100 * len(cover) > 30 * len(w)
+        )
         assert tuple(r)[1:7] == want, t
         assert not (r.base_failed and r.kept)
 

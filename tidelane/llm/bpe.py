@@ -305,7 +305,10 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
         under[i] = at
         first.append(len(byte))
     starts = np.append(0, np.cumsum([len(ids) for _, ids in words])).astype(np.uint32)
-    parts = [[len(states), len(byte), len(words)], first, [int(f) for f, _ in states], byte, target, number, starts, list(chain.from_iterable(ids for _, ids in words))]
+    parts = [
+        [len(states), len(byte), len(words)], first, [int(f) for f, _ in states], byte, target, number, starts,
+        list(chain.from_iterable(ids for _, ids in words))
+    ]
     return np.concatenate([np.asarray(p, dtype=np.uint32) for p in parts]).tobytes()
 
 
@@ -395,7 +398,9 @@ class Encoder:
             while to < len(parts) and (to == at or size + len(parts[to]) < 1 << 18):
                 size += len(parts[to])
                 to += 1
-            ids, counts = self._encode(["" if p in special else p for p in parts[at:to]], {i: special[p] for i, p in enumerate(parts[at:to]) if p in special})
+            ids, counts = self._encode(
+                ["" if p in special else p for p in parts[at:to]], {i: special[p] for i, p in enumerate(parts[at:to]) if p in special}
+            )
             flat.append(ids)
             np.add.at(n, of[at:to], counts)
             at = to
@@ -483,7 +488,9 @@ def piece_counts(docs: DataFrame, v: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _tools(shipped)
         seen: Counter = Counter()
-        whole = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+        whole = lambda: pa.RecordBatch.from_arrays(
+            [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"]
+        )
         held = 0
         for b in batches:
             for t in b.column("text"):
@@ -562,7 +569,9 @@ def decode_documents(encoded: DataFrame, v: Vocabulary) -> DataFrame:
                 part = b.slice(at, 64)
                 ids = part.column("__ids")
                 text = writer.decoded(ids.flatten().to_numpy(), ids.value_lengths().fill_null(0).to_numpy())
-                yield pa.RecordBatch.from_arrays([part.column("row"), ids, pa.array([t.decode() for t in text], pa.string())], ["row", "__ids", "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), ids, pa.array([t.decode() for t in text], pa.string())], ["row", "__ids", "decoded"]
+                )
 
     row = encoded.select(F.struct(*(n for n in names if n != "ids"), F.lit(0).alias("__none")).alias("row"), F.col("ids").alias("__ids"))
     out = row.mapInArrow(run, row.select("row", "__ids", F.lit("").alias("decoded")).schema)
@@ -583,9 +592,14 @@ def text_digests(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for part in _chunks(b, "text"):
                 ids, n = encoder.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), _hex(writer.digits(ids, n)), _hex(writer.decoded(ids, n))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n), _hex(writer.digits(ids, n)), _hex(writer.decoded(ids, n))],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -40,4 +40,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("id")).distinct()
-    return scratch.table(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component"))))
+    return scratch.table(e.select(
+        F.col("u").alias("id"), F.col("v").alias("component")
+    ).unionByName(roots.select("id", F.col("id").alias("component"))))

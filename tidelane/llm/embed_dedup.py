@@ -75,8 +75,13 @@ def _hash(bits: int, tables: int, seed: int, block: int = 512):
                     d = [xxhash.xxh3_128_digest(v.tobytes()) for v in x]
                     one[at], two[at] = (np.array([int.from_bytes(v[k : k + 8], "little", signed=True) for v in d]) for k in (0, 8))
                     told[at] = True
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(told * x.shape[1])).astype(np.int32)), pa.array(x[told].ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(one, mask=~told), pa.array(two, mask=~told), lists(keys), lists(sketch), col], ["vec_id", "fp1", "fp2", "keys", "sketch", "x"])
+                lists = lambda x: pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(told * x.shape[1])).astype(np.int32)), pa.array(x[told].ravel())
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("vec_id"), pa.array(one, mask=~told), pa.array(two, mask=~told), lists(keys), lists(sketch), col],
+                    ["vec_id", "fp1", "fp2", "keys", "sketch", "x"]
+                )
 
     return run
 
@@ -110,13 +115,18 @@ def _confirm(cosine: float, most: int = 200_000):
     """
 
     def flush(parts: list[tuple]) -> pa.RecordBatch:
-        a, b, an, bn, ar, br = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 6
+        a, b, an, bn, ar, br = (
+            np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts, strict=True)
+        ) if parts else [np.zeros(0, np.int64)] * 6
         names, index = np.unique(np.append(a, b), return_inverse=True)
         m = np.zeros(len(names), np.int64)
         np.add.at(m, index, np.append(bn, an))
         u, v = _spanning(ar, br)
         null = lambda n: pa.nulls(n, pa.int64())
-        columns = [pa.concat_arrays([pa.array(names), null(len(u))]), pa.concat_arrays([pa.array(m), null(len(u))]), pa.concat_arrays([null(len(m)), pa.array(u)]), pa.concat_arrays([null(len(m)), pa.array(v)])]
+        columns = [
+            pa.concat_arrays([pa.array(names), null(len(u))]), pa.concat_arrays([pa.array(m), null(len(u))]),
+            pa.concat_arrays([null(len(m)), pa.array(u)]), pa.concat_arrays([null(len(m)), pa.array(v)])
+        ]
         return pa.RecordBatch.from_arrays(columns, ["fp1", "m", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,13 +165,24 @@ def near_duplicate_vectors(vectors: DataFrame, scratch: Scratch, cosine: float =
     """
     wide = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bits, tables = plan(wide.count(), cosine, miss)
-    feats = scratch.table(wide.mapInArrow(_hash(bits, tables, seed), "vec_id long, fp1 long, fp2 long, keys array<long>, sketch array<long>, x array<double>"))
-    classes = scratch.table(feats.where("fp1 is not null and vec_id is not null").groupBy("fp1", "fp2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("x").alias("x")))
-    keyed = classes.select(F.col("fp1").alias("id"), "rep", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64)), F.posexplode("keys").alias("pos", "val")).withColumn("key", F.xxhash64("pos", "val")).drop("pos", "val")
+    feats = scratch.table(wide.mapInArrow(
+        _hash(bits, tables, seed), "vec_id long, fp1 long, fp2 long, keys array<long>, sketch array<long>, x array<double>"
+    ))
+    classes = scratch.table(feats.where("fp1 is not null and vec_id is not null").groupBy("fp1", "fp2").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
+        F.first("x").alias("x")
+    ))
+    keyed = classes.select(
+        F.col("fp1").alias("id"), "rep", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64)),
+        F.posexplode("keys").alias("pos", "val")
+    ).withColumn("key", F.xxhash64("pos", "val")).drop("pos", "val")
     left = keyed.select("key", *(F.col(c).alias(f"l_{c}") for c in keyed.columns if c != "key"))
     unlike = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"l_s{i}"))) for i in range(SKETCH // 64)), F.lit(0))
     pairs = left.join(keyed, "key").where((F.col("l_id") < F.col("id")) & (unlike <= most_unlike(cosine)))
-    pairs = scratch.table(pairs.select(F.col("l_id").alias("a"), F.col("id").alias("b"), F.col("l_n").alias("an"), F.col("n").alias("bn"), F.col("l_rep").alias("ar"), F.col("rep").alias("br")).distinct())
+    pairs = scratch.table(pairs.select(
+        F.col("l_id").alias("a"), F.col("id").alias("b"), F.col("l_n").alias("an"), F.col("n").alias("bn"), F.col("l_rep").alias("ar"),
+        F.col("rep").alias("br")
+    ).distinct())
     x = classes.select("fp1", "x")
     both = pairs.join(x.withColumnRenamed("fp1", "a"), "a").join(x.select(F.col("fp1").alias("b"), F.col("x").alias("y")), "b")
     found = scratch.table(both.select("a", "b", "an", "bn", "ar", "br", "x", "y").mapInArrow(_confirm(cosine), _FOUND))
@@ -172,7 +193,10 @@ def near_duplicate_vectors(vectors: DataFrame, scratch: Scratch, cosine: float =
     of = of.select("fp1", "fp2", (F.coalesce("m", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = feats.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("fp1")).alias("fp1"), "fp2").join(of, ["fp1", "fp2"], "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

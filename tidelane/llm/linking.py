@@ -97,7 +97,9 @@ def groups_of(keyed: DataFrame, scratch: Scratch) -> DataFrame:
 
     keyed is (id, n, key). What has a row with the same b is a group; a key of one id alone gives no row.
     """
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("other")).where("hub.id <> other").select("key", F.col("hub.id").alias("b"), F.col("hub.n").alias("bn"))
+    hubs = keyed.groupBy("key").agg(
+        F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("other")
+    ).where("hub.id <> other").select("key", F.col("hub.id").alias("b"), F.col("hub.n").alias("bn"))
     return scratch.table(keyed.join(hubs, "key").where("id <> b").select(F.col("id").alias("a"), F.col("n").alias("an"), "b", "bn").distinct())
 
 
@@ -144,14 +146,20 @@ def link_components(first: DataFrame, sets: DataFrame, percent: int, scratch: Sc
     now = members(comp)
     drawn = [F.min(F.struct(F.xxhash64("a", F.lit(k)).alias("h"), "a", "an", "a_in")).alias(f"p{k}") for k in range(PIVOTS)]
     hub = F.first(F.struct(F.lit(0).cast("long").alias("h"), F.col("b").alias("a"), F.col("bn").alias("an"), F.col("b_in").alias("a_in")))
-    pivots = now.groupBy("b").agg(*drawn, hub.alias("hub")).select("b", F.array_distinct(F.array("hub", *(f"p{k}" for k in range(PIVOTS)))).alias("p"))
-    tried = apart(now).join(pivots, "b").select("x", "xn", "x_in", F.explode(F.expr("filter(p, q -> q.a_in <> x_in)")).alias("q")).select("x", "xn", "q.a", "q.an")
+    pivots = now.groupBy("b").agg(*drawn, hub.alias("hub")).select(
+        "b", F.array_distinct(F.array("hub", *(f"p{k}" for k in range(PIVOTS)))).alias("p")
+    )
+    tried = apart(now).join(pivots, "b").select(
+        "x", "xn", "x_in", F.explode(F.expr("filter(p, q -> q.a_in <> x_in)")).alias("q")
+    ).select("x", "xn", "q.a", "q.an")
     comp = merged(comp, links(pair(tried)))
     then = members(comp)
     xs = scratch.table(then.where("a_in <> b_in").select(F.col("b").alias("group"), F.col("a").alias("id"), F.col("a_in").alias("inside")))
     if xs.isEmpty():
         return comp
-    ys = then.select(F.col("b").alias("group"), F.col("a").alias("id"), F.col("a_in").alias("inside")).join(xs.select("group").distinct(), "group", "left_semi")
+    ys = then.select(
+        F.col("b").alias("group"), F.col("a").alias("id"), F.col("a_in").alias("inside")
+    ).join(xs.select("group").distinct(), "group", "left_semi")
     out = merged(comp, scratch.table(blockwise(xs, ys, sets, percent)))
     scratch.drop(now, then, xs)
     return out

@@ -30,7 +30,10 @@ def _features(size: int, halves: int, rows: int, seed: int):
                 keys = sh.keys(x, n[has], c, rows) if has.any() else np.zeros((0, 2 * halves), np.int64)
                 ends = np.append(0, np.cumsum(has) * 2 * halves).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, to - at), pa.array(n.astype(np.int64)), one, two, lists], ["doc_id", "n_shingles", "fp1", "fp2", "halves"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(at, to - at), pa.array(n.astype(np.int64)), one, two, lists],
+                    ["doc_id", "n_shingles", "fp1", "fp2", "halves"]
+                )
 
     return run
 
@@ -42,12 +45,16 @@ def _sets(size: int):
                 x, n = sh.shingles(words.hashes(), words.docs, size)
                 one, two = sh.digests(x, n)
                 items = [np.sort(s).tobytes() for s in np.split(x, np.cumsum(n)[:-1])]
-                yield pa.RecordBatch.from_arrays([b.column("rep").slice(at, to - at), pa.array(one), pa.array(two), pa.array(items, pa.binary())], ["rep", "fp1", "fp2", "items"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("rep").slice(at, to - at), pa.array(one), pa.array(two), pa.array(items, pa.binary())], ["rep", "fp1", "fp2", "items"]
+                )
 
     return run
 
 
-def linked_classes(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, halves: int = HALVES, rows: int = ROWS, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+def linked_classes(
+    docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, halves: int = HALVES, rows: int = ROWS, seed: int = 5
+) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, fp1, fp2, ...) of each row of docs (doc_id, text); and the classes of equal sets with links.
 
     The second table is (c1, c2, component, least): a class's digests, its component, and the smallest doc_id there.
@@ -58,28 +65,42 @@ def linked_classes(docs: DataFrame, scratch: Scratch, size: int = 5, percent: in
     (1 - (1 - s**rows)**halves)**2: 0.9996 at 0.8 and over 0.999999 at 0.9.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feats = scratch.table(slim.mapInArrow(_features(size, halves, rows, seed), "doc_id long, n_shingles long, fp1 long, fp2 long, halves array<long>"))
-    classes = scratch.table(feats.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")))
+    feats = scratch.table(slim.mapInArrow(
+        _features(size, halves, rows, seed), "doc_id long, n_shingles long, fp1 long, fp2 long, halves array<long>"
+    ))
+    classes = scratch.table(feats.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")
+    ))
     # A class goes by its smallest doc_id, for the first of a group is mostly what the others were made from; by its digest where it shares that id.
-    torn = scratch.table(feats.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("fp1").alias("a"), F.max("fp1").alias("b")).where("a <> b").select(F.col("doc_id").alias("t_id")))
+    torn = scratch.table(feats.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(
+        F.min("fp1").alias("a"), F.max("fp1").alias("b")
+    ).where("a <> b").select(F.col("doc_id").alias("t_id")))
     if torn.isEmpty():
         classes = classes.withColumn("id", F.col("rep"))
     else:
-        classes = scratch.table(classes.join(torn, F.col("rep") == F.col("t_id"), "left").withColumn("id", F.when(F.col("t_id").isNull(), F.col("rep")).otherwise(F.col("fp1"))).drop("t_id"))
+        classes = scratch.table(classes.join(torn, F.col("rep") == F.col("t_id"), "left").withColumn(
+            "id", F.when(F.col("t_id").isNull(), F.col("rep")).otherwise(F.col("fp1"))
+        ).drop("t_id"))
     half = classes.select("id", "n", F.posexplode("halves").alias("pos", "val"))
     shared = half.groupBy("val").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("val")
     own = half.join(shared, "val").groupBy("id", "n").agg(F.collect_list(F.struct("pos", "val")).alias("h"))
     left = own.select("id", "n", F.explode(F.filter("h", lambda x: x["pos"] < halves)).alias("l"), "h")
-    keyed = left.select("id", "n", "l", F.explode(F.filter("h", lambda x: x["pos"] >= halves)).alias("r")).select("id", "n", F.xxhash64("l.val", "r.val").alias("key"))
+    keyed = left.select(
+        "id", "n", "l", F.explode(F.filter("h", lambda x: x["pos"] >= halves)).alias("r")
+    ).select("id", "n", F.xxhash64("l.val", "r.val").alias("key"))
 
     groups = groups_of(keyed, scratch)
-    wanted = scratch.table(classes.join(members_of(groups), "id", "left_semi").select("id", F.col("rep").alias("w_rep"), F.col("fp1").alias("w1"), F.col("fp2").alias("w2")))
+    wanted = scratch.table(classes.join(members_of(groups), "id", "left_semi").select(
+        "id", F.col("rep").alias("w_rep"), F.col("fp1").alias("w1"), F.col("fp2").alias("w2")
+    ))
     texts = prefilter.restricted(slim.withColumnRenamed("doc_id", "rep"), "rep", scratch.table(wanted.select("w_rep").distinct()))
     found = texts.mapInArrow(_sets(size), "rep long, fp1 long, fp2 long, items binary")
     same = (F.col("rep") == F.col("w_rep")) & (F.col("fp1") == F.col("w1")) & (F.col("fp2") == F.col("w2"))
     sets = scratch.table(found.join(wanted, same).select("id", "items").dropDuplicates(["id"]))
     linked = link_components(groups, sets, percent, scratch)
-    near = scratch.table(classes.join(linked, "id", "left").select(F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), "rep", F.coalesce("component", "id").alias("component")))
+    near = scratch.table(classes.join(linked, "id", "left").select(
+        F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), "rep", F.coalesce("component", "id").alias("component")
+    ))
     least = near.groupBy("component").agg(F.min("rep").alias("least"))
     scratch.drop(groups, wanted, sets)
     return feats.drop("halves"), scratch.table(near.drop("rep").join(least, "component"))
@@ -97,14 +118,20 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = 5, percent: i
     gives an empty result; columns besides doc_id and text are not looked at.
     """
     feats, of = linked_classes(docs, scratch, size, percent, **options)
-    out = feats.join(of, (F.col("fp1") == F.col("c1")) & (F.col("fp2") == F.col("c2")), "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    out = feats.join(
+        of, (F.col("fp1") == F.col("c1")) & (F.col("fp2") == F.col("c2")), "left"
+    ).select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     own = out.where("n_shingles > 0 and doc_id is not null")
-    ties = scratch.table(own.groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a < b").select(F.col("doc_id").alias("t_id"), "a"))
+    ties = scratch.table(own.groupBy("doc_id").agg(
+        F.min("component_id").alias("a"), F.max("component_id").alias("b")
+    ).where("a < b").select(F.col("doc_id").alias("t_id"), "a"))
     if not ties.isEmpty():
         joined = connected_components(own.join(ties, F.col("doc_id") == F.col("t_id")).select("a", F.col("component_id").alias("b")), scratch)
         out = out.join(joined, F.col("component_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "component_id"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")
+    )
 
 
 def _marked(size: int):
@@ -114,7 +141,9 @@ def _marked(size: int):
                 x, n = sh.shingles(words.hashes(), words.docs, size)
                 one, two = sh.digests(x, n)
                 part = b.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(n), pa.array(one), pa.array(two)], ["row", "text", "n", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("text"), pa.array(n), pa.array(one), pa.array(two)], ["row", "text", "n", "f1", "f2"]
+                )
 
     return run
 
@@ -127,7 +156,9 @@ def first_of_groups(docs: DataFrame, scratch: Scratch, size: int = 5, **options)
     table gives an empty result.
     """
     feats, of = linked_classes(docs, scratch, size=size, **options)
-    found = scratch.table(feats.where("doc_id is not null and n_shingles > 0").join(of, (F.col("fp1") == F.col("c1")) & (F.col("fp2") == F.col("c2"))).select("doc_id", (F.col("doc_id") == F.col("least")).alias("first")))
+    found = scratch.table(feats.where("doc_id is not null and n_shingles > 0").join(
+        of, (F.col("fp1") == F.col("c1")) & (F.col("fp2") == F.col("c2"))
+    ).select("doc_id", (F.col("doc_id") == F.col("least")).alias("first")))
     by_id = scratch.table(found.groupBy("doc_id").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("c")).where("not first or c > 1"))
     gone, again = (scratch.table(by_id.where(x).select(F.col("doc_id").alias("g_id"))) for x in ("not first", "first"))
     names = [c for c in docs.columns if c != "text"]
@@ -139,7 +170,9 @@ def first_of_groups(docs: DataFrame, scratch: Scratch, size: int = 5, **options)
     marked = prefilter.restricted(rest, "d_id", again).select("row", "text")
     schema = marked.select("row", "text", *(F.lit(0).cast("long").alias(c) for c in ("n", "f1", "f2"))).schema
     marked = scratch.table(marked.mapInArrow(_marked(size), schema))
-    one = marked.where("n > 0").join(of, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))).where(F.col("row")["doc_id"].cast("long") == F.col("least")).dropDuplicates(["component"])
+    one = marked.where("n > 0").join(
+        of, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2"))
+    ).where(F.col("row")["doc_id"].cast("long") == F.col("least")).dropDuplicates(["component"])
     others = prefilter.restricted(rest, "d_id", again, "left_anti")
     return whole(others).unionByName(whole(marked.where("n = 0"))).unionByName(whole(one))
 

@@ -32,15 +32,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
     before = Window.orderBy(F.col("cap") / F.col("w"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     none = F.lit(0).cast("decimal(38,0)")
-    x = x.withColumns({"budget": F.sum("source_size").over(every).cast("decimal(38,0)"), "all_w": F.sum("w").over(every), "cap_before": F.coalesce(F.sum("cap").over(before), none), "w_before": F.coalesce(F.sum("w").over(before), none)})
+    x = x.withColumns({
+        "budget": F.sum("source_size").over(every).cast("decimal(38,0)"), "all_w": F.sum("w").over(every),
+        "cap_before": F.coalesce(F.sum("cap").over(before), none), "w_before": F.coalesce(F.sum("w").over(before), none)
+    })
     full = F.col("cap").cast("double") * (F.col("all_w") - F.col("w_before")).cast("double") <= (F.col("budget") - F.col("cap_before")).cast("double") * F.col("w").cast("double")
     x = x.withColumn("full", full)
-    x = x.withColumns({"left": F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(none)).over(every), "left_w": F.sum(F.when(F.col("full"), none).otherwise(F.col("w"))).over(every)})
-    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("left").cast("double") * F.col("w").cast("double") / F.col("left_w").cast("double"))
+    x = x.withColumns({
+        "left": F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(none)).over(every),
+        "left_w": F.sum(F.when(F.col("full"), none).otherwise(F.col("w"))).over(every)
+    })
+    target = F.when(
+        F.col("full"), F.col("cap").cast("double")
+    ).otherwise(F.col("left").cast("double") * F.col("w").cast("double") / F.col("left_w").cast("double"))
     return x.select("source", "source_size", "rank", target.alias("target"), F.col("budget").cast("long").alias("budget"))
 
 
-def mix(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = "mix", bucket_rows: int = 2000) -> DataFrame:
+def mix(
+    sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = "mix", bucket_rows: int = 2000
+) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies): how often the mix takes each row of sizes.
 
     Each source's documents are shuffled by a digest of doc_id and queued as often as its target needs, up to
@@ -57,16 +67,27 @@ def mix(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS,
     queued = sizes.withColumn("h", digest).withColumn("bucket", F.substring("h", 1, digits))
     sums = queued.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
+    offsets = sums.select(
+        F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset")
+    )
     targets = source_targets(sums.withColumnRenamed("s", "size"), weights, repeats)
     x = queued.withColumn("within", F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "size")))
     x = x.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
     t = targets.withColumnRenamed("source", "t_source")
     x = x.join(t, F.col("source").eqNullSafe(F.col("t_source")))
-    passes = F.when(F.col("source_size") > 0, F.least(F.lit(repeats), F.greatest(F.lit(1), F.ceil(F.col("target") / F.col("source_size")).cast("int")))).otherwise(1)
-    x = scratch.table(x.select("doc_id", "source", "size", "source_size", "rank", "target", "budget", "h", (F.col("offset") + F.col("within")).alias("cum"), passes.alias("passes")))
-    finish = lambda e: F.when(F.col("target") > 0, (e * F.col("source_size") + F.col("cum")).cast("double") / F.col("target")).otherwise(F.lit(0.0))
-    key = lambda e: F.struct(finish(e).alias("finish"), F.col("rank").alias("rank"), F.col("h").alias("h"), F.col("size").alias("size"), e.cast("int").alias("pass"))
+    passes = F.when(
+        F.col("source_size") > 0, F.least(F.lit(repeats), F.greatest(F.lit(1), F.ceil(F.col("target") / F.col("source_size")).cast("int")))
+    ).otherwise(1)
+    x = scratch.table(x.select(
+        "doc_id", "source", "size", "source_size", "rank", "target", "budget", "h", (F.col("offset") + F.col("within")).alias("cum"),
+        passes.alias("passes")
+    ))
+    finish = lambda e: F.when(
+        F.col("target") > 0, (e * F.col("source_size") + F.col("cum")).cast("double") / F.col("target")
+    ).otherwise(F.lit(0.0))
+    key = lambda e: F.struct(
+        finish(e).alias("finish"), F.col("rank").alias("rank"), F.col("h").alias("h"), F.col("size").alias("size"), e.cast("int").alias("pass")
+    )
     copies = x.select("budget", F.explode(F.transform(F.sequence(F.lit(0), F.col("passes") - 1), key)).alias("k"))
     steps = max(1024, min(1_000_000, rows // bucket_rows))
     copies = copies.withColumn("step", F.least(F.floor(F.col("k.finish") * steps), F.lit(2 * steps)))
@@ -76,8 +97,12 @@ def mix(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS,
     take = F.col("passes")
     if edge:
         order = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-        last = copies.where(F.col("step") == edge[0].step).withColumn("end", F.sum("k.size").over(order) + F.lit(edge[0].start)).where("end <= budget").agg(F.max("k").alias("k")).first().k
-        limit = [F.lit(edge[0].step / steps), F.lit(-1), F.lit(""), F.lit(0).cast("long"), F.lit(-1)] if last is None else [F.lit(last.finish), F.lit(last.rank), F.lit(last.h), F.lit(last.size).cast("long"), F.lit(last["pass"])]
+        last = copies.where(F.col("step") == edge[0].step).withColumn(
+            "end", F.sum("k.size").over(order) + F.lit(edge[0].start)
+        ).where("end <= budget").agg(F.max("k").alias("k")).first().k
+        limit = [F.lit(edge[0].step / steps), F.lit(-1), F.lit(""), F.lit(0).cast("long"), F.lit(-1)] if last is None else [
+            F.lit(last.finish), F.lit(last.rank), F.lit(last.h), F.lit(last.size).cast("long"), F.lit(last["pass"])
+        ]
         cut = F.struct(*(v.alias(n) for v, n in zip(limit, ("finish", "rank", "h", "size", "pass"), strict=True)))
         take = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.col("passes") - 1), key), lambda k: k <= cut))
     return x.select("doc_id", "source", "size", "source_size", "target", take.cast("int").alias("copies"))
@@ -89,8 +114,12 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """docs with each row as often as the mix takes it; all columns stay as they are."""
-    taken = mix(scratch.table(sized(docs)), scratch, **options).where("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies").distinct()
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), F.col("source").alias("d_source"), n_words(F.col("text")).alias("d_size"))
+    taken = mix(scratch.table(sized(docs)), scratch, **options).where("copies > 0").select(
+        F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies"
+    ).distinct()
+    row = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_id"), F.col("source").alias("d_source"), n_words(F.col("text")).alias("d_size")
+    )
     same = F.col("d_id").eqNullSafe(F.col("m_id")) & F.col("d_source").eqNullSafe(F.col("m_source")) & (F.col("d_size") == F.col("m_size"))
     return row.join(taken, same).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 

@@ -106,7 +106,9 @@ def _pieces(bands: int, rows: int, percent: int, seed: int, min_words: int):
                 lists = _lists(np.append(keys.ravel(), a.view(np.int64)), np.append(long * bands, np.bincount(of, minlength=len(ids))))
                 held = np.append(ids[np.searchsorted(words.docs, e)], ids)
                 sizes = np.append(n, -total).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.append(fp, whole_digests(h, words.docs))), pa.array(sizes), lists], ["doc_id", "fp", "n", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held), pa.array(np.append(fp, whole_digests(h, words.docs))), pa.array(sizes), lists], ["doc_id", "fp", "n", "keys"]
+                )
 
     return run
 
@@ -139,11 +141,15 @@ def _windows_and_sets(min_words: int):
                 a = anchors(h, min_words)
                 whole, of = _inside(words.docs, len(a), min_words)
                 a, of, x = a[whole], of[whole], sh.grams(h, min_words)[whole]
-                known, own = shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(ids)), shared.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                known, own = shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(
+                    np.arange(len(ids)), shared.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                )
                 salt = lambda v, k: sh.mix(v + k.astype(np.uint64) * sh.U(0xD6E8FEB86659FD93))  # noqa: E731  a text's own anchors count, not its neighbours'
                 hit = np.isin(salt(a, of), salt(known, own))
                 x, of = sh.distinct(x[hit], of[hit])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(x.view(np.int64)), pa.nulls(len(x), pa.binary())], ["doc_id", "fp", "items"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[of]), pa.array(x.view(np.int64)), pa.nulls(len(x), pa.binary())], ["doc_id", "fp", "items"]
+                )
                 asked = want.flatten().to_numpy(zero_copy_only=False)
                 if len(asked):
                     b, e = paragraphs_of(words.lines(), least)
@@ -153,12 +159,17 @@ def _windows_and_sets(min_words: int):
                     _, new = np.unique(fp[take], return_index=True)
                     take = take[new]
                     of = ids[np.searchsorted(words.docs, e[take])]
-                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(fp[take]), pa.array([np.sort(x[first[i] : first[i + 1]]).tobytes() for i in take], pa.binary())], ["doc_id", "fp", "items"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(of), pa.array(fp[take]), pa.array([np.sort(x[first[i] : first[i + 1]]).tobytes() for i in take], pa.binary())],
+                        ["doc_id", "fp", "items"]
+                    )
 
     return run
 
 
-def repeated_pieces(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, seed: int = 9, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_pieces(
+    docs: DataFrame, scratch: Scratch, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, seed: int = 9, min_words: int = MIN_WORDS
+) -> DataFrame:
     """(doc_id, fp, keeper): what docs hold that an earlier document, keeper, has too: texts, paragraphs, windows of words.
 
     Texts with the same words are one class, of which the smallest doc_id is the keeper. Paragraphs (lines
@@ -179,20 +190,30 @@ def repeated_pieces(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, b
         return scratch.table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"))
 
     # Texts: their classes, and one text of each for the anchors.
-    firsts = scratch.table(whole.groupBy("fp", "n").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most"), F.first("keys").alias("keys")))
-    found = whole.join(firsts.where("keeper < most").select("fp", "n", "keeper"), ["fp", "n"]).where("doc_id <> keeper").select("doc_id", "fp", "keeper")
+    firsts = scratch.table(whole.groupBy("fp", "n").agg(
+        F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most"), F.first("keys").alias("keys")
+    ))
+    found = whole.join(
+        firsts.where("keeper < most").select("fp", "n", "keeper"), ["fp", "n"]
+    ).where("doc_id <> keeper").select("doc_id", "fp", "keeper")
     copies = scratch.table(found.distinct())
 
     twice = in_two(firsts.select(F.explode("keys").alias("key")))
-    thin = firsts.select(F.col("keeper").alias("doc_id"), "keys").mapInArrow(_among(sc.broadcast(prefilter.bitmap(twice)), "doc_id"), "doc_id long, key long")
+    thin = firsts.select(F.col("keeper").alias("doc_id"), "keys").mapInArrow(
+        _among(sc.broadcast(prefilter.bitmap(twice)), "doc_id"), "doc_id long, key long"
+    )
     shared = thin.join(twice, "key").groupBy("doc_id").agg(F.collect_list("key").alias("anchors"))
 
     # Paragraphs: candidates by bands.
     long = pieces.where("size(keys) > 0")
     banded = in_two(long.groupBy("fp").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key")))
-    keyed = long.select(F.col("fp").alias("id"), F.col("n").cast("long").alias("n"), "keys").mapInArrow(_among(sc.broadcast(prefilter.bitmap(banded)), "id", "n"), "id long, n long, key long").distinct()
+    keyed = long.select(F.col("fp").alias("id"), F.col("n").cast("long").alias("n"), "keys").mapInArrow(
+        _among(sc.broadcast(prefilter.bitmap(banded)), "id", "n"), "id long, n long, key long"
+    ).distinct()
     sized = F.floor(F.log("n") / math.log(max(100 / percent, 1.001) * (1 + 1e-9)))
-    keyed = keyed.select("id", "n", "key", F.explode(F.array(sized, sized + 1)).alias("size")).select("id", "n", F.xxhash64("key", "size").alias("key"))
+    keyed = keyed.select(
+        "id", "n", "key", F.explode(F.array(sized, sized + 1)).alias("size")
+    ).select("id", "n", F.xxhash64("key", "size").alias("key"))
     groups = groups_of(keyed, scratch)
     ids = scratch.table(members_of(groups))
     holders = long.select(F.col("fp").alias("id"), "doc_id").join(ids, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
@@ -200,7 +221,9 @@ def repeated_pieces(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, b
 
     # Both need the texts: one pass over those that are asked for.
     asked = scratch.table(shared.join(want, "doc_id", "full").withColumnRenamed("doc_id", "__id"))
-    held = scratch.table(texts.join(asked, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "anchors", "want").mapInArrow(_windows_and_sets(min_words), "doc_id long, fp long, items binary"))
+    held = scratch.table(texts.join(asked, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "anchors", "want").mapInArrow(
+        _windows_and_sets(min_words), "doc_id long, fp long, items binary"
+    ))
     windows = held.where("items is null").select("doc_id", "fp")
     again = windows.groupBy("fp").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most")).where("keeper < most").drop("most")
     equal = windows.join(again, "fp").where("doc_id <> keeper").select("doc_id", "fp", "keeper")
@@ -263,7 +286,10 @@ def repeated_runs(h: np.ndarray, lines: np.ndarray, fps: np.ndarray, keepers: np
         held[i] += 1
         held[j] -= 1
     on = np.diff(np.concatenate([[0], np.cumsum(held)[:-1] > 0, [0]]).astype(np.int8))
-    runs = [(int(i), int(j)) for i, j in zip(np.flatnonzero(on == 1), np.flatnonzero(on == -1)) if j - i >= min_words and 2 * len(np.unique(h[i:j])) >= min_words]
+    runs = [
+        (int(i), int(j)) for i,
+        j in zip(np.flatnonzero(on == 1), np.flatnonzero(on == -1)) if j - i >= min_words and 2 * len(np.unique(h[i:j])) >= min_words
+    ]
     return runs, {k for i, j, k in used if any(a <= i < z for a, z in runs)}
 
 
@@ -292,7 +318,13 @@ def _rewrite(min_words: int):
                 if new:
                     texts = pa.concat_arrays([pa.array([new[k][0]], pa.string()) if k in new else texts.slice(k, 1) for k in range(to - at)])
                 of = lambda i, empty: [new[k][i] if k in new else empty for k in range(to - at)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), texts, pa.array(n.astype(np.int64)), pa.array(of(1, []), pa.list_(pa.int64())), pa.array(of(2, 0), pa.int64())], ["row", "text", "n_words", "kept_in", "removed"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("row"), texts, pa.array(n.astype(np.int64)), pa.array(of(1, []), pa.list_(pa.int64())),
+                        pa.array(of(2, 0), pa.int64())
+                    ],
+                    ["row", "text", "n_words", "kept_in", "removed"]
+                )
 
     return run
 
@@ -307,10 +339,17 @@ def without_repeats(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORD
     table gives an empty result.
     """
     found = repeated_pieces(docs, scratch, min_words=min_words, **options)
-    lists = scratch.table(found.groupBy("doc_id").agg(F.collect_list("fp").alias("fps"), F.collect_list("keeper").alias("keepers")).withColumnRenamed("doc_id", "__of"))
+    lists = scratch.table(found.groupBy("doc_id").agg(
+        F.collect_list("fp").alias("fps"), F.collect_list("keeper").alias("keepers")
+    ).withColumnRenamed("doc_id", "__of"))
     row = F.struct(*(c for c in docs.columns if c != "text"), F.lit(0).alias("__none")).alias("row")
-    rows = docs.select(row, "text", F.col("doc_id").cast("long").alias("__id")).join(lists, F.col("__id") == F.col("__of"), "left").select("row", "text", "fps", "keepers")
-    schema = rows.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<long>").alias("kept_in"), F.lit(0).cast("long").alias("removed")).schema
+    rows = docs.select(
+        row, "text", F.col("doc_id").cast("long").alias("__id")
+    ).join(lists, F.col("__id") == F.col("__of"), "left").select("row", "text", "fps", "keepers")
+    schema = rows.select(
+        "row", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<long>").alias("kept_in"),
+        F.lit(0).cast("long").alias("removed")
+    ).schema
     return rows.mapInArrow(_rewrite(min_words), schema)
 
 
@@ -323,4 +362,6 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of the whole documents table: what is left of each text, and where the rest is kept."""
     out = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), Scratch(spark, "op9"))
-    return out.select("row.doc_id", "n_words", F.col("removed").alias("removed_words"), "kept_in", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return out.select(
+        "row.doc_id", "n_words", F.col("removed").alias("removed_words"), "kept_in", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    )

@@ -19,7 +19,9 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     """
     power = min(MOST, max(LEAST, (16 * max(hashes.count(), 1) - 1).bit_length()))
     place = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << power) - 1)) + 1  # bitmap functions number bits from 1
-    parts = hashes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    parts = hashes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")
+    ).collect()
     out = np.zeros((1 << power) // 8, dtype=np.uint8)
     for r in parts:
         out[(r.b - 1) * _PART // 8 : r.b * _PART // 8] = np.frombuffer(bytes(r.bits), dtype=np.uint8)

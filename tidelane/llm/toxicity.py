@@ -74,13 +74,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many toxic and clean labelled texts of each fold have a feature of each kind."""
     for b in batches:
         for at, to, _, _, words in _chunks(b):
-            of, label = _of_text(words.docs), (2 * b.column("fold").slice(at, to - at).to_numpy() + b.column("toxic").slice(at, to - at).to_numpy()).astype(np.int64)
+            of, label = _of_text(words.docs), (
+                2 * b.column("fold").slice(at, to - at).to_numpy() + b.column("toxic").slice(at, to - at).to_numpy()
+            ).astype(np.int64)
             for kind, f in enumerate(_features(words)):
                 x, text = sh.distinct(f[f != 0], of[f != 0])
                 names, index = np.unique(x, return_inverse=True)
                 n = np.bincount(index * 2 * FOLDS + label[text], minlength=len(names) * 2 * FOLDS).reshape(-1, 2 * FOLDS)
                 i, j = np.nonzero(n)
-                columns = [names[i].view(np.int64), np.full(len(i), kind, np.int32), (j >> 1).astype(np.int32), (j & 1).astype(np.int32), n[i, j].astype(np.int64)]
+                columns = [
+                    names[i].view(np.int64), np.full(len(i), kind, np.int32), (j >> 1).astype(np.int32), (j & 1).astype(np.int32),
+                    n[i, j].astype(np.int64)
+                ]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["feature", "kind", "fold", "toxic", "n"])
 
 
@@ -121,7 +126,9 @@ def votes_of(data: np.ndarray, ends: np.ndarray, words: sh.Words, features: list
         out.append((hits > 0).astype(int) + ((hits > 1) & (hits >= MANY * n)) + ((hits > 1) & (hits >= MOST * n)))
     out += [(_per_text(_among(lexicon, features[0]), words.docs) > 0).astype(int) for lexicon in hand]
     upper, letters, cries, masks = (_per_text(f, ends[1:]) for f in (_UPPER[data], _LETTER[data], data == 33, _MASK[data]))
-    out += [((n > 4) & (upper > 0.3 * letters)).astype(int), (cries > 0.1 * np.maximum(n, 10)).astype(int), (masks > 0.3 * np.maximum(n, 10)).astype(int)]
+    out += [
+        ((n > 4) & (upper > 0.3 * letters)).astype(int), (cries > 0.1 * np.maximum(n, 10)).astype(int), (masks > 0.3 * np.maximum(n, 10)).astype(int)
+    ]
     return np.stack(out, axis=1).astype(np.int64)
 
 
@@ -144,13 +151,18 @@ def _patterns(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, to, data, ends, words in _chunks(b):
-                c, n = np.unique(_codes(votes_of(data, ends, words, _features(words), b.column("fold").slice(at, to - at).to_numpy(), shipped.value)), return_counts=True)
+                c, n = np.unique(
+                    _codes(votes_of(data, ends, words, _features(words), b.column("fold").slice(at, to - at).to_numpy(), shipped.value)),
+                    return_counts=True
+                )
                 yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n.astype(np.int64))], ["code", "n"])
 
     return run
 
 
-def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int = 200, tie: float = 0.25, most: int = 3) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+def label_model(
+    votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int = 200, tie: float = 0.25, most: int = 3
+) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
     """Posterior of label 1 for each row of categorical votes, each voter's P(vote > 0 | label), and groups.
 
     Expectation maximisation of a generative model whose voters are independent given the label; voters whose
@@ -237,13 +249,17 @@ def _encode(shipped):
                 hit = draw < shares[np.minimum(np.searchsorted(codes, code), len(codes) - 1)]
                 x, of, v = _values(words, features, votes, hit)
                 cut = np.cumsum(np.bincount(of, minlength=len(hit))[hit])[:-1]
-                parts = [pa.array([p.tobytes() for p in np.split(c, cut)][: int(hit.sum())], pa.binary()) for c in (x.astype(np.int32), v.astype(np.float32))]
+                parts = [pa.array(
+                    [p.tobytes() for p in np.split(c, cut)][: int(hit.sum())], pa.binary()
+                ) for c in (x.astype(np.int32), v.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(code[hit]), *parts], ["key", "code", "x", "v"])
 
     return run
 
 
-def _logistic(x: np.ndarray, v: np.ndarray, ends: np.ndarray, p: np.ndarray, weight: np.ndarray, rounds: int = 12, rate: float = 0.3, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+def _logistic(
+    x: np.ndarray, v: np.ndarray, ends: np.ndarray, p: np.ndarray, weight: np.ndarray, rounds: int = 12, rate: float = 0.3, ridge: float = 1e-5
+) -> tuple[np.ndarray, float]:
     """Weights of a logistic regression on soft labels p, and the intercept; AdaGrad over blocks of rows in a fixed shuffle.
 
     x and v are all rows' features and values, one row after another; ends tells where each ends.
@@ -273,7 +289,10 @@ def _logistic(x: np.ndarray, v: np.ndarray, ends: np.ndarray, p: np.ndarray, wei
 def _folded(docs: DataFrame) -> DataFrame:
     """docs with fold, draw (a number from 0 to 1 by which samples are taken) and key, all from doc_id."""
     id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return docs.select("*", F.pmod(F.xxhash64(id, F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold"), (F.pmod(F.xxhash64(id, F.lit(7)), F.lit(1 << 30)) / (1 << 30)).alias("draw"), F.xxhash64(id, F.lit(11)).alias("key"))
+    return docs.select(
+        "*", F.pmod(F.xxhash64(id, F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold"),
+        (F.pmod(F.xxhash64(id, F.lit(7)), F.lit(1 << 30)) / (1 << 30)).alias("draw"), F.xxhash64(id, F.lit(11)).alias("key")
+    )
 
 
 Model = tuple[np.ndarray, float, Lexicons]
@@ -307,21 +326,27 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     few = n[0] + n[1] <= prefilter.FEW
     labelled = texts.join(F.broadcast(labels) if few else labels, F.col("doc_id") == F.col("l_id")).select("text", "fold", "toxic")
     by_fold = labelled.mapInArrow(_count, "feature long, kind int, fold int, toxic int, n long").groupBy("feature", "kind")
-    counts = by_fold.agg(*(F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"{'ct'[y]}{k}") for k in range(FOLDS) for y in (0, 1)))
+    counts = by_fold.agg(*(F.sum(F.when(
+        (F.col("toxic") == y) & (F.col("fold") == k), F.col("n")
+    ).otherwise(0)).alias(f"{'ct'[y]}{k}") for k in range(FOLDS) for y in (0, 1)))
     counts = scratch.table(counts.where(" + ".join(f"t{k}" for k in range(FOLDS)) + " >= 3"))
     told = []
     for k in range(FOLDS + 1):
         t, c = (sum(F.col(f"{y}{j}") for j in range(FOLDS) if j != k) for y in "tc")
         ratio = (t / n[1]) / ((c + 0.5) / n[0])
         told.append(F.when((t > 0) & (ratio >= LIFT), F.struct(F.lit(k).alias("fold"), (F.log(ratio) * F.sqrt(t)).alias("z"))))
-    best = counts.select("feature", "kind", F.explode(F.array_compact(F.array(*told))).alias("at")).select("feature", "kind", "at.fold", "at.z").where(F.col("z") >= SURE)
+    best = counts.select(
+        "feature", "kind", F.explode(F.array_compact(F.array(*told))).alias("at")
+    ).select("feature", "kind", "at.fold", "at.z").where(F.col("z") >= SURE)
     rank = F.row_number().over(Window.partitionBy("kind", "fold").orderBy(F.desc("z"), "feature"))
     found = best.withColumn("rank", rank).where(F.col("rank") <= LEXICON).select("feature", "kind", "fold").collect()
     of = lambda k, kind: np.sort(np.array([r.feature for r in found if (r.fold, r.kind) == (k, kind)], dtype=np.int64).view(np.uint64))
     mined = [[of(k, kind) for kind in range(1 + len(PREFIXES))] for k in range(FOLDS + 1)]
     lexicons = mined, hand_lexicons()
 
-    found = texts.select("text", "fold").mapInArrow(_patterns(sc.broadcast(lexicons)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
+    found = texts.select("text", "fold").mapInArrow(
+        _patterns(sc.broadcast(lexicons)), "code long, n long"
+    ).groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
     scratch.drop(counts)
     if not found:
         return _nothing(float(np.log(n[1] / n[0])))
@@ -329,7 +354,9 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     post, _, _ = label_model(_votes_from(codes), weight, n[1] / (n[0] + n[1]))
     many = [weight[post >= 0.5].sum(), weight[post < 0.5].sum()]
     drawn = np.where(post >= 0.5, min(1.0, MAX_TOXIC / max(many[0], 1)), min(1.0, MAX_CLEAN / max(many[1], 1)))
-    rows = texts.select("text", "fold", "draw", "key").where(F.col("draw") <= float(drawn.max())).mapInArrow(_encode(sc.broadcast((lexicons, codes, drawn))), "key long, code long, x binary, v binary")
+    rows = texts.select("text", "fold", "draw", "key").where(F.col("draw") <= float(drawn.max())).mapInArrow(
+        _encode(sc.broadcast((lexicons, codes, drawn))), "key long, code long, x binary, v binary"
+    )
     rows = scratch.table(rows)
     names, x, v = [], [], []  # of the rows as they come; few bytes a feature, for the driver holds them all
     for r in rows.toLocalIterator():

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 #: (host, path, verdict); a rule's name is its host and path together.
-RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+RULES = [
+    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")
+]
 #: Public suffixes of two labels that the split of a host knows; all others are taken to have one.
-TWO_LABELS = ["ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk"]
+TWO_LABELS = [
+    "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au",
+    "or.jp", "org.au", "org.uk"
+]
 WORSE = 2.0  # times the usual odds of a bad page, from which on a host is blocked
 Z = 1.645
 
@@ -114,7 +119,10 @@ def _outcomes(marked: DataFrame) -> DataFrame:
     return marked.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, scratch: Scratch, rules: list[tuple[str, str, str]] = RULES, two_labels: list[str] = TWO_LABELS, worse: float = WORSE) -> DataFrame:
+def judge(
+    pages: DataFrame, labels: DataFrame, scratch: Scratch, rules: list[tuple[str, str, str]] = RULES, two_labels: list[str] = TWO_LABELS,
+    worse: float = WORSE
+) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages (page_id, url).
 
     The longest fitting rule decides. Elsewhere a page is blocked if its host's odds of a bad page are surely over
@@ -133,7 +141,9 @@ def judge(pages: DataFrame, labels: DataFrame, scratch: Scratch, rules: list[tup
     return x.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "usual").alias("verdict"))
 
 
-def measured(pages: DataFrame, labels: DataFrame, scratch: Scratch, two_labels: list[str] = TWO_LABELS, worse: float = WORSE, folds: int = 5) -> DataFrame:
+def measured(
+    pages: DataFrame, labels: DataFrame, scratch: Scratch, two_labels: list[str] = TWO_LABELS, worse: float = WORSE, folds: int = 5
+) -> DataFrame:
     """(usual, pages, bad): what the reputations learned from the other folds say of each fold's labelled pages; no page's own label counts."""
     host, _ = host_and_path(F.col("url"))
     x = pages.select("page_id", host.alias("host")).join(_marks(labels), F.col("page_id") == F.col("m_id"))

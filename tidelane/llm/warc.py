@@ -209,13 +209,23 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes, bool]]:
     meta_id, text_id = (record_id(kind, source, digest(block)) for kind in ("metadata", "conversion"))
     shared = [(name, of[name.lower()]) for name in ("WARC-Target-URI", "WARC-Date", "WARC-Warcinfo-ID", "WARC-IP-Address") if name.lower() in of]
     title, links = title_and_links(page)
-    fields = [("source-record-id", source), ("source-block-digest", of.get("warc-block-digest", "")), ("source-payload-digest", of.get("warc-payload-digest", "")), ("source-status", status), *(("source-header", f"{k}: {v}") for k, v in http), ("charset", charset)]
+    fields = [
+        ("source-record-id", source), ("source-block-digest", of.get("warc-block-digest", "")),
+        ("source-payload-digest", of.get("warc-payload-digest", "")), ("source-status", status), *(("source-header", f"{k}: {v}") for k, v in http),
+        ("charset", charset)
+    ]
     fields += [] if title is None else [("title", title)]
     fields += [("outlink", f"{target} {tag}") for target, tag in links]
     meta = "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields).encode("utf-8", "surrogatepass")
     text = html_to_text(page).encode("utf-8", "surrogatepass")
-    make = lambda kind, own, other, mime, data: [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source), ("WARC-Concurrent-To", other), *shared, ("Content-Type", mime), ("WARC-Block-Digest", digest(data)), *([("WARC-Source-Payload-Digest", of["warc-payload-digest"])] if "warc-payload-digest" in of else [])]
-    return [(make("metadata", meta_id, text_id, "application/warc-fields", meta), meta, ok), (make("conversion", text_id, meta_id, "text/plain; charset=utf-8", text), text, ok)]
+    make = lambda kind, own, other, mime, data: [
+        ("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source), ("WARC-Concurrent-To", other), *shared, ("Content-Type", mime),
+        ("WARC-Block-Digest", digest(data)), *([("WARC-Source-Payload-Digest", of["warc-payload-digest"])] if "warc-payload-digest" in of else [])
+    ]
+    return [
+        (make("metadata", meta_id, text_id, "application/warc-fields", meta), meta, ok),
+        (make("conversion", text_id, meta_id, "text/plain; charset=utf-8", text), text, ok)
+    ]
 
 
 def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -230,14 +240,19 @@ def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFr
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 rows = zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array([build_response(*r, date) for r in rows], pa.binary())], ["page_id", "record"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_id"), pa.array([build_response(*r, date) for r in rows], pa.binary())], ["page_id", "record"]
+                )
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, record binary")
 
 
 def _row(page_id: int | None, h: Headers, new: bytes, ok: bool) -> tuple:
     of = dict(h)
-    return (page_id, of["WARC-Type"], of["WARC-Record-ID"], of["WARC-Refers-To"], of.get("WARC-Target-URI"), of.get("WARC-Date"), of["Content-Type"], of["WARC-Block-Digest"], of.get("WARC-Source-Payload-Digest"), ok, None, write_record(h, new))
+    return (
+        page_id, of["WARC-Type"], of["WARC-Record-ID"], of["WARC-Refers-To"], of.get("WARC-Target-URI"), of.get("WARC-Date"), of["Content-Type"],
+        of["WARC-Block-Digest"], of.get("WARC-Source-Payload-Digest"), ok, None, write_record(h, new)
+    )
 
 
 def derivatives(responses: DataFrame, errors: bool = False, most: int = 1 << 21) -> DataFrame:
@@ -282,4 +297,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derivatives of the whole pages table, by the digest of each record and of what it holds."""
     found = derivatives(responses_of(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    return found.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "block_digest", "payload_digest", "source_digest_ok", F.length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
+    return found.select(
+        "page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "block_digest", "payload_digest",
+        "source_digest_ok", F.length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256")
+    )
