@@ -15,7 +15,9 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-")).getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").config(
+            "spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-")
+        ).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

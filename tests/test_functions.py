@@ -9,7 +9,9 @@ from tidelane.functions import binary, histogram
 
 def test_integers_in_bytes(spark):
     df = spark.createDataFrame([(bytes([1, 2, 3, 4]),), (bytes([255] * 4),), (b"\x01",), (b"",), (None,)], "b binary")
-    got = df.select(binary.be_uint(F.col("b"), 1, 4).alias("be"), binary.le_uint(F.col("b"), 1, 4).alias("le"), binary.be_uint(F.col("b"), 1, 1).alias("u8")).collect()
+    got = df.select(
+        binary.be_uint(F.col("b"), 1, 4).alias("be"), binary.le_uint(F.col("b"), 1, 4).alias("le"), binary.be_uint(F.col("b"), 1, 1).alias("u8")
+    ).collect()
     assert [tuple(r) for r in got] == [(16909060, 67305985, 1), (2**32 - 1, 2**32 - 1, 255), (None, None, 1), (None, None, None), (None, None, None)]
 
 

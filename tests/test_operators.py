@@ -20,11 +20,23 @@ def test_effective_priority(spark, client, table, want, lane):
 
 
 CASES = [
-    ("sensor/temperature", b"", "DROP", "empty body for temperature sensor", None), ("sensor/temperature/room1", [80], "SUCCESS", None, None), ("sensor/temperature", [81], "ALERT", None, 1), ("sensor/temperature", [100], "ALERT", None, 1),
-    ("sensor/temperature", [101], "ALERT", None, 2), ("sensor/temperature", [150], "ALERT", None, 2), ("sensor/temperature", [151], "DROP", "temperature out of physical range", None), ("sensor/pressure", [150], "SUCCESS", None, None),
-    ("sensor/pressure", [151], "ALERT", None, 1), ("sensor/pressure", [200], "ALERT", None, 1), ("sensor/pressure", [201], "ALERT", None, 3), ("payment", [1, 2, 3], "DROP", "payment body too short", None),
-    ("payment/card", [0, 0, 0, 0], "DROP", "payment amount is zero", None), ("payments.x", [1, 0, 0, 0], "SUCCESS", None, None), ("payment", (1_000_000).to_bytes(4, "little"), "SUCCESS", None, None),
-    ("payment", (1_000_001).to_bytes(4, "little"), "DROP", "payment amount exceeds limit", None), ("audit", b"", "DROP", "empty audit log body", None), ("state/a", b"", "SUCCESS", None, None), ("", b"x", "DROP", "empty topic", None),
+    (
+        "sensor/temperature", b"", "DROP", "empty body for temperature sensor", None
+    ), (
+        "sensor/temperature/room1", [80], "SUCCESS", None, None
+    ), ("sensor/temperature", [81], "ALERT", None, 1), ("sensor/temperature", [100], "ALERT", None, 1),
+    ("sensor/temperature", [101], "ALERT", None, 2), ("sensor/temperature", [150], "ALERT", None, 2), (
+        "sensor/temperature", [151], "DROP", "temperature out of physical range", None
+    ), ("sensor/pressure", [150], "SUCCESS", None, None),
+    ("sensor/pressure", [151], "ALERT", None, 1), ("sensor/pressure", [200], "ALERT", None, 1), ("sensor/pressure", [201], "ALERT", None, 3), (
+        "payment", [1, 2, 3], "DROP", "payment body too short", None
+    ),
+    (
+        "payment/card", [0, 0, 0, 0], "DROP", "payment amount is zero", None
+    ), ("payments.x", [1, 0, 0, 0], "SUCCESS", None, None), ("payment", (1_000_000).to_bytes(4, "little"), "SUCCESS", None, None),
+    (
+        "payment", (1_000_001).to_bytes(4, "little"), "DROP", "payment amount exceeds limit", None
+    ), ("audit", b"", "DROP", "empty audit log body", None), ("state/a", b"", "SUCCESS", None, None), ("", b"x", "DROP", "empty topic", None),
 ]
 
 
@@ -68,7 +80,13 @@ def test_lazy_cleanup_keeps_expired_entries_until_it_runs(spark):
     assert got == {1: "processed", 2: "processed", 3: "duplicate", 4: "processed", 5: "processed"}
 
 
-@pytest.mark.parametrize(("policy", "capacity", "kept"), [("DROP_OLD", 16_384, range(33_617, 50_000)), ("DROP_NEW", 32_768, range(32_768)), ("BLOCK_PRODUCER", 131_072, range(50_000)), ("DROP_OLD", 1, range(0))])
+@pytest.mark.parametrize(
+    ("policy", "capacity", "kept"),
+    [
+        ("DROP_OLD", 16_384, range(33_617, 50_000)), ("DROP_NEW", 32_768, range(32_768)), ("BLOCK_PRODUCER", 131_072, range(50_000)),
+        ("DROP_OLD", 1, range(0))
+    ]
+)
 def test_overflow_of_a_burst(spark, policy, capacity, kept):
     burst = spark.range(50_000).select("id", F.floor(F.col("id") / 7).alias("arrival_us"))
     got = lanes.overflow(burst, capacity, policy).where("kept").agg(F.min("id"), F.max("id"), F.count("*")).first()
@@ -83,7 +101,9 @@ def test_ring_of_dead_letters(spark):
 
 
 def test_health_is_strict(spark):
-    df = spark.createDataFrame([("a", 97, 3, 0), ("b", 98, 2, 0), ("c", 0, 0, 5001), ("d", 0, 0, 5000)], "component string, processed long, dropped long, queue_depth long")
+    df = spark.createDataFrame(
+        [("a", 97, 3, 0), ("b", 98, 2, 0), ("c", 0, 0, 5001), ("d", 0, 0, 5000)], "component string, processed long, dropped long, queue_depth long"
+    )
     got = {r.component: r.health for r in metrics.health(df).collect()}
     assert got == {"a": "UNHEALTHY", "b": "HEALTHY", "c": "UNHEALTHY", "d": "HEALTHY"}
     rates = [r.r for r in df.orderBy("component").select(metrics.drop_rate(F.col("processed"), F.col("dropped")).alias("r")).collect()]
@@ -92,7 +112,10 @@ def test_health_is_strict(spark):
 
 def fates_of(spark, rows, registry=None, **options):
     """Fates by position of rows (id, lane's priority, topic, body, arrival_us, elapsed_ms)."""
-    events = spark.createDataFrame([(k, i, p, t, bytes(b), at, ms) for k, (i, p, t, b, at, ms) in enumerate(rows)], "k int, id long, effective_priority int, topic string, body binary, arrival_us long, elapsed_ms long")
+    events = spark.createDataFrame(
+        [(k, i, p, t, bytes(b), at, ms) for k, (i, p, t, b, at, ms) in enumerate(rows)],
+        "k int, id long, effective_priority int, topic string, body binary, arrival_us long, elapsed_ms long"
+    )
     handled = lanes.processed(events.withColumn("lane", routing.lane(F.col("effective_priority"))), registry or handlers.default_registry())
     return {r.k: (r.status, r.letter, r.processed, r.dropped, r.stored, r.attempts) for r in lanes.fates(handled, **options).collect()}
 
@@ -102,7 +125,10 @@ REFUSED = "empty audit log body"
 
 def test_realtime_fates(spark):
     got = fates_of(spark, [(1, 4, "a", b"x", 0, 5), (2, 4, "a", b"x", 0, 6), (3, 3, "audit", b"", 0, 9), (4, 3, "sensor/pressure", [201], 0, 0)])
-    assert got == {0: ("processed", None, 1, 0, True, 1), 1: ("late", "sla_breach", 1, 1, False, 1), 2: ("dropped", REFUSED, 0, 1, False, 0), 3: ("processed", None, 1, 0, True, 1)}
+    assert got == {
+        0: ("processed", None, 1, 0, True, 1), 1: ("late", "sla_breach", 1, 1, False, 1), 2: ("dropped", REFUSED, 0, 1, False, 0),
+        3: ("processed", None, 1, 0, True, 1)
+    }
 
 
 def test_batch_lane_refusals_count_as_dropped(spark):
@@ -113,7 +139,10 @@ def test_batch_lane_refusals_count_as_dropped(spark):
 
 def test_transactional_fates(spark):
     hour = 3_600_000_000
-    rows = [(7, 2, "audit", b"", 0, 0), (7, 2, "audit", b"x", 1, 0), (7, 1, "audit", b"", 2, 0), (7, 2, "audit", b"x", 1 + hour, 0), (7, 2, "audit", b"x", 2 + hour, 0), (8, 2, "a", b"", 5, 0), (8, 2, "a", b"", 5, 0)]
+    rows = [
+        (7, 2, "audit", b"", 0, 0), (7, 2, "audit", b"x", 1, 0), (7, 1, "audit", b"", 2, 0), (7, 2, "audit", b"x", 1 + hour, 0),
+        (7, 2, "audit", b"x", 2 + hour, 0), (8, 2, "a", b"", 5, 0), (8, 2, "a", b"", 5, 0)
+    ]
     got = fates_of(spark, rows)
     gone, done = ("duplicate", None, 0, 0, False, 0), ("processed", None, 1, 0, True, 1)
     assert [got[k] for k in range(5)] == [("dropped", REFUSED, 0, 1, False, 0), done, gone, gone, done]
@@ -138,11 +167,16 @@ class Refuses(handlers.Handler):
 def test_handlers_that_fail(spark, outcome):
     registry = handlers.Registry().register("a", Refuses("A", outcome))
     got = fates_of(spark, [(1, 4, "a", b"x", 0, 9), (2, 2, "a", b"x", 0, 0), (3, 0, "a", b"x", 0, 0)], registry)
-    assert got == {0: ("dropped", "no", 0, 1, False, 1), 1: ("dropped", "max_retries_exceeded", 0, 1, False, 3), 2: ("failed_at_flush", "no", 1, 0, False, 1)}
+    assert got == {
+        0: ("dropped", "no", 0, 1, False, 1), 1: ("dropped", "max_retries_exceeded", 0, 1, False, 3), 2: ("failed_at_flush", "no", 1, 0, False, 1)
+    }
 
 
 def test_metrics_of_fates(spark):
-    events = spark.createDataFrame([("B", "dropped", 0, 1, 5), ("B", "processed", 1, 0, 3), ("R", "late", 1, 1, 9)], "processor string, status string, processed int, dropped int, arrival_us long")
+    events = spark.createDataFrame(
+        [("B", "dropped", 0, 1, 5), ("B", "processed", 1, 0, 3), ("R", "late", 1, 1, 9)],
+        "processor string, status string, processed int, dropped int, arrival_us long"
+    )
     got = {r.component: tuple(r)[1:] for r in metrics.by_component(events).collect()}
     assert got == {"B": (1, 1, 0, 3), "R": (1, 1, 0, None)}
 
@@ -151,7 +185,10 @@ def test_metrics_of_fates(spark):
 def test_chains_over_ranges_equal_a_walk(spark, seed, monkeypatch):
     monkeypatch.setattr(chains, "CELLS", 2)
     rng = np.random.default_rng(seed)
-    rows = [(int(k), int(t), i, bool(ok)) for i, (k, t, ok) in enumerate(zip(rng.integers(0, 4, 400), rng.integers(0, 3000, 400), rng.random(400) < 0.7, strict=True))]
+    rows = [
+        (int(k), int(t), i, bool(ok)) for i,
+        (k, t, ok) in enumerate(zip(rng.integers(0, 4, 400), rng.integers(0, 3000, 400), rng.random(400) < 0.7, strict=True))
+    ]
     want, windows = {}, {}
     for k in range(4):
         last, anchor, number = None, None, 0

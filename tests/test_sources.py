@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 from tidelane.sources import config, event_log, frames
 
 VALID = {
-    "app_name": "x", "version": "1.0.0", "ingestion": {"tcp": {"host": "h", "port": 9000, "maxConnections": 10}, "udp": {"host": "h", "port": 9001, "bufferSize": 1}, "file": {"path": "", "poll_interval_ms": 1}},
-    "router": {"shards": 4, "strategy": "hash_modulo", "buffer_size": 1}, "rule_engine": {"threads": 8, "cache_size": 0, "rules_file": "r"}, "storage": {"backend": "sqlite", "sqlite_path": "d/x.db"}, "python_integration": {"script_path": ""},
+    "app_name": "x", "version": "1.0.0", "ingestion": {
+        "tcp": {"host": "h", "port": 9000, "maxConnections": 10}, "udp": {"host": "h", "port": 9001, "bufferSize": 1},
+        "file": {"path": "", "poll_interval_ms": 1}
+    },
+    "router": {
+        "shards": 4, "strategy": "hash_modulo", "buffer_size": 1
+    }, "rule_engine": {
+        "threads": 8, "cache_size": 0, "rules_file": "r"
+    }, "storage": {"backend": "sqlite", "sqlite_path": "d/x.db"}, "python_integration": {"script_path": ""},
 }
 
 
@@ -31,7 +38,13 @@ def test_valid_configuration(tmp_path):
     assert got["ingestion.tcp.port"] == 9000 and got["ingestion.tcp.enable"] is False
 
 
-@pytest.mark.parametrize(("path", "value"), [("app_name", None), ("router.shards", "many"), ("ingestion.tcp.port", 70000), ("storage.backend", "tape"), ("rule_engine.threads", 0), ("ingestion.udp.host", None)])
+@pytest.mark.parametrize(
+    ("path", "value"),
+    [
+        ("app_name", None), ("router.shards", "many"), ("ingestion.tcp.port", 70000), ("storage.backend", "tape"), ("rule_engine.threads", 0),
+        ("ingestion.udp.host", None)
+    ]
+)
 def test_invalid_configuration(path, value):
     with pytest.raises(ValueError):
         config.check(changed(path, value))
@@ -69,7 +82,9 @@ def test_encode_and_split(spark):
     assert bodies == [c[4:] for c in coded] and tail == coded[0][:5] and not closed
     assert frames.split_stream(b"\x00" * 44 + coded[0]) [:3] == ([], b"", True)
     assert frames.split_stream((frames.MAX_FRAME + 1).to_bytes(4, "big"))[2]
-    got = frames.decode_body(frames.split_captures(spark.createDataFrame([("a", stream), ("b", None)], "path string, content binary")), "body").orderBy("seq").collect()
+    got = frames.decode_body(
+        frames.split_captures(spark.createDataFrame([("a", stream), ("b", None)], "path string, content binary")), "body"
+    ).orderBy("seq").collect()
     assert [(r.path, r.priority, r.topic, bytes(r.payload)) for r in got] == [("a", 1, "té", b"\x00\x01"), ("a", 4, "x", b"")]
 
 

@@ -47,7 +47,9 @@ def test_the_same_events_twice_are_processed_once_in_a_batch_and_over_batches(sp
 
 def test_batch_windows_go_over_batches(spark, tmp_path):
     row = lambda i, t: (i, 0, t, "batch/topic_0", bytearray(b"x"), 0)
-    make = lambda *rows: spark.createDataFrame(rows, "id long, priority int, arrival_us long, topic string, body binary, elapsed_ms long").withColumns({"ts_ns": F.col("arrival_us") * 1000})
+    make = lambda *rows: spark.createDataFrame(
+        rows, "id long, priority int, arrival_us long, topic string, body binary, elapsed_ms long"
+    ).withColumns({"ts_ns": F.col("arrival_us") * 1000})
     engine = engine_of(spark, tmp_path, window_us=100)
     engine.process(make(row(1, 0), row(2, 50)), 0)
     assert engine.table("events").count() == 0 and engine.metrics().first().queue_depth == 2
@@ -82,7 +84,9 @@ def test_captures_become_events_even_if_a_frame_is_cut(spark, tmp_path):
     engine.start(pipeline.captures_stream(spark, str(tmp_path / "in")), str(tmp_path / "cp"), captures=True, connection=connection).awaitTermination()
     got = engine.table("events").collect()
     assert len(got) == 5 and {(r.topic, bytes(r.body), r.body_len) for r in got} == {("a", b"\x01\x02", 2)} and len({r.id for r in got}) == 5
-    assert {r.connection: (bytes(r.tail), r.gave_up) for r in engine.table("frames").where("tail is not null").collect()} == {"c1": (b"", False), "c2": (b"", True)}
+    assert {
+        r.connection: (bytes(r.tail), r.gave_up) for r in engine.table("frames").where("tail is not null").collect()
+    } == {"c1": (b"", False), "c2": (b"", True)}
 
 
 def test_tails_go_over_batches(spark, tmp_path):
@@ -99,10 +103,16 @@ def test_state_of_duplicates_expires(spark, tmp_path):
     schema = "k long, id long, t long"
     hour, day = 3_600_000_000, 86_400_000_000
     seen = []
-    for number, rows in enumerate([[(1, 1, day), (1, 2, day + hour)], [(2, 3, 9 * day)], [(2, 4, 9 * day + hour), (1, 5, 9 * day)], [(3, 6, 20 * day)]]):
+    for number, rows in enumerate([
+        [(1, 1, day), (1, 2, day + hour)], [(2, 3, 9 * day)], [(2, 4, 9 * day + hour), (1, 5, 9 * day)], [(3, 6, 20 * day)]
+    ]):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{number}")
         stream = spark.readStream.schema(schema).parquet(f"{folder}/*")
-        q = stateful.dedup(stream, "k", "t", "id", "true", 2 * hour).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, n: seen.extend((r.id, r.status) for r in b.collect())).trigger(availableNow=True).start()
+        q = stateful.dedup(stream, "k", "t", "id", "true", 2 * hour).writeStream.format("noop").option(
+            "checkpointLocation", str(tmp_path / "cp")
+        ).foreachBatch(
+            lambda b, n: seen.extend((r.id, r.status) for r in b.collect())
+        ).trigger(availableNow=True).start()
         q.awaitTermination()
     assert dict(seen) == {1: "processed", 2: "duplicate", 3: "processed", 4: "duplicate", 5: "processed", 6: "processed"}
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2

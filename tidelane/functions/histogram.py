@@ -16,7 +16,9 @@ def log2_histogram(df: DataFrame, value: str) -> DataFrame:
 def bucket_value(bucket: Column) -> Column:
     """The middle of a bucket; 0 for bucket 0."""
     one = F.lit(1).cast("long")
-    return F.when(bucket == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", one, bucket) + F.call_function("shiftleft", one, bucket - 1))
+    return F.when(bucket == 0, F.lit(0).cast("long")).otherwise(
+        F.call_function("shiftleft", one, bucket) + F.call_function("shiftleft", one, bucket - 1)
+    )
 
 
 def histogram_percentiles(hist: DataFrame, percents: list[float]) -> DataFrame:
@@ -37,7 +39,11 @@ def histogram_bounds(hist: DataFrame) -> DataFrame:
     one = F.lit(1).cast("long")
     low, high = F.min("bucket"), F.max("bucket")
     least = F.when(low > 0, F.call_function("shiftleft", one, low)).otherwise(F.lit(0).cast("long"))
-    return hist.agg(F.coalesce(least, F.lit(0)).alias("min_value"), F.coalesce(F.call_function("shiftleft", one, high + 1) - 1, F.lit(0)).cast("long").alias("max_value"), F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("total"))
+    return hist.agg(
+        F.coalesce(least, F.lit(0)).alias("min_value"),
+        F.coalesce(F.call_function("shiftleft", one, high + 1) - 1, F.lit(0)).cast("long").alias("max_value"),
+        F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("total")
+    )
 
 
 def exact_percentiles(df: DataFrame, value: str, percents: list[int], by: str) -> DataFrame:
@@ -47,13 +53,21 @@ def exact_percentiles(df: DataFrame, value: str, percents: list[int], by: str) -
     then ordered, so no task meets a whole group.
     """
     x = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("long").alias("value"))
-    x = x.withColumn("step", msb(F.col("value")) * 2048 + F.call_function("shiftright", F.col("value"), F.greatest(msb(F.col("value")) - 10, F.lit(0)).cast("int")))
+    x = x.withColumn(
+        "step", msb(F.col("value")) * 2048 + F.call_function("shiftright", F.col("value"), F.greatest(msb(F.col("value")) - 10, F.lit(0)).cast("int"))
+    )
     counts = x.groupBy(by, "step").agg(F.count(F.lit(1)).alias("c"))
     run = counts.withColumns({"cum": F.sum("c").over(Window.partitionBy(by).orderBy("step")), "n": F.sum("c").over(Window.partitionBy(by))})
-    places = run.withColumn("p", F.explode(F.array(*(F.lit(p) for p in percents)))).withColumn("place", F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1))
-    wanted = places.where((F.col("cum") > F.col("place")) & (F.col("cum") - F.col("c") <= F.col("place"))).select(F.col(by).alias("w_by"), F.col("step").alias("w_step"), "p", (F.col("place") - F.col("cum") + F.col("c")).alias("inner"))
+    places = run.withColumn("p", F.explode(F.array(*(F.lit(p) for p in percents)))).withColumn(
+        "place", F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1)
+    )
+    wanted = places.where((F.col("cum") > F.col("place")) & (F.col("cum") - F.col("c") <= F.col("place"))).select(
+        F.col(by).alias("w_by"), F.col("step").alias("w_step"), "p", (F.col("place") - F.col("cum") + F.col("c")).alias("inner")
+    )
     steps = wanted.select("w_by", "w_step").distinct()  # as many as there are groups and percents, at most
-    inside = x.join(F.broadcast(steps), F.col(by).eqNullSafe(F.col("w_by")) & (F.col("step") == F.col("w_step"))).groupBy(by, "step", "value").agg(F.count(F.lit(1)).alias("c"))
+    inside = x.join(
+        F.broadcast(steps), F.col(by).eqNullSafe(F.col("w_by")) & (F.col("step") == F.col("w_step"))
+    ).groupBy(by, "step", "value").agg(F.count(F.lit(1)).alias("c"))
     inside = inside.withColumn("cum", F.sum("c").over(Window.partitionBy(by, "step").orderBy("value")))
     found = inside.join(F.broadcast(wanted), F.col(by).eqNullSafe(F.col("w_by")) & (F.col("step") == F.col("w_step")))
     return found.where((F.col("cum") > F.col("inner")) & (F.col("cum") - F.col("c") <= F.col("inner"))).select(by, "p", "value")

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from .model import AlertLevel
 
 _LOG = logging.getLogger("tidelane.alerts")
-_LEVELS = {AlertLevel.INFO: logging.INFO, AlertLevel.WARNING: logging.WARNING, AlertLevel.CRITICAL: logging.CRITICAL, AlertLevel.EMERGENCY: logging.CRITICAL}
+_LEVELS = {
+    AlertLevel.INFO: logging.INFO, AlertLevel.WARNING: logging.WARNING, AlertLevel.CRITICAL: logging.CRITICAL, AlertLevel.EMERGENCY: logging.CRITICAL
+}
 
 
 def log_alerts(alerts: DataFrame, most: int = 100) -> None:

@@ -46,7 +46,9 @@ def last_points(rows: DataFrame, gap: int, carried: DataFrame | None = None) ->
     found = chains(rows, gap, carried).where("ending >= 0").groupBy("key").agg(F.max(F.struct("ending", "last_time", "last_id")).alias("p"))
     found = found.select("key", F.col("p.last_time").alias("time"), F.col("p.last_id").alias("id"), F.col("p.ending").alias("number"))
     if carried is not None:
-        found = found.unionByName(carried.select("key", "time", "id", "number")).groupBy("key").agg(F.max_by(F.struct("time", "id", "number"), "number").alias("p")).select("key", "p.*")
+        found = found.unionByName(carried.select("key", "time", "id", "number")).groupBy("key").agg(F.max_by(
+            F.struct("time", "id", "number"), "number"
+        ).alias("p")).select("key", "p.*")
     return found
 
 
@@ -80,7 +82,9 @@ def dedup(events: DataFrame, key: str, time: str, id: str, ok: Column, ttl: int
     good = F.coalesce(ok, F.lit(False))
     copy = F.row_number().over(Window.partitionBy(key, time, id).orderBy(F.lit(0)))
     if ttl is None:
-        point = lambda t, i, n: F.struct(F.col(t).cast("long").alias("time"), F.col(i).cast("long").alias("id"), F.lit(n).cast("long").alias("number"))
+        point = lambda t, i, n: F.struct(
+            F.col(t).cast("long").alias("time"), F.col(i).cast("long").alias("id"), F.lit(n).cast("long").alias("number")
+        )
         first = events.select(F.col(key).alias("__key"), F.when(good, point(time, id, 0)).alias("__at"))
         if carried is not None:
             first = first.unionByName(carried.select(F.col("key").alias("__key"), point("time", "id", -1).alias("__at")))
@@ -94,8 +98,12 @@ def dedup(events: DataFrame, key: str, time: str, id: str, ok: Column, ttl: int
         within = F.col(time) - F.col("__at.time") <= ttl
     x = x.withColumn("__copy", copy)
     same = (F.col("__at.time") == F.col(time)) & (F.col("__at.id") == F.col(id))
-    before = F.col("__at").isNotNull() & (F.struct(F.col("__at.time"), F.col("__at.id")) < F.struct(F.col(time).cast("long").alias("time"), F.col(id).cast("long").alias("id")))
-    status = F.when(same & good & (F.col("__at.number") >= 0) & (F.col("__copy") == 1), "processed").when((same | before) & within | late, "duplicate").when(good, "processed").otherwise("failed")
+    before = F.col("__at").isNotNull() & (F.struct(F.col("__at.time"), F.col("__at.id")) < F.struct(
+        F.col(time).cast("long").alias("time"), F.col(id).cast("long").alias("id")
+    ))
+    status = F.when(
+        same & good & (F.col("__at.number") >= 0) & (F.col("__copy") == 1), "processed"
+    ).when((same | before) & within | late, "duplicate").when(good, "processed").otherwise("failed")
     return x.withColumn("status", status).drop("__at", "__copy", "__first")
 
 
@@ -106,7 +114,9 @@ def lazy_dedup(events: DataFrame, key: str, time: str, id: str, ok: Column, ttl:
     entries of over ttl. Clean-ups depend on the whole stream's order, so this mode runs in one group; it is
     for comparing with engines that work so, not for scale.
     """
-    slim = events.select(F.lit(0).alias("all"), F.col(key).cast("long").alias("key"), F.col(id).alias("id"), F.col(time).alias("time"), ok.alias("ok"))
+    slim = events.select(
+        F.lit(0).alias("all"), F.col(key).cast("long").alias("key"), F.col(id).alias("id"), F.col(time).alias("time"), ok.alias("ok")
+    )
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["time", "id"], kind="stable")

@@ -42,10 +42,14 @@ def _ends(gap: int, span: int, anywhere: bool):
             for part, points in zip(f["part"], f["points"], strict=True):
                 t = np.array([p["time"] for p in points], dtype=np.int64)
                 last, count = chain_ends(t, gap)
-                most = len(t) if anywhere else min(len(t), int(np.searchsorted(t, part * span + gap, "left")) + 1)  # a chain from an earlier range can't begin later
+                most = len(t) if anywhere else min(  # a chain from an earlier range can't begin later
+                    len(t), int(np.searchsorted(t, part * span + gap, "left")) + 1
+                )
                 new = np.ones(most, dtype=bool)
                 new[:-1] = (last[: most - 1] != last[1:most]) | (count[: most - 1] != count[1:most])
-                steps.append([{"upto": int(t[i]), "time": int(t[last[i]]), "id": int(points[last[i]]["id"]), "count": int(count[i])} for i in np.flatnonzero(new)])
+                steps.append([{
+                    "upto": int(t[i]), "time": int(t[last[i]]), "id": int(points[last[i]]["id"]), "count": int(count[i])
+                } for i in np.flatnonzero(new)])
             yield f[["key", "part"]].assign(steps=steps)
 
     return run
@@ -111,11 +115,20 @@ def chains(rows: DataFrame, gap: int, carried: DataFrame | None = None) -> DataF
     times = rows.groupBy("key", part_of(F.col("time"), gap).alias("part"), "time").agg(F.min(F.when(F.col("ok"), F.col("id"))).alias("id"))
     point = F.when(F.col("id").isNotNull(), F.struct("time", "id"))
     ranges = times.groupBy("key", "part").agg(F.sort_array(F.collect_list(point)).alias("points"))
-    steps = ranges.mapInPandas(_ends(gap, span, carried is not None), f"key {kind}, part bigint, steps array<struct<upto:bigint,time:bigint,id:bigint,count:bigint>>").withColumn("carried", F.lit(None).cast(_POINT))
+    steps = ranges.mapInPandas(
+        _ends(gap, span, carried is not None), f"key {kind}, part bigint, steps array<struct<upto:bigint,time:bigint,id:bigint,count:bigint>>"
+    ).withColumn("carried", F.lit(None).cast(_POINT))
     if carried is not None:
         first = F.lit(-(1 << 62)).cast("long").alias("part")
-        steps = steps.unionByName(carried.select("key", first, F.lit(None).cast("array<struct<upto:bigint,time:bigint,id:bigint,count:bigint>>").alias("steps"), F.struct(F.col("time").cast("long").alias("time"), F.col("id").cast("long").alias("id"), F.col("number").cast("long").alias("number")).alias("carried")))
-    begun = steps.groupBy("key").applyInPandas(_fold(gap), f"key {kind}, part bigint, begun {_POINT}, ending bigint, last_time bigint, last_id bigint")
+        steps = steps.unionByName(carried.select(
+            "key", first, F.lit(None).cast("array<struct<upto:bigint,time:bigint,id:bigint,count:bigint>>").alias("steps"),
+            F.struct(
+                F.col("time").cast("long").alias("time"), F.col("id").cast("long").alias("id"), F.col("number").cast("long").alias("number")
+            ).alias("carried")
+        ))
+    begun = steps.groupBy("key").applyInPandas(
+        _fold(gap), f"key {kind}, part bigint, begun {_POINT}, ending bigint, last_time bigint, last_id bigint"
+    )
     both = ranges.join(begun, ["key", "part"])
     return both.mapInPandas(_points(gap), f"key {kind}, part bigint, ending bigint, last_time bigint, last_id bigint, chain array<{_POINT}>")
 
@@ -124,9 +137,18 @@ def with_chain(rows: DataFrame, key: str, time: str, id: str, ok, gap: int, carr
     """rows with the last points of their key's chain before them (__before) and up to them (__at), its last number (__ending), and the first that their range knows (__first)."""
     slim = rows.select(F.col(key).alias("key"), F.col(time).cast("long").alias("time"), F.col(id).cast("long").alias("id"), ok.alias("ok"))
     found = chains(slim, gap, carried).select(F.col("key").alias("__key"), F.col("part").alias("__part_of"), "chain", "ending")
-    x = rows.withColumn("__part", part_of(F.col(time), gap)).join(found, (F.col(key) == F.col("__key")) & (F.col("__part") == F.col("__part_of")), "left")
+    x = rows.withColumn("__part", part_of(F.col(time), gap)).join(
+        found, (F.col(key) == F.col("__key")) & (F.col("__part") == F.col("__part_of")), "left"
+    )
     own = F.struct(F.col(time).cast("long").alias("time"), F.col(id).cast("long").alias("id"))
     upto = lambda op: F.element_at(F.filter("chain", lambda p: op(F.struct(p["time"].alias("time"), p["id"].alias("id")), own)), -1)
     none = F.coalesce(F.size("chain"), F.lit(0)) <= 0
-    pick = lambda op: F.when(~none & (F.size(F.filter("chain", lambda p: op(F.struct(p["time"].alias("time"), p["id"].alias("id")), own))) > 0), upto(op))
-    return x.withColumns({"__before": pick(lambda a, b: a < b), "__at": pick(lambda a, b: a <= b), "__ending": F.col("ending"), "__first": F.when(~none, F.element_at("chain", 1))}).drop("__part", "__key", "__part_of", "chain", "ending")
+    pick = lambda op: F.when(
+        ~none & (F.size(F.filter("chain", lambda p: op(F.struct(p["time"].alias("time"), p["id"].alias("id")), own))) > 0), upto(op)
+    )
+    return x.withColumns({
+        "__before": pick(lambda a, b: a < b), "__at": pick(lambda a, b: a <= b), "__ending": F.col("ending"),
+        "__first": F.when(~none, F.element_at("chain", 1))
+    }).drop(
+        "__part", "__key", "__part_of", "chain", "ending"
+    )

@@ -10,7 +10,9 @@ RING = 1000
 
 def dead_letters(told: DataFrame) -> DataFrame:
     """(id, topic, lane, processor, reason, drop_seq) of lanes.fates(): drop_seq orders drops by arrival, then id."""
-    return told.where(F.col("letter").isNotNull()).select("id", "topic", "lane", "processor", F.col("letter").alias("reason"), F.col("arrival_us").alias("drop_seq"))
+    return told.where(F.col("letter").isNotNull()).select(
+        "id", "topic", "lane", "processor", F.col("letter").alias("reason"), F.col("arrival_us").alias("drop_seq")
+    )
 
 
 def newest(letters: DataFrame, most: int = RING) -> DataFrame:
@@ -26,7 +28,10 @@ def recent(letters: DataFrame, most: int = 100, ring: int = RING) -> DataFrame:
 def statistics(letters: DataFrame, ring: int = RING) -> DataFrame:
     """(total, stored, last_reason, last_seq); one row. total isn't bounded, stored is."""
     total = F.count(F.lit(1))
-    return letters.agg(total.alias("total"), F.least(total, F.lit(ring)).alias("stored"), F.max_by("reason", F.struct("drop_seq", "id")).alias("last_reason"), F.max("drop_seq").alias("last_seq"))
+    return letters.agg(
+        total.alias("total"), F.least(total, F.lit(ring)).alias("stored"), F.max_by("reason", F.struct("drop_seq", "id")).alias("last_reason"),
+        F.max("drop_seq").alias("last_seq")
+    )
 
 
 def text_line(letters: DataFrame) -> DataFrame:

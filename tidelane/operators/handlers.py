@@ -113,8 +113,13 @@ class Audit(Handler):
 
 
 # Prefixes, bounds and wording of the default handlers.
-TEMPERATURE = Reading(TEMPERATURE_NAME, "temperature", ((100, AlertLevel.CRITICAL, "Temperature critical: "), (80, AlertLevel.WARNING, "Temperature warning: ")), "C", 150)
-PRESSURE = Reading(PRESSURE_NAME, "pressure", ((200, AlertLevel.EMERGENCY, "Pressure emergency: "), (150, AlertLevel.WARNING, "Pressure high: ")), " bar")
+TEMPERATURE = Reading(
+    TEMPERATURE_NAME, "temperature", ((100, AlertLevel.CRITICAL, "Temperature critical: "), (80, AlertLevel.WARNING, "Temperature warning: ")), "C",
+    150
+)
+PRESSURE = Reading(
+    PRESSURE_NAME, "pressure", ((200, AlertLevel.EMERGENCY, "Pressure emergency: "), (150, AlertLevel.WARNING, "Pressure high: ")), " bar"
+)
 
 
 @dataclass
@@ -162,10 +167,18 @@ def handle(events: DataFrame, registry: Registry) -> DataFrame:
     outcome of DROP or FAIL without a reason is the handler's own. The handler is looked for once, and what it
     says of an event is one value.
     """
-    said = lambda h: F.struct(F.lit(h.name).alias("handler"), F.coalesce(h.validate(), h.rules()).alias("reason"), h.failure().alias("failure"), h.level().alias("level"), h.message().alias("message"))
+    said = lambda h: F.struct(
+        F.lit(h.name).alias("handler"), F.coalesce(h.validate(), h.rules()).alias("reason"), h.failure().alias("failure"), h.level().alias("level"),
+        h.message().alias("message")
+    )
     x = with_body_numbers(events).withColumn("__number", registry.number())
     x = x.withColumn("__said", registry.choose(said, F.col("__number"))).drop("__number", FIRST_BYTE, AMOUNT)
     passed = F.col("__said.reason").isNull()
     level = F.when(passed & F.col("__said.failure").isNull(), F.col("__said.level"))
-    outcome = F.when(~passed, "DROP").when(F.col("__said.failure").isNotNull(), F.col("__said.failure")).when(F.col("__said.level").isNotNull(), "ALERT").otherwise("SUCCESS")
-    return x.withColumns({"handler": F.col("__said.handler"), "reason": F.col("__said.reason"), "alert_level": level, "message": F.when(passed, F.col("__said.message")), "outcome": outcome}).drop("__said")
+    outcome = F.when(~passed, "DROP").when(
+        F.col("__said.failure").isNotNull(), F.col("__said.failure")
+    ).when(F.col("__said.level").isNotNull(), "ALERT").otherwise("SUCCESS")
+    return x.withColumns({
+        "handler": F.col("__said.handler"), "reason": F.col("__said.reason"), "alert_level": level,
+        "message": F.when(passed, F.col("__said.message")), "outcome": outcome
+    }).drop("__said")

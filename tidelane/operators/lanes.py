@@ -49,15 +49,23 @@ def _told(x: DataFrame, paused: bool = False, dropping: bool = False) -> DataFra
     """x, which has status, with what follows from it."""
     status, lane, message = F.col("status"), F.col("lane"), F.coalesce("message", F.lit(""))
     dropped = F.when(F.col("reason").isNotNull(), F.col("reason")).when(lane == TRANSACTIONAL, EXCEEDED).otherwise(message)
-    tries = F.when((status == "duplicate") | F.col("reason").isNotNull(), 0).when((lane == TRANSACTIONAL) & (status == "dropped"), MAX_RETRIES).otherwise(1)
+    tries = F.when((status == "duplicate") | F.col("reason").isNotNull(), 0).when(
+        (lane == TRANSACTIONAL) & (status == "dropped"), MAX_RETRIES
+    ).otherwise(1)
     for on, of, why in ((paused, TRANSACTIONAL, PAUSED), (dropping, BATCH, BACKPRESSURE)):
         if on:
             dropped, tries = F.when(lane == of, why).otherwise(dropped), F.when(lane == of, 0).otherwise(tries)
     letter = F.when(status == "dropped", dropped).when(status == "late", BREACH).when(status == "failed_at_flush", message)
-    return x.withColumns({"letter": letter, "processed": status.isin("processed", "late", "failed_at_flush").cast("int"), "dropped": status.isin("dropped", "late").cast("int"), "stored": status == "processed", "attempts": tries.cast("int")})
+    return x.withColumns({
+        "letter": letter, "processed": status.isin("processed", "late", "failed_at_flush").cast("int"),
+        "dropped": status.isin("dropped", "late").cast("int"), "stored": status == "processed", "attempts": tries.cast("int")
+    })
 
 
-def fates(handled: DataFrame, key: str = "id", ttl_us: int | None = DEDUP_TTL_US, max_ms: int = MAX_PROCESSING_MS, paused: bool = False, dropping: bool = False, carried: DataFrame | None = None) -> DataFrame:
+def fates(
+    handled: DataFrame, key: str = "id", ttl_us: int | None = DEDUP_TTL_US, max_ms: int = MAX_PROCESSING_MS, paused: bool = False,
+    dropping: bool = False, carried: DataFrame | None = None
+) -> DataFrame:
     """handled with what becomes of each event in its lane: status, letter, processed, dropped, stored, attempts.
 
     letter is the reason with which the event goes to the dead letters, null if it doesn't; processed and dropped
@@ -78,7 +86,9 @@ def fates(handled: DataFrame, key: str = "id", ttl_us: int | None = DEDUP_TTL_US
         x = handled.withColumn("status", F.when(lane == REALTIME, fast).when(lane == TRANSACTIONAL, "dropped").otherwise(slow))
         return _told(x, paused, dropping)
     ok = F.col("reason").isNull() & ~_failed()
-    told = dedup(handled.where(lane == TRANSACTIONAL), key, "arrival_us", "id", ok, ttl_us, carried).withColumn("status", F.when(F.col("status") == "failed", "dropped").otherwise(F.col("status")))
+    told = dedup(handled.where(lane == TRANSACTIONAL), key, "arrival_us", "id", ok, ttl_us, carried).withColumn(
+        "status", F.when(F.col("status") == "failed", "dropped").otherwise(F.col("status"))
+    )
     others = handled.where(lane != TRANSACTIONAL).withColumn("status", F.when(lane == REALTIME, fast).otherwise(slow))
     return _told(told.unionByName(others), False, dropping)
 
@@ -94,9 +104,15 @@ def alerts(handled: DataFrame, max_ms: int = MAX_PROCESSING_MS) -> DataFrame:
     x = realtime(handled, max_ms)
     late = F.concat(F.lit("SLA breach: "), F.col("elapsed_ms").cast("string"), F.lit(f"ms > {max_ms}ms"))
     alert = lambda level, message: F.struct(level.cast("int").alias("level"), message.alias("message"))
-    raised = F.array_compact(F.array(F.when(F.col("alert_level").isNotNull(), alert(F.col("alert_level"), F.col("message"))), F.when(F.col("breach"), alert(F.lit(int(AlertLevel.WARNING)), late))))
+    raised = F.array_compact(F.array(
+        F.when(F.col("alert_level").isNotNull(), alert(F.col("alert_level"), F.col("message"))),
+        F.when(F.col("breach"), alert(F.lit(int(AlertLevel.WARNING)), late))
+    ))
     x = x.select(F.explode(raised).alias("a"), "topic", "id", "ts_ns", "body")
-    return x.select("a.level", "a.message", F.col("topic").alias("source"), F.col("id").alias("event_id"), F.col("ts_ns").alias("timestamp_ns"), F.col("body").alias("context"))
+    return x.select(
+        "a.level", "a.message", F.col("topic").alias("source"), F.col("id").alias("event_id"), F.col("ts_ns").alias("timestamp_ns"),
+        F.col("body").alias("context")
+    )
 
 
 def transactional(handled: DataFrame, paused: bool = False, key: str = "id", ttl_us: int | None = DEDUP_TTL_US) -> DataFrame:
@@ -126,8 +142,12 @@ def destination(proc: Column, topic: Column) -> Column:
     """Where observers of a processor send a processed event; null for none."""
     # Processors, prefixes and services.
     rules = [
-        ("RealtimeProcessor", "sensor/pressure", "emergency-svc"), ("RealtimeProcessor", "sensor/temperature", "monitoring"), ("TransactionalProcessor", "payment", "payment-status"),
-        ("TransactionalProcessor", "state", "state-change"), ("TransactionalProcessor", "audit", "compliance"), ("BatchProcessor", "audit", "analytics"),
+        (
+            "RealtimeProcessor", "sensor/pressure", "emergency-svc"
+        ), ("RealtimeProcessor", "sensor/temperature", "monitoring"), ("TransactionalProcessor", "payment", "payment-status"),
+        (
+            "TransactionalProcessor", "state", "state-change"
+        ), ("TransactionalProcessor", "audit", "compliance"), ("BatchProcessor", "audit", "analytics"),
     ]
     out = F.lit(None).cast("string")
     for p, prefix, service in reversed(rules):
@@ -158,6 +178,8 @@ def overflow(burst: DataFrame, capacity: int, policy: str, part_rows: int = 50_0
             break
         before += r["count"]
     order = [F.desc("arrival_us"), F.desc("id")] if newest else ["arrival_us", "id"]
-    at = ranged.where(F.col("part") == r.part).withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order))).where(F.col("n") == keep - before).first()
+    at = ranged.where(F.col("part") == r.part).withColumn(
+        "n", F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    ).where(F.col("n") == keep - before).first()
     limit = F.struct(F.lit(at.arrival_us).alias("arrival_us"), F.lit(at.id).alias("id"))
     return burst.withColumn("kept", key >= limit if newest else key <= limit)

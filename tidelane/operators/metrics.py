@@ -12,12 +12,18 @@ def by_component(told: DataFrame, depth: int = 0) -> DataFrame:
     last_event_us is the time of the last event that was processed in time; depth is what a caller knows to wait.
     """
     last = F.max(F.when((F.col("processed") == 1) & (F.col("status") != "late"), F.col("arrival_us")))
-    return told.groupBy(F.col("processor").alias("component")).agg(F.sum("processed").cast("long").alias("processed"), F.sum("dropped").cast("long").alias("dropped"), F.lit(depth).cast("long").alias("queue_depth"), last.alias("last_event_us"))
+    return told.groupBy(F.col("processor").alias("component")).agg(
+        F.sum("processed").cast("long").alias("processed"), F.sum("dropped").cast("long").alias("dropped"),
+        F.lit(depth).cast("long").alias("queue_depth"), last.alias("last_event_us")
+    )
 
 
 def bus_component(routed: DataFrame) -> DataFrame:
     """The bus's row of the same: it counts each event that it took as processed."""
-    return routed.agg(F.lit("EventBus").alias("component"), F.count(F.lit(1)).alias("processed"), F.lit(0).cast("long").alias("dropped"), F.lit(0).cast("long").alias("queue_depth"), F.max("arrival_us").alias("last_event_us"))
+    return routed.agg(
+        F.lit("EventBus").alias("component"), F.count(F.lit(1)).alias("processed"), F.lit(0).cast("long").alias("dropped"),
+        F.lit(0).cast("long").alias("queue_depth"), F.max("arrival_us").alias("last_event_us")
+    )
 
 
 def drop_rate(processed: Column, dropped: Column) -> Column:
@@ -47,7 +53,10 @@ def readiness(metrics: DataFrame, alive: bool, pressure: int = 0) -> DataFrame:
 def ingest_counters(decoded: DataFrame) -> DataFrame:
     """(source, connections, events, errors, bytes) of decoded frames (source, connection, error, bytes)."""
     good = F.col("error").isNull()
-    return decoded.groupBy("source").agg(F.countDistinct("connection").alias("connections"), F.count_if(good).alias("events"), F.count_if(~good).alias("errors"), F.sum("bytes").cast("long").alias("bytes"))
+    return decoded.groupBy("source").agg(
+        F.countDistinct("connection").alias("connections"), F.count_if(good).alias("events"), F.count_if(~good).alias("errors"),
+        F.sum("bytes").cast("long").alias("bytes")
+    )
 
 
 def stage_latencies(events: DataFrame, ingest: str, dequeue: str, done: str) -> DataFrame:
@@ -63,7 +72,9 @@ def success_latencies(told: DataFrame, latency: str) -> DataFrame:
 
 def remembered(told: DataFrame, key: str, at_us: Column | int, ttl_us: int, buckets: int = 4096) -> DataFrame:
     """(bucket, ids): how many keys deduplication remembers at at_us, by key modulo buckets."""
-    live = told.where((F.col("lane") == "TRANSACTIONAL") & (F.col("status") == "processed") & (F.col("arrival_us") <= at_us) & (F.col("arrival_us") + ttl_us >= at_us))
+    live = told.where(
+        (F.col("lane") == "TRANSACTIONAL") & (F.col("status") == "processed") & (F.col("arrival_us") <= at_us) & (F.col("arrival_us") + ttl_us >= at_us)
+    )
     return live.groupBy(F.pmod(F.col(key), F.lit(buckets)).alias("bucket")).agg(F.countDistinct(key).alias("ids"))
 
 

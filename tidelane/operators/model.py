@@ -78,12 +78,22 @@ def from_events_table(table: DataFrame) -> DataFrame:
     Rows without event_id aren't events.
     """
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
-    t = table.where("event_id is not null").select(F.col("event_id").cast("long").alias("id"), us.alias("us"), "user_id", "value", topic_of(F.col("event_type"), F.col("user_id")).alias("topic"))
+    t = table.where("event_id is not null").select(
+        F.col("event_id").cast("long").alias("id"), us.alias("us"), "user_id", "value", topic_of(F.col("event_type"), F.col("user_id")).alias("topic")
+    )
     id, topic = F.col("id"), F.col("topic")
     reading = (F.floor("value") % 256).cast("long")
     amount = F.when(id % 17 == 0, F.lit(0).cast("long")).otherwise(F.floor(F.col("value") * 10000).cast("long"))
-    t = t.withColumn("body", F.when(id % 13 == 0, F.unhex(F.lit(""))).when(F.startswith(topic, F.lit("payment")), le_bytes(amount, 4)).otherwise(F.concat(be_bytes(reading, 1), F.unhex(F.lit("000000")))))
-    event = build(id, F.lit(0), id % 5, F.col("us"), topic, F.col("body"), F.create_map(F.lit("client_address"), F.concat(F.lit("user-"), F.col("user_id").cast("string"))))
+    t = t.withColumn(
+        "body",
+        F.when(id % 13 == 0, F.unhex(F.lit(""))).when(
+            F.startswith(topic, F.lit("payment")), le_bytes(amount, 4)
+        ).otherwise(F.concat(be_bytes(reading, 1), F.unhex(F.lit("000000"))))
+    )
+    event = build(
+        id, F.lit(0), id % 5, F.col("us"), topic, F.col("body"),
+        F.create_map(F.lit("client_address"), F.concat(F.lit("user-"), F.col("user_id").cast("string")))
+    )
     return t.select(*event, (id % 9).alias("elapsed_ms"), (id * id + 1).alias("latency_ns"), (id % 50).alias("dedup_id"))
 
 
@@ -95,5 +105,8 @@ def from_frames(decoded: DataFrame) -> DataFrame:
     """
     ok = decoded.where("error is null")
     us = F.unix_micros("modificationTime")
-    event = build(F.xxhash64("path", "seq"), F.lit(int(Source.TCP)), F.col("priority"), us, F.col("topic"), F.col("payload"), F.create_map(F.lit("client_address"), F.col("path")))
+    event = build(
+        F.xxhash64("path", "seq"), F.lit(int(Source.TCP)), F.col("priority"), us, F.col("topic"), F.col("payload"),
+        F.create_map(F.lit("client_address"), F.col("path"))
+    )
     return ok.select(*event, F.lit(0).cast("long").alias("elapsed_ms"))

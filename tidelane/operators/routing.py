@@ -47,10 +47,14 @@ def pressure_latch(routed: DataFrame, high: int = 12_000, critical: int = 14_000
     width = max(1, ((ends.high or 0) - (ends.low or 0)) // parts + 1)
     x = routed.withColumns({"urgent": urgent, "part": F.floor((F.col("id") - F.lit(ends.low or 0)) / width)})
     sums = x.groupBy("part").agg(F.sum("urgent").alias("s"))
-    offsets = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    offsets = sums.select(
+        "part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset")
+    )
     within = F.sum("urgent").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
     x = x.withColumn("within", within).join(F.broadcast(offsets), "part")
     rank = F.when(F.col("urgent") == 1, F.col("offset") + F.col("within"))
     level = F.when(rank - 1 >= critical, 2).when(rank - 1 >= high, 1).otherwise(0)
     diverted = (F.col("effective_priority") == int(Priority.HIGH)) & (rank > high + 1)
-    return x.withColumns({"rank": rank, "pressure": F.when(rank.isNotNull(), level), "lane_after": F.when(diverted, TRANSACTIONAL).otherwise(F.col("lane"))}).drop("urgent", "part", "within", "offset")
+    return x.withColumns({
+        "rank": rank, "pressure": F.when(rank.isNotNull(), level), "lane_after": F.when(diverted, TRANSACTIONAL).otherwise(F.col("lane"))
+    }).drop("urgent", "part", "within", "offset")

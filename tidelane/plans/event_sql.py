@@ -73,7 +73,9 @@ _COMPONENTS = """SELECT * FROM metrics UNION ALL SELECT 'EventBus', count(*), 0,
 
 
 def _overflow(keep: int, order: str) -> str:
-    return with_events(f"SELECT id, n <= {keep} AS kept FROM (SELECT id, row_number() OVER (ORDER BY arrival_us {order}, id {order}) AS n FROM x WHERE lane = 'REALTIME')")
+    return with_events(
+        f"SELECT id, n <= {keep} AS kept FROM (SELECT id, row_number() OVER (ORDER BY arrival_us {order}, id {order}) AS n FROM x WHERE lane = 'REALTIME')"
+    )
 
 
 def _percentile(p: str) -> str:
@@ -86,53 +88,114 @@ _BUFFERED = _ANCHORED.format(w=HOUR, where="lane = 'BATCH' AND reason IS NULL")
 SQL = {
     "lane_counts": with_events("SELECT lane, count(*) AS events FROM x GROUP BY lane"),
     "effective_priority": with_events("SELECT id, topic, CAST(priority AS INT) AS priority, CAST(eff AS INT) AS effective_priority, lane FROM x"),
-    "topic_lookup_left": with_events("SELECT b.topic, tp AS table_priority, count(*) AS events FROM base b LEFT JOIN topics t ON b.topic = t.topic GROUP BY ALL"),
+    "topic_lookup_left": with_events(
+        "SELECT b.topic, tp AS table_priority, count(*) AS events FROM base b LEFT JOIN topics t ON b.topic = t.topic GROUP BY ALL"
+    ),
     "handler_longest_prefix": with_events("SELECT topic, handler, count(*) AS events FROM x GROUP BY ALL"),
-    "validate_reasons": with_events("SELECT handler, reason, count(*) AS events FROM x WHERE reason IS NOT NULL AND reason NOT IN ('temperature out of physical range', 'payment amount is zero', 'payment amount exceeds limit') GROUP BY ALL"),
-    "rule_violations": with_events("SELECT handler, reason, count(*) AS events FROM x WHERE reason IN ('temperature out of physical range', 'payment amount is zero', 'payment amount exceeds limit') GROUP BY ALL"),
-    "alerts_realtime": with_events("SELECT CAST(alert_level AS INT) AS level, message, topic AS source, id AS event_id FROM x WHERE lane = 'REALTIME' AND alert_level IS NOT NULL UNION ALL SELECT 1, 'SLA breach: ' || elapsed_ms || 'ms > 5ms', topic, id FROM x WHERE lane = 'REALTIME' AND outcome <> 'DROP' AND elapsed_ms > 5"),
-    "alerts_suppressed_other_lanes": with_events("SELECT lane, CAST(alert_level AS INT) AS alert_level, count(*) AS events FROM x WHERE lane <> 'REALTIME' AND alert_level IS NOT NULL GROUP BY ALL"),
+    "validate_reasons": with_events(
+        "SELECT handler, reason, count(*) AS events FROM x WHERE reason IS NOT NULL AND reason NOT IN ('temperature out of physical range', 'payment amount is zero', 'payment amount exceeds limit') GROUP BY ALL"
+    ),
+    "rule_violations": with_events(
+        "SELECT handler, reason, count(*) AS events FROM x WHERE reason IN ('temperature out of physical range', 'payment amount is zero', 'payment amount exceeds limit') GROUP BY ALL"
+    ),
+    "alerts_realtime": with_events(
+        "SELECT CAST(alert_level AS INT) AS level, message, topic AS source, id AS event_id FROM x WHERE lane = 'REALTIME' AND alert_level IS NOT NULL UNION ALL SELECT 1, 'SLA breach: ' || elapsed_ms || 'ms > 5ms', topic, id FROM x WHERE lane = 'REALTIME' AND outcome <> 'DROP' AND elapsed_ms > 5"
+    ),
+    "alerts_suppressed_other_lanes": with_events(
+        "SELECT lane, CAST(alert_level AS INT) AS alert_level, count(*) AS events FROM x WHERE lane <> 'REALTIME' AND alert_level IS NOT NULL GROUP BY ALL"
+    ),
     "payment_amounts": with_events("SELECT id, amount, message FROM x WHERE handler = 'PaymentEventHandler' AND outcome = 'SUCCESS'"),
-    "lane_outcomes": with_events("SELECT lane, handler, outcome, reason, CAST(alert_level AS INT) AS alert_level, count(*) AS events FROM x GROUP BY ALL"),
+    "lane_outcomes": with_events(
+        "SELECT lane, handler, outcome, reason, CAST(alert_level AS INT) AS alert_level, count(*) AS events FROM x GROUP BY ALL"
+    ),
     "destinations": with_events("""SELECT id, processor, CASE WHEN processor = 'RealtimeProcessor' AND starts_with(topic, 'sensor/pressure') THEN 'emergency-svc' WHEN processor = 'RealtimeProcessor' AND starts_with(topic, 'sensor/temperature') THEN 'monitoring'
       WHEN processor = 'TransactionalProcessor' AND starts_with(topic, 'payment') THEN 'payment-status' WHEN processor = 'TransactionalProcessor' AND starts_with(topic, 'state') THEN 'state-change'
       WHEN processor = 'TransactionalProcessor' AND starts_with(topic, 'audit') THEN 'compliance' WHEN processor = 'BatchProcessor' AND starts_with(topic, 'audit') THEN 'analytics' END AS destination FROM fates WHERE status = 'processed'""", _FATES),
-    "subscribe_prefix": with_events("SELECT id, CAST(eff AS INT) AS priority, topic, body_len FROM fates WHERE status = 'processed' AND starts_with(topic, 'sensor/')", _FATES),
-    "subscriber_fanout": with_events("SELECT subscriber, id, topic FROM fates JOIN (VALUES ('all', ''), ('pay', 'payment'), ('sense', 'sensor/'), ('temp', 'sensor/temperature')) s(subscriber, prefix) ON starts_with(topic, prefix) WHERE status = 'processed'", _FATES),
+    "subscribe_prefix": with_events(
+        "SELECT id, CAST(eff AS INT) AS priority, topic, body_len FROM fates WHERE status = 'processed' AND starts_with(topic, 'sensor/')", _FATES
+    ),
+    "subscriber_fanout": with_events(
+        "SELECT subscriber, id, topic FROM fates JOIN (VALUES ('all', ''), ('pay', 'payment'), ('sense', 'sensor/'), ('temp', 'sensor/temperature')) s(subscriber, prefix) ON starts_with(topic, prefix) WHERE status = 'processed'",
+        _FATES
+    ),
     "frame_decode": with_events("SELECT id, CAST(priority AS INT) AS priority, topic, body_len AS payload_len FROM x"),
-    "frame_errors": with_events("SELECT CASE id % 7 WHEN 1 THEN 'Frame too small: missing length prefix' WHEN 2 THEN 'Frame length mismatch' WHEN 3 THEN 'Frame too small: missing priority or topic_len' WHEN 4 THEN 'Invalid priority value' WHEN 5 THEN 'Frame too small for declared topic length' WHEN 6 THEN 'Topic length cannot be zero' END AS error, count(*) AS frames FROM x GROUP BY 1"),
-    "batch_windows_anchored": with_events('SELECT key, "window", count(*) AS events, min(time) AS first_us, max(time) AS last_us, bool_and(flushed) AS flushed FROM windowed GROUP BY key, "window"', _BUFFERED),
-    "batch_window_flush_counts": with_events('SELECT key, count(DISTINCT "window") AS windows, count(*) AS events FROM windowed WHERE flushed GROUP BY key', _BUFFERED),
+    "frame_errors": with_events(
+        "SELECT CASE id % 7 WHEN 1 THEN 'Frame too small: missing length prefix' WHEN 2 THEN 'Frame length mismatch' WHEN 3 THEN 'Frame too small: missing priority or topic_len' WHEN 4 THEN 'Invalid priority value' WHEN 5 THEN 'Frame too small for declared topic length' WHEN 6 THEN 'Topic length cannot be zero' END AS error, count(*) AS frames FROM x GROUP BY 1"
+    ),
+    "batch_windows_anchored": with_events(
+        'SELECT key, "window", count(*) AS events, min(time) AS first_us, max(time) AS last_us, bool_and(flushed) AS flushed FROM windowed GROUP BY key, "window"',
+        _BUFFERED
+    ),
+    "batch_window_flush_counts": with_events(
+        'SELECT key, count(DISTINCT "window") AS windows, count(*) AS events FROM windowed WHERE flushed GROUP BY key', _BUFFERED
+    ),
     "batch_tail_unflushed": with_events("SELECT key, count(*) AS events FROM windowed WHERE NOT flushed GROUP BY key", _BUFFERED),
     "dedup_no_expiry": with_events("SELECT dedup_id, min(id) AS first_id, count(*) AS events FROM x GROUP BY dedup_id"),
     "dedup_ttl": with_events("SELECT key, id, status FROM told", _DEDUP.format(ok="TRUE", source="x", ttl=6 * HOUR)),
     "dedup_success_only": with_events("SELECT key, id, status FROM told", _DEDUP.format(ok="id % 11 <> 0", source="x", ttl=6 * HOUR)),
-    "transactional_status": with_events("SELECT id, status, CASE WHEN status = 'dropped' THEN reason END AS final_reason, CAST(status = 'processed' AS INT) AS attempts FROM fates WHERE lane = 'TRANSACTIONAL'", _FATES),
+    "transactional_status": with_events(
+        "SELECT id, status, CASE WHEN status = 'dropped' THEN reason END AS final_reason, CAST(status = 'processed' AS INT) AS attempts FROM fates WHERE lane = 'TRANSACTIONAL'",
+        _FATES
+    ),
     "dlq_all": with_events("SELECT id, topic, lane, processor, reason, drop_seq FROM letters", _FATES),
     "dlq_last_n": with_events("SELECT id, reason FROM letters ORDER BY drop_seq DESC, id DESC LIMIT 1000", _FATES),
     "dlq_recent": with_events("SELECT id, reason FROM letters ORDER BY drop_seq DESC, id DESC LIMIT 100", _FATES),
-    "dlq_stats": with_events("SELECT count(*) AS total, least(count(*), 1000) AS stored, arg_max(reason, drop_seq) AS last_reason, max(drop_seq) AS last_seq FROM letters", _FATES),
-    "dlq_text": with_events("SELECT '[' || drop_seq // 1000000 || '] DROPPED: id=' || id || ' topic=' || topic || ' lane=' || lane || ' reason=' || reason AS value FROM letters", _FATES),
+    "dlq_stats": with_events(
+        "SELECT count(*) AS total, least(count(*), 1000) AS stored, arg_max(reason, drop_seq) AS last_reason, max(drop_seq) AS last_seq FROM letters",
+        _FATES
+    ),
+    "dlq_text": with_events(
+        "SELECT '[' || drop_seq // 1000000 || '] DROPPED: id=' || id || ' topic=' || topic || ' lane=' || lane || ' reason=' || reason AS value FROM letters",
+        _FATES
+    ),
     "overflow_drop_old": _overflow(99, "DESC"),
     "overflow_drop_new": _overflow(100, "ASC"),
     "overflow_block": _overflow(250, "ASC"),
-    "pressure_latch": with_events("SELECT id, r AS rank, CASE WHEN eff = 3 AND r > 121 THEN 'TRANSACTIONAL' ELSE lane END AS lane_after, CAST(CASE WHEN r - 1 >= 140 THEN 2 WHEN r - 1 >= 120 THEN 1 ELSE 0 END AS INT) AS pressure FROM (SELECT *, CAST(sum(CASE WHEN eff >= 3 THEN 1 ELSE 0 END) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS r FROM x) WHERE eff >= 3"),
+    "pressure_latch": with_events(
+        "SELECT id, r AS rank, CASE WHEN eff = 3 AND r > 121 THEN 'TRANSACTIONAL' ELSE lane END AS lane_after, CAST(CASE WHEN r - 1 >= 140 THEN 2 WHEN r - 1 >= 120 THEN 1 ELSE 0 END AS INT) AS pressure FROM (SELECT *, CAST(sum(CASE WHEN eff >= 3 THEN 1 ELSE 0 END) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS r FROM x) WHERE eff >= 3"
+    ),
     "purge_batch_64": with_events("SELECT id, topic FROM x WHERE lane = 'BATCH' ORDER BY arrival_us, id LIMIT 64"),
-    "sla_breach": with_events("SELECT id, elapsed_ms, outcome <> 'DROP' AND elapsed_ms > 5 AS breach, outcome <> 'DROP' AND elapsed_ms <= 5 AS stored, CAST(outcome <> 'DROP' AS INT) AS processed, CAST(outcome = 'DROP' OR elapsed_ms > 5 AS INT) AS dropped FROM x WHERE lane = 'REALTIME'"),
+    "sla_breach": with_events(
+        "SELECT id, elapsed_ms, outcome <> 'DROP' AND elapsed_ms > 5 AS breach, outcome <> 'DROP' AND elapsed_ms <= 5 AS stored, CAST(outcome <> 'DROP' AS INT) AS processed, CAST(outcome = 'DROP' OR elapsed_ms > 5 AS INT) AS dropped FROM x WHERE lane = 'REALTIME'"
+    ),
     "pause_transactions": with_events("SELECT id, 'dropped' AS status, 'processor_paused' AS final_reason FROM x WHERE lane = 'TRANSACTIONAL'"),
     "drop_batch_mode": with_events("SELECT id, 'backpressure_drop' AS final_reason FROM x WHERE lane = 'BATCH'"),
     "metrics_by_component": with_events("SELECT * FROM metrics", _FATES),
-    "drop_rate_percent": with_events("SELECT component, CASE WHEN processed + dropped > 0 THEN dropped * 100 // (processed + dropped) ELSE 0 END AS drop_rate FROM metrics", _FATES),
-    "health_status": with_events("SELECT component, CASE WHEN dropped * 100.0 / (processed + dropped) > 2.0 THEN 'UNHEALTHY' ELSE 'HEALTHY' END AS health FROM metrics", _FATES),
-    "engine_totals_component_sum": with_events(f"SELECT CAST(sum(processed) AS BIGINT) AS processed, CAST(sum(dropped) AS BIGINT) AS dropped, CAST(sum(queue_depth) AS BIGINT) AS queue_depth FROM ({_COMPONENTS})", _FATES),
-    "engine_totals_unique": with_events("SELECT CAST(sum(processed) AS BIGINT) AS processed, CAST(sum(dropped) AS BIGINT) AS dropped, CAST(sum(queue_depth) AS BIGINT) AS queue_depth FROM metrics", _FATES),
+    "drop_rate_percent": with_events(
+        "SELECT component, CASE WHEN processed + dropped > 0 THEN dropped * 100 // (processed + dropped) ELSE 0 END AS drop_rate FROM metrics", _FATES
+    ),
+    "health_status": with_events(
+        "SELECT component, CASE WHEN dropped * 100.0 / (processed + dropped) > 2.0 THEN 'UNHEALTHY' ELSE 'HEALTHY' END AS health FROM metrics", _FATES
+    ),
+    "engine_totals_component_sum": with_events(
+        f"SELECT CAST(sum(processed) AS BIGINT) AS processed, CAST(sum(dropped) AS BIGINT) AS dropped, CAST(sum(queue_depth) AS BIGINT) AS queue_depth FROM ({_COMPONENTS})",
+        _FATES
+    ),
+    "engine_totals_unique": with_events(
+        "SELECT CAST(sum(processed) AS BIGINT) AS processed, CAST(sum(dropped) AS BIGINT) AS dropped, CAST(sum(queue_depth) AS BIGINT) AS queue_depth FROM metrics",
+        _FATES
+    ),
     "latency_histogram": with_events("SELECT CAST(bucket AS INT) AS bucket, cnt FROM hist"),
-    "latency_percentiles": with_events(" UNION ALL ".join(_percentile(p) for p in ("50.0::DOUBLE", "99.0::DOUBLE", "99.9::DOUBLE")), ", run AS (SELECT bucket, sum(cnt) OVER (ORDER BY bucket) AS cum, sum(cnt) OVER () AS n FROM hist)"),
-    "latency_min_max": with_events("SELECT CASE WHEN min(bucket) > 0 THEN 1::BIGINT << CAST(min(bucket) AS BIGINT) ELSE 0 END AS min_value, (1::BIGINT << CAST(max(bucket) + 1 AS BIGINT)) - 1 AS max_value, CAST(sum(cnt) AS BIGINT) AS total FROM hist"),
-    "exact_percentiles": with_events("SELECT lane, CAST(p AS INT) AS p, list_sort(list(latency_ns))[CAST(least(count(*) * p // 100, count(*) - 1) + 1 AS BIGINT)] AS value FROM x, (VALUES (50), (90), (99)) q(p) GROUP BY lane, p"),
-    "retry_attempts": with_events("SELECT status, CAST(status = 'processed' AS INT) AS attempts, count(*) AS events FROM fates WHERE lane = 'TRANSACTIONAL' GROUP BY ALL", _FATES),
-    "producer_union": with_events("SELECT source_type, count(*) AS events, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT CAST(id % 2 AS INT) AS source_type, id FROM x) GROUP BY 1"),
-    "priority_enum_names": with_events("SELECT CAST(priority AS INT) AS priority, ['BATCH', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][priority + 1] AS name, CAST(priority AS INT) AS value, count(*) AS events FROM x GROUP BY ALL"),
+    "latency_percentiles": with_events(
+        " UNION ALL ".join(_percentile(p) for p in ("50.0::DOUBLE", "99.0::DOUBLE", "99.9::DOUBLE")),
+        ", run AS (SELECT bucket, sum(cnt) OVER (ORDER BY bucket) AS cum, sum(cnt) OVER () AS n FROM hist)"
+    ),
+    "latency_min_max": with_events(
+        "SELECT CASE WHEN min(bucket) > 0 THEN 1::BIGINT << CAST(min(bucket) AS BIGINT) ELSE 0 END AS min_value, (1::BIGINT << CAST(max(bucket) + 1 AS BIGINT)) - 1 AS max_value, CAST(sum(cnt) AS BIGINT) AS total FROM hist"
+    ),
+    "exact_percentiles": with_events(
+        "SELECT lane, CAST(p AS INT) AS p, list_sort(list(latency_ns))[CAST(least(count(*) * p // 100, count(*) - 1) + 1 AS BIGINT)] AS value FROM x, (VALUES (50), (90), (99)) q(p) GROUP BY lane, p"
+    ),
+    "retry_attempts": with_events(
+        "SELECT status, CAST(status = 'processed' AS INT) AS attempts, count(*) AS events FROM fates WHERE lane = 'TRANSACTIONAL' GROUP BY ALL",
+        _FATES
+    ),
+    "producer_union": with_events(
+        "SELECT source_type, count(*) AS events, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT CAST(id % 2 AS INT) AS source_type, id FROM x) GROUP BY 1"
+    ),
+    "priority_enum_names": with_events(
+        "SELECT CAST(priority AS INT) AS priority, ['BATCH', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][priority + 1] AS name, CAST(priority AS INT) AS value, count(*) AS events FROM x GROUP BY ALL"
+    ),
     "topic_file": "SELECT * FROM (VALUES ('sensor/1', 4), ('a b', 1), ('late', 0)) t(topic, priority)",
     "topic_reload": "SELECT * FROM (VALUES ('sensor/1', 4), ('a b', 3), ('late', 0), ('new', 2)) t(topic, priority)",
     "event_log_round_trip": with_events("SELECT id, arrival_us * 1000 AS ts_ns, CAST(0 AS INT) AS source_type, topic, body_len FROM x"),
@@ -140,17 +203,33 @@ SQL = {
     "tumbling_windows": with_events(f'SELECT topic, arrival_us // {HOUR} AS "window", count(*) AS events FROM x GROUP BY ALL'),
     "stream_lane_counts": with_events("SELECT lane, count(*) AS events FROM x GROUP BY lane"),
     "stream_dedup": with_events("SELECT key, id, status FROM told", _DEDUP.format(ok="id % 11 <> 0", source="x", ttl=6 * HOUR)),
-    "stream_batch_windows": with_events('SELECT key, "window", count(*) AS events FROM windowed GROUP BY key, "window"', _ANCHORED.format(w=HOUR, where="TRUE")),
+    "stream_batch_windows": with_events(
+        'SELECT key, "window", count(*) AS events FROM windowed GROUP BY key, "window"', _ANCHORED.format(w=HOUR, where="TRUE")
+    ),
     "handler_failures": with_events("""SELECT id, lane, CASE WHEN lane = 'TRANSACTIONAL' AND failed IS NOT NULL THEN 'dropped' WHEN lane = 'REALTIME' AND failed IS NOT NULL THEN 'dropped' WHEN lane = 'BATCH' AND failed IS NOT NULL THEN 'failed_at_flush' WHEN reason IS NOT NULL THEN 'dropped'
         WHEN lane = 'REALTIME' AND elapsed_ms > 5 THEN 'late' ELSE 'processed' END AS status,
       CASE WHEN failed IS NOT NULL THEN CASE lane WHEN 'TRANSACTIONAL' THEN 'max_retries_exceeded' ELSE failed END WHEN reason IS NOT NULL THEN reason WHEN lane = 'REALTIME' AND elapsed_ms > 5 THEN 'sla_breach' END AS letter,
       CAST(reason IS NULL AND (failed IS NULL OR lane = 'BATCH') AS INT) AS processed, CAST(reason IS NOT NULL OR (failed IS NOT NULL AND lane <> 'BATCH') OR (lane = 'REALTIME' AND elapsed_ms > 5) AS INT) AS dropped,
       reason IS NULL AND failed IS NULL AND (lane <> 'REALTIME' OR elapsed_ms <= 5) AS stored, CAST(CASE WHEN reason IS NOT NULL THEN 0 WHEN failed IS NOT NULL AND lane = 'TRANSACTIONAL' THEN 3 ELSE 1 END AS INT) AS attempts FROM refusing""",
       """, refusing AS (SELECT *, CASE WHEN starts_with(topic, 'state') AND id % 7 < 2 THEN 'state refused' WHEN starts_with(topic, 'analytics') AND id % 3 = 0 THEN 'analytics refused' WHEN topic = 'sensor/1' AND id % 4 = 0 THEN 'reading refused' END AS failed FROM x)"""),
-    "ingest_counters": with_events("SELECT CASE id % 2 WHEN 0 THEN 'tcp' ELSE 'udp' END AS source, count(DISTINCT id % 20) AS connections, count(*) FILTER (id % 7 IN (0)) AS events, count(*) FILTER (id % 7 <> 0) AS errors, CAST(sum(CASE id % 7 WHEN 0 THEN 7 + strlen(topic) + body_len WHEN 1 THEN 2 WHEN 2 THEN 8 + strlen(topic) + body_len WHEN 3 THEN 6 WHEN 4 THEN 8 WHEN 5 THEN 8 ELSE 8 END) AS BIGINT) AS bytes FROM x GROUP BY 1"),
-    "stage_latencies": with_events("SELECT id, 1000 * (id % 7) AS ingest_to_dequeue_ns, id * id + 1 AS dequeue_to_done_ns, 1000 * (id % 7) + id * id + 1 AS total_ns FROM x"),
-    "success_latency_histogram": with_events("SELECT CAST(length(bin(latency_ns)) - 1 AS INT) AS bucket, count(*) AS cnt FROM fates WHERE lane = 'TRANSACTIONAL' AND status = 'processed' GROUP BY 1", _FATES),
-    "dedup_state_size": with_events(f"SELECT dedup_id % 8 AS bucket, count(DISTINCT dedup_id) AS ids FROM fates WHERE lane = 'TRANSACTIONAL' AND status = 'processed' AND arrival_us + {DAY} >= (SELECT max(arrival_us) FROM x) GROUP BY 1", _FATES),
-    "queue_depth_by_lane": with_events("SELECT lane, count(*) FILTER (arrival_us <= now AND arrival_us + elapsed_ms * 1000 > now) AS queue_depth FROM x, (SELECT max(arrival_us) AS now FROM x) GROUP BY lane"),
-    "engine_frames": with_events("SELECT topic, count(*) AS events, CAST(sum(body_len) AS BIGINT) AS bytes FROM x WHERE reason IS NULL GROUP BY topic"),
+    "ingest_counters": with_events(
+        "SELECT CASE id % 2 WHEN 0 THEN 'tcp' ELSE 'udp' END AS source, count(DISTINCT id % 20) AS connections, count(*) FILTER (id % 7 IN (0)) AS events, count(*) FILTER (id % 7 <> 0) AS errors, CAST(sum(CASE id % 7 WHEN 0 THEN 7 + strlen(topic) + body_len WHEN 1 THEN 2 WHEN 2 THEN 8 + strlen(topic) + body_len WHEN 3 THEN 6 WHEN 4 THEN 8 WHEN 5 THEN 8 ELSE 8 END) AS BIGINT) AS bytes FROM x GROUP BY 1"
+    ),
+    "stage_latencies": with_events(
+        "SELECT id, 1000 * (id % 7) AS ingest_to_dequeue_ns, id * id + 1 AS dequeue_to_done_ns, 1000 * (id % 7) + id * id + 1 AS total_ns FROM x"
+    ),
+    "success_latency_histogram": with_events(
+        "SELECT CAST(length(bin(latency_ns)) - 1 AS INT) AS bucket, count(*) AS cnt FROM fates WHERE lane = 'TRANSACTIONAL' AND status = 'processed' GROUP BY 1",
+        _FATES
+    ),
+    "dedup_state_size": with_events(
+        f"SELECT dedup_id % 8 AS bucket, count(DISTINCT dedup_id) AS ids FROM fates WHERE lane = 'TRANSACTIONAL' AND status = 'processed' AND arrival_us + {DAY} >= (SELECT max(arrival_us) FROM x) GROUP BY 1",
+        _FATES
+    ),
+    "queue_depth_by_lane": with_events(
+        "SELECT lane, count(*) FILTER (arrival_us <= now AND arrival_us + elapsed_ms * 1000 > now) AS queue_depth FROM x, (SELECT max(arrival_us) AS now FROM x) GROUP BY lane"
+    ),
+    "engine_frames": with_events(
+        "SELECT topic, count(*) AS events, CAST(sum(body_len) AS BIGINT) AS bytes FROM x WHERE reason IS NULL GROUP BY topic"
+    ),
 }

@@ -41,7 +41,13 @@ def decode(logs: DataFrame, column: str = "content") -> DataFrame:
             for x in b.column("data"):
                 rows = list(zip(*read(x.as_py() or b""), strict=True)) or [[]] * 5
                 topics = [t.decode("utf-8", "replace") for t in rows[3]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(topics, pa.string()), pa.array(rows[4], pa.binary())], ["ts_ns", "source_type", "id", "topic", "body"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(topics, pa.string()),
+                        pa.array(rows[4], pa.binary())
+                    ],
+                    ["ts_ns", "source_type", "id", "topic", "body"]
+                )
 
     return logs.select(F.col(column).alias("data")).mapInArrow(run, "ts_ns long, source_type int, id long, topic string, body binary")
 

@@ -39,7 +39,9 @@ def decode_body(df: DataFrame, column: str) -> DataFrame:
     topic = F.when(ok, F.substr(body, F.lit(4), size.cast("int")))
     text = F.call_function("try_validate_utf8", topic.cast("string"))
     return x.withColumns({
-        "priority": F.when(ok, be_uint(body, 1, 1).cast("int")), "topic": F.when(ok, F.coalesce(text, F.call_function("make_valid_utf8", topic.cast("string")))), "topic_bytes": topic, "payload": F.when(ok, _rest(body, (size + 3).cast("int"))),
+        "priority": F.when(ok, be_uint(body, 1, 1).cast("int")), "topic": F.when(
+            ok, F.coalesce(text, F.call_function("make_valid_utf8", topic.cast("string")))
+        ), "topic_bytes": topic, "payload": F.when(ok, _rest(body, (size + 3).cast("int"))),
     })
 
 
@@ -106,7 +108,10 @@ def split_connections(parts: DataFrame, tails: DataFrame | None = None) -> DataF
     """
     x = parts.select("connection", "path", "modificationTime", "content", F.lit(False).alias("gave_up"), F.lit(1).alias("turn"))
     if tails is not None:
-        x = x.unionByName(tails.select("connection", F.lit("").alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.col("tail").alias("content"), "gave_up", F.lit(0).alias("turn")))
+        x = x.unionByName(tails.select(
+            "connection", F.lit("").alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.col("tail").alias("content"), "gave_up",
+            F.lit(0).alias("turn")
+        ))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple[str, bytes, bool, int] | None = None  # connection, rest, given up, empty frames in a row
@@ -114,7 +119,10 @@ def split_connections(parts: DataFrame, tails: DataFrame | None = None) -> DataF
         def rows(found: list[tuple]) -> pa.RecordBatch:
             kinds = [pa.string(), pa.string(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
             columns = list(zip(*found, strict=True)) or [[]] * len(kinds)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["connection", "path", "modificationTime", "seq", "body", "tail", "gave_up"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                ["connection", "path", "modificationTime", "seq", "body", "tail", "gave_up"]
+            )
 
         end = lambda: [(now[0], None, None, None, None, now[1], now[2])] if now else []
         for b in batches:
@@ -148,6 +156,8 @@ def split_captures(captures: DataFrame, column: str = "content", keep: tuple[str
             for i in range(b.num_rows):
                 bodies = split_stream(b.column("__data")[i].as_py() or b"")[0]
                 kept = [b.column(k).take(pa.array([i] * len(bodies), pa.int64())) for k in keep]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(range(len(bodies)), pa.int64()), pa.array(bodies, pa.binary())], [*keep, "seq", "body"])
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(range(len(bodies)), pa.int64()), pa.array(bodies, pa.binary())], [*keep, "seq", "body"]
+                )
 
     return slim.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), "seq long", "body binary"]))

@@ -17,7 +17,10 @@ def parse_topics(lines: DataFrame, value: str = "value", order: str = "line") ->
     clean = F.regexp_replace(value, "#.*", "")
     at = F.instr(clean, ":")
     trim = lambda c: F.regexp_replace(c, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    x = lines.select(F.col(order).alias("o"), F.when(at > 0, trim(F.substr(clean, F.lit(1), at - 1))).alias("topic"), values_of(Priority, trim(F.substr(clean, at + 1))).alias("priority"))
+    x = lines.select(
+        F.col(order).alias("o"), F.when(at > 0, trim(F.substr(clean, F.lit(1), at - 1))).alias("topic"),
+        values_of(Priority, trim(F.substr(clean, at + 1))).alias("priority")
+    )
     return x.where("topic is not null and priority is not null").groupBy("topic").agg(F.max_by("priority", "o").alias("priority"))
 
 

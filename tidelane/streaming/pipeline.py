@@ -30,7 +30,9 @@ def run_available(stream: DataFrame, checkpoint: str, mode: str = "append") -> D
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
 
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(write).outputMode(mode).option(
+        "checkpointLocation", f"{checkpoint}/state"
+    ).trigger(availableNow=True).start().awaitTermination()
     return _read(stream.sparkSession, out, stream.schema)
 
 
@@ -144,13 +146,17 @@ class Engine:
 
     def _remember(self, told: DataFrame, before: DataFrame | None, number: int) -> None:
         """What a later duplicate may be compared with: each key's last success, while its time to live lasts."""
-        new = told.where("lane = 'TRANSACTIONAL' and status = 'processed'").select(F.col(self.key).alias("key"), F.struct(F.col("arrival_us").alias("time"), "id").alias("at"))
+        new = told.where("lane = 'TRANSACTIONAL' and status = 'processed'").select(
+            F.col(self.key).alias("key"), F.struct(F.col("arrival_us").alias("time"), "id").alias("at")
+        )
         if before is not None:
             new = new.unionByName(before.select("key", F.struct("time", "id").alias("at")))
         last = new.groupBy("key").agg(F.max("at").alias("at"))
         now = told.agg(F.max("arrival_us").alias("now"))
         live = last.crossJoin(F.broadcast(now)).where(F.col("now").isNull() | (F.col("at.time") + self.ttl_us >= F.col("now")))
-        live.select("key", "at.time", "at.id", F.lit(0).cast("long").alias("number")).write.mode("overwrite").parquet(f"{self.home}/state/{number}/remembered")
+        live.select(
+            "key", "at.time", "at.id", F.lit(0).cast("long").alias("number")
+        ).write.mode("overwrite").parquet(f"{self.home}/state/{number}/remembered")
 
     def process_captures(self, captures: DataFrame, number: int = 0, connection=None) -> None:
         """One batch of capture files: split into frames with what was unfinished before, decoded, made events, processed.
@@ -179,7 +185,9 @@ class Engine:
 
     def metrics(self) -> DataFrame:
         """(component, processed, dropped, queue_depth, last_event_us) of all batches so far; queue_depth is what waits in open windows."""
-        counts = self.table("counts").groupBy("component").agg(F.sum("processed").alias("processed"), F.sum("dropped").alias("dropped"), F.max("last_event_us").alias("last_event_us"))
+        counts = self.table("counts").groupBy("component").agg(
+            F.sum("processed").alias("processed"), F.sum("dropped").alias("dropped"), F.max("last_event_us").alias("last_event_us")
+        )
         waiting = self._state("waiting", self.last)
         depth = F.lit(0).cast("long")
         if waiting is not None:

@@ -27,7 +27,9 @@ def anchored_windows(events: DataFrame, key: str, time: str, id: str, width: int
         yield rows.assign(window=window)[["key", "id", "time", "window"]]
 
     slim = events.select(F.col(key).alias("key"), F.col(id).alias("id"), F.col(time).alias("time"))
-    return slim.groupBy("key").applyInPandasWithState(fold, f"key {dict(slim.dtypes)['key']}, id long, time long, window long", "anchor long, number long", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("key").applyInPandasWithState(
+        fold, f"key {dict(slim.dtypes)['key']}, id long, time long, window long", "anchor long, number long", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def dedup(events: DataFrame, key: str, time: str, id: str, ok: str, ttl: int, delay: str = "1 day") -> DataFrame:
@@ -48,5 +50,10 @@ def dedup(events: DataFrame, key: str, time: str, id: str, ok: str, ttl: int, de
             state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield rows.assign(status=status)[["key", "id", "time", "status"]]
 
-    slim = events.select(F.col(key).cast("long").alias("key"), F.col(id).alias("id"), F.col(time).alias("time"), F.expr(ok).alias("ok"), F.timestamp_micros(time).alias("at")).withWatermark("at", delay)
-    return slim.groupBy("key").applyInPandasWithState(fold, "key long, id long, time long, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    slim = events.select(
+        F.col(key).cast("long").alias("key"), F.col(id).alias("id"), F.col(time).alias("time"), F.expr(ok).alias("ok"),
+        F.timestamp_micros(time).alias("at")
+    ).withWatermark("at", delay)
+    return slim.groupBy("key").applyInPandasWithState(
+        fold, "key long, id long, time long, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout
+    )
