@@ -112,8 +112,8 @@ def link_components(first: DataFrame, sets: DataFrame, percent: int, scratch: Sc
     """(id, component) of the ids that have a confirmed link, from groups_of() and the members' sets (id, items).
 
     Candidates are confirmed on whole sets, sorted 64-bit hashes as bytes, in three rounds, with components after
-    each: every id against its least hub; ids that are still apart from a hub against it and PIVOTS members of
-    its group, drawn by hash; and what is apart even then against all of the group, block by block. So a
+    each: every id against its least hub; ids that are still apart from hubs against one of each of these's components
+    and PIVOTS members of its group, drawn by hash; and what is apart even then against all of the group, its hub too, block by block. So a
     candidate pair is connected already or compared itself, no link between candidates is lost, and a group of
     copies costs a few comparisons a member.
     """
@@ -130,7 +130,9 @@ def link_components(first: DataFrame, sets: DataFrame, percent: int, scratch: Sc
         return scratch.table(x.select("a", "an", "b", "bn", F.coalesce("a_in", "a").alias("a_in"), F.coalesce("b_in", "b").alias("b_in")))
 
     def apart(x: DataFrame) -> DataFrame:
-        return x.where("a_in <> b_in").select("b", F.col("a").alias("x"), F.col("an").alias("xn"), F.col("a_in").alias("x_in"))
+        """What is still apart from a hub, once for each component of its hubs, with the least hub of that."""
+        x = x.where("a_in <> b_in").groupBy(F.col("a").alias("x"), F.col("an").alias("xn"), F.col("a_in").alias("x_in"), "b_in")
+        return x.agg(F.min("b").alias("b")).drop("b_in")
 
     def pair(x: DataFrame) -> DataFrame:
         return x.select(F.greatest("x", "a").alias("a"), F.least("x", "a").alias("b"), F.col("xn").alias("an"), F.col("an").alias("bn"))
@@ -157,9 +159,8 @@ def link_components(first: DataFrame, sets: DataFrame, percent: int, scratch: Sc
     xs = scratch.table(then.where("a_in <> b_in").select(F.col("b").alias("group"), F.col("a").alias("id"), F.col("a_in").alias("inside")))
     if xs.isEmpty():
         return comp
-    ys = then.select(
-        F.col("b").alias("group"), F.col("a").alias("id"), F.col("a_in").alias("inside")
-    ).join(xs.select("group").distinct(), "group", "left_semi")
+    side = lambda c: then.select(F.col("b").alias("group"), F.col(c).alias("id"), F.col(f"{c}_in").alias("inside"))
+    ys = side("a").unionByName(side("b").distinct()).join(xs.select("group").distinct(), "group", "left_semi")
     out = merged(comp, scratch.table(blockwise(xs, ys, sets, percent)))
     scratch.drop(now, then, xs)
     return out
