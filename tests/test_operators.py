@@ -244,3 +244,26 @@ def test_alert_handlers_fail_alone_and_drops_are_told(spark, caplog):
     subs.notify_dropped(raised)
     subs.notify_dropped(raised)
     assert seen == [1, 1, 1] and len(subs.dropped) == 1
+
+
+def test_many_keys_need_no_group_each(spark):
+    """Keys of one point, of points within the time to live, of long chains, and with a point from before, against a walk."""
+    rng, ttl = np.random.default_rng(3), 100
+    rows, carried = [], []
+    for k in range(300):
+        far = (50, 150, 20_000)[k % 3]
+        rows += [(k, int(t), 1000 * k + i, bool(rng.random() < 0.8)) for i, t in enumerate(rng.integers(0, far, rng.integers(1, 12)))]
+        if k % 4 == 0:
+            carried.append((k, int(rng.integers(-120, 1)), -1 - k, 0))
+    df = spark.createDataFrame(rows, "k long, t long, id long, ok boolean")
+    given = spark.createDataFrame(carried, "key long, time long, id long, number long")
+    for before in (None, given):
+        last, want = {k: t for k, t, *_ in carried} if before is not None else {}, {}
+        for k in range(300):
+            own = sorted(r[1:] for r in rows if r[0] == k)
+            status = anchored.dedup_status(np.array([t for t, *_ in own]), np.array([ok for *_, ok in own]), ttl, last.get(k))[0]
+            want |= {r[1]: s for r, s in zip(own, status, strict=True)}
+        x = anchored.dedup(df, "k", "t", "id", F.col("ok"), ttl, before)
+        got = {r.id: r.status for r in x.collect()}
+        assert got == want, [(r, got[r[2]], want[r[2]], last.get(r[0])) for r in rows if got[r[2]] != want[r[2]]][:9]
+        assert "FlatMapGroupsInPandas" not in x._jdf.queryExecution().toString()

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 CELLS = 16  # gaps in a range: a chain has one point more there at most
 _POINT = "struct<time:bigint,id:bigint,number:bigint>"
+_ENDS = (("number", "ending", -1), ("time", "last_time", 0), ("id", "last_id", 0))
 
 
 def chain_ends(t: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,24 +59,47 @@ def _ends(gap: int, span: int, anywhere: bool):
     return run
 
 
-def _fold(gap: int):
-    """Over a key's ranges in order: the chain's point and number with which each begins, and the number at the end."""
+def _fold(gap: int, kind: pa.DataType):
+    """Over a key's ranges in order: the chain's point and number with which each begins, and the number at the end.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part", kind="stable")
-        at, begun = None, []
-        for part, steps, carried in zip(rows["part"], rows["steps"], rows["carried"], strict=True):
-            if carried is not None:
-                at = (int(carried["time"]), int(carried["id"]), int(carried["number"]))
-            begun.append(None if at is None else {"time": at[0], "id": at[1], "number": at[2]})
-            if steps is not None and len(steps):
-                k = 0 if at is None else int(np.searchsorted([s["upto"] for s in steps], at[0] + gap, "left"))
-                if k < len(steps):
-                    at = (int(steps[k]["time"]), int(steps[k]["id"]), (-1 if at is None else at[2]) + int(steps[k]["count"]))
-        rows = rows.assign(begun=begun, ending=-1 if at is None else at[2], last_time=0 if at is None else at[0], last_id=0 if at is None else at[1])
-        return rows[["key", "part", "begun", "ending", "last_time", "last_id"]]
+    Rows come sorted by key and part; only one key's ranges are held at a time.
+    """
+    point = pa.struct([("time", pa.int64()), ("id", pa.int64()), ("number", pa.int64())])
+    schema = pa.schema([
+        ("key", kind), ("part", pa.int64()), ("begun", point), ("ending", pa.int64()), ("last_time", pa.int64()), ("last_id", pa.int64())
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, at, begun, done = None, None, [], []
+
+        def end() -> None:
+            last = (-1, 0, 0) if at is None else (at["number"], at["time"], at["id"])
+            done.extend((key, part, point, *last) for part, point in begun)
+            begun.clear()
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [[]] * len(schema)
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            done.clear()
+            return out
+
+        for b in batches:
+            for own, part, steps, carried in zip(*(b.column(c).to_pylist() for c in ("key", "part", "steps", "carried")), strict=True):
+                if own != key:
+                    end()
+                    key, at = own, None
+                if carried is not None:
+                    at = carried
+                begun.append((part, at))
+                if steps:
+                    k = 0 if at is None else bisect_left(steps, at["time"] + gap, key=lambda s: s["upto"])
+                    if k < len(steps):
+                        at = {"time": steps[k]["time"], "id": steps[k]["id"], "number": (-1 if at is None else at["number"]) + steps[k]["count"]}
+            yield batch()
+        end()
+        yield batch()
 
-    return fold
+    return run
 
 
 def _points(gap: int):
@@ -108,29 +135,48 @@ def chains(rows: DataFrame, gap: int, carried: DataFrame | None = None) -> DataF
     last_id are that point's. carried (key, time, id, number) are points with which chains begin instead.
 
     A key's rows meet only range by range: each range tells where a chain that comes to it leaves it, and only these
-    short tables are folded over a key's ranges. Null keys and times have no chain.
+    short tables are folded over a key's ranges. A key whose points all lie within gap of the one its chain begins
+    with has no other point, so most of many keys need no fold. Null keys and times have no chain.
     """
     kind, span = dict(rows.dtypes)["key"], CELLS * gap
     rows = rows.where("key is not null and time is not null")
     times = rows.groupBy("key", part_of(F.col("time"), gap).alias("part"), "time").agg(F.min(F.when(F.col("ok"), F.col("id"))).alias("id"))
     point = F.when(F.col("id").isNotNull(), F.struct("time", "id"))
     ranges = times.groupBy("key", "part").agg(F.sort_array(F.collect_list(point)).alias("points"))
+    own = ranges.groupBy("key").agg(
+        F.min(F.get("points", F.lit(0))).alias("first"), F.max(F.try_element_at("points", F.lit(-1)))["time"].alias("upto")
+    )
+    first = F.when(F.col("first").isNotNull(), F.struct("first.time", "first.id", F.lit(0).cast("long").alias("number")))
+    begins = own.select(F.col("key").alias("__own"), first.cast(_POINT).alias("first"), "upto", F.lit(False).alias("begun"), F.lit(1).alias("n"))
+    if carried is not None:
+        carried = carried.select("key", F.struct(*(F.col(c).cast("long").alias(c) for c in ("time", "id", "number"))).cast(_POINT).alias("carried"))
+        given = carried.groupBy(F.col("key").alias("__given")).agg(F.any_value("carried").alias("carried"), F.count(F.lit(1)).alias("given"))
+        begins = begins.join(given, F.col("__own") == F.col("__given"), "left").select(
+            "__own", F.coalesce("carried", "first").alias("first"), "upto", F.col("carried").isNotNull().alias("begun"), F.coalesce("given", "n").alias("n")
+        )
+    lone = F.coalesce(F.col("upto") - F.col("first.time") < gap, F.lit(True)) & (F.col("n") == 1)
+    ranges = ranges.join(begins.select("__own", "first", "begun", lone.alias("lone")), F.col("key") == F.col("__own")).drop("__own")
+    there = F.col("first").isNotNull() & (F.col("begun") | (F.col("part") >= part_of(F.col("first.time"), gap)))
+    alone = ranges.where("lone").select(
+        "key", "part", *(F.coalesce(F.col(f"first.{c}"), F.lit(none).cast("long")).alias(name) for c, name, none in _ENDS),
+        F.when(there, F.array("first")).otherwise(F.array()).cast(f"array<{_POINT}>").alias("chain")
+    )
+    ranges = ranges.where("not lone").select("key", "part", "points")
     steps = ranges.mapInPandas(
         _ends(gap, span, carried is not None), f"key {kind}, part bigint, steps array<struct<upto:bigint,time:bigint,id:bigint,count:bigint>>"
     ).withColumn("carried", F.lit(None).cast(_POINT))
     if carried is not None:
-        first = F.lit(-(1 << 62)).cast("long").alias("part")
-        steps = steps.unionByName(carried.select(
-            "key", first, F.lit(None).cast("array<struct<upto:bigint,time:bigint,id:bigint,count:bigint>>").alias("steps"),
-            F.struct(
-                F.col("time").cast("long").alias("time"), F.col("id").cast("long").alias("id"), F.col("number").cast("long").alias("number")
-            ).alias("carried")
+        before = F.lit(-(1 << 62)).cast("long").alias("part")
+        steps = steps.unionByName(carried.join(ranges.select("key").distinct(), "key", "left_semi").select(
+            "key", before, F.lit(None).cast("array<struct<upto:bigint,time:bigint,id:bigint,count:bigint>>").alias("steps"), "carried"
         ))
-    begun = steps.groupBy("key").applyInPandas(
-        _fold(gap), f"key {kind}, part bigint, begun {_POINT}, ending bigint, last_time bigint, last_id bigint"
+    begun = steps.repartition("key").sortWithinPartitions("key", "part").mapInArrow(
+        _fold(gap, to_arrow_type(rows.schema["key"].dataType)), f"key {kind}, part bigint, begun {_POINT}, ending bigint, last_time bigint, last_id bigint"
     )
     both = ranges.join(begun, ["key", "part"])
-    return both.mapInPandas(_points(gap), f"key {kind}, part bigint, ending bigint, last_time bigint, last_id bigint, chain array<{_POINT}>")
+    return alone.unionByName(both.mapInPandas(
+        _points(gap), f"key {kind}, part bigint, ending bigint, last_time bigint, last_id bigint, chain array<{_POINT}>"
+    ))
 
 
 def with_chain(rows: DataFrame, key: str, time: str, id: str, ok, gap: int, carried: DataFrame | None = None) -> DataFrame:
