@@ -166,6 +166,18 @@ def test_quality_on_odd_rows(spark, scratch, odd, empty):
     assert quality.judge(empty, scratch).count() == 0
 
 
+def test_quality_ranks_words_of_any_length(spark, scratch):
+    """A language whose commonest words are long: a text without them is far from it."""
+    usual = " ".join(["Donaudampfschiff", "gemeinsamkeiten", *"a b c d e f".split()] * 10)
+    docs = [(i, usual, "de") for i in range(60)] + [(60, " ".join(f"w{k % 41}x{k}" for k in range(80)), "de"), (61, usual.replace("gemeinsamkeiten", "q"), "de")]
+    df = spark.createDataFrame([(d, t + f" z{d}", g) for d, t, g in docs], "doc_id long, text string, lang string")
+    ref = quality.references(df, scratch).first()
+    assert {"donaudampfschiff", "gemeinsamkeiten"} <= set(ref.common) and ref.ref_words == sum(len(t.split()) + 1 for _, t, _ in docs)
+    got, want = {r.doc_id: r for r in quality.judge(df, scratch).collect()}, brute_quality([tuple(r) for r in df.collect()])
+    for d, c, w, _ in want:
+        assert abs(got[d].class_distance - c) < 1e-5 and abs(got[d].word_distance - w) < 1e-5
+
+
 def test_pipeline_stages_equal_brute_force(spark, duck, scratch):
     """All stages but the classifier, each on what the one before has left, with odd rows among the documents."""
     import corpus_pipeline

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 COMMON = 32  # words of a language's histogram
-COMMON_LENGTH = 6  # code points of a common word at most
+COMMON_LENGTH = math.inf  # code points of a common word: no limit
 MIN_WORDS = 50  # shorter documents aren't judged by their common words
 MIN_REFERENCE = 2000  # words of a language that make a reference
 MAX_CLASS_DISTANCE = 0.25
@@ -47,13 +49,13 @@ def with_js_distance(df: DataFrame, name: str, p: str, q: str) -> DataFrame:
 def references(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(ref_lang, ref_words, common, word_counts, class_counts) of each language of docs, null among them.
 
-    common holds its commonest words of COMMON_LENGTH code points or less, in lower case; word_counts how
-    often each stands, and all others together at the end. All documents count, each once a row.
+    common holds its commonest words, in lower case and of any length; word_counts how often each stands, and all
+    others together at the end. All words of all documents count, each document once a row.
     """
     t = docs.select("lang", F.coalesce("text", F.lit("")).alias("t"))
     sums = [F.sum(c).cast("double") for c in classes()]
     whole = t.groupBy("lang").agg(F.sum(F.regexp_count("t", F.lit(WORD))).alias("ref_words"), F.array(*sums).alias("class_counts"))
-    words = t.select("lang", F.explode(F.split(F.lower("t"), r"[\x20\x09-\x0D]+")).alias("w")).where(F.length("w").between(1, COMMON_LENGTH))
+    words = t.select("lang", F.explode(F.split(F.lower("t"), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
     counted = scratch.table(words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c")))
     top = _top(counted)
     x = whole.join(top, whole.lang.eqNullSafe(top.top_lang), "left")
