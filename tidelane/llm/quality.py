@@ -23,7 +23,7 @@ _CODES = "".join(chr(c) for c in range(ord("0"), ord("0") + COMMON + 1))
 
 def _count(pattern: str, text: str = "t") -> Column:
     """Code points of text in the character class."""
-    return F.length(F.regexp_replace(text, f"[^{pattern}]+", "")).cast("long")
+    return F.regexp_count(text, F.lit(f"[{pattern}]")).cast("long")
 
 
 def classes() -> list[Column]:
@@ -110,8 +110,10 @@ def judge(docs: DataFrame, scratch: Scratch) -> DataFrame:
         "doc_id", "ref_words", "word_counts", "class_counts", "cl", F.size("words").cast("long").alias("n_words"), _count(SYMBOLS.replace("|", r"\|").replace("&", r"\&")).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("wh"), F.array_join(F.transform("words", code), "").alias("s"), F.size("common").alias("k"),
     )
-    hashed = "CASE WHEN n_words >= {w} THEN transform(sequence(0, cast(n_words as int) - {w}), i -> xxhash64({at})) ELSE array() END"
-    c = b.withColumn("hs", F.expr(hashed.format(w=WINDOW, at=", ".join(f"wh[i + {k}]" for k in range(WINDOW)))))
+    c, size = b, 1
+    while size < WINDOW:  # hashes of 2, 4, 8 words from two halves; those that reach over the end are cut off
+        c, size = c.withColumn("wh", F.expr(f"transform(wh, (h, i) -> xxhash64(h, get(wh, i + {size})))")), 2 * size
+    c = c.withColumn("hs", F.slice("wh", 1, F.greatest(F.size("wh") - WINDOW + 1, F.lit(0))))
     in_s = lambda ch: F.length("s") - F.length(F.replace(F.col("s"), F.lit(ch)))
     found = F.array(*(in_s(ch) for ch in _CODES[1:]))
     hist = F.concat(
