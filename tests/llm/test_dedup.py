@@ -266,3 +266,15 @@ def test_whole_paragraphs_with_a_changed_word_go_whole(spark, scratch):
     out = stripped(spark, scratch, *texts)
     for d in range(1, 40, 2):
         assert out[d].text.split() == [f"own{d // 2}x1", f"end{d // 2}x1"]
+
+
+def test_tables_give_the_drivers_heap_back(spark, scratch, monkeypatch):
+    """What jobs leave behind doesn't stay with the driver's JVM once a table is written."""
+    monkeypatch.setattr("tidelane.llm.scratch.HEAP_SHARE", 0.0, raising=False)
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    gone = spark.range(2_000_000).select(F.col("id").cast("string")).collect()
+    del gone
+    before = runtime.totalMemory()
+    scratch.table(spark.range(5))
+    used = runtime.totalMemory() - runtime.freeMemory()
+    assert runtime.totalMemory() < before and runtime.totalMemory() < 3 * used
