@@ -77,6 +77,26 @@ def test_last_round_finds_links_that_pivots_miss(spark, scratch, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute(docs, 2)
 
 
+def test_minhash_shuffles_halves_and_sets_once(spark, scratch, monkeypatch):
+    plans, table = {}, scratch.table
+
+    def noted(df):
+        plans.setdefault(tuple(df.columns), df._jdf.queryExecution().executedPlan().toString())
+        return table(df)
+
+    monkeypatch.setattr(scratch, "table", noted)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = [*near_copies(7), *near_copies(7)[:30]]  # rows twice, too
+        got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), scratch, size=2)
+        assert {tuple(r) for r in got.collect()} == brute(docs, 2) and got.count() == len(docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "posexplode" not in plans["a", "an", "b", "bn"]  # the keys' pairs come from a table
+    assert plans["id", "items"].count("Exchange hashpartitioning") == 2  # the two sides of one join
+
+
 def test_minhash_on_odd_rows(spark, scratch, odd, empty):
     got = minhash.near_duplicates(odd, scratch, size=2).collect()
     assert len(got) == len(ODD)

@@ -83,20 +83,23 @@ def linked_classes(
         ).drop("t_id"))
     half = classes.select("id", "n", F.posexplode("halves").alias("pos", "val"))
     shared = half.groupBy("val").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("val")
-    own = half.join(shared, "val").groupBy("id", "n").agg(F.collect_list(F.struct("pos", "val")).alias("h"))
+    # Written, for groups_of reads the keys twice, and both times would shuffle all halves.
+    own = scratch.table(half.join(shared, "val").groupBy("id", "n").agg(F.collect_list(F.struct("pos", "val")).alias("h")))
     left = own.select("id", "n", F.explode(F.filter("h", lambda x: x["pos"] < halves)).alias("l"), "h")
     keyed = left.select(
         "id", "n", "l", F.explode(F.filter("h", lambda x: x["pos"] >= halves)).alias("r")
     ).select("id", "n", F.xxhash64("l.val", "r.val").alias("key"))
 
     groups = groups_of(keyed, scratch)
+    scratch.drop(own)
     wanted = scratch.table(classes.join(members_of(groups), "id", "left_semi").select(
         "id", F.col("rep").alias("w_rep"), F.col("fp1").alias("w1"), F.col("fp2").alias("w2")
     ))
     texts = prefilter.restricted(slim.withColumnRenamed("doc_id", "rep"), "rep", scratch.table(wanted.select("w_rep").distinct()))
     found = texts.mapInArrow(_sets(size), "rep long, fp1 long, fp2 long, items binary")
     same = (F.col("rep") == F.col("w_rep")) & (F.col("fp1") == F.col("w1")) & (F.col("fp2") == F.col("w2"))
-    sets = scratch.table(found.join(wanted, same).select("id", "items").dropDuplicates(["id"]))
+    # These three tell a class as its id does, and the join has dealt by them: sets aren't shuffled again to drop repeated rows.
+    sets = scratch.table(found.join(wanted, same).dropDuplicates(["rep", "fp1", "fp2"]).select("id", "items"))
     linked = link_components(groups, sets, percent, scratch)
     near = scratch.table(classes.join(linked, "id", "left").select(
         F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), "rep", F.coalesce("component", "id").alias("component")
