@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import string
+import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
@@ -178,6 +180,25 @@ def test_quality_ranks_words_of_any_length(spark, scratch):
         assert abs(got[d].class_distance - c) < 1e-5 and abs(got[d].word_distance - w) < 1e-5
 
 
+@pytest.mark.parametrize("slots", [1, 1024])
+def test_quality_counts_classes_and_common_words_without_listing_them(spark, scratch, monkeypatch, slots):
+    monkeypatch.setattr(quality, "SLOTS", slots)
+    rng, odd = random.Random(9), list("aZ09ßÿ÷×ÉİΣ日\U0001f600\U0001d400 \t\n\x0b\x85\xa0.,#*$%&|<>-_\u0301")
+    docs = [(i, "".join(rng.choice(odd) for _ in range(rng.choice((0, 1, 40, 900)))), rng.choice(("x", "y", None))) for i in range(60)]
+    docs += [(100 + i, " ".join(rng.choice(("The", "the", "of", "İn", "w%d" % rng.randrange(300))) for _ in range(200)), "x") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    shaped = quality.with_classes(df.withColumnRenamed("text", "t")).collect()
+    for r in shaped:
+        named = [sum(unicodedata.category(c) == "Lu" for c in r.t), sum(c in string.digits for c in r.t), sum(c in string.punctuation for c in r.t), sum(c in " \t\n\x0b\f\r" for c in r.t)]
+        assert r.cl == [*named, len(r.t) - sum(named)] and r.n_symbols == sum(c in quality.SYMBOLS for c in r.t)
+    got = quality.judge(df, scratch)
+    want = {d: (c, w) for d, c, w, _ in brute_quality(docs)}
+    for r in got.collect():
+        assert abs(r.class_distance - want[r.doc_id][0]) < 1e-5 and abs(r.word_distance - want[r.doc_id][1]) < 1e-5, r
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "slots" in plan
+
+
 def test_pipeline_stages_equal_brute_force(spark, duck, scratch):
     """All stages but the classifier, each on what the one before has left, with odd rows among the documents."""
     import corpus_pipeline

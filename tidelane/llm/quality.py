@@ -18,18 +18,28 @@ MIN_WORDS = 50  # shorter documents aren't judged by their common words
 MIN_REFERENCE = 2000  # words of a language that make a reference
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.4
+SLOTS = 1024  # of a language's table that tells most words that aren't common without comparing them
+SMALL = r"[a-z\xDF-\xFF]+"  # in none of the classes that are counted
 _CODES = "".join(chr(c) for c in range(ord("0"), ord("0") + COMMON + 1))
 
 
-def _count(pattern: str, text: str = "t") -> Column:
+def _count(pattern: str, text: str) -> Column:
     """Code points of text in the character class."""
-    return F.regexp_count(text, F.lit(f"[{pattern}]")).cast("long")
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{pattern}]+", ""))).cast("long")
 
 
-def classes() -> list[Column]:
-    """Histogram of t over upper case, digits, punctuation, white space and the rest."""
-    named = [_count(r"\p{Lu}"), _count("0-9"), _count(r"\p{Punct}"), _count(r"\x20\x09-\x0D")]
-    return [*named, F.length("t").cast("long") - sum(named, F.lit(0))]
+def with_classes(df: DataFrame) -> DataFrame:
+    """df with cl, the histogram of t over upper case, digits, punctuation, white space and the rest, and n_symbols.
+
+    Blanks and small Latin letters, most of a text, are cut out once before the classes that hold none of them are counted.
+    """
+    x = df.withColumn("__u", F.replace("t", F.lit(" "), F.lit(""))).withColumn("__r", F.regexp_replace("__u", SMALL, ""))
+    blanks = (F.length("t") - F.length("__u")).cast("long")
+    named = [*(_count(k, "__r") for k in (r"\p{Lu}", "0-9", r"\p{Punct}")), blanks + _count(r"\x09-\x0D", "__r")]
+    symbols = _count(SYMBOLS.replace("|", r"\|").replace("&", r"\&"), "__r")
+    x = x.withColumns({"__named": F.array(*named), "n_symbols": symbols})
+    rest = F.length("t").cast("long") - F.aggregate("__named", F.lit(0).cast("long"), lambda a, v: a + v)
+    return x.withColumn("cl", F.concat("__named", F.array(rest))).drop("__u", "__r", "__named")
 
 
 def with_js_distance(df: DataFrame, name: str, p: str, q: str) -> DataFrame:
@@ -47,25 +57,35 @@ def with_js_distance(df: DataFrame, name: str, p: str, q: str) -> DataFrame:
 
 
 def references(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(ref_lang, ref_words, common, word_counts, class_counts) of each language of docs, null among them.
+    """(ref_lang, ref_words, common, word_counts, class_counts, slots) of each language of docs, null among them.
 
     common holds its commonest words, in lower case and of any length; word_counts how often each stands, and all
-    others together at the end. All words of all documents count, each document once a row.
+    others together at the end. All words of all documents count, each document once a row. slots tells of each
+    of SLOTS values whether it is the slot() of a common word.
     """
     t = docs.select("lang", F.coalesce("text", F.lit("")).alias("t"))
-    sums = [F.sum(c).cast("double") for c in classes()]
-    whole = t.groupBy("lang").agg(F.sum(F.regexp_count("t", F.lit(WORD))).alias("ref_words"), F.array(*sums).alias("class_counts"))
+    sums = [F.sum(F.col("cl")[i]).cast("double") for i in range(5)]
+    whole = with_classes(t).groupBy("lang").agg(F.array(*sums).alias("class_counts"))
     words = t.select("lang", F.explode(F.split(F.lower("t"), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''")
     counted = scratch.table(words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c")))
     top = _top(counted)
-    x = whole.join(top, whole.lang.eqNullSafe(top.top_lang), "left")
+    sizes = counted.groupBy(F.col("lang").alias("size_lang")).agg(F.sum("c").alias("size"))
+    x = whole.join(top, whole.lang.eqNullSafe(top.top_lang), "left").join(sizes, whole.lang.eqNullSafe(sizes.size_lang), "left")
+    x = x.withColumn("ref_words", F.coalesce("size", F.lit(0).cast("long")))
     seen = F.coalesce(F.transform("top", lambda s: s["c"].cast("double")), F.array().cast("array<double>"))
     rest = F.col("ref_words").cast("double") - F.aggregate(seen, F.lit(0.0), lambda a, v: a + v)
-    return scratch.table(x.select(
+    x = x.select(
         F.col("lang").alias("ref_lang"), "ref_words",
         F.coalesce(F.transform("top", lambda s: s["w"]), F.array().cast("array<string>")).alias("common"),
         F.concat(seen, F.array(rest)).alias("word_counts"), "class_counts"
-    ))
+    ).withColumn("taken", F.transform("common", slot))
+    every = F.sequence(F.lit(0), F.lit(SLOTS - 1))
+    return scratch.table(x.withColumn("slots", F.transform(every, lambda s: F.array_contains("taken", s))).drop("taken"))
+
+
+def slot(word: Column) -> Column:
+    """A word's place, by its hash, among SLOTS."""
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
 
 
 def _top(counted: DataFrame) -> DataFrame:
@@ -104,10 +124,12 @@ def judge(docs: DataFrame, scratch: Scratch) -> DataFrame:
     t = t.join(refs, t.lang.eqNullSafe(F.col("ref_lang")), "left")
     words = F.filter(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split("t", "\n"), lambda s: F.rlike(s, F.lit(WORD)))
-    a = t.withColumn("words", words).withColumn("lines", lines).withColumn("cl", F.array(*classes()))
-    code = lambda w: F.substr(F.lit(_CODES), F.array_position("common", F.lower(w)).cast("int") + 1, F.lit(1))
+    a = with_classes(t).withColumn("words", words).withColumn("lines", lines)
+    codes = F.lit(["", *_CODES[1:]])
+    place = lambda w: F.array_position("common", w).cast("int")
+    code = lambda w: F.when(F.get("slots", slot(F.lower(w))), F.get(codes, place(F.lower(w)))).otherwise("")
     b = a.select(
-        "doc_id", "ref_words", "word_counts", "class_counts", "cl", F.size("words").cast("long").alias("n_words"), _count(SYMBOLS.replace("|", r"\|").replace("&", r"\&")).alias("n_symbols"),
+        "doc_id", "ref_words", "word_counts", "class_counts", "cl", F.size("words").cast("long").alias("n_words"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("wh"), F.array_join(F.transform("words", code), "").alias("s"), F.size("common").alias("k"),
     )
     c, size = b, 1
@@ -117,7 +139,7 @@ def judge(docs: DataFrame, scratch: Scratch) -> DataFrame:
     in_s = lambda ch: F.length("s") - F.length(F.replace(F.col("s"), F.lit(ch)))
     found = F.array(*(in_s(ch) for ch in _CODES[1:]))
     hist = F.concat(
-        F.transform(F.slice(found, 1, F.greatest(F.col("k"), F.lit(0))), lambda v: v.cast("double")), F.array(in_s(_CODES[0]).cast("double"))
+        F.transform(F.slice(found, 1, F.greatest(F.col("k"), F.lit(0))), lambda v: v.cast("double")), F.array((F.col("n_words") - F.length("s")).cast("double"))
     )
     n_chars = F.aggregate("cl", F.lit(0).cast("long"), lambda x, v: x + v)
     d = c.select(
