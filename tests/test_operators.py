@@ -80,6 +80,70 @@ def test_lazy_cleanup_keeps_expired_entries_until_it_runs(spark):
     assert got == {1: "processed", 2: "processed", 3: "duplicate", 4: "processed", 5: "processed"}
 
 
+def lazily(rows, ttl, every):
+    """rows (key, id, time, ok) with their status, one after the other as the lazy mode is described."""
+    last = lambda value: (value is None, value or 0)
+    seen, cleaned, out = {}, None, []
+    for k, i, t, ok in sorted(rows, key=lambda r: (last(r[2]), last(r[1]), last(r[0]), not r[3])):
+        if k in seen:
+            out.append((k, i, t, "duplicate"))
+            continue
+        if t is not None and (cleaned is None or t - cleaned >= every):
+            seen, cleaned = {x: s for x, s in seen.items() if t - s <= ttl}, t
+        out.append((k, i, t, "processed" if ok else "failed"))
+        if ok and k is not None:
+            seen[k] = t
+    return out
+
+
+@pytest.mark.parametrize(("keys", "ttl", "every"), [(40, 100, 30), (400, 300, 7), (4, 0, 1), (900, 5000, 1000)])
+def test_lazy_dedup_equals_one_event_after_the_other(spark, keys, ttl, every):
+    """Over blocks of 64 events, with ties, copies, missing keys, ids and times, and keys that doubles can't hold."""
+    r = np.random.default_rng(keys)
+    some = lambda value: None if r.random() < 0.01 else int(value)
+    rows = [(some(2**53 + r.integers(keys)), some(r.integers(5)), some(r.integers(6000)), [True, True, False, None][r.integers(4)]) for _ in range(2500)]
+    rows += [rows[i] for i in r.integers(0, len(rows), 300)]
+    rows += [(k, i, t, not ok) for k, i, t, ok in rows[:100]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        df = spark.createDataFrame(rows, "k long, i long, t long, ok boolean").repartition(3)
+        got = [tuple(x) for x in anchored.lazy_dedup(df, "k", "t", "i", F.col("ok"), ttl, every).select("key", "id", "time", "status").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = lazily(rows, ttl, every)
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len({s for *_, s in want}) == 3
+
+
+def test_lazy_dedup_brings_no_task_all_events(spark):
+    store, doubles, n = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0), 50_000
+    listed = lambda x: [x.apply(i) for i in range(x.size())]
+    stages = lambda: {s.stageId(): s.attemptId() for s in listed(store.stageList(None, False, False, doubles, None))}
+    before = stages()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(n).select((F.col("id") % 50).alias("k"), "id", (F.col("id") * 7).alias("t"))
+        assert anchored.lazy_dedup(df, "k", "t", "id", F.lit(True), 1000, 10).where("status = 'processed'").count() == 50
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tasks = [t for s, attempt in stages().items() if s not in before for t in listed(store.taskList(s, attempt, 1000))]
+    read = [t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks if t.taskMetrics().isDefined()]
+    assert sum(read) >= n and max(read) < n / 2
+
+
+def test_last_times_of_many_keys():
+    r, seen, want = np.random.default_rng(3), anchored.LastTimes(), {}
+    for t in range(0, 60, 10):
+        keys = np.unique(r.integers(-(10**12), 10**12, 9000))
+        keys = np.union1d(keys, r.choice(np.array([*want, 5]), 500))
+        times = np.full(len(keys), t)
+        seen.set(keys, times, t - 20)
+        want |= dict(zip(keys.tolist(), times.tolist(), strict=True))
+        known = np.array([k for k, at in want.items() if at >= t - 20])
+        assert seen.of(known).tolist() == [want[k] for k in known.tolist()]
+        assert (seen.of(keys + 1)[~np.isin(keys + 1, known)] == anchored.NEVER).all()
+    assert len(seen.keys) + len(seen.recent) < len(want)
+
+
 @pytest.mark.parametrize(
     ("policy", "capacity", "kept"),
     [

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chains import chains, with_chain
 
+NEVER, FOREVER = int(np.iinfo(np.int64).min), int(np.iinfo(np.int64).max)
+
 
 def anchored_numbers(t: np.ndarray, width: int, anchor: int | None = None, number: int = 0) -> tuple[np.ndarray, int | None, int]:
     """The window of each sorted time, and the anchor and number of the window that stays open.
@@ -107,29 +112,125 @@ def dedup(events: DataFrame, key: str, time: str, id: str, ok: Column, ttl: int
     return x.withColumn("status", status).drop("__at", "__copy", "__first")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch of sorted rows as one packed block, with its place in the order of all."""
+    part, place = TaskContext.get().partitionId(), 0
+    for b in batches:
+        if b.num_rows:
+            rows = pa.RecordBatch.from_arrays([b["time"], b["id"], b["key"].dictionary_encode(), b["ok"]], ["time", "id", "key", "ok"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int64()), pa.array([place], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                ["part", "place", "block"]
+            )
+            place += 1
+
+
+class LastTimes:
+    """When keys were last processed, in 16 bytes a key; few recent ones wait in a dictionary until they are sorted in."""
+
+    def __init__(self) -> None:
+        self.keys, self.times, self.recent = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), {}
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The times of keys, NEVER for those that aren't known."""
+        out = np.full(len(keys), NEVER)
+        at, there = self._places(keys)
+        out[there] = self.times[at[there]]
+        for i in np.flatnonzero(~there) if self.recent else ():
+            out[i] = self.recent.get(int(keys[i]), NEVER)
+        return out
+
+    def set(self, keys: np.ndarray, times: np.ndarray, limit: int) -> None:
+        """New times of different keys; what is older than limit may go."""
+        at, there = self._places(keys)
+        self.times[at[there]] = times[there]
+        self.recent.update(zip(keys[~there].tolist(), times[~there].tolist(), strict=True))
+        if len(self.recent) > 10_000 + len(self.keys) // 8:
+            keep, new = self.times >= limit, np.array(sorted(self.recent.items()), dtype=np.int64)
+            old = self.keys[keep]
+            at = np.searchsorted(old, new[:, 0])
+            self.keys, self.times, self.recent = np.insert(old, at, new[:, 0]), np.insert(self.times[keep], at, new[:, 1]), {}
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        return at, there
+
+
+def _values(column: pa.Array) -> list:
+    """The column's values; by way of numpy, which is much faster, where none is missing."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _free(ttl: int, every: int):
+    """Of packed blocks in order, the events that are found free: not remembered when they come. Copies are told once.
+
+    A clean-up takes what is older than ttl, and later ones come later, so a key is remembered while its last processed
+    event is no more than ttl before the last clean-up. While all keys of a block are remembered nothing changes
+    in it, so the block is passed over; only one block and the keys' times are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, cleaned, limit, before = LastTimes(), None, NEVER + 1, None
+        for packed in (block for b in batches for block in b["block"]):
+            rows = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+            code, keys = rows["key"].indices, rows["key"].dictionary.to_numpy()
+            last = seen.of(keys)
+            if not code.null_count and (last >= limit).all():
+                continue
+            none, names, own = len(keys), [*keys.tolist(), None], [*last.tolist(), NEVER]
+            places, changed = [], set()
+            columns = (_values(x) for x in (code.fill_null(none), rows["time"], rows["id"], rows["ok"]))
+            for i, (k, t, number, good) in enumerate(zip(*columns, strict=True)):
+                if own[k] >= limit:
+                    continue
+                if t is not None and (cleaned is None or t - cleaned >= every):
+                    cleaned, limit = t, max(t - ttl, NEVER + 1)
+                event = (t, number, names[k])
+                if event != before:
+                    places.append(i)
+                    before = event
+                if good and k != none:
+                    own[k] = FOREVER if t is None else t
+                    changed.add(k)
+            at = np.array(sorted(changed), dtype=np.int64)
+            seen.set(keys[at], np.array(own, dtype=np.int64)[at], limit)
+            found = rows.take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [found["time"], found["id"], found["key"].dictionary_decode(), found["ok"]], ["time", "id", "key", "good"]
+            )
+
+    return run
+
+
 def lazy_dedup(events: DataFrame, key: str, time: str, id: str, ok: Column, ttl: int, every: int) -> DataFrame:
     """(key, id, time, status) with lookups that ignore age: entries leave only at a clean-up.
 
     A clean-up comes with an event that is no duplicate, `every` or more after the one before, and takes
-    entries of over ttl. Clean-ups depend on the whole stream's order, so this mode runs in one group; it is
-    for comparing with engines that work so, not for scale.
+    entries of over ttl. Events count in order of time and id, those without one last; rows that agree in key,
+    time and id are one event that came more than once, of which one that is ok comes first. An event without
+    key is never a duplicate, one without time makes no clean-up.
+
+    Clean-ups depend on the whole stream's order, so one task takes the sorted events, packed in blocks, and tells
+    which are found free (`_free`); sorting, packing and the status of each event are spread over all tasks.
     """
-    slim = events.select(
-        F.lit(0).alias("all"), F.col(key).cast("long").alias("key"), F.col(id).alias("id"), F.col(time).alias("time"), ok.alias("ok")
+    event = F.struct(*(F.col(c).cast("long").alias(name) for c, name in ((time, "time"), (id, "id"), (key, "key"))))
+    slim = events.select(event.alias("event"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    order = [F.col(c).asc_nulls_last() for c in ("time", "id", "key")]
+    blocks = slim.select("event.*", "ok").repartitionByRange(*order).sortWithinPartitions(*order, F.col("ok").desc()).mapInArrow(
+        _blocks, "part long, place long, block binary"
     )
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["time", "id"], kind="stable")
-        seen, cleaned, out = {}, None, []
-        for k, t, good in zip(rows["key"], rows["time"], rows["ok"], strict=True):
-            if k in seen:
-                out.append("duplicate")
-                continue
-            if cleaned is None or t - cleaned >= every:
-                seen, cleaned = {x: s for x, s in seen.items() if t - s <= ttl}, t
-            out.append("processed" if good else "failed")
-            if good:
-                seen[k] = t
-        return rows.assign(status=out)[["key", "id", "time", "status"]]
-
-    return slim.groupBy("all").applyInPandas(fold, "key long, id long, time long, status string")
+    free = blocks.repartition(1).sortWithinPartitions("part", "place").mapInArrow(
+        _free(ttl, every), "time long, id long, key long, good boolean"
+    ).select(F.struct("time", "id", "key").alias("free"), "good")
+    copy = F.row_number().over(Window.partitionBy("event").orderBy(F.col("ok").desc()))
+    x = slim.withColumn("copy", copy).join(free, F.col("event") == F.col("free"), "left")
+    alone = F.when(F.col("ok"), "processed").otherwise("failed")
+    status = F.when(F.col("free").isNull(), "duplicate").when(F.col("event.key").isNull(), alone).when(~F.col("good"), "failed").when(
+        F.col("ok") & (F.col("copy") == 1), "processed"
+    ).otherwise("duplicate")
+    return x.select("event.key", "event.id", "event.time", status.alias("status"))
